@@ -19,8 +19,8 @@ _D = r"(3[01]|[12]\d|0[1-9]|[1-9]| [1-9])"
 _H = r"(2[0-3]|[01]\d|\d)"
 _MI = r"([0-5]\d|\d)"
 _S = r"([0-5]\d|\d)"
-DATE_RE = "^" + _Y + "-" + _M + "-" + _D + "$"
-DATETIME_RE = "(?i)^" + _Y + "-" + _M + "-" + _D + "T" + _H + ":" + _MI + ":" + _S + "Z?$"
+# date, or date 'T' time with an optional 'Z' (case-insensitive), whole string
+LOOSE_RE = "(?i)^" + _Y + "-" + _M + "-" + _D + "(?:T" + _H + ":" + _MI + ":" + _S + "Z?)?$"
 
 
 def _c(x) -> Column:
@@ -30,22 +30,20 @@ def _c(x) -> Column:
 def parse_loose_date(x) -> Column:
     """Parse a free date string to TIMESTAMP_NTZ, NULL when unparsable."""
     s = F.substring(_c(x), 1, 19)
-    is_d = s.rlike(DATE_RE)
-    is_dt = s.rlike(DATETIME_RE)
 
-    def part(i_date, i_dt):
-        a = F.regexp_extract(s, DATE_RE, i_date) if i_date else F.lit("0")
-        b = F.regexp_extract(s, DATETIME_RE, i_dt)
-        return F.trim(F.when(is_d, a).otherwise(b)).cast("int")
+    def g(i):
+        return F.trim(F.regexp_extract(s, LOOSE_RE, i))
 
-    ts = F.try_make_timestamp_ntz(part(1, 1), part(2, 2), part(3, 3),
-                                  part(None, 4), part(None, 5), part(None, 6))
-    return F.when(is_d | is_dt, F.when(part(1, 1) >= 1, ts))
+    def t(i):
+        return F.coalesce(F.nullif(g(i), F.lit("")).cast("int"), F.lit(0))
+
+    ts = F.try_make_timestamp_ntz(g(1).cast("int"), g(2).cast("int"), g(3).cast("int"), t(4), t(5), t(6))
+    return F.when(s.rlike(LOOSE_RE) & (g(1).cast("int") >= 1), ts)
 
 
 def days_between(start, end) -> Column:
     """Whole days from ``start`` to ``end``, floored (negative in the future)."""
-    secs = F.unix_timestamp(_c(end).cast("timestamp")) - F.unix_timestamp(_c(start).cast("timestamp"))
+    secs = F.timestamp_diff("SECOND", _c(start), _c(end))
     return F.floor(secs / F.lit(86400.0))
 
 

@@ -69,3 +69,64 @@ SELECT tbl, ord, sha256(u_norm) AS url_hash FROM (SELECT tbl, ord, url, {_sel(Q.
 oracle("feed_url_class", _with(Q.ART, Q.PG, URLS) + f"""
 SELECT tbl, ord, regexp_matches(lower(u_path), '/feed|/rss|/atom|\\.rss|\\.atom|\\.xml') AS is_feed
 FROM (SELECT tbl, ord, url, {_sel(Q.url_steps('url', 'u'))} FROM urls)""")
+
+# ------------------------------------------------------------- A6 / D5-D11
+
+KEYED = Q.keyed_cte("art", "keyed")
+HIST_PARTS = f"""hist AS (SELECT * FROM keyed WHERE {Q.HIST}),
+batch AS (SELECT * FROM keyed WHERE NOT {Q.HIST}),
+{Q.seen_recs_cte('hist', 'hrecs')},
+{Q.latest_cte('hrecs', 'latest')}"""
+
+oracle("seen_latest", "WITH RECURSIVE " + ",\n".join([Q.ART, KEYED, Q.seen_recs_cte("keyed", "recs"),
+                                                        Q.latest_cte("recs", "latest")]) + """
+SELECT url_hash, first_pos, url, content_hash, title, fetched_at, stored_path, source FROM latest""")
+
+oracle("seen_content", _with(Q.ART, KEYED, HIST_PARTS) + "SELECT DISTINCT content_hash FROM latest")
+
+oracle("dup_lookup", _with(Q.ART, KEYED, HIST_PARTS) + """,
+byc AS (SELECT content_hash, arg_min(title, first_pos) AS content_title FROM latest GROUP BY content_hash)
+SELECT b.ord,
+  (l.title IS NOT NULL OR (coalesce(b.content, '') <> '' AND c.content_title IS NOT NULL)) AS is_dup,
+  CASE WHEN l.title IS NOT NULL THEN 'URL already seen: ' || l.title
+       WHEN coalesce(b.content, '') <> '' AND c.content_title IS NOT NULL THEN 'Content matches existing: ' || c.content_title
+  END AS reason
+FROM batch b LEFT JOIN latest l ON l.url_hash = b.url_hash
+LEFT JOIN byc c ON c.content_hash = b.content_hash""".replace("\n,\nbyc", ",\nbyc"))
+
+oracle("anti_seen", _with(Q.ART, KEYED, HIST_PARTS) + """
+SELECT ord FROM batch b
+WHERE b.url_hash NOT IN (SELECT url_hash FROM latest)
+  AND (coalesce(b.content, '') = '' OR b.content_hash NOT IN (SELECT content_hash FROM latest))""")
+
+oracle("greedy_dedup", "WITH RECURSIVE " + ",\n".join([
+    Q.ART, KEYED,
+    "keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(content, '') <> '' THEN content_hash END AS cc, "
+    "content_hash AS rc, false AS forced FROM keyed)",
+    Q.walk_ctes("keys")]) + "\nSELECT ord, keep FROM walk WHERE i > 0")
+
+oracle("force_ingest", "WITH RECURSIVE " + ",\n".join([
+    Q.ART, KEYED, HIST_PARTS,
+    "b AS (SELECT b.*, coalesce(l.content_hash <> b.content_hash, false) AS forced "
+    "FROM batch b LEFT JOIN latest l ON l.url_hash = b.url_hash)",
+    "keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(content, '') <> '' THEN content_hash END AS cc, "
+    "content_hash AS rc, forced FROM b)",
+    Q.walk_ctes("keys", "(SELECT list(url_hash) FROM latest)", "(SELECT list(content_hash) FROM latest)")]) + """
+SELECT b.ord, b.forced, w.keep FROM b JOIN walk w ON w.ord = b.ord""")
+
+oracle("event_merge", _with(Q.ART, KEYED) + f""",
+a AS (SELECT *, {Q.source_weight('source', 'url')} AS sw, length(content) AS n_chars,
+      {Q.story_id('title', 'ord')} AS story_id FROM keyed),
+r AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY sw DESC, n_chars DESC, ord ASC) AS rn,
+      count(*) OVER (PARTITION BY content_hash) AS n FROM a),
+w AS (SELECT content_hash, ord AS winner_ord, story_id AS merged_into FROM r WHERE rn = 1 AND n > 1)
+SELECT r.ord, r.title, r.url, w.merged_into, w.winner_ord, 'same content as the kept story' AS reason
+FROM r JOIN w USING (content_hash) WHERE r.ord <> w.winner_ord""".replace("\n,\na AS", ",\na AS"))
+
+oracle("storage_path", _with(Q.ART) + f"SELECT ord, {Q.storage_path('title', 'fetched_at')} AS stored_path FROM art")
+oracle("slug", _with(Q.ART) + f"SELECT 'art' AS tbl, ord, {Q.lib_slug('title')} AS slug FROM art")
+oracle("story_id", _with(Q.ART) + f"SELECT ord, {Q.story_id('title', 'ord')} AS story_id FROM art")
+oracle("source_type", _with(Q.ART) + """
+SELECT ord, CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM art""")
+oracle("tag_default", _with(Q.ART) + """
+SELECT ord, CASE WHEN tags[1] <> 'en' THEN tags[1] ELSE 'reading-list' END AS tags FROM art""")

@@ -101,16 +101,154 @@ def q_content_hash(spark, sf_dir):
 @query("url_norm")
 def q_url_norm(spark, sf_dir):
     """D1 over article and page URLs."""
-    return _urls(spark, sf_dir).select("tbl", "ord", "url", U.normalize_url("url").alias("url_norm"))
+    return U.with_normalized_url(_urls(spark, sf_dir), "url", "url_norm").select("tbl", "ord", "url", "url_norm")
 
 
 @query("url_hash")
 def q_url_hash(spark, sf_dir):
     """D2 over article and page URLs."""
-    return _urls(spark, sf_dir).select("tbl", "ord", U.url_hash("url").alias("url_hash"))
+    return U.with_url_hash(_urls(spark, sf_dir), "url", "url_hash").select("tbl", "ord", "url_hash")
 
 
 @query("feed_url_class")
 def q_feed_url_class(spark, sf_dir):
     """A2 over article and page URLs."""
     return _urls(spark, sf_dir).select("tbl", "ord", U.is_feed_url("url").alias("is_feed"))
+
+
+# ---------------------------------------------------------------- A6 / D5-D11
+
+from broadsheet.functions.text import story_slug  # noqa: E402
+from broadsheet.operators import dedup as DD  # noqa: E402
+from broadsheet.operators import extract as X  # noqa: E402
+from broadsheet.sinks.seen import seen_records, to_jsonl_lines  # noqa: E402
+
+
+def _keyed(spark, sf_dir) -> DataFrame:
+    """Articles with their url and content hashes."""
+    return (U.with_url_hash(S.articles(spark, sf_dir), "url", "url_hash")
+            .withColumn("content_hash", TX.content_hash("content")))
+
+
+def _as_seen(keyed: DataFrame) -> DataFrame:
+    """Seen records (D10 builder) for article rows, positioned by ord."""
+    rows = (X.source_type(keyed.withColumnRenamed("source", "source_url"), "source_url")
+            .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at")))
+            .withColumn("batch_id", F.lit(0)))
+    recs = seen_records(rows)
+    return recs.withColumn("pos", F.col("pos.ord"))
+
+
+def _history_latest(keyed: DataFrame) -> DataFrame:
+    hist, _ = S.history_split(keyed)
+    return DD.seen_latest(_as_seen(hist))
+
+
+@query("seen_latest")
+def q_seen_latest(spark, sf_dir):
+    """Every article written to a JSONL seen log in order, parsed back and
+    resolved (last record per url hash wins, at its first position)."""
+    lines = to_jsonl_lines(_as_seen(_keyed(spark, sf_dir)))
+    latest = DD.seen_latest(DD.parse_seen_lines(lines))
+    return latest.select("url_hash", "first_pos", "url", "content_hash", "title",
+                         "fetched_at", "stored_path", "source")
+
+
+@query("seen_content")
+def q_seen_content(spark, sf_dir):
+    """Content hashes of the latest history records."""
+    return DD.seen_content_hashes(_history_latest(_keyed(spark, sf_dir)))
+
+
+@query("dup_lookup")
+def q_dup_lookup(spark, sf_dir):
+    """Duplicate verdict and reason for each new article against history."""
+    keyed = _keyed(spark, sf_dir)
+    _, batch = S.history_split(keyed)
+    out = DD.duplicate_lookup(batch.select("ord", "url_hash", "content_hash", "content"),
+                              _history_latest(keyed))
+    return out.select("ord", "is_dup", "reason")
+
+
+@query("anti_seen")
+def q_anti_seen(spark, sf_dir):
+    """New articles whose URL and content are both unseen."""
+    keyed = _keyed(spark, sf_dir)
+    _, batch = S.history_split(keyed)
+    return DD.drop_seen(batch.select("ord", "url_hash", "content_hash", "content"),
+                        _history_latest(keyed)).select("ord")
+
+
+@query("greedy_dedup")
+def q_greedy_dedup(spark, sf_dir):
+    """Sequential first-wins dedup over url and content hash, all articles."""
+    return DD.greedy_dedup(DD.dedup_keys(_keyed(spark, sf_dir)))
+
+
+@query("force_ingest")
+def q_force_ingest(spark, sf_dir):
+    """Refresh run over new articles; rows whose URL is in history but whose
+    content changed are forced (admitted and recorded), the rest go through
+    the history check (D7) and the in-batch dedup (D8)."""
+    keyed = _keyed(spark, sf_dir)
+    _, batch = S.history_split(keyed)
+    latest = _history_latest(keyed)
+    b = (batch.select("ord", "url_hash", "content_hash", "content")
+         .join(latest.select("url_hash", F.col("content_hash").alias("seen_content")), "url_hash", "left")
+         .withColumn("forced", F.coalesce(F.col("seen_content") != F.col("content_hash"), F.lit(False))))
+    unseen = DD.drop_seen(b.filter(~F.col("forced")), latest)
+    cand = unseen.unionByName(b.filter("forced"))
+    verdict = DD.greedy_dedup(DD.dedup_keys(cand, extra=("forced",)), force_col="forced")
+    return (b.select("ord", "forced").join(verdict, "ord", "left")
+            .select("ord", "forced", F.coalesce("keep", F.lit(False)).alias("keep")))
+
+
+@query("event_merge")
+def q_event_merge(spark, sf_dir):
+    """Same-content articles merge into the most authoritative, longest,
+    earliest one; each other member is a duplicates row."""
+    a = (_keyed(spark, sf_dir)
+         .withColumn("source_weight", R.source_weight(F.col("source"), F.col("url")))
+         .withColumn("n_chars", F.length("content"))
+         .withColumn("story_id", F.coalesce(F.nullif(story_slug(F.col("title")), F.lit("")),
+                                            F.concat(F.lit("item-"), F.col("ord").cast("string")))))
+    return DD.event_merge(a)
+
+
+@query("storage_path")
+def q_storage_path(spark, sf_dir):
+    """B9 (with B7 slug) for every article."""
+    a = S.articles(spark, sf_dir)
+    return a.select("ord", X.storage_path(F.col("title"), F.col("fetched_at")).alias("stored_path"))
+
+
+@query("slug")
+def q_slug(spark, sf_dir):
+    """B7 library slug of every article title and page URL path."""
+    a = S.articles(spark, sf_dir).select(F.lit("art").alias("tbl"), "ord", "title")
+    return a.select("tbl", "ord", TX.library_slug(F.col("title")).alias("slug"))
+
+
+@query("story_id")
+def q_story_id(spark, sf_dir):
+    """B8 story id of every article title (``item-{ord}`` when empty)."""
+    a = S.articles(spark, sf_dir)
+    sid = F.coalesce(F.nullif(story_slug(F.col("title")), F.lit("")),
+                     F.concat(F.lit("item-"), F.col("ord").cast("string")))
+    return a.select("ord", sid.alias("story_id"))
+
+
+@query("source_type")
+def q_source_type(spark, sf_dir):
+    """Rss when the article's source expanded to more than one URL."""
+    a = S.articles(spark, sf_dir).select("ord", F.col("source").alias("source_url"))
+    return X.source_type(a, "source_url").select("ord", "source_type")
+
+
+@query("tag_default")
+def q_tag_default(spark, sf_dir):
+    """Explicit tags (the language, given for non-English articles) or the default."""
+    a = S.articles(spark, sf_dir)
+    lang = F.col("tags")[0]
+    given = F.when(lang != "en", F.array(lang)).otherwise(F.array().cast("array<string>"))
+    return a.select("ord", F.array_join(X.default_tags(given), ",").alias("tags"))

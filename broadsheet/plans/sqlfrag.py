@@ -62,22 +62,21 @@ def content_hash(x: str) -> str:
     return f"sha256({norm_text(x)})"
 
 
+SPLIT_RE = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+
+
 def url_steps(x: str, p: str) -> list[str]:
     """Select items computing ``{p}_scheme``, ``{p}_path`` (params-free), ``{p}_norm``."""
-    sch = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
+    r = SPLIT_RE
     return [
         f"regexp_replace(regexp_replace({x}, '^[\\x{{00}}-\\x{{20}}]+', ''), '[\\t\\r\\n]', '', 'g') AS {p}_u",
-        f"CASE WHEN regexp_matches({p}_u, '{sch}') THEN lower(regexp_extract({p}_u, '{sch}', 1)) ELSE '' END AS {p}_scheme",
-        f"CASE WHEN regexp_matches({p}_u, '{sch}') THEN regexp_extract({p}_u, '(?s)^[A-Za-z][A-Za-z0-9+.\\-]*:(.*)$', 1) ELSE {p}_u END AS {p}_r1",
-        f"CASE WHEN starts_with({p}_r1, '//') THEN regexp_extract({p}_r1, '(?s)^//([^/?#]*)', 1) ELSE '' END AS {p}_netloc",
-        f"CASE WHEN starts_with({p}_r1, '//') THEN regexp_extract({p}_r1, '(?s)^//[^/?#]*(.*)$', 1) ELSE {p}_r1 END AS {p}_r2",
-        f"regexp_extract({p}_r2, '(?s)^([^#]*)', 1) AS {p}_r3",
-        f"regexp_extract({p}_r3, '(?s)^([^?]*)', 1) AS {p}_rawpath",
-        f"regexp_extract({p}_r3, '(?s)^[^?]*\\?(.*)$', 1) AS {p}_query",
+        f"lower(regexp_extract({p}_u, '{r}', 1)) AS {p}_scheme",
+        f"lower(regexp_extract({p}_u, '{r}', 2)) AS {p}_nl0",
+        f"regexp_extract({p}_u, '{r}', 3) AS {p}_rawpath",
+        f"regexp_extract({p}_u, '{r}', 4) AS {p}_query",
         f"CASE WHEN {p}_scheme IN {in_list(USES_PARAMS)} AND contains({p}_rawpath, ';') THEN "
         f"(CASE WHEN contains({p}_rawpath, '/') THEN regexp_extract({p}_rawpath, '(?s)^(.*/[^;]*)', 1) "
         f"ELSE split_part({p}_rawpath, ';', 1) END) ELSE {p}_rawpath END AS {p}_path",
-        f"lower({p}_netloc) AS {p}_nl0",
         f"CASE WHEN {p}_scheme = 'http' AND ends_with({p}_nl0, ':80') THEN substr({p}_nl0, 1, length({p}_nl0) - 3) "
         f"WHEN {p}_scheme = 'https' AND ends_with({p}_nl0, ':443') THEN substr({p}_nl0, 1, length({p}_nl0) - 4) "
         f"ELSE {p}_nl0 END AS {p}_nl",
@@ -141,3 +140,69 @@ def freshness(p: str, as_of: str = AS_OF_SQL) -> str:
 
 def score(w: str, f: str, l: str) -> str:
     return f"(0.4::DOUBLE * {w} + 0.3::DOUBLE * {f} + 0.3::DOUBLE * {l})"
+
+
+def lib_slug(x: str, max_length: int = 50) -> str:
+    s0 = (f"regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x{{00}}-\\x{{7f}}]', '', 'g')), "
+          f"'[^a-z0-9]+', '-', 'g')")
+    s1 = f"regexp_replace({s0}, '^-+|-+$', '', 'g')"
+    h = f"substr({s1}, 1, {max_length})"
+    cut = f"(CASE WHEN contains({h}, '-') THEN regexp_extract({h}, '^(.*)-', 1) ELSE {h} END)"
+    return f"coalesce(nullif(CASE WHEN length({s1}) > {max_length} THEN {cut} ELSE {s1} END, ''), 'untitled')"
+
+
+def story_slug(x: str) -> str:
+    s = f"regexp_replace(lower({ws_strip(x)}), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', '-', 'g')"
+    return f"substr(regexp_replace({s}, '^-+|-+$', '', 'g'), 1, 60)"
+
+
+def story_id(title: str, idx: str) -> str:
+    return f"coalesce(nullif({story_slug(title)}, ''), 'item-' || CAST({idx} AS VARCHAR))"
+
+
+def storage_path(title: str, ts: str) -> str:
+    return f"strftime({ts}, '%Y/%m/') || {lib_slug(title)} || '-' || strftime({ts}, '%H%M%S')"
+
+
+def keyed_cte(src: str = "art", name: str = "keyed") -> str:
+    """``{name}``: article rows plus url_hash and content_hash."""
+    return f"""{name} AS (
+  SELECT ord, url, title, content, source, fetched_at, date, tags,
+         sha256(u_norm) AS url_hash, {content_hash('content')} AS content_hash
+  FROM (SELECT *, {", ".join(url_steps('url', 'u'))} FROM {src}))"""
+
+
+HIST = "coalesce(date < '2024-01-17', false)"
+
+
+def seen_recs_cte(src: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT ord AS pos, url, url_hash, content_hash, title, fetched_at,
+         {storage_path('title', 'fetched_at')} AS stored_path,
+         CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source
+  FROM {src})"""
+
+
+def latest_cte(recs: str, name: str) -> str:
+    return f"""{name} AS (
+  SELECT url_hash, min(pos) AS first_pos, arg_max(url, pos) AS url, arg_max(content_hash, pos) AS content_hash,
+         arg_max(title, pos) AS title, arg_max(fetched_at, pos) AS fetched_at,
+         arg_max(stored_path, pos) AS stored_path, arg_max(source, pos) AS source
+  FROM {recs} GROUP BY url_hash)"""
+
+
+def walk_ctes(keys: str, su0: str = "[]::VARCHAR[]", sc0: str = "[]::VARCHAR[]") -> str:
+    """Sequential first-wins walk over ``keys(ord, u, cc, rc, forced)`` -> ``walk(i, ord, keep)``.
+
+    One recursion step per row in ord order, carrying the accepted url and
+    content hashes: the literal statement of the rule, independent of rounds.
+    """
+    ok = "(k.forced OR NOT (list_contains(w.su, k.u) OR (k.cc IS NOT NULL AND list_contains(w.sc, k.cc))))"
+    return f"""kk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS i, ord, u, cc, rc, forced FROM {keys}),
+walk AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BOOLEAN AS keep, {su0} AS su, {sc0} AS sc
+  UNION ALL
+  SELECT k.i, k.ord, {ok},
+         CASE WHEN {ok} THEN list_append(w.su, k.u) ELSE w.su END,
+         CASE WHEN {ok} THEN list_append(w.sc, k.rc) ELSE w.sc END
+  FROM walk w JOIN kk k ON k.i = w.i + 1)"""

@@ -33,6 +33,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            b = b.config("spark.driver.memory", os.environ.get("BROADSHEET_DRIVER_MEMORY", "16g"))
     for k, v in BASE_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
