@@ -130,3 +130,54 @@ oracle("source_type", _with(Q.ART) + """
 SELECT ord, CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM art""")
 oracle("tag_default", _with(Q.ART) + """
 SELECT ord, CASE WHEN tags[1] <> 'en' THEN tags[1] ELSE 'reading-list' END AS tags FROM art""")
+
+# ------------------------------------------------------------- B1-B3, B6
+
+oracle("page_meta", _with(Q.PG) + f"""
+SELECT ord, {Q.page_title('html')} AS title, {Q.page_author('html')} AS author,
+       {Q.page_date('html')} AS published_date FROM pg""")
+oracle("page_text", _with(Q.PG) + f"""
+SELECT ord, x_text AS text FROM (SELECT ord, {_sel(Q.main_text_steps('html', 'x'))} FROM pg)""")
+oracle("page_extract", _with(Q.PG, Q.extract_cte()) + "SELECT ord, title, text, word_count FROM ex")
+oracle("quality_gate", _with(Q.PG, Q.extract_cte()) + """
+SELECT ord, word_count, CASE WHEN word_count < 50 THEN 'Too little content extracted' END AS error FROM ex""")
+
+# ------------------------------------------------ F1-F3, E2, G2, A7, A8
+
+SUMS = f"sums AS (SELECT *, {_sel(Q.summary_steps('content', 'title', 'sm'))} FROM art)"
+LIB = Q.library_cte("lib")
+
+oracle("summary_parts", _with(Q.ART, SUMS) + """
+SELECT ord, sm_tldr AS tldr, sm_quote AS quote, sm_words AS n_words, sm_nsent AS n_sentences FROM sums""")
+oracle("summary_md", _with(Q.ART, SUMS) + "SELECT ord, sm_md AS summary FROM sums")
+_PROMPT_HEAD, _PROMPT_TAIL = __import__("broadsheet.operators.summarize", fromlist=["x"]).SUMMARY_PROMPT.split("{text}")
+oracle("llm_requests", _with(Q.ART) + f"""
+SELECT ord, {Q.q(_PROMPT_HEAD)} || CASE WHEN length(content) > 15000
+         THEN substr(content, 1, 15000) || {Q.q(chr(10) * 2 + '[Content truncated...]')} ELSE content END
+       || {Q.q(_PROMPT_TAIL)} AS request,
+       length(content) > 15000 AS truncated FROM art""")
+oracle("tldr", _with(Q.ART, SUMS) + f"SELECT ord, {Q.tldr('sm_md')} AS tldr FROM sums")
+oracle("daily_totals", _with(Q.ART, KEYED, LIB) + """
+SELECT CAST(fetched_at AS DATE) AS day, count(*) AS articles, CAST(sum(word_count) AS BIGINT) AS total_words
+FROM lib GROUP BY 1""")
+oracle("daily_digest", _with(Q.ART, KEYED, LIB) + f""",
+tot AS (SELECT CAST(fetched_at AS DATE) AS day, count(*) AS articles, sum(word_count) AS total_words FROM lib GROUP BY 1)
+SELECT day, 0 AS part, NULL::TIMESTAMP AS fetched_at, '' AS url_hash,
+  '# Daily Reading Digest: ' || strftime(day, '%Y-%m-%d') || {Q.q(chr(10) * 2 + '*Generated: 2024-02-01T00:00:00*' + chr(10) * 2)} ||
+  '## Summary' || {Q.q(chr(10) * 2)} || '- **Articles ingested**: ' || CAST(articles AS VARCHAR) || {Q.q(chr(10))} ||
+  '- **Total words**: ' || {Q.thousands('total_words')} || {Q.q(chr(10) * 2 + '---' + chr(10) * 2 + '## Articles' + chr(10))} AS text
+FROM tot
+UNION ALL
+SELECT CAST(fetched_at AS DATE), 1, fetched_at, url_hash,
+  '### ' || title || {Q.q(chr(10) * 2)} || '- **URL**: [' || url || '](' || url || ')' || {Q.q(chr(10))} ||
+  '- **Words**: ' || {Q.thousands('word_count')} || {Q.q(chr(10))} || '- **Source**: ' || source || {Q.q(chr(10))} ||
+  '- **Tags**: ' || CASE WHEN len(coalesce(tags, [])) > 0 THEN array_to_string(tags, ', ') ELSE 'none' END ||
+  {Q.q(chr(10) * 2)} || '**Summary**: ' || {Q.tldr('summary')} || {Q.q(chr(10) * 2)} ||
+  '[Read full summary](library/' || stored_path || '/summary.md)' || {Q.q(chr(10) * 2 + '---' + chr(10))}
+FROM lib""".replace("\n,\ntot AS", ",\ntot AS"))
+oracle("library_for_date", _with(Q.ART, KEYED, LIB) + """
+SELECT ord, title, url, fetched_at, word_count FROM lib
+WHERE year = '2024' AND month = '01' AND CAST(fetched_at AS DATE) = DATE '2024-01-01'""")
+oracle("library_items", _with(Q.ART, KEYED, LIB) + """
+SELECT url_hash, title, url, source, coalesce(nullif(published_date, ''), strftime(fetched_at, '%Y-%m-%d')) AS date,
+       array_to_string(tags, ',') AS tags FROM lib""")

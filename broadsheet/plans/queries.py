@@ -252,3 +252,120 @@ def q_tag_default(spark, sf_dir):
     lang = F.col("tags")[0]
     given = F.when(lang != "en", F.array(lang)).otherwise(F.array().cast("array<string>"))
     return a.select("ord", F.array_join(X.default_tags(given), ",").alias("tags"))
+
+
+# ------------------------------------------------------------------ B1-B3, B6
+
+from broadsheet.functions import html as H  # noqa: E402
+from broadsheet.operators import pages as P  # noqa: E402
+
+
+@query("page_meta")
+def q_page_meta(spark, sf_dir):
+    """B1: title / author / published date of every page."""
+    h = F.col("html")
+    return S.pages(spark, sf_dir).select("ord", H.page_title(h).alias("title"),
+                                         H.page_author(h).alias("author"),
+                                         H.page_date(h).alias("published_date"))
+
+
+@query("page_text")
+def q_page_text(spark, sf_dir):
+    """B2: main text of every page (regex path, parser path where ambiguous)."""
+    return P.with_main_text(S.pages(spark, sf_dir), "html", "text").select("ord", "text")
+
+
+@query("page_extract")
+def q_page_extract(spark, sf_dir):
+    """B3 (+B5): extractor choice with the default configuration, title default, word count."""
+    return P.extract_pages(S.pages(spark, sf_dir)).select("ord", "title", "text", "word_count")
+
+
+@query("quality_gate")
+def q_quality_gate(spark, sf_dir):
+    """Pages under 50 words are rejected before dedup."""
+    e = P.extract_pages(S.pages(spark, sf_dir))
+    return e.select("ord", "word_count", X.quality_gate(F.col("word_count")).alias("error"))
+
+
+# -------------------------------------------------------- F1-F3, E2, G2, A7, A8
+
+from broadsheet.operators import summarize as SM  # noqa: E402
+from broadsheet.plans import daily as DY  # noqa: E402
+from broadsheet.sinks import library as LB  # noqa: E402
+
+LIBRARY_DAY = "2024-01-01"
+
+
+def _library(spark, sf_dir) -> DataFrame:
+    """Every article as a library row, the way ingest stores it (summary included)."""
+    k = _keyed(spark, sf_dir)
+    k = X.source_type(k.withColumnRenamed("source", "source_url"), "source_url")
+    rows = (k.withColumn("author", F.lit(None).cast("string"))
+            .withColumn("published_date", F.col("date"))
+            .withColumn("word_count", TX.word_count("content"))
+            .withColumn("source", F.col("source_type"))
+            .withColumn("summary", SM.mock_summary(F.col("content"), F.col("title")))
+            .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at"))))
+    return LB.library_rows(rows).join(rows.select("url_hash", "fetched_at", "ord"), ["url_hash", "fetched_at"])
+
+
+@query("summary_parts")
+def q_summary_parts(spark, sf_dir):
+    """F1 pieces for every article: TL;DR, quote, word and sentence counts."""
+    a = S.articles(spark, sf_dir)
+    p = SM.summary_parts(F.col("content"))
+    return a.select("ord", p["tldr"].alias("tldr"), p["quote"].alias("quote"),
+                    p["n_words"].alias("n_words"), p["n_sentences"].alias("n_sentences"))
+
+
+@query("summary_md")
+def q_summary_md(spark, sf_dir):
+    """the full heuristic Markdown summary of every article."""
+    a = S.articles(spark, sf_dir)
+    return a.select("ord", SM.mock_summary(F.col("content"), F.col("title")).alias("summary"))
+
+
+@query("llm_requests")
+def q_llm_requests(spark, sf_dir):
+    """summary request rows (input cut at 15000 chars) for every article."""
+    a = S.articles(spark, sf_dir)
+    return a.select("ord", SM.summary_request(F.col("content")).alias("request"),
+                    (F.length("content") > SM.MAX_INPUT_CHARS).alias("truncated"))
+
+
+@query("tldr")
+def q_tldr(spark, sf_dir):
+    """TL;DR section extracted from each article's stored summary."""
+    a = S.articles(spark, sf_dir)
+    md = SM.mock_summary(F.col("content"), F.col("title"))
+    return a.select("ord", SM.tldr_section(md).alias("tldr"))
+
+
+@query("daily_totals")
+def q_daily_totals(spark, sf_dir):
+    """Articles and words per fetch day over the whole library."""
+    return DY.daily_totals(_library(spark, sf_dir))
+
+
+@query("daily_digest")
+def q_daily_digest(spark, sf_dir):
+    """The daily Markdown digest lines for every fetch day in the library."""
+    lib = _library(spark, sf_dir)
+    days = lib.select(F.to_date("fetched_at").alias("day")).distinct()
+    return DY.digest_lines(lib, days, generated_at="2024-02-01T00:00:00")
+
+
+@query("library_for_date")
+def q_library_for_date(spark, sf_dir):
+    """Library rows fetched on one day (year/month pruning + date filter)."""
+    lib = _library(spark, sf_dir)
+    return LB.library_for_date(lib, LIBRARY_DAY).select("ord", "title", "url", "fetched_at", "word_count")
+
+
+@query("library_items")
+def q_library_items(spark, sf_dir):
+    """Library rows projected to digest items."""
+    lib = _library(spark, sf_dir)
+    return LB.library_items(lib).select("url_hash", "title", "url", "source", "date",
+                                        F.array_join("tags", ",").alias("tags"))

@@ -206,3 +206,119 @@ walk AS (
          CASE WHEN {ok} THEN list_append(w.su, k.u) ELSE w.su END,
          CASE WHEN {ok} THEN list_append(w.sc, k.rc) ELSE w.sc END
   FROM walk w JOIN kk k ON k.i = w.i + 1)"""
+
+
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&")]
+TAG_RE = r"<(?:/?[A-Za-z][^>]*|![^>]*|\?[^>]*)>"
+
+
+def decode_entities(x: str) -> str:
+    for e, ch in ENTITIES:
+        x = f"replace({x}, {q(e)}, {q(ch)})"
+    return x
+
+
+def main_text(html: str) -> str:
+    s = f"regexp_replace({html}, '(?s)<!--.*?-->', ' ', 'g')"
+    for t in ["script", "style", "nav", "header", "footer", "aside"]:
+        s = f"regexp_replace({s}, '(?is)<{t}\\b[^>]*>.*?</{t}\\s*>', ' ', 'g')"
+    return s
+
+
+def main_text_steps(html: str, p: str) -> list[str]:
+    return [
+        f"{main_text(html)} AS {p}_s",
+        f"CASE WHEN regexp_matches({p}_s, '(?i)<article\\b') THEN regexp_extract({p}_s, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) "
+        f"WHEN regexp_matches({p}_s, '(?i)<main\\b') THEN regexp_extract({p}_s, '(?is)<main\\b[^>]*>(.*?)</main\\s*>', 1) "
+        f"WHEN regexp_matches({p}_s, '(?i)<body\\b') THEN regexp_extract({p}_s, '(?is)<body\\b[^>]*>(.*?)(?:</body\\s*>|\\z)', 1) "
+        f"ELSE {p}_s END AS {p}_span",
+        f"{norm_ws(decode_entities(f'regexp_replace({p}_span, {q(TAG_RE)}, {q(chr(32))}, {q(chr(103))})'))} AS {p}_text",
+    ]
+
+
+def meta_content(html: str, attr: str, value: str) -> str:
+    tag = f"regexp_extract({html}, '(?is)<meta\\b[^>]*\\b{attr}\\s*=\\s*(?:\"(?-i:{value})\"|''(?-i:{value})'')[^>]*>', 0)"
+    dq = f"regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*\"([^\"]*)\"', 1)"
+    sq = f"regexp_extract({tag}, '(?is)\\bcontent\\s*=\\s*''([^'']*)''', 1)"
+    raw = (f"(CASE WHEN regexp_matches({tag}, '(?is)\\bcontent\\s*=\\s*\"') THEN {dq} "
+           f"WHEN regexp_matches({tag}, '(?is)\\bcontent\\s*=\\s*''') THEN {sq} END)")
+    return f"(CASE WHEN {tag} <> '' THEN {decode_entities(raw)} END)"
+
+
+def truthy_strip(raw: str) -> str:
+    return f"(CASE WHEN coalesce({raw}, '') <> '' THEN {ws_strip(raw)} END)"
+
+
+def page_title(html: str) -> str:
+    t = (f"(CASE WHEN regexp_matches({html}, '(?is)<title\\b[^>]*>(.*?)</title\\s*>') THEN "
+         f"{ws_strip(decode_entities(f'regexp_extract({html}, {q(chr(40) + chr(63) + "is)<title" + chr(92) + "b[^>]*>(.*?)</title" + chr(92) + "s*>")}, 1)'))} END)")
+    return f"coalesce({truthy_strip(meta_content(html, 'property', 'og:title'))}, {t})"
+
+
+def page_author(html: str) -> str:
+    return (f"coalesce({truthy_strip(meta_content(html, 'property', 'article:author'))}, "
+            f"{truthy_strip(meta_content(html, 'name', 'author'))})")
+
+
+def page_date(html: str) -> str:
+    pub = truthy_strip(meta_content(html, "property", "article:published_time"))
+    alt = truthy_strip(meta_content(html, "name", "date"))
+    return f"(CASE WHEN coalesce({pub}, '') <> '' THEN {pub} ELSE coalesce({alt}, {pub}) END)"
+
+
+def extract_cte(src: str = "pg", name: str = "ex") -> str:
+    """``{name}``: pages with title, author, published_date, text, word_count."""
+    return f"""{name} AS (
+  SELECT ord, url, html,
+    coalesce(nullif({page_title('html')}, ''), 'Untitled') AS title,
+    {page_author('html')} AS author, {page_date('html')} AS published_date,
+    coalesce(x_text, '') AS text, {word_count('coalesce(x_text, ' + q('') + ')')} AS word_count
+  FROM (SELECT *, {", ".join(main_text_steps('html', 'x'))} FROM {src}))"""
+
+
+_WS_IN = WS_CLASS[1:-1]
+SENTENCE_RE = "[^.!?" + _WS_IN + "](?:[^.!?]*[^.!?" + _WS_IN + "])?"
+TLDR_RE = "(?s)## TL;DR" + WS_CLASS + "*\n(.+?)(?:\n##|\n---|\\z)"
+
+
+def thousands(x: str) -> str:
+    return f"format('{{:,}}', CAST({x} AS BIGINT))"
+
+
+def summary_steps(text: str, title: str, p: str) -> list[str]:
+    from broadsheet.operators.summarize import (MOCK_FOOTER, MOCK_NOTE, MOCK_SECTIONS, NO_CONTENT,
+                                                NO_QUOTE, PROBLEM_LINE, UNTITLED_ARTICLE)
+    secs = "".join(f"## {h}\n{l}\n\n" for h, l in MOCK_SECTIONS)
+    return [
+        f"regexp_extract_all(coalesce({text}, ''), {q(SENTENCE_RE)}) AS {p}_s",
+        f"array_to_string({p}_s[1:3], ' ') AS {p}_first",
+        f"CASE WHEN len({p}_s) = 0 THEN {q(NO_CONTENT)} WHEN length({p}_first) > 500 "
+        f"THEN substr({p}_first, 1, 500) || '...' ELSE {p}_first END AS {p}_tldr",
+        f"CASE WHEN len(list_filter({p}_s, lambda x: length(x) > 50)) > 0 "
+        f"THEN '\"' || list_filter({p}_s, lambda x: length(x) > 50)[1] || '\"' END AS {p}_quote",
+        f"{word_count('coalesce(' + text + ', ' + q('') + ')')} AS {p}_words",
+        f"CAST(len({p}_s) AS INTEGER) AS {p}_nsent",
+        f"'# Summary: ' || coalesce(nullif({title}, ''), {q(UNTITLED_ARTICLE)}) || "
+        f"{q(chr(10) * 2 + MOCK_NOTE + chr(10) * 2 + '## TL;DR' + chr(10))} || {p}_tldr || "
+        f"{q(chr(10) * 2 + '## Problem/Motivation' + chr(10) + PROBLEM_LINE + chr(10) * 2 + 'This article contains approximately ')} || "
+        f"{thousands(p + '_words')} || ' words and ' || CAST({p}_nsent AS VARCHAR) || {q(' sentences.' + chr(10) * 2)} || "
+        f"{q(secs + '## Key Quotes' + chr(10))} || coalesce({p}_quote, {q(NO_QUOTE)}) || "
+        f"{q(chr(10) * 2 + '---' + chr(10) + MOCK_FOOTER + chr(10))} AS {p}_md",
+    ]
+
+
+def tldr(md: str) -> str:
+    return (f"(CASE WHEN contains({md}, '## TL;DR') AND regexp_matches({md}, {q(TLDR_RE)}) "
+            f"THEN {ws_strip(f'regexp_extract({md}, {q(TLDR_RE)}, 1)')} ELSE 'Summary not available.' END)")
+
+
+def library_cte(name: str = "lib") -> str:
+    """``{name}``: every article as a stored library row (needs ``keyed``)."""
+    return f"""{name} AS (
+  SELECT ord, title, NULL::VARCHAR AS author, date AS published_date, url, url_hash, content_hash, fetched_at,
+         {word_count('content')} AS word_count, tags,
+         CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source,
+         content, sm_md AS summary, strftime(fetched_at, '%Y') AS year, strftime(fetched_at, '%m') AS month,
+         {storage_path('title', 'fetched_at')} AS stored_path
+  FROM (SELECT *, {", ".join(summary_steps('content', 'title', 'sm'))} FROM keyed))"""
