@@ -181,3 +181,73 @@ WHERE year = '2024' AND month = '01' AND CAST(fetched_at AS DATE) = DATE '2024-0
 oracle("library_items", _with(Q.ART, KEYED, LIB) + """
 SELECT url_hash, title, url, source, coalesce(nullif(published_date, ''), strftime(fetched_at, '%Y-%m-%d')) AS date,
        array_to_string(tags, ',') AS tags FROM lib""")
+
+# ------------------------------------------ digest document and its queries
+
+DG_HEAD = _with(Q.ART, KEYED, LIB, Q.DIGEST_CTES)
+TERMS = "terms AS (SELECT term, lower(trim(term)) AS q FROM (VALUES ('src1'), ('OpenAI'), (' le '), ('the'), ('zzz-none')) t(term) WHERE trim(term) <> '')"
+
+oracle("story_cards", DG_HEAD + """
+SELECT day, rank, id, title, subtitle, url, source, date, section, one_liner,
+       array_to_string(bullets, '|') AS bullets, read_time_min, array_to_string(tags, ',') AS tags FROM cards""")
+oracle("sections", DG_HEAD + """
+SELECT day, section AS name, min(rank) OVER (PARTITION BY day, section) AS first_rank,
+       row_number() OVER (PARTITION BY day, section ORDER BY rank) - 1 AS pos, id AS ref_id,
+       array_to_string(item_tags, ',') AS tags FROM cards""")
+oracle("tag_index", DG_HEAD + "SELECT day, tag, id, rank FROM tidx")
+oracle("digest_stats", DG_HEAD + """
+SELECT i.day, CAST(i.n AS INTEGER) AS items_in, CAST(coalesce(c.n, 0) AS INTEGER) AS items_kept,
+       CAST(coalesce(c.n, 0) AS INTEGER) AS top_stories_count, 0 AS duplicates_count
+FROM (SELECT day, count(*) AS n FROM items GROUP BY day) i
+LEFT JOIN (SELECT day, count(*) AS n FROM cards GROUP BY day) c USING (day)""")
+oracle("mock_digest", DG_HEAD + """
+SELECT i.day, 'v1' AS schema_version, '2024-02-01' AS generated_at, CAST(i.n AS INTEGER) AS items_in,
+       CAST(c.n AS INTEGER) AS items_kept, CAST(c.n AS INTEGER) AS n_stories, 1 AS n_sections, c.ids AS story_ids, 0 AS n_tags
+FROM (SELECT day, count(*) AS n FROM items GROUP BY day) i
+JOIN (SELECT day, count(*) AS n, string_agg(id, ',' ORDER BY rank) AS ids FROM cards GROUP BY day) c USING (day)""")
+oracle("digest_payload", DG_HEAD + """
+SELECT day, rank, to_json({'title': title, 'url': url, 'source': source, 'date': date,
+  'content': CASE WHEN length(content) > 3000 THEN substr(content, 1, 3000) || '…' ELSE content END,
+  'tags': coalesce(tags, [])}) AS payload FROM ranked""")
+oracle("items_fingerprint", DG_HEAD + Q.fingerprint_sql("ranked"))
+oracle("cache_lookup", DG_HEAD + f""",
+hitems AS (SELECT * FROM items WHERE coalesce(ord IN (SELECT ord FROM lib WHERE coalesce(published_date < '2024-01-17', false)), false)),
+hscored AS (SELECT *, {", ".join(Q.date_steps('date', 'dt'))},
+         {Q.source_weight('source', 'url')} AS sw, {Q.freshness('dt')} AS fr, {Q.length_score('content', 'snippet')} AS ls,
+         {Q.score('sw', 'fr', 'ls')} AS score FROM hitems),
+hranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY score DESC, ord ASC) AS rank FROM hscored) WHERE rank <= 30),
+cur AS ({Q.fingerprint_sql('ranked')}),
+hist_fp AS ({Q.fingerprint_sql('hranked')})
+SELECT day, fingerprint, fingerprint IN (SELECT fingerprint FROM hist_fp) AS hit FROM cur""".replace("\n,\nhitems", ",\nhitems"))
+oracle("digest_validate", DG_HEAD + "SELECT day, true AS valid, CAST(count(*) AS INTEGER) AS n_stories FROM cards GROUP BY day")
+oracle("digest_integrity", DG_HEAD + """
+SELECT day, false AS search_summaries_ok,
+       count(*) FILTER (WHERE refs <> 1) AS not_one_section, 0 AS dangling_tag_ids,
+       count(*) FILTER (WHERE url IN ('', 'unknown') OR date IN ('', 'unknown')) AS missing_url_or_date
+FROM (SELECT c.*, count(*) OVER (PARTITION BY day, id) AS refs FROM cards c) GROUP BY day""")
+oracle("trending", _with(Q.ART) + f""",
+w AS (SELECT * FROM (SELECT *, {_sel(Q.date_steps('date', 'dt'))} FROM art)
+      WHERE CAST(dt_ts AS DATE) BETWEEN DATE '2024-01-25' AND DATE '2024-01-31'),
+pairs AS (SELECT DISTINCT unnest(tags) AS entity, source FROM w)
+SELECT entity, count(*) AS n_sources FROM pairs GROUP BY entity HAVING count(*) >= 3""".replace("\n,\nw AS", ",\nw AS"))
+oracle("window7", _with(Q.ART) + f"""
+SELECT ord, date FROM (SELECT ord, date, {_sel(Q.date_steps('date', 'dt'))} FROM art)
+WHERE CAST(dt_ts AS DATE) BETWEEN DATE '2024-01-25' AND DATE '2024-01-31'""")
+oracle("story_search", DG_HEAD + ",\n" + TERMS + """
+SELECT c.day, t.term, c.rank, c.id FROM cards c, terms t
+WHERE contains(lower(c.title), t.q) OR contains(lower(c.one_liner), t.q)
+   OR len(list_filter(c.tags, lambda x: contains(lower(x), t.q))) > 0
+   OR contains(lower(c.subtitle), t.q) OR contains(lower(c.source), t.q)""")
+oracle("hint_search", DG_HEAD + ",\n" + TERMS + """,
+hints AS (SELECT day, tag AS query_hint, [tag] AS matching_tags, list(id ORDER BY rank) AS top_refs FROM tidx GROUP BY day, tag)
+SELECT h.day, t.term, h.query_hint, unnest(h.top_refs) AS ref_id FROM hints h, terms t
+WHERE contains(lower(h.query_hint), t.q) OR len(list_filter(h.matching_tags, lambda x: contains(lower(x), t.q))) > 0""")
+oracle("tag_filter", DG_HEAD + """
+SELECT day, rank, id, 'all' AS tag FROM cards
+UNION ALL
+SELECT c.day, c.rank, c.id, i.tag FROM cards c
+JOIN (SELECT DISTINCT day, tag, id FROM tidx WHERE tag IN ('en', 'src3', 'no-such-tag')) i ON i.day = c.day AND i.id = c.id""")
+oracle("facets", DG_HEAD + """
+SELECT day, tag, row_number() OVER (PARTITION BY day ORDER BY tag) AS pos FROM (SELECT DISTINCT day, tag FROM tidx)""")
+oracle("section_facets", DG_HEAD + "SELECT day, section AS name, count(*) AS items FROM cards GROUP BY day, section")
+oracle("report_rows", DG_HEAD + "SELECT day, row_number() OVER (PARTITION BY day ORDER BY rank) AS n, id, title FROM cards")

@@ -369,3 +369,182 @@ def q_library_items(spark, sf_dir):
     lib = _library(spark, sf_dir)
     return LB.library_items(lib).select("url_hash", "title", "url", "source", "date",
                                         F.array_join("tags", ",").alias("tags"))
+
+
+# ------------------------------------------ digest document and its queries
+
+from broadsheet.operators import digest as DG  # noqa: E402
+from broadsheet.operators import search as SE  # noqa: E402
+
+SEARCH_TERMS = ["src1", "OpenAI", " le ", "the", "zzz-none"]
+FILTER_TAGS = ["all", "en", "src3", "no-such-tag"]
+
+
+def _day_items(lib: DataFrame) -> DataFrame:
+    """Library items (A8) of each fetch day, with their library position."""
+    return lib.select(F.to_date("fetched_at").alias("day"), "ord", "title", "url", "source",
+                   F.coalesce(F.nullif(F.col("published_date"), F.lit("")),
+                              F.date_format("fetched_at", "yyyy-MM-dd")).alias("date"),
+                   F.lit(None).cast("string").alias("snippet"), "content", "author", "tags")
+
+
+def _digest_parts(spark, sf_dir):
+    items = _day_items(_library(spark, sf_dir))
+    ranked = DG.top_k_per_group(items, "day", S.AS_OF, 30)
+    cards = DG.story_cards(ranked, "day")
+    return items, ranked, cards
+
+
+@query("story_cards")
+def q_story_cards(spark, sf_dir):
+    """F4 (C6): top-12 story cards of each day's digest."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return cards.select("day", "rank", "id", "title", "subtitle", "url", "source", "date", "section",
+                        "one_liner", F.array_join("bullets", "|").alias("bullets"), "read_time_min",
+                        F.array_join("tags", ",").alias("tags"))
+
+
+@query("sections")
+def q_sections(spark, sf_dir):
+    """Section items in first-appearance order, items in rank order."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    sec = DG.sections(cards, "day")
+    return sec.select("day", "name", "first_rank", F.posexplode("items").alias("pos", "it")).select(
+        "day", "name", "first_rank", "pos", F.col("it.ref_id").alias("ref_id"),
+        F.array_join("it.tags", ",").alias("tags"))
+
+
+@query("tag_index")
+def q_tag_index(spark, sf_dir):
+    """E5: tag -> story id entries of each day's digest."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return DG.tag_index(cards, "day").select("day", "tag", "id", "rank")
+
+
+@query("digest_stats")
+def q_digest_stats(spark, sf_dir):
+    """Items in / kept / stories / duplicates per day."""
+    items, _, cards = _digest_parts(spark, sf_dir)
+    return DG.stats(items, cards, "day")
+
+
+@query("mock_digest")
+def q_mock_digest(spark, sf_dir):
+    """the nested digest document per day, summarised flat."""
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    doc = DG.digest_document(items, ranked, "day", "2024-02-01")
+    d = F.col("digest")
+    return doc.select("day", d["schema_version"].alias("schema_version"), d["generated_at"].alias("generated_at"),
+                      d["stats"]["items_in"].alias("items_in"), d["stats"]["items_kept"].alias("items_kept"),
+                      F.size(d["top_stories"]).alias("n_stories"), F.size(d["sections"]).alias("n_sections"),
+                      F.array_join(F.transform(d["top_stories"], lambda s: s["id"]), ",").alias("story_ids"),
+                      F.size(F.map_keys(d["tag_index"])).alias("n_tags"))
+
+
+@query("digest_payload")
+def q_digest_payload(spark, sf_dir):
+    """model payload item (nulls omitted, content cut at 3000) for each day's top-k."""
+    _, ranked, _ = _digest_parts(spark, sf_dir)
+    return ranked.select("day", "rank", DG.payload_item(ranked).alias("payload"))
+
+
+@query("items_fingerprint")
+def q_items_fingerprint(spark, sf_dir):
+    """Fingerprint of each day's top-k item set."""
+    _, ranked, _ = _digest_parts(spark, sf_dir)
+    return DG.fingerprint(ranked, "day")
+
+
+@query("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    """Each day's fingerprint looked up in a cache of digests built from the
+    history articles alone (days whose top-k did not change hit)."""
+    _, ranked, _ = _digest_parts(spark, sf_dir)
+    lib = _library(spark, sf_dir)
+    hist, _ = S.history_split(lib.withColumn("date", F.col("published_date")))
+    h_items = _day_items(hist.drop("date"))
+    cache = (DG.fingerprint(DG.top_k_per_group(h_items, "day", S.AS_OF, 30), "day")
+             .select("fingerprint", F.col("day").cast("string").alias("doc")))
+    return DG.cache_lookup(DG.fingerprint(ranked, "day"), cache).select("day", "fingerprint", "hit")
+
+
+@query("digest_validate")
+def q_digest_validate(spark, sf_dir):
+    """each day's document as JSON text, parsed back and checked against the contract."""
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    doc = DG.digest_document(items, ranked, "day", "2024-02-01")
+    v = DG.validate_reply(doc.select("day", DG.digest_json(doc).alias("reply")))
+    return v.select("day", "valid", F.size("parsed.top_stories").alias("n_stories"))
+
+
+@query("digest_integrity")
+def q_digest_integrity(spark, sf_dir):
+    """F8: integrity checks of each day's document."""
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    return DG.integrity(DG.digest_document(items, ranked, "day", "2024-02-01"), "day")
+
+
+@query("trending")
+def q_trending(spark, sf_dir):
+    """Tags carried by articles of at least 3 distinct sources inside the 7-day window."""
+    a = R.rolling_window(S.articles(spark, sf_dir), S.AS_OF[:10], 7)
+    m = a.select(F.explode("tags").alias("entity"), "source")
+    return DG.trending(m)
+
+
+@query("window7")
+def q_window7(spark, sf_dir):
+    """Articles dated inside the 7 days ending on the as-of day."""
+    return R.rolling_window(S.articles(spark, sf_dir), S.AS_OF[:10], 7).select("ord", "date")
+
+
+@query("story_search")
+def q_story_search(spark, sf_dir):
+    """H1: search terms over every day's story cards."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return SE.story_search(cards, SEARCH_TERMS, "day")
+
+
+def _hints(cards):
+    """One search hint per tag of each digest: hint = tag, refs = its stories in rank order."""
+    idx = DG.tag_index(cards, "day")
+    return (idx.groupBy("day", "tag")
+            .agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("r"))
+            .select("day", F.col("tag").alias("query_hint"), F.array("tag").alias("matching_tags"),
+                    F.transform("r", lambda x: x["id"]).alias("top_refs")))
+
+
+@query("hint_search")
+def q_hint_search(spark, sf_dir):
+    """H2: search terms over the digests' search hints, refs exploded."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return SE.hint_search(_hints(cards), SEARCH_TERMS, "day")
+
+
+@query("tag_filter")
+def q_tag_filter(spark, sf_dir):
+    """H3: stories allowed by each requested tag (all / known / unknown)."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return SE.tag_filter(cards, DG.tag_index(cards, "day"), FILTER_TAGS, "day")
+
+
+@query("facets")
+def q_facets(spark, sf_dir):
+    """H4: sorted tag list of each digest."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return SE.tag_facets(DG.tag_index(cards, "day"), "day")
+
+
+@query("section_facets")
+def q_section_facets(spark, sf_dir):
+    """H4: items per section of each digest."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    items = DG.sections(cards, "day").select("day", "name", F.explode("items").alias("it"))
+    return SE.section_facets(items, "day")
+
+
+@query("report_rows")
+def q_report_rows(spark, sf_dir):
+    """H5: numbered report rows of each digest."""
+    _, _, cards = _digest_parts(spark, sf_dir)
+    return SE.report_rows(cards, "day")

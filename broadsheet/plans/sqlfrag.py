@@ -322,3 +322,42 @@ def library_cte(name: str = "lib") -> str:
          content, sm_md AS summary, strftime(fetched_at, '%Y') AS year, strftime(fetched_at, '%m') AS month,
          {storage_path('title', 'fetched_at')} AS stored_path
   FROM (SELECT *, {", ".join(summary_steps('content', 'title', 'sm'))} FROM keyed))"""
+
+
+def json_escape(x: str) -> str:
+    x = f"replace(replace({x}, '\\', '\\\\'), '\"', '\\\"')"
+    named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    for code in range(32):
+        x = f"replace({x}, chr({code}), {q(named.get(code, chr(92) + 'u%04x' % code))})"
+    return x
+
+
+DIGEST_CTES = f"""items AS (
+  SELECT CAST(fetched_at AS DATE) AS day, ord, title, url, source,
+         coalesce(nullif(published_date, ''), strftime(fetched_at, '%Y-%m-%d')) AS date,
+         NULL::VARCHAR AS snippet, content, author, tags FROM lib),
+scored AS (
+  SELECT *, {", ".join(date_steps('date', 'dt'))},
+         {source_weight('source', 'url')} AS sw, {freshness('dt')} AS fr, {length_score('content', 'snippet')} AS ls,
+         {score('sw', 'fr', 'ls')} AS score FROM items),
+ranked AS (SELECT * FROM (SELECT day, ord, title, url, source, date, snippet, content, author, tags, score,
+             row_number() OVER (PARTITION BY day ORDER BY score DESC, ord ASC) AS rank FROM scored) WHERE rank <= 30),
+cards AS (
+  SELECT day, rank, {story_id('title', 'rank - 1')} AS id, title, substr(title, 1, 40) AS subtitle, url,
+         coalesce(nullif(source, ''), 'unknown') AS source, coalesce(nullif(date, ''), 'unknown') AS date,
+         'Other' AS section, substr(title, 1, 26) AS one_liner,
+         [substr(coalesce(nullif(snippet, ''), title), 1, 22),
+          substr('来源: ' || coalesce(nullif(source, ''), 'unknown'), 1, 22),
+          substr('日期: ' || coalesce(nullif(date, ''), 'unknown'), 1, 22)] AS bullets,
+         greatest(1, CAST(floor(length(coalesce(nullif(content, ''), nullif(snippet, ''), '')) / 1500) AS INTEGER)) AS read_time_min,
+         CASE WHEN len(coalesce(tags, [])) > 0 THEN tags ELSE ['untagged'] END AS tags,
+         coalesce(tags, []) AS item_tags
+  FROM ranked WHERE rank <= 12),
+tidx AS (SELECT day, unnest(list_distinct(item_tags)) AS tag, id, rank FROM cards)"""
+
+
+def fingerprint_sql(src: str) -> str:
+    keys = f"list_sort(list(title || '|' || url))"
+    return (f"SELECT day, substr(sha256(CASE WHEN len({keys}) = 0 THEN '[]' ELSE '[\"' || "
+            f"array_to_string(list_transform({keys}, lambda k: {json_escape('k')}), '\", \"') || '\"]' END), 1, 16) "
+            f"AS fingerprint FROM {src} GROUP BY day")
