@@ -115,11 +115,12 @@ def parse_main_text(html: str) -> str:
 
 def _parser_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in it:
-        yield pd.DataFrame({"ord": pdf["ord"], "fallback_text": [parse_main_text(h) for h in pdf["html"]]})
+        yield pd.DataFrame({"k": pdf["k"], "fallback_text": [parse_main_text(h) for h in pdf["html"]]})
 
 
-def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallback_text") -> DataFrame:
-    """B2: add the fallback extractor's text for every page (``ord`` must be unique)."""
+def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallback_text",
+                   key: str = "ord") -> DataFrame:
+    """B2: add the fallback extractor's text for every page (``key`` must be unique)."""
     p = pages.withColumn("_safe", F.coalesce(H.regex_safe(F.col(html_col)), F.lit(True)))
     fast = (p.filter("_safe")
             .withColumn("_s", H.strip_removed(F.col(html_col)))
@@ -133,15 +134,16 @@ def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallbac
                         .otherwise(F.col("_s")))
             .withColumn(out, normalize_whitespace(H.decode_entities(F.regexp_replace("_span", H.TAG_RE, " "))))
             .drop("_s", "_span", "_safe"))
-    slow_in = p.filter(~F.col("_safe")).select("ord", F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    slow_txt = slow_in.mapInPandas(_parser_batches, "ord long, fallback_text string")
-    slow = (p.filter(~F.col("_safe")).drop("_safe")
-            .join(slow_txt.withColumnRenamed("fallback_text", out), "ord"))
+    slow_in = p.filter(~F.col("_safe")).select(F.col(key).cast("string").alias("k"),
+                                                F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    slow_txt = slow_in.mapInPandas(_parser_batches, "k string, fallback_text string")
+    slow = (p.filter(~F.col("_safe")).drop("_safe").withColumn("k", F.col(key).cast("string"))
+            .join(slow_txt.withColumnRenamed("fallback_text", out), "k").drop("k"))
     return fast.unionByName(slow)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html",
-                  primary: Callable[[Column], Column] | None = None) -> DataFrame:
+                  primary: Callable[[Column], Column] | None = None, key: str = "ord") -> DataFrame:
     """title/author/published_date, text, word_count for each page.
 
     ``primary`` is an optional column function for a preferred extractor; its
@@ -150,7 +152,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html",
     page uses B2.  Empty pages give text '' and 0 words; titles default to
     ``Untitled``.
     """
-    df = with_main_text(pages, html_col, "_fallback")
+    df = with_main_text(pages, html_col, "_fallback", key)
     if primary is not None:
         prim = primary(F.col(html_col))
         chosen = F.when(prim.isNull() | (F.length(F.trim(prim)) < 100), F.col("_fallback")).otherwise(prim)

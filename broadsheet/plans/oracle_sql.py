@@ -251,3 +251,60 @@ oracle("facets", DG_HEAD + """
 SELECT day, tag, row_number() OVER (PARTITION BY day ORDER BY tag) AS pos FROM (SELECT DISTINCT day, tag FROM tidx)""")
 oracle("section_facets", DG_HEAD + "SELECT day, section AS name, count(*) AS items FROM cards GROUP BY day, section")
 oracle("report_rows", DG_HEAD + "SELECT day, row_number() OVER (PARTITION BY day ORDER BY rank) AS n, id, title FROM cards")
+
+# ------------------------------------------------- sources, feeds, ingest
+
+FEEDS = f"""pgt AS (
+  SELECT ord, url, coalesce({Q.page_title('html')}, '') AS t,
+         lower(regexp_extract(regexp_replace(regexp_replace(url, '^[\\x{{00}}-\\x{{20}}]+', ''), '[\\t\\r\\n]', '', 'g'),
+                              {Q.q(Q.SPLIT_RE)}, 2)) AS host FROM pg),
+fe AS (
+  SELECT 'https://' || host || '/feed.xml?page=' || CAST(CAST(floor(ord / 20) AS BIGINT) AS VARCHAR) AS feed_url,
+         ord, url, t FROM pgt),
+fitems AS (
+  SELECT feed_url, CAST(row_number() OVER (PARTITION BY feed_url ORDER BY ord) - 1 AS INTEGER) AS pos,
+         coalesce(nullif(t, ''), 'Untitled') AS title, url AS link, NULL::VARCHAR AS published,
+         min(ord) OVER (PARTITION BY feed_url) AS first_ord FROM fe),
+exp AS (
+  SELECT first_ord * 1048576 + pos AS ord, first_ord AS source_ord, pos, feed_url AS source_url, link AS url FROM fitems
+  UNION ALL
+  SELECT (ord + 1000000000) * 1048576, ord + 1000000000, 0, url, url FROM pg)"""
+
+oracle("src_list", _with(Q.PG, FEEDS) + """
+SELECT DISTINCT first_ord AS source_ord, feed_url AS source_url FROM fitems
+UNION ALL SELECT ord + 1000000000, url FROM pg""")
+oracle("feed_items", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, published FROM fitems")
+oracle("feed_limit", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, published FROM fitems WHERE pos < 1")
+oracle("expand_sources", _with(Q.PG, FEEDS) + "SELECT ord, source_ord, pos, source_url, url FROM exp")
+oracle("items_scan", _with(Q.ART) + """
+SELECT source, true AS valid, CAST(row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS INTEGER) AS pos,
+       title, url, date FROM art""")
+
+INGEST = _with(Q.PG, FEEDS) + f""",
+typed AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY source_url) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM exp),
+pbu AS (SELECT 0 AS ord, url, arg_min(html, ord) AS html FROM pg GROUP BY url),
+{Q.extract_cte('pbu', 'ex')},
+rows AS (SELECT t.*, e.title, e.text, e.word_count FROM typed t LEFT JOIN ex e USING (url)),
+k2 AS (SELECT ord, url, title, text, word_count, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash
+       FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM rows)),
+keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(text, '') <> '' THEN content_hash END AS cc,
+                content_hash AS rc, false AS forced FROM k2 WHERE text IS NOT NULL AND word_count >= 50),
+{Q.walk_ctes('keys')},
+outc AS (
+  SELECT r.ord, r.url, coalesce(w.keep, false) AS success,
+         (r.text IS NOT NULL AND r.word_count >= 50 AND NOT coalesce(w.keep, false)) AS skipped,
+         CASE WHEN r.text IS NULL THEN 'Failed to fetch URL: ' || r.url
+              WHEN r.word_count < 50 THEN 'Too little content extracted' END AS error,
+         CASE WHEN coalesce(w.keep, false) THEN {Q.storage_path('r.title', "TIMESTAMP '2024-02-01 08:00:00'")} END AS stored_path,
+         CASE WHEN r.text IS NOT NULL AND r.word_count >= 50 THEN r.title END AS title
+  FROM k2 r LEFT JOIN (SELECT ord, keep FROM walk WHERE i > 0) w ON w.ord = r.ord)
+""".replace("\n,\ntyped", ",\ntyped")
+oracle("ingest_batch", INGEST.replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM outc")
+oracle("run_summary", INGEST.replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT count(*) FILTER (WHERE success) AS ingested, count(*) FILTER (WHERE skipped) AS skipped,
+       count(*) FILTER (WHERE NOT success AND NOT skipped) AS errors FROM outc""")
+oracle("ingest_dry_run", _with(Q.PG, Q.extract_cte('pg', 'ex')) + f"""
+SELECT ord, url, title, coalesce(author, 'Unknown') AS author, word_count, 'reading-list' AS tags,
+       substr(sha256(u_norm), 1, 16) AS url_hash16, substr({Q.content_hash('text')}, 1, 16) AS content_hash16,
+       word_count < 50 AS low_content_warning, false AS is_dup, NULL::VARCHAR AS reason
+FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM ex)""")

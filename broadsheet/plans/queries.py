@@ -548,3 +548,108 @@ def q_report_rows(spark, sf_dir):
     """H5: numbered report rows of each digest."""
     _, _, cards = _digest_parts(spark, sf_dir)
     return SE.report_rows(cards, "day")
+
+
+# ------------------------------------------------- sources, feeds, ingest
+
+from broadsheet.functions.urls import url_host  # noqa: E402
+from broadsheet.plans import ingest as IG  # noqa: E402
+from broadsheet.sources import feeds as FD  # noqa: E402
+
+FEED_PAGE = 20        # entries per generated feed document
+RUN_TS = "2024-02-01 08:00:00"
+
+
+def _xml_text(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
+
+
+def _raw_feeds(spark, sf_dir) -> DataFrame:
+    """Raw-feed table built from the pages: per host, RSS documents of up to 20 entries."""
+    p = S.pages(spark, sf_dir)
+    p = p.select("ord", "url", url_host("url").alias("host"),
+                 F.coalesce(H.page_title(F.col("html")), F.lit("")).alias("t"))
+    p = p.withColumn("feed_url", F.concat(F.lit("https://"), F.col("host"), F.lit("/feed.xml?page="),
+                                          F.floor(F.col("ord") / FEED_PAGE).cast("string")))
+    item = F.concat(F.lit("<item><title>"), _xml_text(F.col("t")), F.lit("</title><link>"),
+                    _xml_text(F.col("url")), F.lit("</link></item>"))
+    return (p.groupBy("feed_url")
+            .agg(F.min("ord").alias("first_ord"),
+                 F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))).alias("xs"))
+            .select("feed_url", "first_ord",
+                    F.concat(F.lit("<rss version=\"2.0\"><channel><title>feed</title>"),
+                             F.array_join(F.transform("xs", lambda s: s["x"]), ""),
+                             F.lit("</channel></rss>")).alias("xml")))
+
+
+def _source_file(spark, sf_dir) -> DataFrame:
+    """Lines of a sources file: a comment, a blank line, the feeds, then every page URL."""
+    feeds = _raw_feeds(spark, sf_dir).select(F.col("first_ord").alias("pos"), F.col("feed_url").alias("value"))
+    pages = S.pages(spark, sf_dir).select((F.col("ord") + F.lit(1_000_000_000)).alias("pos"), F.col("url").alias("value"))
+    head = spark.createDataFrame([(-2, "# feeds first, then direct article URLs"), (-1, "   ")], "pos long, value string")
+    return head.unionByName(feeds).unionByName(pages)
+
+
+def _expanded(spark, sf_dir, limit=None) -> DataFrame:
+    return FD.expand_sources(FD.source_lines(_source_file(spark, sf_dir)), _raw_feeds(spark, sf_dir), limit)
+
+
+@query("src_list")
+def q_src_list(spark, sf_dir):
+    """A1: the sources file's kept lines (trimmed, no blanks, no comments)."""
+    return FD.source_lines(_source_file(spark, sf_dir))
+
+
+@query("feed_items")
+def q_feed_items(spark, sf_dir):
+    """A3: entries of every generated RSS feed, parsed with from_xml."""
+    return FD.feed_items(FD.parse_feeds(_raw_feeds(spark, sf_dir)))
+
+
+@query("feed_limit")
+def q_feed_limit(spark, sf_dir):
+    """C4: first kept entry of every feed (limit 1)."""
+    return FD.feed_items(FD.parse_feeds(_raw_feeds(spark, sf_dir)), limit=1)
+
+
+@query("expand_sources")
+def q_expand_sources(spark, sf_dir):
+    """A4: every source line replaced by the article URLs it stands for."""
+    return _expanded(spark, sf_dir).select("ord", "source_ord", "pos", "source_url", "url")
+
+
+@query("items_scan")
+def q_items_scan(spark, sf_dir):
+    """A5: items JSON documents (one array per source) parsed with the item schema."""
+    a = S.articles(spark, sf_dir)
+    items = a.select("source", "ord", F.to_json(F.struct("title", "url", "source", "date")).alias("one"))
+    docs = (items.groupBy("source")
+            .agg(F.sort_array(F.collect_list(F.struct("ord", "one"))).alias("xs"))
+            .select("source", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["one"]), ","),
+                                       F.lit("]")).alias("doc")))
+    p = FD.parse_items_json(docs)
+    return p.select("source", "valid", "pos", F.col("item.title").alias("title"), F.col("item.url").alias("url"),
+                    F.col("item.date").alias("date"))
+
+
+def _ingest(spark, sf_dir) -> IG.IngestResult:
+    return IG.ingest_batch(_expanded(spark, sf_dir), S.pages(spark, sf_dir), None, RUN_TS)
+
+
+@query("ingest_batch")
+def q_ingest_batch(spark, sf_dir):
+    """Batch ingest of the sources file (feeds then pages): one outcome per URL."""
+    return _ingest(spark, sf_dir).outcomes
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    """Ingested / skipped / errors of the batch ingest."""
+    return IG.run_summary(_ingest(spark, sf_dir).outcomes)
+
+
+@query("ingest_dry_run")
+def q_ingest_dry_run(spark, sf_dir):
+    """Dry-run ingest of every page against an empty history."""
+    return IG.dry_run(S.pages(spark, sf_dir), None)
