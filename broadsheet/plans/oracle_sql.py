@@ -308,3 +308,4 @@ SELECT ord, url, title, coalesce(author, 'Unknown') AS author, word_count, 'read
        substr(sha256(u_norm), 1, 16) AS url_hash16, substr({Q.content_hash('text')}, 1, 16) AS content_hash16,
        word_count < 50 AS low_content_warning, false AS is_dup, NULL::VARCHAR AS reason
 FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM ex)""")
+oracle("incremental_ingest", ORACLE["ingest_batch"])

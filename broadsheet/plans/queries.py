@@ -653,3 +653,28 @@ def q_run_summary(spark, sf_dir):
 def q_ingest_dry_run(spark, sf_dir):
     """Dry-run ingest of every page against an empty history."""
     return IG.dry_run(S.pages(spark, sf_dir), None)
+
+
+@query("incremental_ingest")
+def q_incremental_ingest(spark, sf_dir):
+    """The sources file arrives as two drops (feeds, then page URLs) into a
+    file stream; each micro-batch runs the batch ingest against the seen log
+    of the batches before it.  Outcomes equal the one-shot batch ingest."""
+    import uuid
+
+    from broadsheet.session import ensure_checkpoint_dir
+    from broadsheet.streaming import incremental as INC
+
+    base = ensure_checkpoint_dir(spark).rstrip("/") + f"/incremental-{uuid.uuid4().hex}"
+    lines = _source_file(spark, sf_dir)
+    drops = [lines.filter(F.col("pos") < 1_000_000_000), lines.filter(F.col("pos") >= 1_000_000_000)]
+    drops[0].write.parquet(f"{base}/sources/drop=0")
+    q = INC.start_incremental_ingest(spark, f"{base}/sources/*", _raw_feeds(spark, sf_dir), S.pages(spark, sf_dir),
+                                     f"{base}/out", f"{base}/checkpoint", RUN_TS, interval="1 second")
+    try:
+        q.processAllAvailable()
+        drops[1].write.parquet(f"{base}/sources/drop=1")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return INC.read_outcomes(spark, f"{base}/out").drop("batch_id")
