@@ -29,16 +29,15 @@ def normalize_whitespace(x) -> Column:
     return F.trim(F.regexp_replace(_c(x), WS_RUN, " "))
 
 
+NON_WS_RUN = "[^" + WS_CLASS[1:-1] + "]+"
+
+
 def word_count(x) -> Column:
     """Number of whitespace-separated tokens (0 for empty text).
 
-    Counted on the collapsed text as ``spaces + 1`` so no token array is built
-    for long documents.
+    One regex pass counting maximal non-whitespace runs.
     """
-    n = normalize_whitespace(x)
-    return (F.when(n == "", F.lit(0))
-            .otherwise(F.length(n) - F.length(F.regexp_replace(n, " ", "")) + 1)
-            .cast("int"))
+    return F.coalesce(F.regexp_count(_c(x), F.lit(NON_WS_RUN)), F.lit(0)).cast("int")
 
 
 def normalize_text(x) -> Column:

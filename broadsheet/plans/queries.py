@@ -121,6 +121,7 @@ def q_feed_url_class(spark, sf_dir):
 from broadsheet.functions.text import story_slug  # noqa: E402
 from broadsheet.operators import dedup as DD  # noqa: E402
 from broadsheet.operators import extract as X  # noqa: E402
+from broadsheet.session import cut_lineage  # noqa: E402
 from broadsheet.sinks.seen import seen_records, to_jsonl_lines  # noqa: E402
 
 
@@ -298,7 +299,12 @@ LIBRARY_DAY = "2024-01-01"
 
 
 def _library(spark, sf_dir) -> DataFrame:
-    """Every article as a library row, the way ingest stores it (summary included)."""
+    """Every article as a library row, the way ingest stores it (summary included).
+
+    Materialised once in the shared checkpoint folder, as the stored library
+    table is in a real run, so the digest queries read it instead of
+    re-deriving it in every branch of their plans.
+    """
     k = _keyed(spark, sf_dir)
     k = X.source_type(k.withColumnRenamed("source", "source_url"), "source_url")
     rows = (k.withColumn("author", F.lit(None).cast("string"))
@@ -307,7 +313,7 @@ def _library(spark, sf_dir) -> DataFrame:
             .withColumn("source", F.col("source_type"))
             .withColumn("summary", SM.mock_summary(F.col("content"), F.col("title")))
             .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at"))))
-    return LB.library_rows(rows).join(rows.select("url_hash", "fetched_at", "ord"), ["url_hash", "fetched_at"])
+    return cut_lineage(LB.library_rows(rows, extra=("ord",)))
 
 
 @query("summary_parts")

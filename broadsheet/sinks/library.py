@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from broadsheet.schemas import ARTICLE
 
 
-def library_rows(df: DataFrame) -> DataFrame:
+def library_rows(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Article rows in the library layout (``year``/``month`` partition columns)."""
     return (df.withColumn("year", F.date_format("fetched_at", "yyyy"))
             .withColumn("month", F.date_format("fetched_at", "MM"))
-            .select(*ARTICLE.fieldNames(), "stored_path"))
+            .select(*ARTICLE.fieldNames(), "stored_path", *extra))
 
 
 def write_library(rows: DataFrame, path: str) -> None:
@@ -29,8 +29,9 @@ def write_library(rows: DataFrame, path: str) -> None:
 def library_for_date(lib: DataFrame, day: str) -> DataFrame:
     """Articles fetched on ``day``; the year/month predicates prune partitions."""
     d = F.lit(day).cast("date")
-    return lib.filter((F.col("year") == F.date_format(d, "yyyy"))
-                      & (F.col("month") == F.date_format(d, "MM"))
+    # partition discovery types year/month as int; in-memory rows carry "2024"/"01"
+    return lib.filter((F.col("year").cast("int") == F.year(d))
+                      & (F.col("month").cast("int") == F.month(d))
                       & (F.to_date("fetched_at") == d))
 
 

@@ -63,8 +63,12 @@ def parse_feeds(feeds: DataFrame, url_col: str = "feed_url", xml_col: str = "xml
     atom_entries = F.transform(F.coalesce(atom["entry"], F.array()), lambda e: F.struct(
         e["title"].alias("title"), e["link"]["_href"].alias("link"),
         F.coalesce(e["published"], e["updated"]).alias("published")))
-    ok = F.when(is_atom, atom.isNotNull()).otherwise(rss.isNotNull() & x.rlike(r"(?s)<rss\b|<channel\b"))
+    parsed = F.when(is_atom, atom.isNotNull()).otherwise(rss.isNotNull() & x.rlike(r"(?s)<rss\b|<channel\b"))
     entries = F.when(is_atom, atom_entries).otherwise(rss_entries)
+    # malformed = unparsable or cut off before the root's closing tag; like the
+    # reference, a malformed feed is an error only when it yielded no entries
+    well_formed = F.coalesce(parsed, F.lit(False)) & x.rlike(r"(?s)</(rss|feed)\s*>\s*$")
+    ok = well_formed | (F.coalesce(parsed, F.lit(False)) & (F.size(entries) > 0))
     return feeds.select(F.col(url_col).alias("feed_url"), F.coalesce(ok, F.lit(False)).alias("ok"),
                         F.when(F.coalesce(ok, F.lit(False)), entries).alias("entries"))
 
