@@ -84,6 +84,13 @@ def seen_content_hashes(latest: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ D6 / D7
 
+def _has_content(df: DataFrame, content_col: str):
+    """Content present: a boolean flag column as is, or a non-empty text column."""
+    if isinstance(df.schema[content_col].dataType, T.BooleanType):
+        return F.coalesce(F.col(content_col), F.lit(False))
+    return F.coalesce(F.col(content_col), F.lit("")) != ""
+
+
 def first_title_by_content(latest: DataFrame) -> DataFrame:
     """Per content hash, the title of the earliest (by first_pos) latest record."""
     return (latest.groupBy("content_hash")
@@ -99,7 +106,7 @@ def duplicate_lookup(batch: DataFrame, latest: DataFrame, content_col: str = "co
     """
     by_url = latest.select("url_hash", F.col("title").alias("url_title"))
     by_content = first_title_by_content(latest)
-    has_content = F.coalesce(F.col(content_col), F.lit("")) != ""
+    has_content = _has_content(batch, content_col)
     j = (batch.join(by_url, "url_hash", "left")
          .join(by_content, "content_hash", "left"))
     reason = (F.when(F.col("url_title").isNotNull(), F.concat(F.lit("URL already seen: "), F.col("url_title")))
@@ -112,7 +119,7 @@ def duplicate_lookup(batch: DataFrame, latest: DataFrame, content_col: str = "co
 
 def drop_seen(batch: DataFrame, latest: DataFrame, content_col: str = "content") -> DataFrame:
     """Rows whose URL and (non-empty) content are both unseen."""
-    has_content = F.coalesce(F.col(content_col), F.lit("")) != ""
+    has_content = _has_content(batch, content_col)
     no_url = batch.join(latest.select("url_hash"), "url_hash", "left_anti")
     with_c = no_url.filter(has_content).join(seen_content_hashes(latest), "content_hash", "left_anti")
     return with_c.unionByName(no_url.filter(~has_content))
@@ -204,7 +211,7 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: i
 
 def dedup_keys(df: DataFrame, content_col: str = "content", extra: tuple[str, ...] = ()) -> DataFrame:
     """Build the D8 key columns from ``url_hash``/``content_hash`` and content emptiness."""
-    has_content = F.coalesce(F.col(content_col), F.lit("")) != ""
+    has_content = _has_content(df, content_col)
     return df.select("ord", F.col("url_hash").alias("u"),
                      F.when(has_content, F.col("content_hash")).alias("cc"),
                      F.col("content_hash").alias("rc"), *extra)

@@ -22,6 +22,7 @@ from broadsheet.operators import dedup as DD
 from broadsheet.operators import extract as X
 from broadsheet.operators.pages import extract_pages
 from broadsheet.operators.summarize import mock_summary
+from broadsheet.session import cut_lineage
 from broadsheet.sinks.library import library_rows, write_library
 from broadsheet.sinks.seen import append_seen, seen_records
 
@@ -55,6 +56,9 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
            .select("url", "title", "author", "published_date", "text", "word_count"))
     rows = typed.join(ext, "url", "left")
     rows = with_url_hash(rows, "url", "url_hash").withColumn("content_hash", content_hash(F.col("text")))
+    # the extracted batch is read by the dedup branch and by the outcome join:
+    # materialise it once in the reliable checkpoint folder
+    rows = cut_lineage(rows)
     fetch_error = F.col("text").isNull()
     gate = X.quality_gate(F.col("word_count"))
     cand = rows.filter(~fetch_error & gate.isNull())

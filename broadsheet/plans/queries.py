@@ -17,6 +17,7 @@ from broadsheet.functions import dates as D
 from broadsheet.functions import text as TX
 from broadsheet.functions import urls as U
 from broadsheet.operators import rank as R
+from broadsheet.session import cut_lineage
 from broadsheet.sources import tables as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +122,6 @@ def q_feed_url_class(spark, sf_dir):
 from broadsheet.functions.text import story_slug  # noqa: E402
 from broadsheet.operators import dedup as DD  # noqa: E402
 from broadsheet.operators import extract as X  # noqa: E402
-from broadsheet.session import cut_lineage  # noqa: E402
 from broadsheet.sinks.seen import seen_records, to_jsonl_lines  # noqa: E402
 
 
@@ -131,6 +131,19 @@ def _keyed(spark, sf_dir) -> DataFrame:
             .withColumn("content_hash", TX.content_hash("content")))
 
 
+def _keys(spark, sf_dir) -> DataFrame:
+    """Narrow dedup keys of every article (no text), materialised once.
+
+    ``content`` becomes a has-content flag; the dedup operators accept
+    either.  Every dedup query reads this small table several times.
+    """
+    k = _keyed(spark, sf_dir).select("ord", "url", "title", "source", "fetched_at", "date", "tags",
+                                     "url_hash", "content_hash",
+                                     (F.coalesce(F.col("content"), F.lit("")) != "").alias("content"),
+                                     F.length("content").alias("n_chars"))
+    return cut_lineage(k)
+
+
 def _as_seen(keyed: DataFrame) -> DataFrame:
     """Seen records (D10 builder) for article rows, positioned by ord."""
     rows = (X.source_type(keyed.withColumnRenamed("source", "source_url"), "source_url")
@@ -149,7 +162,7 @@ def _history_latest(keyed: DataFrame) -> DataFrame:
 def q_seen_latest(spark, sf_dir):
     """Every article written to a JSONL seen log in order, parsed back and
     resolved (last record per url hash wins, at its first position)."""
-    lines = to_jsonl_lines(_as_seen(_keyed(spark, sf_dir)))
+    lines = to_jsonl_lines(_as_seen(_keys(spark, sf_dir)))
     latest = DD.seen_latest(DD.parse_seen_lines(lines))
     return latest.select("url_hash", "first_pos", "url", "content_hash", "title",
                          "fetched_at", "stored_path", "source")
@@ -158,13 +171,13 @@ def q_seen_latest(spark, sf_dir):
 @query("seen_content")
 def q_seen_content(spark, sf_dir):
     """Content hashes of the latest history records."""
-    return DD.seen_content_hashes(_history_latest(_keyed(spark, sf_dir)))
+    return DD.seen_content_hashes(_history_latest(_keys(spark, sf_dir)))
 
 
 @query("dup_lookup")
 def q_dup_lookup(spark, sf_dir):
     """Duplicate verdict and reason for each new article against history."""
-    keyed = _keyed(spark, sf_dir)
+    keyed = _keys(spark, sf_dir)
     _, batch = S.history_split(keyed)
     out = DD.duplicate_lookup(batch.select("ord", "url_hash", "content_hash", "content"),
                               _history_latest(keyed))
@@ -174,7 +187,7 @@ def q_dup_lookup(spark, sf_dir):
 @query("anti_seen")
 def q_anti_seen(spark, sf_dir):
     """New articles whose URL and content are both unseen."""
-    keyed = _keyed(spark, sf_dir)
+    keyed = _keys(spark, sf_dir)
     _, batch = S.history_split(keyed)
     return DD.drop_seen(batch.select("ord", "url_hash", "content_hash", "content"),
                         _history_latest(keyed)).select("ord")
@@ -183,7 +196,7 @@ def q_anti_seen(spark, sf_dir):
 @query("greedy_dedup")
 def q_greedy_dedup(spark, sf_dir):
     """Sequential first-wins dedup over url and content hash, all articles."""
-    return DD.greedy_dedup(DD.dedup_keys(_keyed(spark, sf_dir)))
+    return DD.greedy_dedup(DD.dedup_keys(_keys(spark, sf_dir)))
 
 
 @query("force_ingest")
@@ -191,7 +204,7 @@ def q_force_ingest(spark, sf_dir):
     """Refresh run over new articles; rows whose URL is in history but whose
     content changed are forced (admitted and recorded), the rest go through
     the history check (D7) and the in-batch dedup (D8)."""
-    keyed = _keyed(spark, sf_dir)
+    keyed = _keys(spark, sf_dir)
     _, batch = S.history_split(keyed)
     latest = _history_latest(keyed)
     b = (batch.select("ord", "url_hash", "content_hash", "content")
@@ -208,9 +221,8 @@ def q_force_ingest(spark, sf_dir):
 def q_event_merge(spark, sf_dir):
     """Same-content articles merge into the most authoritative, longest,
     earliest one; each other member is a duplicates row."""
-    a = (_keyed(spark, sf_dir)
+    a = (_keys(spark, sf_dir)
          .withColumn("source_weight", R.source_weight(F.col("source"), F.col("url")))
-         .withColumn("n_chars", F.length("content"))
          .withColumn("story_id", F.coalesce(F.nullif(story_slug(F.col("title")), F.lit("")),
                                             F.concat(F.lit("item-"), F.col("ord").cast("string")))))
     return DD.event_merge(a)
@@ -301,9 +313,8 @@ LIBRARY_DAY = "2024-01-01"
 def _library(spark, sf_dir) -> DataFrame:
     """Every article as a library row, the way ingest stores it (summary included).
 
-    Materialised once in the shared checkpoint folder, as the stored library
-    table is in a real run, so the digest queries read it instead of
-    re-deriving it in every branch of their plans.
+    Column pruning drops what a query does not read (most digest queries
+    never touch ``summary``).
     """
     k = _keyed(spark, sf_dir)
     k = X.source_type(k.withColumnRenamed("source", "source_url"), "source_url")
@@ -313,7 +324,7 @@ def _library(spark, sf_dir) -> DataFrame:
             .withColumn("source", F.col("source_type"))
             .withColumn("summary", SM.mock_summary(F.col("content"), F.col("title")))
             .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at"))))
-    return cut_lineage(LB.library_rows(rows, extra=("ord",)))
+    return LB.library_rows(rows, extra=("ord",))
 
 
 @query("summary_parts")
