@@ -38,15 +38,23 @@ def article_block(a: DataFrame) -> DataFrame:
     return a.select(F.to_date("fetched_at").alias("day"), "fetched_at", "url_hash", text.alias("text"))
 
 
-def digest_lines(articles: DataFrame, days: DataFrame, generated_at: str) -> DataFrame:
+def digest_lines(articles: DataFrame, days: list[str] | None, generated_at: str) -> DataFrame:
     """Header, totals and article blocks for each requested day.
 
-    ``days`` holds the requested dates (column ``day``); a day without
-    articles gets the empty-day line.  Order within a day: ``part`` (0 header,
-    1 articles), then fetch time, then url hash.
+    ``days`` lists the requested dates (``YYYY-MM-DD``; a day without
+    articles gets the empty-day line) or is None for every day that has
+    articles.  Requested days are a literal filter, so no join routes a huge
+    day into one task.  Order within a day: ``part`` (0 header, 1 articles),
+    then fetch time, then url hash.
     """
+    if days is not None:
+        wanted = [F.lit(d).cast("date") for d in days]
+        articles = articles.filter(F.to_date("fetched_at").isin(*wanted))
+        spark = articles.sparkSession
+        day_rows = spark.createDataFrame([(d,) for d in days], "d string").select(F.col("d").cast("date").alias("day"))
     totals = daily_totals(articles)
-    head = (days.join(totals, "day", "left")
+    base = totals if days is None else day_rows.join(totals, "day", "left")
+    head = (base
             .select("day", F.concat(
                 F.lit("# Daily Reading Digest: "), F.date_format("day", "yyyy-MM-dd"),
                 F.lit("\n\n*Generated: " + generated_at + "*\n\n"),
@@ -56,8 +64,7 @@ def digest_lines(articles: DataFrame, days: DataFrame, generated_at: str) -> Dat
                                     F.lit("\n\n---\n\n## Articles\n")))).alias("text"))
             .select("day", F.lit(0).alias("part"), F.lit(None).cast("timestamp_ntz").alias("fetched_at"),
                     F.lit("").alias("url_hash"), "text"))
-    body = (article_block(articles).join(days.select("day"), "day", "left_semi")
-            .select("day", F.lit(1).alias("part"), "fetched_at", "url_hash", "text"))
+    body = article_block(articles).select("day", F.lit(1).alias("part"), "fetched_at", "url_hash", "text")
     return head.unionByName(body)
 
 

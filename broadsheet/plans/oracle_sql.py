@@ -277,7 +277,8 @@ oracle("feed_items", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, pu
 oracle("feed_limit", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, published FROM fitems WHERE pos < 1")
 oracle("expand_sources", _with(Q.PG, FEEDS) + "SELECT ord, source_ord, pos, source_url, url FROM exp")
 oracle("items_scan", _with(Q.ART) + """
-SELECT source, true AS valid, CAST(row_number() OVER (PARTITION BY source ORDER BY ord) - 1 AS INTEGER) AS pos,
+SELECT source, CAST(floor(ord / 100) AS BIGINT) AS part, true AS valid,
+       CAST(row_number() OVER (PARTITION BY source, floor(ord / 100) ORDER BY ord) - 1 AS INTEGER) AS pos,
        title, url, date FROM art""")
 
 INGEST = _with(Q.PG, FEEDS) + f""",

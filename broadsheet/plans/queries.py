@@ -368,9 +368,7 @@ def q_daily_totals(spark, sf_dir):
 @query("daily_digest")
 def q_daily_digest(spark, sf_dir):
     """The daily Markdown digest lines for every fetch day in the library."""
-    lib = _library(spark, sf_dir)
-    days = lib.select(F.to_date("fetched_at").alias("day")).distinct()
-    return DY.digest_lines(lib, days, generated_at="2024-02-01T00:00:00")
+    return DY.digest_lines(_library(spark, sf_dir), None, generated_at="2024-02-01T00:00:00")
 
 
 @query("library_for_date")
@@ -574,6 +572,7 @@ from broadsheet.plans import ingest as IG  # noqa: E402
 from broadsheet.sources import feeds as FD  # noqa: E402
 
 FEED_PAGE = 20        # entries per generated feed document
+ITEMS_PER_FILE = 100  # items per generated items-array document
 RUN_TS = "2024-02-01 08:00:00"
 
 
@@ -638,16 +637,16 @@ def q_expand_sources(spark, sf_dir):
 
 @query("items_scan")
 def q_items_scan(spark, sf_dir):
-    """A5: items JSON documents (one array per source) parsed with the item schema."""
-    a = S.articles(spark, sf_dir)
-    items = a.select("source", "ord", F.to_json(F.struct("title", "url", "source", "date")).alias("one"))
-    docs = (items.groupBy("source")
+    """A5: items JSON documents (per source, files of up to 100 items) parsed with the item schema."""
+    a = S.articles(spark, sf_dir).withColumn("part", F.floor(F.col("ord") / ITEMS_PER_FILE))
+    items = a.select("source", "part", "ord", F.to_json(F.struct("title", "url", "source", "date")).alias("one"))
+    docs = (items.groupBy("source", "part")
             .agg(F.sort_array(F.collect_list(F.struct("ord", "one"))).alias("xs"))
-            .select("source", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["one"]), ","),
-                                       F.lit("]")).alias("doc")))
+            .select("source", "part", F.concat(F.lit("["), F.array_join(F.transform("xs", lambda x: x["one"]), ","),
+                                               F.lit("]")).alias("doc")))
     p = FD.parse_items_json(docs)
-    return p.select("source", "valid", "pos", F.col("item.title").alias("title"), F.col("item.url").alias("url"),
-                    F.col("item.date").alias("date"))
+    return p.select("source", "part", "valid", "pos", F.col("item.title").alias("title"),
+                    F.col("item.url").alias("url"), F.col("item.date").alias("date"))
 
 
 def _ingest(spark, sf_dir) -> IG.IngestResult:
