@@ -77,6 +77,21 @@ def seen_latest(records: DataFrame) -> DataFrame:
             .select("url_hash", "first_pos", "r.*"))
 
 
+def seen_latest_for(records: DataFrame, batch: DataFrame) -> DataFrame:
+    """A6 restricted to what a batch can collide with (exact for D6/D7).
+
+    A URL's latest record matters to a batch only if the URL is in the batch,
+    or if one of the URL's records carries a content hash of the batch (its
+    latest record may then be a content match).  Both selections are
+    semi-joins on hash keys, so the per-URL resolution runs over the batch's
+    neighbourhood instead of the whole, ever-growing log.
+    """
+    urls = batch.select("url_hash").distinct()
+    by_content = records.join(batch.select("content_hash").distinct(), "content_hash", "left_semi")
+    keys = urls.unionByName(by_content.select("url_hash")).distinct()
+    return seen_latest(records.join(keys, "url_hash", "left_semi"))
+
+
 def seen_content_hashes(latest: DataFrame) -> DataFrame:
     """Distinct content hashes of the latest records."""
     return latest.select("content_hash").distinct()

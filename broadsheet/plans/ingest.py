@@ -41,12 +41,14 @@ def pages_by_url(pages: DataFrame) -> DataFrame:
 
 def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame | None,
                  fetched_at: str, batch_id: int = 0, default_tags=X.DEFAULT_TAGS,
-                 force_col: str | None = None) -> IngestResult:
+                 force_col: str | None = None, seen_log: DataFrame | None = None) -> IngestResult:
     """I1 (without writing): outcome per expanded URL plus the rows to store.
 
     ``expanded``: ``(ord, source_url, url)`` from :func:`expand_sources`;
     ``pages``: ``(ord, url, html)``; ``seen_latest``: resolved history (or
-    None for a first run); ``fetched_at`` is the run's timestamp parameter.
+    None for a first run); alternatively ``seen_log``: raw seen records with a
+    ``pos`` column, resolved only around this batch's keys
+    (:func:`seen_latest_for`).  ``fetched_at`` is the run's timestamp parameter.
     """
     typed = X.source_type(expanded, "source_url")
     urls = typed.select("url").distinct()
@@ -65,6 +67,8 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
     forced = F.col(force_col) if force_col else F.lit(False)
     cand = cand.withColumn("_force", F.coalesce(forced, F.lit(False)))
     keys = cand.select("ord", "url_hash", "content_hash", F.col("text").alias("content"), "_force")
+    if seen_latest is None and seen_log is not None:
+        seen_latest = DD.seen_latest_for(seen_log, keys)
     if seen_latest is not None:
         unseen = DD.drop_seen(keys.filter(~F.col("_force")), seen_latest).unionByName(keys.filter("_force"))
     else:

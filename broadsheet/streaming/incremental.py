@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.operators.dedup import seen_latest
 from broadsheet.plans.ingest import ingest_batch
 from broadsheet.sources.feeds import expand_sources, source_lines
 
@@ -33,14 +32,14 @@ def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
 
 
 def _read_seen(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """Seen records of earlier batches (raw, with their log position)."""
     try:
         seen = spark.read.parquet(path)
     except Exception:  # no batch written yet
         return None
     prior = seen.filter(F.col("batch_id") < before_batch)
-    recs = prior.select(F.struct(F.col("batch_id").cast("long").alias("batch"), F.col("ord")).alias("pos"),
+    return prior.select(F.struct(F.col("batch_id").cast("long").alias("batch"), F.col("ord")).alias("pos"),
                         "url", "url_hash", "content_hash", "title", "fetched_at", "stored_path", "source")
-    return seen_latest(recs)
 
 
 def make_batch_writer(feeds: DataFrame, pages: DataFrame, out_dir: str, fetched_at: str):
@@ -51,7 +50,7 @@ def make_batch_writer(feeds: DataFrame, pages: DataFrame, out_dir: str, fetched_
         spark = batch.sparkSession
         history = _read_seen(spark, seen_p, batch_id)
         expanded = expand_sources(source_lines(batch), feeds)
-        res = ingest_batch(expanded, pages, history, fetched_at, batch_id=batch_id)
+        res = ingest_batch(expanded, pages, None, fetched_at, batch_id=batch_id, seen_log=history)
         _overwrite_batch(res.outcomes.withColumn("batch_id", F.lit(batch_id)), outcomes_p, ["batch_id"])
         _overwrite_batch(res.articles.withColumn("batch_id", F.lit(batch_id)), library_p,
                          ["year", "month", "batch_id"])

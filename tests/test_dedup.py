@@ -92,3 +92,17 @@ def test_event_merge(spark):
                                "n_chars int, story_id string")
     out = {r.ord: r.merged_into for r in DD.event_merge(df).collect()}
     assert out == {1: "s3", 2: "s3"}
+
+
+def test_seen_latest_for_batch_is_exact(spark):
+    rnd = random.Random(3)
+    lines = [REC.format(u=f"u{i}", h=f"h{rnd.randrange(30)}", c=f"c{rnd.randrange(20)}", t=f"t{i}") for i in range(200)]
+    recs = DD.parse_seen_lines(_seen_lines(spark, lines))
+    batch = spark.createDataFrame([(i, f"h{rnd.randrange(40)}", f"c{rnd.randrange(25)}", "x") for i in range(60)],
+                                  "ord long, url_hash string, content_hash string, content string")
+    full = DD.duplicate_lookup(batch, DD.seen_latest(recs))
+    part = DD.duplicate_lookup(batch, DD.seen_latest_for(recs, batch))
+    assert sorted(map(tuple, full.select("ord", "is_dup", "reason").collect())) == \
+        sorted(map(tuple, part.select("ord", "is_dup", "reason").collect()))
+    assert sorted(r.ord for r in DD.drop_seen(batch, DD.seen_latest(recs)).collect()) == \
+        sorted(r.ord for r in DD.drop_seen(batch, DD.seen_latest_for(recs, batch)).collect())
