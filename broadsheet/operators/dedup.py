@@ -6,11 +6,12 @@ shuffle.
 
 Scale notes
 -----------
-* Every per-key step is a ``groupBy(key).agg(min/max_by)`` (partial
+* Every per-key step is a ``groupBy(key).agg(min/max_by, count)`` (partial
   aggregation: a key holding a third of all rows collapses map-side to one
-  row per task) followed by an equi-join back on the key.  No window sorts a
-  whole key group in one task.  AQE's skew-join split handles the join-back
-  of a hot key, because the aggregated side has one row per key.
+  row per task) followed by a join back on the key.  No window sorts a whole
+  key group in one task.  The join-back broadcasts the statistics of hot
+  keys (bounded set, ``skew.lookup_join``) and shuffles the rest, so a hot
+  key never lands in one join task either.
 * Text never travels through these shuffles: callers pass ``(ord, url_hash,
   content_hash)`` only and join their wide columns back by ``ord``.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.operators.skew import lookup_join
 from broadsheet.schemas import SEEN
 from broadsheet.session import cut_lineage
 
@@ -142,11 +144,25 @@ def drop_seen(batch: DataFrame, latest: DataFrame, content_col: str = "content")
 
 # ---------------------------------------------------------------------- D8
 
-def _block(undecided: DataFrame, kept: DataFrame) -> DataFrame:
-    """Drop undecided rows that a kept row (earlier in ord) shares a key with."""
-    bu = kept.groupBy("u").agg(F.min("ord").alias("bu"))
-    bc = kept.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("bc"))
-    j = undecided.join(bu, "u", "left").join(bc, "cc", "left")
+def _group_sizes(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per url hash and per recorded content hash: first ord and group size."""
+    su = undecided.groupBy("u").agg(F.min("ord").alias("mu"), F.count(F.lit(1)).alias("nu"))
+    sc = (undecided.groupBy(F.col("rc").alias("cc"))
+          .agg(F.min("ord").alias("mc"), F.count(F.lit(1)).alias("nc")))
+    return su, sc
+
+
+def _block(undecided: DataFrame, kept: DataFrame, su: DataFrame, sc: DataFrame, n: int | None = None) -> DataFrame:
+    """Drop undecided rows that a kept row (earlier in ord) shares a key with.
+
+    The kept rows' minima are joined to the group sizes (one row per key on
+    both sides), then looked up by the undecided rows with hot keys broadcast.
+    """
+    bu = kept.groupBy("u").agg(F.min("ord").alias("bu")).join(su.select("u", "nu"), "u")
+    bc = (kept.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("bc"))
+          .join(sc.select("cc", "nc"), "cc"))
+    j = lookup_join(undecided, bu, "u", "nu", "left", total=n)
+    j = lookup_join(j, bc, "cc", "nc", "left", total=n)
     blocked = (F.coalesce(F.col("ord") > F.col("bu"), F.lit(False))
                | F.coalesce(F.col("ord") > F.col("bc"), F.lit(False)))
     return j.filter(~blocked).drop("bu", "bc")
@@ -195,7 +211,8 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: i
     undecided = base.filter(~F.col("force")).select("ord", "u", "cc", "rc")
     decided = [forced.select("ord", F.lit(True).alias("keep"))]
     if force_col:
-        undecided = _block(undecided, forced)
+        su0, sc0 = _group_sizes(undecided.unionByName(forced.withColumn("cc", F.col("rc"))))
+        undecided = _block(undecided, forced, su0, sc0)
     undecided = cut_lineage(undecided)
     rnd = 0
     while True:
@@ -208,14 +225,14 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: i
             decided.append(res)
             break
         rnd += 1
-        mu = undecided.groupBy("u").agg(F.min("ord").alias("mu"))
-        mc = undecided.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("mc"))
-        x = undecided.join(mu, "u").join(mc, "cc", "left")
+        su, sc = _group_sizes(undecided)
+        x = lookup_join(undecided, su, "u", "nu", "inner", total=n)
+        x = lookup_join(x, sc, "cc", "nc", "left", total=n)
         keep = (F.col("ord") == F.col("mu")) & (F.col("cc").isNull() | (F.col("ord") == F.col("mc")))
         x = cut_lineage(x.withColumn("k", keep).drop("mu", "mc"))
         kept = x.filter("k").select("ord", "u", "rc")
         decided.append(kept.select("ord", F.lit(True).alias("keep")))
-        undecided = cut_lineage(_block(x.filter(~F.col("k")).select("ord", "u", "cc", "rc"), kept))
+        undecided = cut_lineage(_block(x.filter(~F.col("k")).select("ord", "u", "cc", "rc"), kept, su, sc, n))
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)
@@ -240,15 +257,16 @@ def event_merge(items: DataFrame, group_col: str = "content_hash") -> DataFrame:
     row ``(title, url, merged_into, reason)`` pointing at the winner's id.
 
     The winner is found by ``max_by`` over a partial aggregation (no group is
-    sorted in one task); losers are joined to it on the group key.
+    sorted in one task); losers are joined to it on the group key, with hot
+    groups broadcast (``skew.lookup_join``).
     """
     rank_key = F.struct(F.col("source_weight"), F.col("n_chars"), (-F.col("ord")).alias("neg_ord"))
     winners = (items.groupBy(group_col)
                .agg(F.max_by(F.struct("ord", "story_id"), rank_key).alias("w"),
                     F.count(F.lit(1)).alias("n"))
                .filter(F.col("n") > 1)
-               .select(group_col, F.col("w.ord").alias("winner_ord"), F.col("w.story_id").alias("merged_into")))
-    return (items.join(winners, group_col)
+               .select(group_col, F.col("w.ord").alias("winner_ord"), F.col("w.story_id").alias("merged_into"), "n"))
+    return (lookup_join(items, winners, group_col, "n", "inner")
             .filter(F.col("ord") != F.col("winner_ord"))
             .select("ord", "title", "url", "merged_into", "winner_ord",
                     F.lit("same content as the kept story").alias("reason")))

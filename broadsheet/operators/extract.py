@@ -29,13 +29,13 @@ def default_tags(tags, default=DEFAULT_TAGS) -> Column:
 def source_type(df: DataFrame, source_url_col: str = "source_url") -> DataFrame:
     """``rss`` when the row's source expanded to more than one URL, else ``manual``.
 
-    Counted with a partial aggregation joined back (a huge feed is not
-    gathered into one window task).
+    Counted with a partial aggregation joined back, hot sources broadcast (a
+    huge feed is not gathered into one window or join task).
     """
-    counts = df.groupBy(source_url_col).agg(F.count(F.lit(1)).alias("_n"))
-    return (df.join(counts, source_url_col)
-            .withColumn("source_type", F.when(F.col("_n") > 1, "rss").otherwise("manual"))
-            .drop("_n"))
+    from broadsheet.operators.skew import lookup_join
+    counts = (df.groupBy(source_url_col).agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("source_type", F.when(F.col("_n") > 1, "rss").otherwise("manual")))
+    return lookup_join(df, counts, source_url_col, "_n", "inner")
 
 
 def quality_gate(word_count) -> Column:

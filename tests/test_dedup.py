@@ -106,3 +106,25 @@ def test_seen_latest_for_batch_is_exact(spark):
         sorted(map(tuple, part.select("ord", "is_dup", "reason").collect()))
     assert sorted(r.ord for r in DD.drop_seen(batch, DD.seen_latest(recs)).collect()) == \
         sorted(r.ord for r in DD.drop_seen(batch, DD.seen_latest_for(recs, batch)).collect())
+
+
+def test_hot_key_split_matches(spark):
+    from broadsheet.operators.skew import lookup_join
+    rows = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        (F.col("id") % 97).cast("string")).alias("k"), "id")
+    stats = rows.groupBy("k").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
+    split = lookup_join(rows, stats, "k", "n", "inner", max_hot_keys=10, min_hot=100)
+    plain = rows.join(stats.drop("n"), "k")
+    assert sorted(map(tuple, split.select("k", "id", "m").collect())) == sorted(map(tuple, plain.select("k", "id", "m").collect()))
+    assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedup_with_hot_keys(spark, monkeypatch):
+    import broadsheet.operators.skew as SK
+    monkeypatch.setattr(SK, "MIN_HOT_ROWS", 20)
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 4)
+    rnd = random.Random(11)
+    rows = [(i, "uhot" if i % 3 == 0 else f"u{rnd.randrange(50)}", "chot" if i % 4 == 0 else f"c{rnd.randrange(40)}",
+             "chot" if i % 4 == 0 else f"c{rnd.randrange(40)}") for i in range(300)]
+    rows = [(o, u, cc, cc) for o, u, cc, _ in rows]
+    assert run(spark, rows, residue_limit=0) == py_sequential(rows)
