@@ -27,7 +27,6 @@ from broadsheet.operators.skew import lookup_join
 from broadsheet.schemas import SEEN
 from broadsheet.session import cut_lineage
 
-EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
 # ------------------------------------------------------------------ A6 / D5

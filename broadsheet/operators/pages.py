@@ -24,7 +24,6 @@ from broadsheet.functions.text import normalize_whitespace, word_count
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
         "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image",
         "isindex", "keygen", "menuitem", "nextid", "spacer"}
-CDATA = {"script", "style"}
 
 
 class _Node:
