@@ -72,10 +72,11 @@ def seen_latest(records: DataFrame) -> DataFrame:
     (insertion order of the key, value of the latest write).
     """
     cols = [c for c in records.columns if c not in ("pos", "url_hash")]
+    # one max_by per field (positions are unique per key, so all fields come
+    # from the same record) lets Catalyst prune the fields a caller never reads
     return (records.groupBy("url_hash")
             .agg(F.min("pos").alias("first_pos"),
-                 F.max_by(F.struct(*cols), F.col("pos")).alias("r"))
-            .select("url_hash", "first_pos", "r.*"))
+                 *[F.max_by(F.col(c), F.col("pos")).alias(c) for c in cols]))
 
 
 def seen_latest_for(records: DataFrame, batch: DataFrame) -> DataFrame:
