@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.functions import html as H
 from broadsheet.functions.text import normalize_whitespace, word_count
@@ -112,14 +113,24 @@ def parse_main_text(html: str) -> str:
     return " ".join(" ".join(_texts(pick, [])).split())
 
 
-def _parser_batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in it:
-        yield pd.DataFrame({"k": pdf["k"], "fallback_text": [parse_main_text(h) for h in pdf["html"]]})
+def _parser_batches(html_col: str, out: str):
+    """mapInPandas body: append the parser-path text to each row of the batch."""
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            pdf[out] = [parse_main_text(h) for h in pdf[html_col]]
+            yield pdf
+    return run
 
 
 def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallback_text",
                    key: str = "ord") -> DataFrame:
-    """B2: add the fallback extractor's text for every page (``key`` must be unique)."""
+    """B2: add the fallback extractor's text for every page.
+
+    Regex-safe pages stay in Catalyst; the others carry their own columns
+    through one ``mapInPandas`` pass that appends the parser text, so there is
+    no join back and the pages are scanned once per path.  (``key`` is kept
+    for callers; rows need no unique key.)
+    """
     p = pages.withColumn("_safe", F.coalesce(H.regex_safe(F.col(html_col)), F.lit(True)))
     fast = (p.filter("_safe")
             .withColumn("_s", H.strip_removed(F.col(html_col)))
@@ -133,11 +144,9 @@ def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallbac
                         .otherwise(F.col("_s")))
             .withColumn(out, normalize_whitespace(H.decode_entities(F.regexp_replace("_span", H.TAG_RE, " "))))
             .drop("_s", "_span", "_safe"))
-    slow_in = p.filter(~F.col("_safe")).select(F.col(key).cast("string").alias("k"),
-                                                F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    slow_txt = slow_in.mapInPandas(_parser_batches, "k string, fallback_text string")
-    slow = (p.filter(~F.col("_safe")).drop("_safe").withColumn("k", F.col(key).cast("string"))
-            .join(slow_txt.withColumnRenamed("fallback_text", out), "k").drop("k"))
+    slow_rows = p.filter(~F.col("_safe")).drop("_safe")
+    schema = T.StructType(slow_rows.schema.fields + [T.StructField(out, T.StringType(), True)])
+    slow = slow_rows.mapInPandas(_parser_batches(html_col, out), schema)
     return fast.unionByName(slow)
 
 
