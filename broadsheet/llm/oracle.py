@@ -12,7 +12,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
 OP5 = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls
   FROM documents),
 w AS (
   SELECT doc_id, i, array_to_string(ws[i:i+7], ' ') AS g
@@ -23,7 +23,7 @@ covered AS (
   FROM (SELECT w.doc_id, w.i, unnest(range(8)) AS k FROM w JOIN twice USING (doc_id, g)) GROUP BY doc_id),
 m AS (
   SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
