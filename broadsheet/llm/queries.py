@@ -3,14 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, mixing, quality_rules, sharding
+from broadsheet.llm import exact_dedup, language_id, mixing, quality_classifier, quality_rules, segment, sharding, warc
+from broadsheet.llm.common import crc32_of_id
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random-feature ridge scores of all documents; labels with crc32(doc_id) mod 5 = 0 are held out.
+
+    Of the others, remainder 4 calibrates and 1 to 3 fit.
+    """
+    fold = crc32_of_id(F.col("doc_id")) % 5
+    scored = quality_classifier.fit_and_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality",
+                                              fit=fold.isin(1, 2, 3), calibrate=fold == 4)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PPM language of all documents, learned where crc32(doc_id) mod 3 is not 1."""
+    fold = crc32_of_id(F.col("doc_id")) % 3
+    out = language_id.identify(_table(spark, sf_dir, "documents"), learn=fold != 1)
+    return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitmask ledger of all documents under policy v2; measurements and failure bits kept."""
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
@@ -29,9 +49,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by byte ranges."""
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jump consistent hashing of all documents to 16 shards, and to 17."""
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_mixing, op7_exact_dedup, op9_sharding)}
+def op10_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sampled segmentation of every document, decoded again."""
+    return segment.round_trip(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
+                                   op9_sharding, op10_segmentation)}
