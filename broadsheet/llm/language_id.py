@@ -9,9 +9,10 @@ training, so a text's code length in a language is exact and the same in any
 order; the language with the shortest code wins.
 
 Counts cover all training texts.  Tasks count (language, 4 bytes) and Spark
-sums; lower orders are marginals.  The model keeps the entries seen at least t
-times, t being the smallest count that leaves at most ``max_entries`` entries
-(1 as long as all fit), which bounds what is broadcast.
+sums; lower orders are marginals.  The model keeps a language's entries seen at
+least t times, t being the smallest count that leaves at most ``max_entries``
+of them (1 as long as all fit), which bounds what is broadcast by the number of
+languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language or text do not train; without any training row all
@@ -25,14 +26,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from broadsheet.llm.blocks import IntTable, slices, sums, text_bytes
 from broadsheet.session import cut_lineage
 
 ORDER = 3
-MAX_ENTRIES = 2_000_000
+MAX_ENTRIES = 1_000_000
 FLUSH = 1_000_000
 
 
@@ -139,18 +140,11 @@ class Model:
 def train(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | None:
     """The model of rows (lang, text); None without training rows."""
     counts = cut_lineage(count_grams(rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")))
-    least, kept = 1, counts.count()
-    while kept > max_entries:  # smallest count that leaves few enough: doubling, then halving the gap
-        least *= 2
-        kept = counts.filter(F.col("n") >= least).count()
-    low, high = least // 2 + 1, least
-    while low < high:
-        mid = (low + high) // 2
-        if counts.filter(F.col("n") >= mid).count() <= max_entries:
-            high = mid
-        else:
-            low = mid + 1
-    table = counts.filter(F.col("n") >= low).toArrow()
+    # per language, entries by descending count; one row for each different count
+    steps = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
+    upto = F.sum("entries").over(W.partitionBy("lang").orderBy(F.desc("n")))
+    least = steps.withColumn("upto", upto).filter(F.col("upto") <= max_entries).groupBy("lang").agg(F.min("n").alias("least"))
+    table = counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").toArrow()
     if not table.num_rows:
         return None
     names = table.column("lang").to_pylist()

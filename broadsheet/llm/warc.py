@@ -128,19 +128,20 @@ def decode(window: Window, pos: int) -> tuple[bytes, int] | None:
 
     The version line decides; damage behind it fails the job instead of losing a record.
     """
-    z, parts, got, at = zlib.decompressobj(31), [], 0, pos
+    try:
+        if zlib.decompressobj(31).decompress(window.get(pos)[:READ_BYTES], 7) != b"WARC/1.":
+            return None
+    except zlib.error:
+        return None
+    z, parts, at = zlib.decompressobj(31), [], pos
     while not z.eof:
         data = window.get(at)[:READ_BYTES]
+        if not data:
+            raise ValueError(f"the record at {pos} is cut off")
         try:
             parts.append(z.decompress(data))
-            bad = None if data else "is cut off"
         except zlib.error as e:
-            bad = str(e)
-        if got < 7 and (bad or got + len(parts[-1]) >= 7 or z.eof) and not b"".join(parts).startswith(b"WARC/1."):
-            return None
-        if bad:
-            raise ValueError(f"the record at {pos} {bad}")
-        got += len(parts[-1])
+            raise ValueError(f"the record at {pos} is damaged: {e}") from e
         at += len(data)
     return b"".join(parts), at - len(z.unused_data)
 
