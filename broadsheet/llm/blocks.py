@@ -87,13 +87,17 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words that begin at each word (len(h) - n + 1 values)."""
     m = max(len(h) - n + 1, 0)
-    out, q = np.zeros(m, np.uint64), np.uint64(1)
+    out = np.zeros(m, np.uint64)
     for k in range(n if m else 0):
-        out += h[k:k + m] * q
-        q *= C1
+        out += h[k:k + m] * power(k)
     return mix(out)
 
 
+def power(k: int) -> np.uint64:
+    """C1 ** k modulo 2^64."""
+    return np.uint64(pow(int(C1), k, 1 << 64))
+
+
 def take_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of byte ranges laid end to end; ranges may overlap."""
     size = ends - starts

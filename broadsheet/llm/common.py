@@ -51,7 +51,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lookup(rows: DataFrame, stats: DataFrame, key: str, size: str, spread: Column) -> DataFrame:
+def lookup(rows: DataFrame, stats: DataFrame, key: str, size: str, spread: Column, total: int | None = None) -> DataFrame:
     """``rows LEFT JOIN stats ON key`` that survives hot keys.
 
     ``stats`` has one row per key; ``size`` is the number of rows of the key,
@@ -59,9 +59,11 @@ def lookup(rows: DataFrame, stats: DataFrame, key: str, size: str, spread: Colum
     Only those are broadcast.  Rows they match leave the shuffle join by a
     second key column that spreads them (``spread``: any integer per row) over
     all tasks.  Null keys match nothing and are spread the same way.
-    ``stats`` should be a checkpointed table: it is read three times.
+    ``total`` may give the number of rows, or more, if the caller knows it;
+    else ``stats`` is summed, and should be a checkpointed table.
     """
-    total = stats.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = stats.agg(F.sum(size)).first()[0] or 0
     others = [c for c in stats.columns if c != key]
     packed = stats.select(F.col(key).alias("__key"), F.struct(*others).alias("__stat"), F.col(size).alias("__size"))
     hot = F.broadcast(packed.filter(F.col("__size") * HOT_SHARE >= F.lit(total)).select("__key", F.col("__stat").alias("__hot")))
@@ -90,3 +92,69 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     local = F.row_number().over(W.partitionBy("__pid").orderBy(*order)) - 1
     return (parts.withColumn("__local", local).join(F.broadcast(offsets), "__pid")
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop("__pid", "__off", "__local"))
+
+
+def _contracted(batches):
+    """Edges (a, b) of spanning stars of the edges of up to CONTRACT rows at a time; b is the smallest id of the piece."""
+    import pyarrow as pa
+
+    def stars(parts):
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root = x
+            while (p := up.setdefault(root, root)) != root:
+                root = p
+            while up[x] != root:
+                up[x], x = root, up[x]
+            return root
+
+        for a, b in parts:
+            for x, y in zip(a, b):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        out = [(x, r) for x in up if (r := find(x)) != x]
+        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([r for _, r in out], pa.int64())})
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+        n += batch.num_rows
+        if n >= CONTRACT:
+            yield stars(held)
+            held, n = [], 0
+    if held:
+        yield stars(held)
+
+
+CONTRACT = 200_000
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root) of the undirected edges (u, v) of long ids: root is the smallest id reachable.
+
+    Alternates large and small stars until nothing changes (a logarithmic
+    number of rounds); tasks first contract the edges they hold, some at a
+    time.  A node of very many edges is met by ``lookup``, so no task gets all
+    of them.  Nodes without edges to others are not returned.
+    """
+    kind = "a long, b long"
+    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
+    e = cut_lineage(e.mapInArrow(_contracted, kind).distinct())
+    state = None
+    while True:
+        mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == state or not mark[0]:
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        state = mark
+        # large star: neighbours above a node move to its smallest neighbour (or itself)
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        large = lookup(both.filter("b > a"), least, "a", "n", F.col("b"), 2 * mark[0]).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        # small star: a node and its neighbours below move to the smallest of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        below = lookup(large, least, "a", "n", F.col("b"), mark[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = below.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        e = cut_lineage(moved.mapInArrow(_contracted, kind).distinct())

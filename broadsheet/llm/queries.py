@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, language_id, mixing, quality_classifier, quality_rules, segment, sharding, warc
+from broadsheet.llm import exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, warc
 from broadsheet.llm.common import crc32_of_id
 
 
@@ -31,6 +31,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by 4-gram Jaccard similarity of 85 % or more."""
+    return ngram_join.components(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bitmask ledger of all documents under policy v2; measurements and failure bits kept."""
     rows = quality_rules.apply_policy(quality_rules.ledger(_table(spark, sf_dir, "documents")), "v2")
@@ -64,5 +69,5 @@ def op10_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
                                    op9_sharding, op10_segmentation)}
