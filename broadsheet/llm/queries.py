@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, warc
+from broadsheet.llm import exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
 from broadsheet.llm.common import crc32_of_id
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without 13-word windows that an earlier document has."""
+    return substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"), window=13)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random-feature ridge scores of all documents; labels with crc32(doc_id) mod 5 = 0 are held out.
 
@@ -69,5 +74,5 @@ def op10_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.round_trip(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
                                    op9_sharding, op10_segmentation)}
