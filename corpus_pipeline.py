@@ -12,8 +12,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, mixing, quality_rules
+from broadsheet.llm import exact_dedup, mixing, ngram_join, quality_rules, segment
 from broadsheet.session import ensure_checkpoint_dir
 
 
@@ -27,12 +28,26 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.distinct_documents(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group linked by 5-gram Jaccard similarity of 0.8 or more."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", keep_quality), ("exact dedup", drop_copies), ("mixing", mix_sources)]
+def segment_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with one sampled segmentation (``pieces``) and the text decoded from it."""
+    model = segment.load_model(spark)
+    out = segment.decode(segment.encode(docs, model), model)
+    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return out.withColumn("n_pieces", F.size("pieces")).withColumn("lossless", same)
+
+
+STAGES = [("quality rules", keep_quality), ("exact dedup", drop_copies), ("n-gram Jaccard join", drop_near_copies),
+          ("mixing", mix_sources), ("segmentation", segment_texts)]
 
 # The near-duplicate, mixing and segmentation stages are not expressible in SQL.
 ORACLE_SQL = None

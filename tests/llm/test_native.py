@@ -1,6 +1,4 @@
 """Quality rules, exact dedup, mixing and sharding against plain Python."""
-import hashlib
-import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,23 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import exact_dedup, mixing, quality_rules, sharding
 from broadsheet.llm.common import lookup, ranked
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def slow_repeat(ws):
-    wins = defaultdict(list)
-    for i in range(len(ws) - 7):
-        wins[tuple(ws[i:i + 8])].append(i)
-    return len({p + k for at in wins.values() if len(at) > 1 for p in at for k in range(8)})
-
-
-def slow_rules(text):
-    t = text or ""
-    ws = WORD.findall(t)
-    lines = [x for x in t.split("\n") if WORD.search(x)]
-    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), slow_repeat(ws))
-
+from tests_llm_helpers import WORD, slow_dedup, slow_rules, slow_targets
 
 @pytest.mark.parametrize("name", ["edge", "small"])
 def test_rules_measure_like_plain_python(request, name):
@@ -59,24 +41,6 @@ def test_rules_on_empty_tables_and_clashing_columns(empty, small):
     assert out.columns == odd.columns and out.count() == quality_rules.passing(small).count()
 
 
-def low(s):
-    return "".join(c.lower() if "A" <= c <= "Z" else c for c in (s or ""))
-
-
-def slow_dedup(rows):
-    groups = defaultdict(list)
-    for i, t in rows:
-        groups[low(t)].append(i)
-    keep = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
-    seen, out = Counter(), Counter()
-    for i, t in rows:
-        k = low(t)
-        first = i == keep[k] and not seen[i, k]
-        seen[i, k] += i == keep[k]
-        out[i, keep[k], len(groups[k]), first, hashlib.sha256(k.encode()).hexdigest()] += 1
-    return out
-
-
 @pytest.mark.parametrize("name", ["edge", "small"])
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: F.substring(F.sha2(t, 256), 1, 1)], ids=["sha", "colliding"])
 def test_exact_dedup(request, name, digest):
@@ -93,22 +57,6 @@ def test_distinct_documents_keep_all_columns(edge, empty):
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.distinct_documents(empty).count() == 0
 
 
-def slow_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
-    order = sorted(sizes, key=lambda s: (s is None, s))
-    w = {s: weights[i % 3] for i, s in enumerate(order)}
-    left, free, out = share * sum(sizes.values()), set(order), {}
-    while free:
-        level = left / sum(w[s] for s in free)
-        full = {s for s in free if w[s] * level > cap * sizes[s]}
-        if not full:
-            return out | {s: w[s] * level for s in free}
-        for s in full:
-            out[s] = cap * sizes[s]
-            left -= out[s]
-        free -= full
-    return out
-
-
 @pytest.mark.parametrize("name", ["edge", "small"])
 def test_mix_meets_targets(request, name):
     docs = request.getfixturevalue(name)

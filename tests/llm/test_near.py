@@ -1,46 +1,17 @@
 """N-gram Jaccard join and substring dedup against plain Python."""
+import hashlib
 import random
-import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.llm import ngram_join
+from broadsheet.llm import blocks, ngram_join, substring_dedup
 from broadsheet.llm.common import connected
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-AZ = {c: c + 32 for c in range(65, 91)}
-
-
-class Sets:
-    """Union-find over ids."""
-
-    def __init__(self):
-        self.up = {}
-
-    def find(self, x):
-        while self.up.setdefault(x, x) != x:
-            x = self.up[x]
-        return x
-
-    def join(self, a, b):
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
-def slow_components(rows, n, percent):
-    sets = []
-    for i, t in rows:
-        w = WORD.findall((t or "").translate(AZ))
-        sets.append((i, {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set())))
-    uf = Sets()
-    for x, (i, s) in enumerate(sets):
-        for j, t in sets[:x]:
-            if i is not None and j is not None and s and 100 * len(s & t) >= percent * len(s | t):
-                uf.join(i, j)
-    return Counter((i, len(s), None if i is None else uf.find(i)) for i, s in sets)
+from broadsheet.llm.fm_index import FMIndex, WaveletMatrix
+from tests_llm_helpers import WORD, Sets, slow_components
 
 
 def near_rows(seed, families, copies):
@@ -113,3 +84,91 @@ def test_connected(spark):
         assert all(got.get(x, x) == uf.find(x) for x in uf.up)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert connected(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def slow_repeats(rows, window):
+    first = {}
+    for i, t in rows:
+        w = WORD.findall(t or "")
+        for k in range(len(w) - window + 1) if i is not None else ():
+            g = tuple(w[k:k + window])
+            first[g] = min(i, first.get(g, i))
+    out = Counter()
+    for i, t in rows:
+        w, gone = WORD.findall(t or ""), set()
+        for k in range(len(w) - window + 1) if i is not None else ():
+            if first[tuple(w[k:k + window])] < i:
+                gone.update(range(k, k + window))
+        left = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i, len(w), len(gone), left, hashlib.sha256(left.encode()).hexdigest()] += 1
+    return out
+
+
+def repeat_rows(seed):
+    """Texts of few words with passages copied between and within them, some blanks odd, some texts long and monotone."""
+    r = random.Random(seed)
+    passages = [[f"w{r.randrange(30)}" for _ in range(r.randrange(10, 60))] for _ in range(6)]
+    out = []
+    for _ in range(60):
+        w = []
+        for _ in range(r.randrange(6)):
+            p = r.choice(passages)
+            a = r.randrange(len(p))
+            w += p[a:] if r.random() < 0.7 else [f"w{r.randrange(30)}" for _ in range(20)]
+        out.append(r.choice([" ", "\n", " \t"]).join(w))
+    out += ["same " * 500, "same " * 90, "", None, out[3], out[3]]
+    return list(enumerate(out)) + [(7, out[7]), (7, "another text of this id " * 5), (None, out[5])]
+
+
+@pytest.mark.parametrize("window,gram", [(13, 6), (8, 3), (5, 5)])
+def test_remove_repeats(spark, window, gram):
+    rows = repeat_rows(window)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bucket", F.lit("x")).repartition(5)
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"], r["kept_sha256"])
+                  for r in substring_dedup.remove_repeats(docs, window, gram, texts=True).collect())
+    assert got == slow_repeats(rows, window)
+
+
+def test_remove_repeats_of_odd_rows(edge, small, empty):
+    for docs in (edge, small):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        got = Counter(map(tuple, substring_dedup.remove_repeats(docs, texts=True).collect()))
+        assert got == slow_repeats(rows, 13)
+    assert substring_dedup.remove_repeats(empty).count() == 0
+
+
+def test_wavelet_ranks():
+    r = np.random.default_rng(0)
+    for top in (1, 2, 7, 300):
+        s = r.integers(0, top, 700)
+        w = WaveletMatrix(s)
+        for c in range(int(s.max()) + 1):
+            assert (w.rank(np.full(701, c), np.arange(701)) == np.concatenate([[0], np.cumsum(s == c)])).all()
+
+
+def test_backward_search_finds_all_occurrences():
+    r = random.Random(3)
+    for window in (2, 5, 13):
+        texts = [[r.randrange(1, 4) for _ in range(r.randrange(1, 50))] for _ in range(12)]
+        seq = np.array([x for t in texts for x in (*t, 0)])
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        starts = ends - [len(t) for t in texts]
+        index = FMIndex(seq, window)
+        lo, hi = index.matches(starts, ends)
+        where = {}
+        for a, z in zip(starts, ends):
+            for p in range(a, z - window + 1):
+                where.setdefault(tuple(seq[p:p + window]), set()).add(p)
+        for p in range(len(seq)):
+            want = where.get(tuple(seq[p:p + window]), set()) if any(a <= p <= z - window for a, z in zip(starts, ends)) else set()
+            assert set(index.order[lo[p]:hi[p]].tolist()) == want
+
+
+def test_words_are_compared_by_bytes(monkeypatch):
+    data, offs = blocks.text_bytes(pa.array(["a bb a ccc bb", "bb d"]))
+    s, e, _ = blocks.words(data, offs)
+    for weak in (False, True):
+        if weak:  # all words collide
+            monkeypatch.setattr(substring_dedup, "word_hashes", lambda d, s, e: np.zeros(len(s), np.uint64))
+        n = substring_dedup.word_numbers(data, s, e).tolist()
+        assert n[0] == n[2] and n[1] == n[4] == n[5] and len(set(n)) == 4
