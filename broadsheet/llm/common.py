@@ -94,61 +94,72 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
             .withColumn(out, (F.col("__off") + F.col("__local")).cast("long")).drop("__pid", "__off", "__local"))
 
 
-def _contracted(batches):
-    """Edges (a, b) of spanning stars of the edges of up to CONTRACT rows at a time; b is the smallest id of the piece."""
-    import pyarrow as pa
-
-    def stars(parts):
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            root = x
-            while (p := up.setdefault(root, root)) != root:
-                root = p
-            while up[x] != root:
-                up[x], x = root, up[x]
-            return root
-
-        for a, b in parts:
-            for x, y in zip(a, b):
-                x, y = find(x), find(y)
-                if x != y:
-                    up[max(x, y)] = min(x, y)
-        out = [(x, r) for x in up if (r := find(x)) != x]
-        return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([r for _, r in out], pa.int64())})
-
-    held, n = [], 0
-    for batch in batches:
-        held.append((batch.column("a").to_pylist(), batch.column("b").to_pylist()))
-        n += batch.num_rows
-        if n >= CONTRACT:
-            yield stars(held)
-            held, n = [], 0
-    if held:
-        yield stars(held)
+CONTRACT = 200_000
 
 
-CONTRACT = 200_000
+def _stars(parts: list) -> dict[int, int]:
+    """Smallest id of its piece per node of some edges (lists a, b); nodes that are their piece's smallest are left out."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (p := up.setdefault(root, root)) != root:
+            root = p
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
 
+    for a, b in parts:
+        for x, y in zip(a, b):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    return {x: r for x in up if (r := find(x)) != x}
 
-def connected(edges: DataFrame) -> DataFrame:
+
+def connected(edges: DataFrame, contract: int = CONTRACT) -> DataFrame:
     """(node, root) of the undirected edges (u, v) of long ids: root is the smallest id reachable.
 
-    Alternates large and small stars until nothing changes (a logarithmic
-    number of rounds); tasks first contract the edges they hold, some at a
-    time.  A node of very many edges is met by ``lookup``, so no task gets all
-    of them.  Nodes without edges to others are not returned.
+    Tasks replace the edges they hold, ``contract`` at a time, by stars of the
+    same pieces; a graph of up to ``contract`` edges is done after that.  Larger
+    ones alternate this with large and small stars over all edges until nothing
+    changes (a logarithmic number of rounds).  A node of very many edges is met
+    by ``lookup``, so no task gets all of them.  Nodes without edges to others
+    are not returned.
     """
-    kind = "a long, b long"
+    def contracted(batches):
+        import pyarrow as pa
+
+        def out(held):
+            stars = _stars(held)
+            return pa.RecordBatch.from_pydict({"a": pa.array(list(stars), pa.int64()), "b": pa.array(list(stars.values()), pa.int64())})
+
+        held, n = [], 0
+        for batch in batches:
+            held.append((batch.column("a").to_pylist(), batch.column("b").to_pylist()))
+            n += batch.num_rows
+            if n >= contract:
+                yield out(held)
+                held, n = [], 0
+        if held:
+            yield out(held)
+
+    def rooted(e: DataFrame) -> DataFrame:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+            e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
     e = edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    e = cut_lineage(e.mapInArrow(_contracted, kind).distinct())
+    e = cut_lineage(e)
     state = None
     while True:
         mark = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == state or not mark[0]:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        state = mark
+            return rooted(e)
+        state, tasks = mark, -(-mark[0] // contract)
+        e = e.coalesce(tasks).mapInArrow(contracted, "a long, b long")
+        if tasks == 1:
+            return rooted(cut_lineage(e))
+        e = cut_lineage(e.distinct())
         # large star: neighbours above a node move to its smallest neighbour (or itself)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
@@ -156,5 +167,4 @@ def connected(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below move to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
         below = lookup(large, least, "a", "n", F.col("b"), mark[0]).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        moved = below.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        e = cut_lineage(moved.mapInArrow(_contracted, kind).distinct())
+        e = cut_lineage(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
