@@ -15,8 +15,9 @@ Steps, none of which collects a group in one place or lists its pairs:
 2. Signatures are sorted by value and streamed into member lists, chunked at
    ``CHUNK`` members; equal lists are kept once.
 3. Members hang together in blocks.  A block of at most ``BLOCK`` members is
-   compared by one task; a larger one list by list, every pair of chunks of a
-   list being a task.  Tasks compute exact similarities by counting common
+   compared by one task.  In a larger one all lists of one hub (smallest
+   member) are a task, or, if they are too many, each list for itself, every
+   pair of its chunks being a task.  Tasks compute exact similarities by counting common
    n-grams and return spanning links only.
 4. Links and class memberships give the components.
 
@@ -88,14 +89,14 @@ def bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[:-1]), np.array(high)
 
 
-def signatures(value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) of every set for its own band and the next."""
+def signatures(value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text, own) of every set for its own band (``own``) and the next."""
     low, high = bands(percent)
     size = np.diff(offs)
     of = np.repeat(np.arange(len(size)), size)
     code, place = mix(value ^ C1), mix(value + C1)
     band = np.searchsorted(low, size, "right") - 1
-    out, who = [], []
+    out, who, own = [], [], []
     for step in (0, 1):
         at = np.maximum(band, 0) + step
         k = np.where(size > 0, 2 * high[at] * (100 - percent) // (100 + percent), 0)
@@ -118,9 +119,10 @@ def signatures(value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.nd
         keep = (left > 0) | ~enough[text][:, None]
         out.append(mix(rest ^ mix(name))[keep])
         who.append(np.repeat(text, SUB).reshape(n, SUB)[keep])
+        own.append(np.full(len(who[-1]), step == 0))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out), np.concatenate(who)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(out), np.concatenate(who), np.concatenate(own)
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
@@ -141,23 +143,24 @@ def member_lists(docs: DataFrame, n: int, percent: int, most: int = CHUNK) -> Da
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text", 1 << 21):
-            sig, of = signatures(*shingles(b.column("text"), n), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column("doc_id").take(pa.array(of))], ["sig", "doc"])
+            sig, of, own = signatures(*shingles(b.column("text"), n), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), b.column("doc_id").take(pa.array(of)), pa.array(own)], ["sig", "doc", "own"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows not yet given out
+        sig, doc, own = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # rows not yet given out
         hub, name, chunk = None, 0, 0  # of a list too long to wait for its end
 
         def chunks(size: int, ended: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal sig, doc, chunk
+            nonlocal sig, doc, own, chunk
             while size >= most or (ended and size):
                 k = min(size, most)
                 yield pa.RecordBatch.from_pydict({"gid": [name], "chunk": pa.array([chunk], pa.int32()), "hub": [hub], "members": [doc[:k].tolist()]})
-                sig, doc, size, chunk = sig[k:], doc[k:], size - k, chunk + 1
+                sig, doc, own, size, chunk = sig[k:], doc[k:], own[k:], size - k, chunk + 1
 
         for b in batches:
             sig = np.concatenate([sig, b.column("sig").to_numpy()])
             doc = np.concatenate([doc, b.column("doc").to_numpy()])
+            own = np.concatenate([own, b.column("own").to_numpy(zero_copy_only=False)])
             if hub is not None:
                 size = int(np.searchsorted(sig, name, "right"))
                 ended = size < len(sig)
@@ -167,27 +170,30 @@ def member_lists(docs: DataFrame, n: int, percent: int, most: int = CHUNK) -> Da
             if hub is None and len(sig):
                 last = int(np.searchsorted(sig, sig[-1]))
                 if last:
-                    yield from _closed(sig[:last], doc[:last], most)
-                    sig, doc = sig[last:], doc[last:]
+                    yield from _closed(sig[:last], doc[:last], own[:last], most)
+                    sig, doc, own = sig[last:], doc[last:], own[last:]
                 if len(sig) > most:
                     hub, name, chunk = int(doc[0]), int(sig[0]), 0
                     yield from chunks(len(sig), False)
         if hub is not None:
             yield from chunks(len(sig), True)
         elif len(sig):
-            yield from _closed(sig, doc, most)
+            yield from _closed(sig, doc, own, most)
 
-    signed = docs.select("doc_id", "text").mapInArrow(sign, "sig long, doc long")
+    signed = docs.select("doc_id", "text").mapInArrow(sign, "sig long, doc long, own boolean")
     dealt = signed.repartition(partitions(docs.sparkSession), "sig").sortWithinPartitions("sig", "doc")
     found = dealt.mapInArrow(lists, "gid long, chunk int, hub long, members array<long>")
     return found.dropDuplicates(["gid", "chunk", "hub"])
 
 
-def _closed(sig: np.ndarray, doc: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows of complete lists: short ones named by their members, long ones (in chunks) by their signature."""
+def _closed(sig: np.ndarray, doc: np.ndarray, own: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of complete lists: short ones named by their members, long ones (in chunks) by their signature.
+
+    A list without a set of its own band has only pairs that the band below covers.
+    """
     head = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1])
     size = np.diff(np.append(head, len(sig)))
-    several = size > 1
+    several = (size > 1) & np.logical_or.reduceat(own, head)
     short = several & (size <= most)
     if short.any():
         at = np.flatnonzero(short)
@@ -213,12 +219,17 @@ def comparisons(lists: DataFrame, most: int = BLOCK) -> DataFrame:
     large = block.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("root")
     small = block.join(large, "root", "left_anti").select(F.col("root").alias("task"), F.col("node").alias("doc"))
     crowded = block.join(large, "root").select(F.col("node").alias("hub"))
-    rest = lists.join(crowded, "hub", "left_semi")
+    rest = cut_lineage(lists.join(crowded, "hub", "left_semi"))
+    # in a large block the lists of one hub overlap: together they are a task, if few enough
+    around = cut_lineage(rest.select("hub", F.explode("members").alias("doc")).distinct())
+    busy = around.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("hub")
+    by_hub = around.join(busy, "hub", "left_anti").select(F.xxhash64("hub").alias("task"), "doc")
+    rest = rest.join(busy, "hub", "left_semi")
     chunks = rest.groupBy("gid", "hub").agg((F.max("chunk") + 1).alias("chunks"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     meet = rest.join(chunks, ["gid", "hub"]).select("gid", "hub", "chunk", "members", other.alias("other"))
     name = F.xxhash64("gid", "hub", F.least("chunk", "other"), F.greatest("chunk", "other"))
-    return small.unionByName(meet.select(name.alias("task"), F.explode("members").alias("doc")))
+    return small.unionByName(by_hub).unionByName(meet.select(name.alias("task"), F.explode("members").alias("doc")))
 
 
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
