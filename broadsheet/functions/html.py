@@ -9,6 +9,8 @@ elements, take the container span, tags to spaces, decode entities
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,26 +42,60 @@ def decode_entities(x) -> Column:
     return c
 
 
+def decode_references(x) -> Column:
+    """Decode the named references of HTML 4, ``&apos;`` and all numeric ones (``&amp;`` last)."""
+    names = F.create_map(*[F.lit(v) for k, c in {**name2codepoint, "apos": 39}.items() for v in (k, chr(c))])
+
+    def char(ref: Column) -> Column:
+        body = F.substring(ref, 2, 32).substr(F.lit(1), F.length(ref) - 2)
+        hexa = F.when(body.rlike("^#[xX]"), F.substring(body, 3, 8)).otherwise(F.hex(F.substring(body, 2, 7).cast("long")))
+        code = F.conv(hexa, 16, 10).cast("long")
+        valid = body.rlike("^#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6})$") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(hexa, 8, "0")), "UTF-32")).when(~body.startswith("#"), F.try_element_at(names, body)), ref)
+
+    def decoded(c: Column) -> Column:
+        refs = F.array_distinct(F.regexp_extract_all(c, F.lit("&(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"), 0))
+        last = F.filter(refs, lambda r: r == "&amp;")
+        return F.reduce(F.concat(F.array_remove(refs, "&amp;"), last), c, lambda t, r: F.replace(t, r, char(r)))
+
+    c = _c(x)
+    return F.when(c.contains("&"), decoded(c)).otherwise(c)
+
+
+# what may follow a tag's name
+END = r"(?=[\s/>])"
+
+
 def strip_removed(html) -> Column:
     """Comments and removed elements become a space."""
     c = F.regexp_replace(_c(html), r"(?s)<!--.*?-->", " ")
     for t in REMOVED_TAGS:
-        c = F.regexp_replace(c, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", " ")
+        c = F.regexp_replace(c, rf"(?is)<{t}{END}[^>]*>.*?</{t}\s*>", " ")
+    return c
+
+
+def metadata_source(html) -> Column:
+    """The page without comments, scripts and styles, whose text may look like tags."""
+    c = F.regexp_replace(_c(html), r"(?s)<!--.*?(?:-->|\z)", " ")
+    for t in ("script", "style"):
+        c = F.regexp_replace(c, rf"(?is)<{t}{END}[^>]*>.*?</{t}\s*>", " ")
     return c
 
 
-def regex_safe(html) -> Column:
+def regex_safe(html, stripped=None) -> Column:
     """True when the regex path gives the parser's answer for this page.
 
     Each container / removed tag opens at most once and is closed, no
     unknown entity or numeric reference occurs, comments do not hide inside
-    raw-text elements, and no ``.content``/``#content`` container competes
-    with body when there is no article/main.  The structural tags are
-    collected in one regex pass and counted on that short token list.
+    raw-text elements, no quoted attribute holds a ``>``, and no
+    ``.content``/``#content`` container competes with body when the stripped
+    page (``stripped``, else computed) has no article/main.  The structural
+    tags are collected in one regex pass and counted on that short token list.
     """
     h = _c(html)
+    left = strip_removed(h) if stripped is None else _c(stripped)
     names = "|".join(REMOVED_TAGS + CONTAINERS)
-    toks = F.transform(F.regexp_extract_all(h, F.lit(rf"(?i)</?(?:{names})\b"), 0), lambda t: F.lower(t))
+    toks = F.transform(F.regexp_extract_all(h, F.lit(rf"(?i)</?(?:{names}){END}"), 0), lambda t: F.lower(t))
     ok = F.lit(True)
     for t in REMOVED_TAGS + CONTAINERS:
         opens = F.size(F.filter(toks, lambda x: x == F.lit("<" + t)))
@@ -67,22 +103,20 @@ def regex_safe(html) -> Column:
         ok = ok & (opens <= 1) & (opens == closes)
     ok = ok & ~h.rlike("&(?!" + KNOWN_ENTITY_RE[1:] + ")")
     ok = ok & ~h.rlike(r"(?is)<(script|style)\b[^>]*>(?:(?!</\1).)*?<!--")
-    has_container = h.rlike(r"(?i)<(article|main)\b")
-    content_attr = h.rlike(r"(?i)<[a-z][^>]*\b(class\s*=\s*[\"']?[^\"'>]*\bcontent\b|id\s*=\s*[\"']?content[\"'\s>])")
+    ok = ok & ~h.rlike(r"""<[A-Za-z/][^<>]*=\s*(?:"[^">]*>|'[^'>]*>)""")
+    has_container = left.rlike(rf"(?i)<(article|main){END}")
+    content_attr = left.rlike(r"(?i)<[a-z][^>]*\b(class\s*=\s*[\"']?[^\"'>]*\bcontent\b|id\s*=\s*[\"']?content[\"'\s>])")
     return ok & (has_container | ~content_attr)
 
 
-def main_text_regex(html) -> Column:
-    """B2 regex path: first article, else main, else body, else everything."""
-    s = strip_removed(html)
-    art = F.regexp_extract(s, r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1)
-    main = F.regexp_extract(s, r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1)
-    body = F.regexp_extract(s, r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1)
-    span = (F.when(s.rlike(r"(?i)<article\b"), art)
-            .when(s.rlike(r"(?i)<main\b"), main)
-            .when(s.rlike(r"(?i)<body\b"), body)
-            .otherwise(s))
-    return normalize_whitespace(decode_entities(F.regexp_replace(span, TAG_RE, " ")))
+def container_text(stripped) -> Column:
+    """B2 regex path on a stripped page: first article, else main, else body, else everything."""
+    s = _c(stripped)
+    span = F.lit(None).cast("string")
+    for t, close in (("body", r"(?:</body\s*>|\z)"), ("main", r"</main\s*>"), ("article", r"</article\s*>")):
+        inner = F.regexp_extract(s, rf"(?is)<{t}{END}[^>]*>(.*?){close}", 1)
+        span = F.when(s.rlike(rf"(?i)<{t}{END}"), inner).otherwise(span)
+    return normalize_whitespace(decode_entities(F.regexp_replace(F.coalesce(span, s), TAG_RE, " ")))
 
 
 def _meta_content(html: Column, attr: str, value: str) -> Column:
@@ -93,12 +127,12 @@ def _meta_content(html: Column, attr: str, value: str) -> Column:
     """
     v = rf"(?-i:{value})"
     tag = F.regexp_extract(
-        html, rf"(?is)<meta\b[^>]*\b{attr}\s*=\s*(?:\"{v}\"|'{v}'|{v}(?=[\s/>]))[^>]*>", 0)
+        html, rf"(?is)<meta{END}[^>]*\b{attr}\s*=\s*(?:\"{v}\"|'{v}'|{v}(?=[\s/>]))[^>]*>", 0)
     dq = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"", 1)
     sq = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'([^']*)'", 1)
     raw = (F.when(tag.rlike(r"(?is)\bcontent\s*=\s*\""), dq)
            .when(tag.rlike(r"(?is)\bcontent\s*=\s*'"), sq))
-    return F.when(tag != "", decode_entities(raw))
+    return F.when(tag != "", decode_references(raw))
 
 
 def _truthy_strip(raw: Column) -> Column:
@@ -112,16 +146,15 @@ def page_title(html) -> Column:
     Stripped; NULL when neither exists (callers default to ``Untitled``, and
     treat an empty result the same way).
     """
-    h = _c(html)
-    t = F.when(h.rlike(r"(?is)<title\b[^>]*>(.*?)</title\s*>"),
-               ws_strip(decode_entities(F.regexp_extract(h, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1))))
+    h, pattern = metadata_source(html), rf"(?is)<title{END}[^>]*>(.*?)</title\s*>"
+    t = F.when(h.rlike(pattern), ws_strip(decode_references(F.regexp_extract(h, pattern, 1))))
     og = _truthy_strip(_meta_content(h, "property", "og:title"))
     return F.coalesce(og, t)
 
 
 def page_author(html) -> Column:
     """B1 author: ``article:author`` over ``name=author`` (each only when non-empty)."""
-    h = _c(html)
+    h = metadata_source(html)
     return F.coalesce(_truthy_strip(_meta_content(h, "property", "article:author")),
                       _truthy_strip(_meta_content(h, "name", "author")))
 
@@ -131,7 +164,7 @@ def page_date(html) -> Column:
 
     A blank published_time with no ``name=date`` tag gives ''.
     """
-    h = _c(html)
+    h = metadata_source(html)
     pub = _truthy_strip(_meta_content(h, "property", "article:published_time"))
     alt = _truthy_strip(_meta_content(h, "name", "date"))
     return F.when(F.coalesce(pub, F.lit("")) != "", pub).otherwise(F.coalesce(alt, pub))

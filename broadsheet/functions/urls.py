@@ -24,10 +24,6 @@ USES_NETLOC = ["", "ftp", "http", "gopher", "nntp", "telnet", "imap", "wais",
                "rtsps", "rtspu", "rsync", "svn", "svn+ssh", "sftp", "nfs", "git",
                "git+ssh", "ws", "wss", "itms-services"]
 
-# Path substrings that mark a feed URL.
-FEED_MARKERS = ["/feed", "/rss", "/atom", ".rss", ".atom", ".xml", "/feeds/",
-                "feed.xml", "rss.xml", "atom.xml", "index.xml"]
-
 # One pass splits scheme / netloc / path / query (the fragment is dropped):
 # scheme only when everything before the first ':' is scheme characters,
 # netloc only after '//', path up to the first '?' or '#'.

@@ -18,7 +18,6 @@ Scale notes
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,10 +107,30 @@ def _has_content(df: DataFrame, content_col: str):
     return F.coalesce(F.col(content_col), F.lit("")) != ""
 
 
-def first_title_by_content(latest: DataFrame) -> DataFrame:
-    """Per content hash, the title of the earliest (by first_pos) latest record."""
-    return (latest.groupBy("content_hash")
-            .agg(F.min_by("title", "first_pos").alias("content_title")))
+def _content_matches(batch: DataFrame, latest: DataFrame, has_content) -> DataFrame:
+    """Narrow rows (content_hash, content_title, n): the batch's contents that history has.
+
+    One row per content hash of the batch, with the number of batch rows that
+    carry it, so a content that fills the batch is met once by the history.
+    """
+    wanted = batch.filter(has_content).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
+    return (latest.join(wanted, "content_hash")
+            .groupBy("content_hash").agg(F.min_by("title", "first_pos").alias("content_title"), F.first("n").alias("n")))
+
+
+def _with_matches(batch: DataFrame, latest: DataFrame, content_col: str) -> DataFrame:
+    """``batch`` plus ``url_title`` and ``content_title``: titles of the history records it collides with.
+
+    Both joins split hot keys: a content hash or URL repeated in the batch is
+    looked up from broadcast statistics (see ``skew.lookup_join``).
+    """
+    has_content = _has_content(batch, content_col)
+    urls = batch.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n"))
+    by_url = latest.select("url_hash", F.struct("title").alias("url_seen")).join(urls, "url_hash")
+    by_content = _content_matches(batch, latest, has_content).select("content_hash", F.struct("content_title").alias("content_seen"), "n")
+    j = lookup_join(batch, by_url, "url_hash", "n", "left")
+    j = lookup_join(j, by_content, "content_hash", "n", "left")
+    return j.withColumn("content_seen", F.when(has_content, F.col("content_seen")))
 
 
 def duplicate_lookup(batch: DataFrame, latest: DataFrame, content_col: str = "content") -> DataFrame:
@@ -121,25 +140,19 @@ def duplicate_lookup(batch: DataFrame, latest: DataFrame, content_col: str = "co
     content, a content match (``Content matches existing: {title}`` of the
     first matching record).
     """
-    by_url = latest.select("url_hash", F.col("title").alias("url_title"))
-    by_content = first_title_by_content(latest)
-    has_content = _has_content(batch, content_col)
-    j = (batch.join(by_url, "url_hash", "left")
-         .join(by_content, "content_hash", "left"))
-    reason = (F.when(F.col("url_title").isNotNull(), F.concat(F.lit("URL already seen: "), F.col("url_title")))
-              .when(has_content & F.col("content_title").isNotNull(),
-                    F.concat(F.lit("Content matches existing: "), F.col("content_title"))))
+    j = _with_matches(batch, latest, content_col)
+    reason = (F.when(F.col("url_seen.title").isNotNull(), F.concat(F.lit("URL already seen: "), F.col("url_seen.title")))
+              .when(F.col("content_seen.content_title").isNotNull(),
+                    F.concat(F.lit("Content matches existing: "), F.col("content_seen.content_title"))))
     return (j.withColumn("reason", reason)
             .withColumn("is_dup", F.col("reason").isNotNull())
-            .drop("url_title", "content_title"))
+            .drop("url_seen", "content_seen"))
 
 
 def drop_seen(batch: DataFrame, latest: DataFrame, content_col: str = "content") -> DataFrame:
-    """Rows whose URL and (non-empty) content are both unseen."""
-    has_content = _has_content(batch, content_col)
-    no_url = batch.join(latest.select("url_hash"), "url_hash", "left_anti")
-    with_c = no_url.filter(has_content).join(seen_content_hashes(latest), "content_hash", "left_anti")
-    return with_c.unionByName(no_url.filter(~has_content))
+    """Rows whose URL and (non-empty) content are both unseen (one pass, hot keys split)."""
+    j = _with_matches(batch, latest, content_col)
+    return j.filter(F.col("url_seen").isNull() & F.col("content_seen").isNull()).drop("url_seen", "content_seen")
 
 
 # ---------------------------------------------------------------------- D8
@@ -168,28 +181,15 @@ def _block(undecided: DataFrame, kept: DataFrame, su: DataFrame, sc: DataFrame,
     return j.filter(~blocked).drop("bu", "bc")
 
 
-def _sequential(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Exact first-wins pass over a small, bounded residue (rows sorted by ord)."""
-    pdf = pdf.sort_values("ord", kind="stable")
-    seen_u, seen_c, keep = set(), set(), []
-    for u, cc, rc in zip(pdf["u"], pdf["cc"], pdf["rc"]):
-        if u in seen_u or (cc is not None and cc in seen_c):
-            keep.append(False)
-            continue
-        keep.append(True)
-        seen_u.add(u)
-        seen_c.add(rc)
-    return pd.DataFrame({"ord": pdf["ord"].to_numpy(), "keep": keep})
-
-
-def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: int = 5_000,
-                 min_rounds: int = 1) -> DataFrame:
+def greedy_dedup(rows: DataFrame, force_col: str | None = None) -> DataFrame:
     """D8 (+D9): sequential first-wins dedup over two keys, computed in rounds.
 
-    Input columns: ``ord`` (unique order), ``u`` (url hash), ``cc`` (content
-    hash to check, NULL when the row has no content) and ``rc`` (content hash
-    the row records when accepted); optional boolean ``force_col`` rows are
-    admitted regardless and still record their keys.  Output: ``ord, keep``.
+    Input columns: ``ord`` (unique order, any orderable type), ``u`` (url hash),
+    ``cc`` (content hash to check, NULL when the row has no content) and ``rc``
+    (content hash the row records when accepted); optional boolean
+    ``force_col`` rows are admitted regardless and still record their keys.
+    Output: ``ord, keep``.  A repeated ``ord`` has no defined order and is
+    refused.
 
     Semantics: walking rows by ``ord``, a row is accepted unless an earlier
     *accepted* row has its url hash or recorded its content hash; rejected
@@ -198,15 +198,15 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: i
     before them that could block them is decided), then drops undecided rows
     that share a key with a newly kept, earlier row.  The global first
     undecided row is always kept, so every round makes progress; typical
-    data settles in 2-5 rounds.  Once the undecided set is at most
-    ``residue_limit`` rows (checked by a count) and ``min_rounds`` rounds
-    have run, it is resolved exactly in one sequential pandas task, so
-    adversarial chains do not need one round per link.  Each round's state is
+    data settles in 2-5 rounds, a chain of rows that alternate in url and
+    content takes a round for every second row.  Each round's state is
     checkpointed to the reliable checkpoint folder (lineage stays short and a
     lost executor only re-runs the current round).
     """
     base = cut_lineage(rows.select("ord", "u", "cc", "rc",
                                    (F.col(force_col) if force_col else F.lit(False)).alias("force")))
+    if not base.groupBy("ord").count().filter("count > 1").isEmpty():
+        raise ValueError("dedup rows repeat an ord")
     forced = base.filter("force").select("ord", "u", "rc")
     undecided = base.filter(~F.col("force")).select("ord", "u", "cc", "rc")
     decided = [forced.select("ord", F.lit(True).alias("keep"))]
@@ -214,17 +214,7 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, residue_limit: i
         su0, sc0 = _group_sizes(undecided.unionByName(forced.withColumn("cc", F.col("rc"))))
         undecided = _block(undecided, forced, su0, sc0)
     undecided = cut_lineage(undecided)
-    rnd = 0
-    while True:
-        n = undecided.count()
-        if n == 0:
-            break
-        if n <= residue_limit and rnd >= min_rounds:
-            res = (undecided.withColumn("g", F.lit(0))
-                   .groupBy("g").applyInPandas(lambda p: _sequential(p), "ord long, keep boolean"))
-            decided.append(res)
-            break
-        rnd += 1
+    while n := undecided.count():
         su, sc = _group_sizes(undecided)
         x = lookup_join(undecided, su, "u", "nu", "inner", total=n)
         x = lookup_join(x, sc, "cc", "nc", "left", total=n)

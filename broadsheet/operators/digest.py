@@ -22,6 +22,9 @@ from broadsheet.schemas import DIGEST
 # Mock digest constants.
 MOCK_STORIES = 12
 SECTION = "Other"
+
+# The counts line behind a request's items, around the two counts.
+PAYLOAD_COUNTS = ("共 ", " 条原始输入，上面是 pre-rank 后的 Top ", " 条。")
 UNKNOWN = "unknown"
 UNTAGGED = ["untagged"]
 SOURCE_LABEL = "来源: "
@@ -146,6 +149,19 @@ def payload_item(df: DataFrame) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "true"})
 
 
+def payload_document(items: DataFrame, ranked: DataFrame, group: str) -> DataFrame:
+    """the user part of a digest request per group: the top items as one JSON
+    array in rank order, then a line with the counts of all and of sent items."""
+    total = items.groupBy(group).agg(F.count(F.lit(1)).alias("_all"))
+    each = ranked.select(group, "rank", payload_item(ranked).alias("p"))
+    sent = each.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("rank", "p"))).alias("_p"))  # at most the top k
+    body = F.concat(F.lit("["), F.array_join(F.transform("_p", lambda x: x["p"]), ", "), F.lit("]"))
+    a, b, c = PAYLOAD_COUNTS
+    return sent.join(total, group).select(group, F.concat(
+        F.lit("items = "), body, F.lit("\n\n" + a), F.col("_all").cast("string"), F.lit(b),
+        F.size("_p").cast("string"), F.lit(c)).alias("payload"))
+
+
 def json_string_escape(x: Column) -> Column:
     """JSON string body escaping: backslash, quote and control characters."""
     c = F.replace(x, F.lit("\\"), F.lit("\\\\"))
@@ -164,32 +180,93 @@ def fingerprint(ranked: DataFrame, group: str) -> DataFrame:
     return keys.select(group, F.substring(F.sha2(blob, 256), 1, 16).alias("fingerprint"))
 
 
+def cache_latest(cache: DataFrame) -> DataFrame:
+    """One row per fingerprint of a cache table ``(fingerprint, run, doc)``: the last run's."""
+    return cache.groupBy("fingerprint").agg(F.max_by("doc", F.struct("run", "doc")).alias("doc"), F.max("run").alias("run"))
+
+
 def cache_lookup(fps: DataFrame, cache: DataFrame) -> DataFrame:
-    """Left join of run fingerprints to the cache table ``(fingerprint, doc)``."""
-    return fps.join(cache, "fingerprint", "left").withColumn("hit", F.col("doc").isNotNull())
+    """G4 get: run fingerprints with the cached document, one row each (``hit`` false: none)."""
+    found = cache_latest(cache).select("fingerprint", "doc")
+    return fps.join(found, "fingerprint", "left").withColumn("hit", F.col("doc").isNotNull())
+
+
+def cache_put(cache: DataFrame, made: DataFrame, run: str) -> DataFrame:
+    """G4 put: the cache with this run's documents ``(fingerprint, doc)``; each fingerprint has one row, the newest."""
+    new = made.select("fingerprint", F.lit(run).alias("run"), "doc")
+    return cache_latest(cache.select("fingerprint", "run", "doc").unionByName(new)).select("fingerprint", "run", "doc")
 
 
 # ---------------------------------------------------------------- F7 / F8
 
+def _all_set(x: Column, fields: list[str]) -> Column:
+    ok = F.lit(True)
+    for f in fields:
+        ok = ok & x[f].isNotNull()
+    return ok
+
+
+def _each(xs: Column, test) -> Column:
+    """Every element passes; a list is needed, an empty one is fine."""
+    return F.coalesce(F.forall(xs, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+
 def validate_reply(replies: DataFrame, reply_col: str = "reply") -> DataFrame:
-    """parse a model reply against the document schema and the contract
-    (required fields present, 3..5 bullets, scores in 1..5).  Adds
-    ``parsed`` and ``valid``; callers coalesce invalid replies to the mock."""
+    """parse a model reply against the document schema and the contract.
+
+    All fields are required but those with a default (schema version, notes,
+    a section item's tags, tag index, search summaries, duplicates); stories
+    have 3 to 5 bullets and scores are 1 to 5.  Adds ``parsed`` and ``valid``;
+    :func:`reply_documents` replaces invalid replies.
+    """
     p = replies.withColumn("parsed", F.from_json(F.col(reply_col), DIGEST, {"mode": "PERMISSIVE"}))
     d = F.col("parsed")
+    text = lambda xs: _each(xs, lambda x: x.isNotNull())
+    optional = lambda xs, test: xs.isNull() | _each(xs, test)
 
-    def score_ok(s):
+    def scores(s):
         return F.coalesce(F.forall(F.array(s["importance"], s["credibility"], s["freshness"]),
-                                   lambda v: v.between(1, 5)), F.lit(False))
-
-    story_ok = F.forall(d["top_stories"], lambda s: (
-        s["id"].isNotNull() & s["title"].isNotNull() & s["url"].isNotNull() & s["section"].isNotNull()
-        & s["one_liner"].isNotNull() & s["why_it_matters"].isNotNull()
-        & F.size(s["bullets"]).between(3, 5) & score_ok(s["scores"])))
-    section_ok = F.forall(d["sections"], lambda sec: F.forall(sec["items"], lambda it: score_ok(it["scores"])))
-    valid = (d.isNotNull() & d["stats"].isNotNull() & d["top_stories"].isNotNull() & d["sections"].isNotNull()
-             & F.coalesce(story_ok, F.lit(False)) & F.coalesce(section_ok, F.lit(False)))
-    return p.withColumn("valid", F.coalesce(valid, F.lit(False)))
+                                   lambda v: F.coalesce(v.between(1, 5), F.lit(False))), F.lit(False))
+
+    def story(s):
+        return (_all_set(s, ["id", "title", "subtitle", "url", "source", "date", "section", "one_liner", "why_it_matters", "read_time_min"])
+                & F.size(s["bullets"]).between(3, 5) & text(s["bullets"]) & text(s["action_items"]) & text(s["tags"]) & scores(s["scores"]))
+
+    def item(i):
+        return (_all_set(i, ["ref_id", "title", "url", "source", "date", "one_liner"]) & scores(i["scores"])
+                & optional(i["tags"], lambda x: x.isNotNull()))
+
+    def section(sec):
+        return sec["name"].isNotNull() & _each(sec["items"], item)
+
+    def summary(x):
+        return _all_set(x, ["query_hint", "one_sentence_map"]) & text(x["matching_tags"]) & text(x["top_refs"])
+
+    valid = (d["generated_at"].isNotNull() & _all_set(d["stats"], ["items_in", "items_kept", "top_stories_count", "duplicates_count"])
+             & _each(d["top_stories"], story) & _each(d["sections"], section)
+             & (d["tag_index"].isNull() | _each(F.map_values(d["tag_index"]), text)) & optional(d["search_summaries"], summary)
+             & optional(d["duplicates"], lambda x: _all_set(x, ["title", "url", "merged_into", "reason"])))
+    return p.withColumn("valid", F.coalesce(d.isNotNull() & valid, F.lit(False)))
+
+
+def reply_documents(replies: DataFrame, mock: DataFrame, group: str, reply_col: str = "reply") -> DataFrame:
+    """one document per group of ``mock`` (F5): its reply when valid, with defaults filled in, else the mock.
+
+    ``origin`` tells which.  Of several replies of a group the smallest valid text is taken.
+    """
+    v = validate_reply(replies, reply_col).filter("valid").groupBy(group).agg(F.min_by("parsed", F.col(reply_col)).alias("parsed"))
+    d = F.col("parsed")
+    blank = lambda name: F.coalesce(d[name], F.array().cast(DIGEST[name].dataType))
+    stories = F.transform(d["top_stories"], lambda s: s.withField("notes", F.coalesce(s["notes"], F.lit(""))))
+    sections_ = F.transform(d["sections"], lambda x: x.withField("items", F.transform(x["items"], lambda i: i.withField(
+        "tags", F.coalesce(i["tags"], F.array().cast("array<string>"))))))
+    full = F.struct(F.coalesce(d["schema_version"], F.lit(SCHEMA_VERSION)).alias("schema_version"), d["generated_at"].alias("generated_at"),
+                    d["stats"].alias("stats"), stories.alias("top_stories"), sections_.alias("sections"),
+                    F.coalesce(d["tag_index"], F.create_map().cast("map<string,array<string>>")).alias("tag_index"),
+                    blank("search_summaries").alias("search_summaries"), blank("duplicates").alias("duplicates"))
+    joined = mock.select(group, "digest").join(v, group, "left")
+    return joined.select(group, F.when(d.isNotNull(), "reply").otherwise("mock").alias("origin"),
+                         F.when(d.isNotNull(), full).otherwise(F.col("digest").cast(DIGEST)).alias("digest"))
 
 
 def integrity(doc: DataFrame, group: str) -> DataFrame:

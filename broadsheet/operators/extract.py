@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import library_slug
@@ -26,16 +26,13 @@ def default_tags(tags, default=DEFAULT_TAGS) -> Column:
         F.array(*[F.lit(x) for x in default]))
 
 
-def source_type(df: DataFrame, source_url_col: str = "source_url") -> DataFrame:
-    """``rss`` when the row's source expanded to more than one URL, else ``manual``.
+def source_type(n_entries) -> Column:
+    """``rss`` when the row's source line stands for more than one URL, else ``manual``.
 
-    Counted with a partial aggregation joined back, hot sources broadcast (a
-    huge feed is not gathered into one window or join task).
+    ``n_entries`` is carried by the expansion, so no count is joined back.
     """
-    from broadsheet.operators.skew import lookup_join
-    counts = (df.groupBy(source_url_col).agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("source_type", F.when(F.col("_n") > 1, "rss").otherwise("manual")))
-    return lookup_join(df, counts, source_url_col, "_n", "inner")
+    n = F.col(n_entries) if isinstance(n_entries, str) else n_entries
+    return F.when(n > 1, "rss").otherwise("manual")
 
 
 def quality_gate(word_count) -> Column:

@@ -1,22 +1,21 @@
 """Page extraction job: metadata, main text, extractor choice, word count.
 
-Pages are split by ``regex_safe``: the unambiguous ones (the common case)
-stay in Catalyst; the rest (nested containers, unclosed containers,
+``regex_safe`` marks the unambiguous pages (the common case), which stay in
+Catalyst; the rest (nested containers, unclosed containers,
 ``.content``/``#content`` containers, unusual entities) go through a small
-standard-library ``html.parser`` walk inside ``mapInPandas``, one Arrow batch
-at a time.  Both paths return the same columns and are unioned, so no page
-is dropped and nothing is gathered on the driver.
+standard-library ``html.parser`` walk in a pandas UDF, one Arrow batch at a
+time.  Pages are scanned once and nothing is gathered on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StringType
 
 from broadsheet.functions import html as H
 from broadsheet.functions.text import normalize_whitespace, word_count
@@ -78,20 +77,24 @@ class _TreeBuilder(HTMLParser):
 
 
 def _walk(node):
-    yield node
-    for c in node.children:
-        if isinstance(c, _Node):
-            yield from _walk(c)
-
-
-def _texts(node, out):
-    for c in node.children:
-        if isinstance(c, str):
-            s = c.strip()
-            if s:
+    """Elements in document order, with a stack of their own: nesting may be deeper than Python's."""
+    stack = [node]
+    while stack:
+        n = stack.pop()
+        yield n
+        stack.extend(c for c in reversed(n.children) if isinstance(c, _Node))
+
+
+def _texts(node):
+    """Stripped non-empty strings below a node in document order."""
+    out, stack = [], [node]
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            if s := n.strip():
                 out.append(s)
         else:
-            _texts(c, out)
+            stack.extend(reversed(n.children))
     return out
 
 
@@ -110,48 +113,30 @@ def parse_main_text(html: str) -> str:
     pick = pick or next((n for n in nodes if n.attrs.get("id") == "content"), None)
     pick = pick or next((n for n in nodes if n.tag == "body"), None)
     pick = pick or b.root
-    return " ".join(" ".join(_texts(pick, [])).split())
+    return " ".join(" ".join(_texts(pick)).split())
 
 
-def _parser_batches(html_col: str, out: str):
-    """mapInPandas body: append the parser-path text to each row of the batch."""
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            pdf[out] = [parse_main_text(h) for h in pdf[html_col]]
-            yield pdf
-    return run
+@F.pandas_udf(StringType())
+def parser_text(html: pd.Series) -> pd.Series:
+    """The parser path over an Arrow batch; null (a page that does not need it) stays null."""
+    return html.map(lambda h: None if h is None else parse_main_text(h))
 
 
-def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallback_text",
-                   key: str = "ord") -> DataFrame:
-    """B2: add the fallback extractor's text for every page.
+def with_main_text(pages: DataFrame, html_col: str = "html", out: str = "fallback_text") -> DataFrame:
+    """B2: add the fallback extractor's text for every page, in one pass over the pages.
 
-    Regex-safe pages stay in Catalyst; the others carry their own columns
-    through one ``mapInPandas`` pass that appends the parser text, so there is
-    no join back and the pages are scanned once per path.  (``key`` is kept
-    for callers; rows need no unique key.)
+    Regex-safe pages stay in Catalyst; only the HTML of the others is sent to
+    Python (null stands for the rest).
     """
-    p = pages.withColumn("_safe", F.coalesce(H.regex_safe(F.col(html_col)), F.lit(True)))
-    fast = (p.filter("_safe")
-            .withColumn("_s", H.strip_removed(F.col(html_col)))
-            .withColumn("_span",
-                        F.when(F.col("_s").rlike(r"(?i)<article\b"),
-                               F.regexp_extract("_s", r"(?is)<article\b[^>]*>(.*?)</article\s*>", 1))
-                        .when(F.col("_s").rlike(r"(?i)<main\b"),
-                              F.regexp_extract("_s", r"(?is)<main\b[^>]*>(.*?)</main\s*>", 1))
-                        .when(F.col("_s").rlike(r"(?i)<body\b"),
-                              F.regexp_extract("_s", r"(?is)<body\b[^>]*>(.*?)(?:</body\s*>|\z)", 1))
-                        .otherwise(F.col("_s")))
-            .withColumn(out, normalize_whitespace(H.decode_entities(F.regexp_replace("_span", H.TAG_RE, " "))))
-            .drop("_s", "_span", "_safe"))
-    slow_rows = p.filter(~F.col("_safe")).drop("_safe")
-    schema = T.StructType(slow_rows.schema.fields + [T.StructField(out, T.StringType(), True)])
-    slow = slow_rows.mapInPandas(_parser_batches(html_col, out), schema)
-    return fast.unionByName(slow)
+    p = pages.withColumn("_s", H.strip_removed(F.col(html_col)))
+    p = p.withColumn("_safe", F.coalesce(H.regex_safe(F.col(html_col), F.col("_s")), F.lit(True)))
+    fast = F.when(F.col("_safe"), H.container_text("_s"))
+    slow = parser_text(F.when(~F.col("_safe"), F.col(html_col)))
+    return p.withColumn("_slow", slow).withColumn(out, F.when(F.col("_safe"), fast).otherwise(F.col("_slow"))).drop("_s", "_safe", "_slow")
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html",
-                  primary: Callable[[Column], Column] | None = None, key: str = "ord") -> DataFrame:
+                  primary: Callable[[Column], Column] | None = None) -> DataFrame:
     """title/author/published_date, text, word_count for each page.
 
     ``primary`` is an optional column function for a preferred extractor; its
@@ -160,7 +145,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html",
     page uses B2.  Empty pages give text '' and 0 words; titles default to
     ``Untitled``.
     """
-    df = with_main_text(pages, html_col, "_fallback", key)
+    df = with_main_text(pages, html_col, "_fallback")
     if primary is not None:
         prim = primary(F.col(html_col))
         chosen = F.when(prim.isNull() | (F.length(F.trim(prim)) < 100), F.col("_fallback")).otherwise(prim)

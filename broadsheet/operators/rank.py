@@ -74,17 +74,6 @@ def pre_rank(items: DataFrame, as_of: str, top_k: int = 30, snippet_col: str | N
         Window.orderBy(F.col("score").desc(), F.col("ord").asc())))
 
 
-def head_k(ranked: DataFrame, k: int = 12) -> DataFrame:
-    """First ``k`` of an already ranked frame."""
-    return ranked.filter(F.col("rank") <= k)
-
-
-def per_group_limit(df: DataFrame, group_col: str, order_col: str, n: int) -> DataFrame:
-    """C4: first ``n`` rows per group by position (window group limit)."""
-    w = Window.partitionBy(group_col).orderBy(order_col)
-    return df.withColumn("_pos", F.row_number().over(w)).filter(F.col("_pos") <= n).drop("_pos")
-
-
 def rolling_window(items: DataFrame, day: str, days: int = 7) -> DataFrame:
     """Keep items dated in ``[day - (days-1), day]``; undated items are dropped."""
     d = F.to_date(parse_loose_date(F.col("date")))

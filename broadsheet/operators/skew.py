@@ -3,11 +3,12 @@
 Per-key statistics (one row per key: a group minimum, a winner, a count)
 are joined back to the rows they summarise.  When one key holds a large
 share of the rows, a plain shuffle join sends all of them to one task.
-``lookup_join`` splits the work: keys whose group is *hot* (more than
-``total / max_hot_keys`` rows, and at least ``min_hot`` rows) are joined by
-broadcasting their statistics -- at most ``max_hot_keys`` rows, since the
-group sizes sum to ``total`` -- and every other key takes the usual shuffle
-join, which then holds no hot key.  No row is dropped or sampled.
+``lookup_join`` splits the work: keys whose group holds at least
+``1 / MAX_HOT_KEYS`` of all rows are joined by broadcasting their statistics
+-- at most ``MAX_HOT_KEYS`` rows, since the group sizes sum to the total --
+and every other key takes the usual shuffle join.  The share alone decides,
+so small and large inputs, and narrow and wide rows, go the same way.  No row
+is dropped or sampled.
 """
 
 from __future__ import annotations
@@ -16,31 +17,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
-MIN_HOT_ROWS = 100_000
 
 
 def lookup_join(rows: DataFrame, stats: DataFrame, key: str, count_col: str,
-                how: str = "left", max_hot_keys: int | None = None, min_hot: int | None = None,
-                total: int | None = None) -> DataFrame:
+                how: str = "left", total: int | None = None) -> DataFrame:
     """``rows JOIN stats ON key`` (``how`` = left or inner) with hot keys broadcast.
 
     ``stats`` has one row per key and ``count_col`` = the key's group size.
-    The threshold ``sum(sizes) / max_hot_keys`` is a scalar subquery, so the
-    plan stays lazy and the broadcast side is provably at most
-    ``max_hot_keys`` rows.  When the caller knows the row count (``total``)
-    and it is below ``min_hot``, no key can be hot and a plain join is used.
+    ``total`` is the number of rows if the caller knows it (more is allowed:
+    fewer keys are hot then); else it is summed in a scalar subquery, so the
+    plan stays lazy.  Hot rows leave the shuffle join: they get a lane of
+    their own that no cold key has.
     """
     assert how in ("left", "inner")
-    max_hot_keys = MAX_HOT_KEYS if max_hot_keys is None else max_hot_keys
-    min_hot = MIN_HOT_ROWS if min_hot is None else min_hot
-    if total is not None and total < min_hot:
-        # a known row count below the hot size: no key can be hot
-        return rows.join(stats.drop(count_col), key, how)
-    total_col = stats.select(F.sum(count_col)).scalar()
-    limit = F.greatest(F.lit(min_hot), F.floor(total_col / F.lit(max_hot_keys)) + 1)
-    hot = stats.filter(F.col(count_col) >= limit).drop(count_col)
-    cold = stats.filter(~(F.col(count_col) >= limit)).drop(count_col)
-    hot_keys = F.broadcast(hot.select(key))
-    hot_part = rows.join(F.broadcast(hot), key, "inner")
-    cold_part = rows.join(hot_keys, key, "left_anti").join(cold, key, how)
-    return hot_part.unionByName(cold_part)
+    limit = stats.select(F.sum(count_col)).scalar() if total is None else F.lit(total)
+    is_hot = F.col(count_col) * MAX_HOT_KEYS >= limit
+    fields = [c for c in stats.columns if c not in (key, count_col)]
+    packed = stats.select(F.col(key).alias("_key"), F.struct(F.lit(1).alias("_"), *fields).alias("_stat"), is_hot.alias("_is_hot"))
+    hot = F.broadcast(packed.filter("_is_hot").select("_key", F.col("_stat").alias("_hot")))
+    cold = packed.filter(~F.col("_is_hot")).select("_key", "_stat", F.lit(0).alias("_cold_lane"))
+    marked = rows.join(hot, F.col(key) == F.col("_key"), "left").drop("_key")
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(4096)).cast("int") + 1
+    marked = marked.withColumn("_lane", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), spread).otherwise(0))
+    j = marked.join(cold, (F.col(key) == F.col("_key")) & (F.col("_lane") == F.col("_cold_lane")), "left")
+    j = j.withColumn("_s", F.coalesce("_hot", "_stat"))
+    if how == "inner":
+        j = j.filter(F.col("_s").isNotNull())
+    return j.select(*rows.columns, *[F.col("_s").getField(c).alias(c) for c in fields])

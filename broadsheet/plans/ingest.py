@@ -21,6 +21,7 @@ from broadsheet.functions.urls import with_url_hash
 from broadsheet.operators import dedup as DD
 from broadsheet.operators import extract as X
 from broadsheet.operators.pages import extract_pages
+from broadsheet.operators.skew import lookup_join
 from broadsheet.operators.summarize import mock_summary
 from broadsheet.session import cut_lineage
 from broadsheet.sinks.library import library_rows, write_library
@@ -34,9 +35,22 @@ class IngestResult:
     seen: DataFrame          # seen records of the accepted articles
 
 
-def pages_by_url(pages: DataFrame) -> DataFrame:
-    """The fetched HTML per URL (first page row per URL, partial aggregation)."""
-    return pages.groupBy("url").agg(F.min_by("html", "ord").alias("html"))
+# A table of page keys up to this size may be broadcast to the page scan.
+BROADCAST_BYTES = 32 << 20
+
+
+def wanted_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """``(url, html)`` of the wanted URLs, each from its first page row.
+
+    The first row per URL is found on ``(url, ord)`` alone, for wanted URLs
+    only.  Those keys are materialised and measured: up to ``BROADCAST_BYTES``
+    they are broadcast to the page scan, so the HTML of other pages is never
+    shuffled; beyond, pages and keys meet in a shuffle join.
+    """
+    keys = cut_lineage(pages.select("url", "ord").join(urls.select("url").distinct(), "url", "left_semi")
+                       .groupBy("url").agg(F.min("ord").alias("ord")))
+    size = keys.agg(F.sum(F.octet_length("url") + 32)).first()[0] or 0
+    return pages.select("url", "ord", "html").join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, ["url", "ord"]).select("url", "html")
 
 
 def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame | None,
@@ -44,29 +58,29 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
                  force_col: str | None = None, seen_log: DataFrame | None = None) -> IngestResult:
     """I1 (without writing): outcome per expanded URL plus the rows to store.
 
-    ``expanded``: ``(ord, source_url, url)`` from :func:`expand_sources`;
+    ``expanded``: ``(ord, source_url, url, n_entries)`` from :func:`expand_sources`;
     ``pages``: ``(ord, url, html)``; ``seen_latest``: resolved history (or
     None for a first run); alternatively ``seen_log``: raw seen records with a
     ``pos`` column, resolved only around this batch's keys
     (:func:`seen_latest_for`).  ``fetched_at`` is the run's timestamp parameter.
     """
-    typed = X.source_type(expanded, "source_url")
-    urls = typed.select("url").distinct()
-    fetched = urls.join(pages_by_url(pages), "url", "left")
-    got = fetched.filter(F.col("html").isNotNull())
-    ext = (extract_pages(got, "html", key="url")
+    got = wanted_pages(pages, expanded).filter(F.col("html").isNotNull())
+    ext = (extract_pages(got, "html")
            .select("url", "title", "author", "published_date", "text", "word_count"))
-    rows = typed.join(ext, "url", "left")
-    rows = with_url_hash(rows, "url", "url_hash").withColumn("content_hash", content_hash(F.col("text")))
-    # the extracted batch is read by the dedup branch and by the outcome join:
-    # materialise it once in the reliable checkpoint folder
-    rows = cut_lineage(rows)
-    fetch_error = F.col("text").isNull()
+    # extracted once per URL and materialised; the text stays here until rows are accepted
+    ext = cut_lineage(ext.dropDuplicates(["url"]).withColumn("content_hash", content_hash(F.col("text"))))
+    per_url = expanded.groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    facts = ext.select("url", "title", "author", "published_date", "word_count", "content_hash",
+                       F.col("text").isNotNull().alias("has_text"), (F.coalesce("text", F.lit("")) != "").alias("has_content"))
+    typed = expanded.withColumn("source_type", X.source_type("n_entries"))
+    rows = lookup_join(typed, facts.join(per_url, "url"), "url", "n", "left")
+    rows = cut_lineage(with_url_hash(rows, "url", "url_hash"))
+    fetch_error = ~F.coalesce("has_text", F.lit(False))
     gate = X.quality_gate(F.col("word_count"))
     cand = rows.filter(~fetch_error & gate.isNull())
     forced = F.col(force_col) if force_col else F.lit(False)
     cand = cand.withColumn("_force", F.coalesce(forced, F.lit(False)))
-    keys = cand.select("ord", "url_hash", "content_hash", F.col("text").alias("content"), "_force")
+    keys = cand.select("ord", "url_hash", "content_hash", F.col("has_content").alias("content"), "_force")
     if seen_latest is None and seen_log is not None:
         seen_latest = DD.seen_latest_for(seen_log, keys)
     if seen_latest is not None:
@@ -87,14 +101,13 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
         .when(gate.isNotNull(), gate).alias("error"),
         F.when(success, F.col("stored_path")).alias("stored_path"),
         F.when(~fetch_error & gate.isNull(), F.col("title")).alias("title"))
-    accepted = (out.filter(success)
-                .withColumn("tags", F.array(*[F.lit(t) for t in default_tags]))
+    accepted = (out.filter(success).join(ext.select("url", "text"), "url")
+                .withColumn("tags", X.default_tags(F.lit(None).cast("array<string>"), default_tags))
                 .withColumn("source", F.col("source_type"))
                 .withColumn("content", F.col("text"))
                 .withColumn("summary", mock_summary(F.col("text"), F.col("title")))
                 .withColumn("batch_id", F.lit(batch_id)))
-    return IngestResult(outcomes, library_rows(accepted),
-                        seen_records(accepted.withColumn("source_type", F.col("source_type"))))
+    return IngestResult(outcomes, library_rows(accepted), seen_records(accepted))
 
 
 def run_summary(outcomes: DataFrame) -> DataFrame:
@@ -103,14 +116,18 @@ def run_summary(outcomes: DataFrame) -> DataFrame:
                         F.count_if(~F.col("success") & ~F.col("skipped")).alias("errors"))
 
 
-def dry_run(pages: DataFrame, seen_latest: DataFrame | None, default_tags=X.DEFAULT_TAGS) -> DataFrame:
+def dry_run(pages: DataFrame, seen_latest: DataFrame | None, default_tags=X.DEFAULT_TAGS,
+            force_col: str | None = None) -> DataFrame:
     """Single-URL ingest of each page without sinks: what would be written.
 
-    Single mode warns (instead of rejecting) under 50 words; a duplicate of
-    history is reported with its reason.
+    Single mode warns (instead of rejecting) under 50 words.  A duplicate of
+    history is reported with its reason and would not be stored, unless the
+    row is forced: then it is stored and not checked.
     """
     e = extract_pages(pages, "html")
     e = with_url_hash(e, "url", "url_hash").withColumn("content_hash", content_hash(F.col("text")))
+    forced = F.coalesce(F.col(force_col), F.lit(False)) if force_col else F.lit(False)
+    e = e.withColumn("forced", forced)
     if seen_latest is not None:
         e = DD.duplicate_lookup(e, seen_latest, "text")
     else:
@@ -119,8 +136,9 @@ def dry_run(pages: DataFrame, seen_latest: DataFrame | None, default_tags=X.DEFA
                     "word_count", F.array_join(F.array(*[F.lit(t) for t in default_tags]), ", ").alias("tags"),
                     F.substring("url_hash", 1, 16).alias("url_hash16"),
                     F.substring("content_hash", 1, 16).alias("content_hash16"),
-                    (F.col("word_count") < X.MIN_WORDS).alias("low_content_warning"),
-                    "is_dup", "reason")
+                    (F.col("word_count") < X.MIN_WORDS).alias("low_content_warning"), "forced",
+                    (F.col("is_dup") & ~F.col("forced")).alias("is_dup"),
+                    F.when(~F.col("forced"), F.col("reason")).alias("reason"))
 
 
 def write_batch(result: IngestResult, library_path: str, seen_path: str) -> None:

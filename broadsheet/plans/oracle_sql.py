@@ -20,9 +20,9 @@ def _sel(items: list[str]) -> str:
 
 
 TEXTS = """texts AS (
-  SELECT 'documents' AS tbl, doc_id AS id, text FROM documents
-  UNION ALL SELECT 'conversations', conv_id * 1000 + turn, text FROM conversations
-  UNION ALL SELECT 'benchmark', item_id, text FROM benchmark)"""
+  SELECT 'documents' AS tbl, CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  UNION ALL SELECT 'conversations', conv_id || ':' || turn, text FROM conversations
+  UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), text FROM benchmark)"""
 
 URLS = """urls AS (
   SELECT 'art' AS tbl, ord, url FROM art
@@ -126,8 +126,6 @@ FROM r JOIN w USING (content_hash) WHERE r.ord <> w.winner_ord""".replace("\n,\n
 oracle("storage_path", _with(Q.ART) + f"SELECT ord, {Q.storage_path('title', 'fetched_at')} AS stored_path FROM art")
 oracle("slug", _with(Q.ART) + f"SELECT 'art' AS tbl, ord, {Q.lib_slug('title')} AS slug FROM art")
 oracle("story_id", _with(Q.ART) + f"SELECT ord, {Q.story_id('title', 'ord')} AS story_id FROM art")
-oracle("source_type", _with(Q.ART) + """
-SELECT ord, CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM art""")
 oracle("tag_default", _with(Q.ART) + """
 SELECT ord, CASE WHEN tags[1] <> 'en' THEN tags[1] ELSE 'reading-list' END AS tags FROM art""")
 
@@ -178,6 +176,11 @@ FROM lib""".replace("\n,\ntot AS", ",\ntot AS"))
 oracle("library_for_date", _with(Q.ART, KEYED, LIB) + """
 SELECT ord, title, url, fetched_at, word_count FROM lib
 WHERE year = '2024' AND month = '01' AND CAST(fetched_at AS DATE) = DATE '2024-01-01'""")
+oracle("library_stored", _with(Q.ART, KEYED, LIB) + """
+SELECT url_hash, title, url, fetched_at, word_count, source FROM lib WHERE CAST(fetched_at AS DATE) = DATE '2024-01-01'""")
+oracle("fetch_order", _with(Q.ART, KEYED, LIB) + """
+SELECT CAST(fetched_at AS DATE) AS day, fetched_at, url_hash,
+       row_number() OVER (PARTITION BY CAST(fetched_at AS DATE) ORDER BY fetched_at, url_hash) AS position FROM lib""")
 oracle("library_items", _with(Q.ART, KEYED, LIB) + """
 SELECT url_hash, title, url, source, coalesce(nullif(published_date, ''), strftime(fetched_at, '%Y-%m-%d')) AS date,
        array_to_string(tags, ',') AS tags FROM lib""")
@@ -209,6 +212,12 @@ oracle("digest_payload", DG_HEAD + """
 SELECT day, rank, to_json({'title': title, 'url': url, 'source': source, 'date': date,
   'content': CASE WHEN length(content) > 3000 THEN substr(content, 1, 3000) || '…' ELSE content END,
   'tags': coalesce(tags, [])}) AS payload FROM ranked""")
+oracle("digest_request", DG_HEAD + """
+SELECT r.day, 'items = [' || string_agg(to_json({'title': title, 'url': url, 'source': source, 'date': date,
+  'content': CASE WHEN length(content) > 3000 THEN substr(content, 1, 3000) || '…' ELSE content END,
+  'tags': coalesce(tags, [])}), ', ' ORDER BY rank) || ']' || chr(10) || chr(10) || '共 ' || any_value(n.n)
+  || ' 条原始输入，上面是 pre-rank 后的 Top ' || count(*) || ' 条。' AS payload
+FROM ranked r JOIN (SELECT day, count(*) AS n FROM items GROUP BY day) n ON n.day = r.day GROUP BY r.day""")
 oracle("items_fingerprint", DG_HEAD + Q.fingerprint_sql("ranked"))
 oracle("cache_lookup", DG_HEAD + f""",
 hitems AS (SELECT * FROM items WHERE coalesce(ord IN (SELECT ord FROM lib WHERE coalesce(published_date < '2024-01-17', false)), false)),
@@ -219,6 +228,16 @@ hranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER B
 cur AS ({Q.fingerprint_sql('ranked')}),
 hist_fp AS ({Q.fingerprint_sql('hranked')})
 SELECT day, fingerprint, fingerprint IN (SELECT fingerprint FROM hist_fp) AS hit FROM cur""".replace("\n,\nhitems", ",\nhitems"))
+oracle("cache_put", ORACLE["cache_lookup"].rsplit("SELECT day, fingerprint, fingerprint IN", 1)[0] + """
+SELECT fingerprint, max(run) AS run, arg_max(run || ':' || CAST(day AS VARCHAR), run) AS doc
+FROM (SELECT fingerprint, 'r1' AS run, day FROM hist_fp UNION ALL SELECT fingerprint, 'r2', day FROM cur) GROUP BY fingerprint""")
+oracle("reply_fallback", DG_HEAD + """
+SELECT day, CASE WHEN day(day) % 2 = 0 THEN 'reply' ELSE 'mock' END AS origin,
+       CASE WHEN day(day) % 2 = 0 THEN '2024-02-02' ELSE '2024-02-01' END AS generated_at, CAST(count(*) AS INTEGER) AS n_stories
+FROM cards GROUP BY day""")
+oracle("digest_written", DG_HEAD + """
+SELECT i.day, 'v1' AS schema_version, '2024-02-01' AS generated_at, CAST(i.n AS INTEGER) AS items_in, CAST(c.n AS INTEGER) AS n_stories
+FROM (SELECT day, count(*) AS n FROM items GROUP BY day) i JOIN (SELECT day, count(*) AS n FROM cards GROUP BY day) c USING (day)""")
 oracle("digest_validate", DG_HEAD + "SELECT day, true AS valid, CAST(count(*) AS INTEGER) AS n_stories FROM cards GROUP BY day")
 oracle("digest_integrity", DG_HEAD + """
 SELECT day, false AS search_summaries_ok,
@@ -242,11 +261,13 @@ oracle("hint_search", DG_HEAD + ",\n" + TERMS + """,
 hints AS (SELECT day, tag AS query_hint, [tag] AS matching_tags, list(id ORDER BY rank) AS top_refs FROM tidx GROUP BY day, tag)
 SELECT h.day, t.term, h.query_hint, unnest(h.top_refs) AS ref_id FROM hints h, terms t
 WHERE contains(lower(h.query_hint), t.q) OR len(list_filter(h.matching_tags, lambda x: contains(lower(x), t.q))) > 0""")
-oracle("tag_filter", DG_HEAD + """
-SELECT day, rank, id, 'all' AS tag FROM cards
+oracle("tag_filter", DG_HEAD + """,
+rows_ AS (SELECT day, 'story' AS kind, CAST(rank AS VARCHAR) AS place, id FROM cards
+         UNION ALL SELECT day, 'section', section, id FROM cards)
+SELECT day, kind, place, id, 'all' AS tag FROM rows_
 UNION ALL
-SELECT c.day, c.rank, c.id, i.tag FROM cards c
-JOIN (SELECT DISTINCT day, tag, id FROM tidx WHERE tag IN ('en', 'src3', 'no-such-tag')) i ON i.day = c.day AND i.id = c.id""")
+SELECT c.day, c.kind, c.place, c.id, i.tag FROM rows_ c
+JOIN (SELECT DISTINCT day, tag, id FROM tidx WHERE tag IN ('en', 'src3', 'no-such-tag')) i ON i.day = c.day AND i.id = c.id""".replace("\n,\nrows_", ",\nrows_"))
 oracle("facets", DG_HEAD + """
 SELECT day, tag, row_number() OVER (PARTITION BY day ORDER BY tag) AS pos FROM (SELECT DISTINCT day, tag FROM tidx)""")
 oracle("section_facets", DG_HEAD + "SELECT day, section AS name, count(*) AS items FROM cards GROUP BY day, section")
@@ -266,47 +287,68 @@ fitems AS (
          coalesce(nullif(t, ''), 'Untitled') AS title, url AS link, NULL::VARCHAR AS published,
          min(ord) OVER (PARTITION BY feed_url) AS first_ord FROM fe),
 exp AS (
-  SELECT first_ord * 1048576 + pos AS ord, first_ord AS source_ord, pos, feed_url AS source_url, link AS url FROM fitems
+  SELECT first_ord AS source_ord, pos, feed_url AS source_url, link AS url, count(*) OVER (PARTITION BY feed_url) AS n_entries FROM fitems
   UNION ALL
-  SELECT (ord + 1000000000) * 1048576, ord + 1000000000, 0, url, url FROM pg)"""
+  SELECT ord + 1000000000, 0, url, url, 1 FROM pg)"""
 
 oracle("src_list", _with(Q.PG, FEEDS) + """
 SELECT DISTINCT first_ord AS source_ord, feed_url AS source_url FROM fitems
 UNION ALL SELECT ord + 1000000000, url FROM pg""")
 oracle("feed_items", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, published FROM fitems")
 oracle("feed_limit", _with(Q.PG, FEEDS) + "SELECT feed_url, pos, title, link, published FROM fitems WHERE pos < 1")
-oracle("expand_sources", _with(Q.PG, FEEDS) + "SELECT ord, source_ord, pos, source_url, url FROM exp")
+oracle("expand_sources", _with(Q.PG, FEEDS) + "SELECT source_ord, pos, source_url, url, n_entries FROM exp")
+oracle("source_type", _with(Q.PG, FEEDS) + """
+SELECT source_ord, pos, url, CASE WHEN count(*) OVER (PARTITION BY source_ord) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM exp""")
 oracle("items_scan", _with(Q.ART) + """
 SELECT source, CAST(floor(ord / 100) AS BIGINT) AS part, true AS valid,
        CAST(row_number() OVER (PARTITION BY source, floor(ord / 100) ORDER BY ord) - 1 AS INTEGER) AS pos,
        title, url, date FROM art""")
 
-INGEST = _with(Q.PG, FEEDS) + f""",
-typed AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY source_url) > 1 THEN 'rss' ELSE 'manual' END AS source_type FROM exp),
+def _ingest_sql(history: bool) -> str:
+    """Outcomes of the sources file as ``outc``; with history every seventh page is in the log and every eleventh line forced."""
+    log = f"""hx AS (SELECT ord, url, html FROM pg WHERE {'ord % 7 = 0' if history else 'false'}),
+{Q.extract_cte('hx', 'hex')},
+hist AS (SELECT ord, title, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash
+         FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM hex))"""
+    forced = "source_ord >= 1000000000 AND source_ord % 11 = 0" if history else "false"
+    sql = _with(Q.PG, FEEDS, log) + f""",
+typed AS (SELECT *, row_number() OVER (ORDER BY source_ord, pos) AS ord FROM exp),
 pbu AS (SELECT 0 AS ord, url, arg_min(html, ord) AS html FROM pg GROUP BY url),
 {Q.extract_cte('pbu', 'ex')},
 rows AS (SELECT t.*, e.title, e.text, e.word_count FROM typed t LEFT JOIN ex e USING (url)),
-k2 AS (SELECT ord, url, title, text, word_count, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash
+k2 AS (SELECT ord, source_ord, pos, url, title, text, word_count, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash
        FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM rows)),
 keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(text, '') <> '' THEN content_hash END AS cc,
-                content_hash AS rc, false AS forced FROM k2 WHERE text IS NOT NULL AND word_count >= 50),
-{Q.walk_ctes('keys')},
+                content_hash AS rc, {forced} AS forced FROM k2 WHERE text IS NOT NULL AND word_count >= 50),
+{Q.walk_ctes('keys', "coalesce((SELECT list(url_hash) FROM hist), []::VARCHAR[])", "coalesce((SELECT list(content_hash) FROM hist), []::VARCHAR[])")},
 outc AS (
-  SELECT r.ord, r.url, coalesce(w.keep, false) AS success,
+  SELECT r.source_ord, r.pos, r.url, coalesce(w.keep, false) AS success,
          (r.text IS NOT NULL AND r.word_count >= 50 AND NOT coalesce(w.keep, false)) AS skipped,
          CASE WHEN r.text IS NULL THEN 'Failed to fetch URL: ' || r.url
               WHEN r.word_count < 50 THEN 'Too little content extracted' END AS error,
          CASE WHEN coalesce(w.keep, false) THEN {Q.storage_path('r.title', "TIMESTAMP '2024-02-01 08:00:00'")} END AS stored_path,
          CASE WHEN r.text IS NOT NULL AND r.word_count >= 50 THEN r.title END AS title
   FROM k2 r LEFT JOIN (SELECT ord, keep FROM walk WHERE i > 0) w ON w.ord = r.ord)
-""".replace("\n,\ntyped", ",\ntyped")
-oracle("ingest_batch", INGEST.replace("WITH ", "WITH RECURSIVE ", 1) + "SELECT * FROM outc")
-oracle("run_summary", INGEST.replace("WITH ", "WITH RECURSIVE ", 1) + """
+"""
+    return sql.replace("\n,\ntyped", ",\ntyped").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+INGEST = _ingest_sql(True)
+oracle("ingest_batch", INGEST + "SELECT * FROM outc")
+oracle("run_summary", INGEST + """
 SELECT count(*) FILTER (WHERE success) AS ingested, count(*) FILTER (WHERE skipped) AS skipped,
        count(*) FILTER (WHERE NOT success AND NOT skipped) AS errors FROM outc""")
-oracle("ingest_dry_run", _with(Q.PG, Q.extract_cte('pg', 'ex')) + f"""
+oracle("ingest_dry_run", _with(Q.PG, Q.extract_cte('pg', 'ex')) + f""",
+k AS (SELECT *, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash, ord % 11 = 0 AS forced
+      FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM ex)),
+recs AS (SELECT * FROM k WHERE ord % 7 = 0),
+latest AS (SELECT url_hash, min(ord) AS first_pos, arg_max(title, ord) AS title, arg_max(content_hash, ord) AS content_hash FROM recs GROUP BY url_hash),
+byc AS (SELECT content_hash, arg_min(title, first_pos) AS content_title FROM latest GROUP BY content_hash),
+why AS (SELECT k.*, CASE WHEN l.title IS NOT NULL THEN 'URL already seen: ' || l.title
+          WHEN coalesce(k.text, '') <> '' AND c.content_title IS NOT NULL THEN 'Content matches existing: ' || c.content_title END AS reason0
+        FROM k LEFT JOIN latest l ON l.url_hash = k.url_hash LEFT JOIN byc c ON c.content_hash = k.content_hash)
 SELECT ord, url, title, coalesce(author, 'Unknown') AS author, word_count, 'reading-list' AS tags,
-       substr(sha256(u_norm), 1, 16) AS url_hash16, substr({Q.content_hash('text')}, 1, 16) AS content_hash16,
-       word_count < 50 AS low_content_warning, false AS is_dup, NULL::VARCHAR AS reason
-FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM ex)""")
-oracle("incremental_ingest", ORACLE["ingest_batch"])
+       substr(url_hash, 1, 16) AS url_hash16, substr(content_hash, 1, 16) AS content_hash16,
+       word_count < 50 AS low_content_warning, forced, (reason0 IS NOT NULL AND NOT forced) AS is_dup,
+       CASE WHEN NOT forced THEN reason0 END AS reason FROM why""".replace("\n,\nk AS", ",\nk AS"))
+oracle("incremental_ingest", _ingest_sql(False) + "SELECT * FROM outc")

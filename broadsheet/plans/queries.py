@@ -17,6 +17,7 @@ from broadsheet.functions import dates as D
 from broadsheet.functions import text as TX
 from broadsheet.functions import urls as U
 from broadsheet.operators import rank as R
+from broadsheet.schemas import DIGEST
 from broadsheet.session import cut_lineage
 from broadsheet.sources import tables as S
 
@@ -31,13 +32,13 @@ def query(name: str):
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All free text of the provided tables as (tbl, id, text)."""
+    """All free text of the provided tables as (tbl, id, text); ids are text, a conversation's turn has its own."""
     docs = S.read_table(spark, sf_dir, "documents").select(
-        F.lit("documents").alias("tbl"), F.col("doc_id").alias("id"), "text")
+        F.lit("documents").alias("tbl"), F.col("doc_id").cast("string").alias("id"), "text")
     conv = S.read_table(spark, sf_dir, "conversations").select(
-        F.lit("conversations").alias("tbl"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+        F.lit("conversations").alias("tbl"), F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     bench = S.read_table(spark, sf_dir, "benchmark").select(
-        F.lit("benchmark").alias("tbl"), F.col("item_id").alias("id"), "text")
+        F.lit("benchmark").alias("tbl"), F.col("item_id").cast("string").alias("id"), "text")
     return docs.unionByName(conv).unionByName(bench)
 
 
@@ -144,9 +145,14 @@ def _keys(spark, sf_dir) -> DataFrame:
     return cut_lineage(k)
 
 
+def _stored_type():
+    """Source type of a stand-in stored record (ingest writes it with the row): every fifth was added by hand."""
+    return F.when(F.pmod("ord", F.lit(5)) == 4, "manual").otherwise("rss")
+
+
 def _as_seen(keyed: DataFrame) -> DataFrame:
     """Seen records (D10 builder) for article rows, positioned by ord."""
-    rows = (X.source_type(keyed.withColumnRenamed("source", "source_url"), "source_url")
+    rows = (keyed.withColumn("source_type", _stored_type())
             .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at")))
             .withColumn("batch_id", F.lit(0)))
     recs = seen_records(rows)
@@ -253,9 +259,8 @@ def q_story_id(spark, sf_dir):
 
 @query("source_type")
 def q_source_type(spark, sf_dir):
-    """Rss when the article's source expanded to more than one URL."""
-    a = S.articles(spark, sf_dir).select("ord", F.col("source").alias("source_url"))
-    return X.source_type(a, "source_url").select("ord", "source_type")
+    """Source type of every URL the sources file expands to, by its source line."""
+    return _expanded(spark, sf_dir).select("source_ord", "pos", "url", X.source_type("n_entries").alias("source_type"))
 
 
 @query("tag_default")
@@ -316,12 +321,10 @@ def _library(spark, sf_dir) -> DataFrame:
     Column pruning drops what a query does not read (most digest queries
     never touch ``summary``).
     """
-    k = _keyed(spark, sf_dir)
-    k = X.source_type(k.withColumnRenamed("source", "source_url"), "source_url")
-    rows = (k.withColumn("author", F.lit(None).cast("string"))
+    rows = (_keyed(spark, sf_dir).withColumn("author", F.lit(None).cast("string"))
             .withColumn("published_date", F.col("date"))
             .withColumn("word_count", TX.word_count("content"))
-            .withColumn("source", F.col("source_type"))
+            .withColumn("source", _stored_type())
             .withColumn("summary", SM.mock_summary(F.col("content"), F.col("title")))
             .withColumn("stored_path", X.storage_path(F.col("title"), F.col("fetched_at"))))
     return LB.library_rows(rows, extra=("ord",))
@@ -371,6 +374,16 @@ def q_daily_digest(spark, sf_dir):
     return DY.digest_lines(_library(spark, sf_dir), None, generated_at="2024-02-01T00:00:00")
 
 
+@query("fetch_order")
+def q_fetch_order(spark, sf_dir):
+    """Library articles in fetch order within their day (position in the daily digest)."""
+    from pyspark.sql.window import Window
+
+    day = F.to_date("fetched_at")
+    rows = _library(spark, sf_dir).select(day.alias("day"), "fetched_at", "url_hash")
+    return rows.withColumn("position", F.row_number().over(Window.partitionBy("day").orderBy("fetched_at", "url_hash")))
+
+
 @query("library_for_date")
 def q_library_for_date(spark, sf_dir):
     """Library rows fetched on one day (year/month pruning + date filter)."""
@@ -378,6 +391,18 @@ def q_library_for_date(spark, sf_dir):
     return LB.library_for_date(lib, LIBRARY_DAY).select("ord", "title", "url", "fetched_at", "word_count")
 
 
+@query("library_stored")
+def q_library_stored(spark, sf_dir):
+    """G1 + A7: the library written as partitioned Parquet, then one day read back through partition filters."""
+    import uuid
+
+    from broadsheet.session import ensure_checkpoint_dir
+
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/library-{uuid.uuid4().hex}"
+    LB.write_library(_library(spark, sf_dir), path)
+    return LB.library_for_date(spark.read.parquet(path), LIBRARY_DAY).select("url_hash", "title", "url", "fetched_at", "word_count", "source")
+
+
 @query("library_items")
 def q_library_items(spark, sf_dir):
     """Library rows projected to digest items."""
@@ -463,6 +488,13 @@ def q_digest_payload(spark, sf_dir):
     return ranked.select("day", "rank", DG.payload_item(ranked).alias("payload"))
 
 
+@query("digest_request")
+def q_digest_request(spark, sf_dir):
+    """the whole request payload of each day: items as one ordered JSON array and the counts line."""
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    return DG.payload_document(items, ranked, "day")
+
+
 @query("items_fingerprint")
 def q_items_fingerprint(spark, sf_dir):
     """Fingerprint of each day's top-k item set."""
@@ -479,7 +511,7 @@ def q_cache_lookup(spark, sf_dir):
     hist, _ = S.history_split(lib.withColumn("date", F.col("published_date")))
     h_items = _day_items(hist.drop("date"))
     cache = (DG.fingerprint(DG.top_k_per_group(h_items, "day", S.AS_OF, 30), "day")
-             .select("fingerprint", F.col("day").cast("string").alias("doc")))
+             .select("fingerprint", F.lit("r1").alias("run"), F.col("day").cast("string").alias("doc")))
     return DG.cache_lookup(DG.fingerprint(ranked, "day"), cache).select("day", "fingerprint", "hit")
 
 
@@ -492,6 +524,55 @@ def q_digest_validate(spark, sf_dir):
     return v.select("day", "valid", F.size("parsed.top_stories").alias("n_stories"))
 
 
+@query("digest_written")
+def q_digest_written(spark, sf_dir):
+    """Each day's document written as a JSON file and read back."""
+    import uuid
+
+    from broadsheet.session import ensure_checkpoint_dir
+
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/digests-{uuid.uuid4().hex}"
+    DG.write_digest_json(DG.digest_document(items, ranked, "day", "2024-02-01"), "day", path)
+    back = spark.read.schema(DIGEST).json(path)
+    return back.select(F.col("day").cast("date").alias("day"), "schema_version", "generated_at", "stats.items_in",
+                       F.size("top_stories").alias("n_stories"))
+
+
+@query("cache_put")
+def q_cache_put(spark, sf_dir):
+    """The cache after two runs (history alone, then all articles): one row per fingerprint, the newest."""
+    _, ranked, _ = _digest_parts(spark, sf_dir)
+    hist, _ = S.history_split(_library(spark, sf_dir).withColumn("date", F.col("published_date")))
+    old = DG.fingerprint(DG.top_k_per_group(_day_items(hist.drop("date")), "day", S.AS_OF, 30), "day")
+    new = DG.fingerprint(ranked, "day")
+    doc = F.concat(F.col("run"), F.lit(":"), F.col("day").cast("string"))
+    made = lambda fps, run: fps.withColumn("run", F.lit(run)).select("fingerprint", "run", doc.alias("doc"))
+    return DG.cache_put(made(old, "r1"), made(new, "r2"), "r2")
+
+
+def _replies(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(replies, mock documents) per day: replies of even days are whole, of odd days damaged in turn:
+    no subtitle, a score of 6, two bullets, or no JSON."""
+    items, ranked, _ = _digest_parts(spark, sf_dir)
+    doc = DG.digest_document(items, ranked, "day", "2024-02-01")
+    kind = F.pmod(F.dayofmonth("day"), F.lit(8))
+    text = F.regexp_replace(DG.digest_json(doc), '"generated_at":"2024-02-01"', '"generated_at":"2024-02-02"')
+    hurt = (F.when(kind == 1, F.regexp_replace(text, '"subtitle":"[^"]*",', ""))
+            .when(kind == 3, F.regexp_replace(text, '"importance":[0-9]', '"importance":6'))
+            .when(kind == 5, F.regexp_replace(text, r'"bullets":\[("(?:[^"\\\\]|\\\\.)*","(?:[^"\\\\]|\\\\.)*")[^\]]*\]', r'"bullets":[$1]'))
+            .when(kind == 7, F.substring(text, 1, 40)).otherwise(text))
+    return doc.select("day", hurt.alias("reply")), doc
+
+
+@query("reply_fallback")
+def q_reply_fallback(spark, sf_dir):
+    """each day's document: its reply when valid, else the mock."""
+    replies, doc = _replies(spark, sf_dir)
+    out = DG.reply_documents(replies, doc, "day")
+    return out.select("day", "origin", F.col("digest.generated_at").alias("generated_at"), F.size("digest.top_stories").alias("n_stories"))
+
+
 @query("digest_integrity")
 def q_digest_integrity(spark, sf_dir):
     """F8: integrity checks of each day's document."""
@@ -538,9 +619,10 @@ def q_hint_search(spark, sf_dir):
 
 @query("tag_filter")
 def q_tag_filter(spark, sf_dir):
-    """H3: stories allowed by each requested tag (all / known / unknown)."""
+    """H3: stories and section items allowed by each requested tag (all / known / unknown)."""
     _, _, cards = _digest_parts(spark, sf_dir)
-    return SE.tag_filter(cards, DG.tag_index(cards, "day"), FILTER_TAGS, "day")
+    items = DG.sections(cards, "day").select("day", "name", F.explode("items").alias("it")).select("day", "name", F.col("it.ref_id").alias("id"))
+    return SE.tag_filter(cards, DG.tag_index(cards, "day"), FILTER_TAGS, "day", items)
 
 
 @query("facets")
@@ -632,7 +714,7 @@ def q_feed_limit(spark, sf_dir):
 @query("expand_sources")
 def q_expand_sources(spark, sf_dir):
     """A4: every source line replaced by the article URLs it stands for."""
-    return _expanded(spark, sf_dir).select("ord", "source_ord", "pos", "source_url", "url")
+    return _expanded(spark, sf_dir).select("source_ord", "pos", "source_url", "url", "n_entries")
 
 
 @query("items_scan")
@@ -649,14 +731,30 @@ def q_items_scan(spark, sf_dir):
                     F.col("item.url").alias("url"), F.col("item.date").alias("date"))
 
 
+def _page_log(spark, sf_dir) -> DataFrame:
+    """Seen log of an earlier run that stored every seventh page, as it reads today."""
+    old = P.extract_pages(S.pages(spark, sf_dir).filter(F.pmod("ord", F.lit(7)) == 0))
+    old = U.with_url_hash(old, "url", "url_hash").withColumn("content_hash", TX.content_hash("text"))
+    ts = F.lit("2024-01-15 08:00:00").cast("timestamp_ntz")
+    return seen_records(old.withColumn("batch_id", F.lit(0)).withColumn("fetched_at", ts).withColumn("source_type", _stored_type())
+                        .withColumn("stored_path", X.storage_path(F.col("title"), ts)))
+
+
 def _ingest(spark, sf_dir) -> IG.IngestResult:
-    return IG.ingest_batch(_expanded(spark, sf_dir), S.pages(spark, sf_dir), None, RUN_TS)
+    """Batch ingest against the earlier run's log; every eleventh direct line is forced."""
+    rows = _expanded(spark, sf_dir).withColumn(
+        "forced", (F.col("source_ord") >= 1_000_000_000) & (F.pmod("source_ord", F.lit(11)) == 0))
+    return IG.ingest_batch(rows, S.pages(spark, sf_dir), None, RUN_TS, seen_log=_page_log(spark, sf_dir), force_col="forced")
+
+
+def _flat_order(outcomes: DataFrame) -> DataFrame:
+    return outcomes.select("ord.source_ord", "ord.pos", *[c for c in outcomes.columns if c != "ord"])
 
 
 @query("ingest_batch")
 def q_ingest_batch(spark, sf_dir):
-    """Batch ingest of the sources file (feeds then pages): one outcome per URL."""
-    return _ingest(spark, sf_dir).outcomes
+    """Batch ingest of the sources file (feeds then pages) with history and forced lines: one outcome per URL."""
+    return _flat_order(_ingest(spark, sf_dir).outcomes)
 
 
 @query("run_summary")
@@ -667,8 +765,10 @@ def q_run_summary(spark, sf_dir):
 
 @query("ingest_dry_run")
 def q_ingest_dry_run(spark, sf_dir):
-    """Dry-run ingest of every page against an empty history."""
-    return IG.dry_run(S.pages(spark, sf_dir), None)
+    """Dry-run ingest of every page against the earlier run's log; every eleventh is forced."""
+    latest = DD.seen_latest(_page_log(spark, sf_dir))
+    pages = S.pages(spark, sf_dir).withColumn("force", F.pmod("ord", F.lit(11)) == 0)
+    return IG.dry_run(pages, latest, force_col="force")
 
 
 @query("incremental_ingest")
@@ -685,7 +785,7 @@ def q_incremental_ingest(spark, sf_dir):
     lines = _source_file(spark, sf_dir)
     drops = [lines.filter(F.col("pos") < 1_000_000_000), lines.filter(F.col("pos") >= 1_000_000_000)]
     drops[0].write.parquet(f"{base}/sources/drop=0")
-    q = INC.start_incremental_ingest(spark, f"{base}/sources/*", _raw_feeds(spark, sf_dir), S.pages(spark, sf_dir),
+    q = INC.start_incremental_ingest(spark, f"{base}/sources/*", lambda: _raw_feeds(spark, sf_dir), lambda: S.pages(spark, sf_dir),
                                      f"{base}/out", f"{base}/checkpoint", RUN_TS, interval="1 second")
     try:
         q.processAllAvailable()
@@ -693,4 +793,5 @@ def q_incremental_ingest(spark, sf_dir):
         q.processAllAvailable()
     finally:
         q.stop()
-    return INC.read_outcomes(spark, f"{base}/out").drop("batch_id")
+    out = INC.read_outcomes(spark, f"{base}/out").drop("batch_id")
+    return out.select(F.col("ord.source_ord.pos").alias("source_ord"), "ord.pos", *[c for c in out.columns if c != "ord"])

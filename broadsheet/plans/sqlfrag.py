@@ -30,7 +30,7 @@ ART = f"""art AS (
     substr(split_part(text, chr(10), 1), 1, 60) AS title,
     text AS content,
     source,
-    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS fetched_at,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id * 10) AS fetched_at,
     CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN 'bad'
          ELSE strftime(DATE '2024-01-31' - CAST(doc_id % 45 AS INTEGER), '%Y-%m-%d') END AS date,
     [lang, source] AS tags
@@ -179,7 +179,7 @@ def seen_recs_cte(src: str, name: str) -> str:
     return f"""{name} AS (
   SELECT ord AS pos, url, url_hash, content_hash, title, fetched_at,
          {storage_path('title', 'fetched_at')} AS stored_path,
-         CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source
+         CASE WHEN ord % 5 = 4 THEN 'manual' ELSE 'rss' END AS source
   FROM {src})"""
 
 
@@ -318,7 +318,7 @@ def library_cte(name: str = "lib") -> str:
     return f"""{name} AS (
   SELECT ord, title, NULL::VARCHAR AS author, date AS published_date, url, url_hash, content_hash, fetched_at,
          {word_count('content')} AS word_count, tags,
-         CASE WHEN count(*) OVER (PARTITION BY source) > 1 THEN 'rss' ELSE 'manual' END AS source,
+         CASE WHEN ord % 5 = 4 THEN 'manual' ELSE 'rss' END AS source,
          content, sm_md AS summary, strftime(fetched_at, '%Y') AS year, strftime(fetched_at, '%m') AS month,
          {storage_path('title', 'fetched_at')} AS stored_path
   FROM (SELECT *, {", ".join(summary_steps('content', 'title', 'sm'))} FROM keyed))"""

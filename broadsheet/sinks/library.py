@@ -18,11 +18,14 @@ def library_rows(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def write_library(rows: DataFrame, path: str) -> None:
     """G1: append to the Parquet library partitioned by year/month.
 
-    Rows are clustered by partition (one shuffle on the partition keys, AQE
-    coalesces the small ones) so each task writes few files; ``url_hash`` is
-    the row key, so two same-slug articles in one second never overwrite.
+    Rows go to tasks by partition and a hash of the row key, so a month of any
+    size (an ingest usually fills one) is written by many tasks; AQE joins
+    small ones.  ``url_hash`` is the row key, so two same-slug articles in one
+    second never overwrite.
     """
-    (rows.repartition("year", "month").sortWithinPartitions("fetched_at", "url_hash")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lane = F.pmod(F.xxhash64("url_hash"), F.lit(n))
+    (rows.repartition("year", "month", lane).sortWithinPartitions("year", "month", "fetched_at", "url_hash")
      .write.mode("append").partitionBy("year", "month").parquet(path))
 
 

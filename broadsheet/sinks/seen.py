@@ -14,7 +14,7 @@ def seen_records(df: DataFrame, stored_path_col: str = "stored_path",
     "last record wins" never depends on file layout.
     """
     return df.select(
-        F.struct(F.col("batch_id").cast("long").alias("batch"), F.col("ord").cast("long").alias("ord")).alias("pos"),
+        F.struct(F.col("batch_id").cast("long").alias("batch"), F.col("ord").alias("ord")).alias("pos"),
         "url", "url_hash", "content_hash", "title", "fetched_at",
         F.col(stored_path_col).alias("stored_path"), F.col(source_col).alias("source"))
 
@@ -25,10 +25,6 @@ def append_seen(records: DataFrame, path: str) -> None:
      .write.mode("append").parquet(path))
 
 
-def read_seen_table(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def to_jsonl_lines(records: DataFrame) -> DataFrame:
     """Seen records as JSON lines (``value``) with their position, for JSONL interchange."""
     cols = [c for c in records.columns if c != "pos"]

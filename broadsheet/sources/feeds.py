@@ -8,7 +8,7 @@ exploded with their position, so no feed is expanded on the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,32 +16,32 @@ from broadsheet.functions.text import ws_strip
 from broadsheet.functions.urls import is_feed_url
 from broadsheet.schemas import ITEM
 
-# positions of entries inside one source are packed below this bound
-MAX_ENTRIES_PER_SOURCE = 1 << 20
+_ITEMS = T.ArrayType(T.StructType([T.StructField(n, T.StringType())
+                                   for n in ("title", "link", "pubDate", "published", "updated", "dc:date")]))
 
-RSS_SCHEMA = T.StructType([T.StructField("channel", T.StructType([
-    T.StructField("item", T.ArrayType(T.StructType([
-        T.StructField("title", T.StringType()), T.StructField("link", T.StringType()),
-        T.StructField("pubDate", T.StringType()), T.StructField("published", T.StringType()),
-        T.StructField("updated", T.StringType())]))),
-]))])
+# RSS 2.0 keeps its items in the channel, RSS 1.0 (RDF) beside it
+RSS_SCHEMA = T.StructType([T.StructField("channel", T.StructType([T.StructField("item", _ITEMS)])),
+                           T.StructField("item", _ITEMS)])
 
 ATOM_SCHEMA = T.StructType([T.StructField("entry", T.ArrayType(T.StructType([
     T.StructField("title", T.StringType()),
-    T.StructField("link", T.StructType([T.StructField("_href", T.StringType())])),
+    T.StructField("link", T.ArrayType(T.StructType([T.StructField("_href", T.StringType()), T.StructField("_rel", T.StringType())]))),
     T.StructField("published", T.StringType()), T.StructField("updated", T.StringType())])))])
 
+CLOSED = r"(?s)</(rss|feed|rdf:RDF)\s*>\s*$"
+
 XML_OPTS = {"mode": "PERMISSIVE", "attributePrefix": "_", "valueTag": "_VALUE"}
 
 
 def source_lines(lines: DataFrame, line_col: str = "value", pos_col: str = "pos") -> DataFrame:
     """A1: trimmed non-blank lines whose raw first character is not ``#``.
 
-    Output ``(source_ord, source_url)``; ``source_ord`` is the line position.
+    Output ``(source_ord, source_url)``; ``source_ord`` is the line position:
+    any orderable value, also a struct such as ``(file, line)``.
     """
     raw = F.col(line_col)
     return (lines.filter((ws_strip(raw) != "") & ~F.coalesce(raw.startswith("#"), F.lit(False)))
-            .select(F.col(pos_col).cast("long").alias("source_ord"), ws_strip(raw).alias("source_url")))
+            .select(F.col(pos_col).alias("source_ord"), ws_strip(raw).alias("source_url")))
 
 
 def read_source_list(spark, path: str) -> DataFrame:
@@ -50,26 +50,43 @@ def read_source_list(spark, path: str) -> DataFrame:
     return source_lines(lines)
 
 
+def _mended(x: Column) -> Column:
+    """A document cut off inside keeps the entries before the cut: ends after the last whole one and is closed."""
+    rss, rdf, atom = ("(?s)^(.*</item\\s*>)", "</channel></rss>"), ("(?s)^(.*</item\\s*>)", "</rdf:RDF>"), ("(?s)^(.*</entry\\s*>)", "</feed>")
+    ended = lambda how: F.concat(F.regexp_extract(x, how[0], 1), F.lit(how[1]))
+    return (F.when(x.rlike(CLOSED), x).when(x.rlike(r"<feed\b"), ended(atom))
+            .when(x.rlike(r"<rdf:RDF\b"), ended(rdf)).otherwise(ended(rss)))
+
+
+def _link(links: Column) -> Column:
+    """The page an Atom entry stands for: its alternate link (the default kind), else its first link."""
+    page = F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
+    return F.coalesce(F.get(page, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"])
+
+
 def parse_feeds(feeds: DataFrame, url_col: str = "feed_url", xml_col: str = "xml") -> DataFrame:
-    """A3 (parse): one row per feed with ``ok`` (well-formed RSS or Atom) and its
-    entries as ``array<struct<title, link, published>>`` in document order."""
-    x = F.col(xml_col)
-    is_atom = x.rlike(r"(?s)^\s*(<\?xml[^>]*>\s*)?<feed\b")
-    rss = F.from_xml(x, RSS_SCHEMA, XML_OPTS)
-    atom = F.from_xml(x, ATOM_SCHEMA, XML_OPTS)
-    rss_entries = F.transform(F.coalesce(rss["channel"]["item"], F.array()), lambda e: F.struct(
+    """A3 (parse): one row per feed URL with ``ok`` (RSS 1.0 or 2.0 or Atom) and its
+    entries as ``array<struct<title, link, published>>`` in document order.
+
+    A feed URL stored several times counts once (its smallest document).  A
+    document cut off keeps its whole entries; malformed is an error only when
+    nothing could be read.
+    """
+    feeds = feeds.groupBy(F.col(url_col).alias("feed_url")).agg(F.min(xml_col).alias("xml"))
+    x = F.col("xml")
+    is_atom = x.rlike(r"(?s)^\s*(<\?xml[^>]*>\s*)?(<!--.*?-->\s*)*<feed\b")
+    rss = F.from_xml(_mended(x), RSS_SCHEMA, XML_OPTS)
+    atom = F.from_xml(_mended(x), ATOM_SCHEMA, XML_OPTS)
+    rss_entries = F.transform(F.coalesce(rss["channel"]["item"], rss["item"], F.array()), lambda e: F.struct(
         e["title"].alias("title"), e["link"].alias("link"),
-        F.coalesce(e["pubDate"], e["published"], e["updated"]).alias("published")))
+        F.coalesce(e["pubDate"], e["published"], e["updated"], e["dc:date"]).alias("published")))
     atom_entries = F.transform(F.coalesce(atom["entry"], F.array()), lambda e: F.struct(
-        e["title"].alias("title"), e["link"]["_href"].alias("link"),
+        e["title"].alias("title"), _link(e["link"]).alias("link"),
         F.coalesce(e["published"], e["updated"]).alias("published")))
-    parsed = F.when(is_atom, atom.isNotNull()).otherwise(rss.isNotNull() & x.rlike(r"(?s)<rss\b|<channel\b"))
+    parsed = F.when(is_atom, atom.isNotNull()).otherwise(rss.isNotNull() & x.rlike(r"(?s)<rss\b|<channel\b|<rdf:RDF\b"))
     entries = F.when(is_atom, atom_entries).otherwise(rss_entries)
-    # malformed = unparsable or cut off before the root's closing tag; like the
-    # reference, a malformed feed is an error only when it yielded no entries
-    well_formed = F.coalesce(parsed, F.lit(False)) & x.rlike(r"(?s)</(rss|feed)\s*>\s*$")
-    ok = well_formed | (F.coalesce(parsed, F.lit(False)) & (F.size(entries) > 0))
-    return feeds.select(F.col(url_col).alias("feed_url"), F.coalesce(ok, F.lit(False)).alias("ok"),
+    ok = F.coalesce(parsed, F.lit(False)) & (x.rlike(CLOSED) | (F.size(entries) > 0))
+    return feeds.select("feed_url", F.coalesce(ok, F.lit(False)).alias("ok"),
                         F.when(F.coalesce(ok, F.lit(False)), entries).alias("entries"))
 
 
@@ -93,8 +110,9 @@ def expand_sources(sources: DataFrame, feeds: DataFrame, limit: int | None = Non
 
     Feed-looking URL: its entries (possibly none), or itself when the feed
     cannot be parsed.  Other URL: its entries if it parses as a feed with
-    entries, else itself.  Output ``(source_ord, pos, source_url, url)`` with
-    ``ord = source_ord * 2^20 + pos`` as the ingest order.
+    entries, else itself.  Output ``(ord, source_ord, pos, source_url, url,
+    n_entries)``: ``ord`` is the struct ``(source_ord, pos)`` and ``n_entries``
+    the number of URLs the source line stands for (B11).
     """
     parsed = parse_feeds(feeds)
     items = feed_items(parsed, limit)
@@ -106,19 +124,22 @@ def expand_sources(sources: DataFrame, feeds: DataFrame, limit: int | None = Non
                      .otherwise(F.coalesce(F.col("n_entries"), F.lit(0)) > 0)))
     from_feed = (s.filter("use_entries")
                  .join(items.withColumnRenamed("feed_url", "source_url"), "source_url")
-                 .select("source_ord", "pos", "source_url", F.col("link").alias("url")))
+                 .select("source_ord", "pos", "source_url", F.col("link").alias("url"), "n_entries"))
     itself = (s.filter(~F.col("use_entries"))
-              .select("source_ord", F.lit(0).cast("int").alias("pos"), "source_url", F.col("source_url").alias("url")))
+              .select("source_ord", F.lit(0).cast("int").alias("pos"), "source_url", F.col("source_url").alias("url"),
+                      F.lit(1).cast("long").alias("n_entries")))
     out = from_feed.unionByName(itself)
-    return out.withColumn("ord", F.col("source_ord") * F.lit(MAX_ENTRIES_PER_SOURCE) + F.col("pos"))
+    return out.withColumn("ord", F.struct("source_ord", "pos"))
 
 
 def read_items_json(spark, path: str) -> DataFrame:
     """A5: items array file (JSON array root, explicit schema, FAILFAST).
 
-    A non-array root or a missing ``title``/``url`` fails the read, like the
-    reference's validation error.
+    A non-array root or a missing ``title``/``url`` fails the read.
     """
+    roots = spark.read.text(path, wholetext=True).select(F.substring("value", 1, 4096).alias("head"))
+    if roots.filter(~F.col("head").rlike(r"^\s*\[")).limit(1).count():
+        raise ValueError("items file has no array at its root")
     df = (spark.read.schema(ITEM).option("multiLine", True).option("mode", "FAILFAST").json(path))
     bad = df.filter(F.col("title").isNull() | F.col("url").isNull()).limit(1).count()
     if bad:

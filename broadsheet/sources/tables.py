@@ -51,8 +51,9 @@ def article_view(documents: DataFrame) -> DataFrame:
         F.substring(F.substring_index(F.col("text"), "\n", 1), 1, 60).alias("title"),
         F.col("text").alias("content"),
         F.col("source"),
+        # one article every ten minutes, so small tables fill several fetch days
         (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
-            F.lit(0), F.lit(0), d.cast("int"))).alias("fetched_at"),
+            secs=(d * 600).cast("decimal(18,6)"))).alias("fetched_at"),
         date.alias("date"),
         F.array(F.col("lang"), F.col("source")).alias("tags"),
     )

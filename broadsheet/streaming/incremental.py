@@ -15,12 +15,15 @@ lives in the shared checkpoint folder named by the session.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from broadsheet.plans.ingest import ingest_batch
+from broadsheet.session import cut_lineage
 from broadsheet.sources.feeds import expand_sources, source_lines
 
 LINE_SCHEMA = T.StructType([T.StructField("pos", T.LongType()), T.StructField("value", T.StringType())])
@@ -32,25 +35,37 @@ def _overwrite_batch(df: DataFrame, path: str, parts: list[str]) -> None:
 
 
 def _read_seen(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
-    """Seen records of earlier batches (raw, with their log position)."""
+    """Seen records of earlier batches (raw, with their log position); None before the first.
+
+    Only a path that does not exist counts as "no batch yet"; any other read
+    error stops the batch, so known sources are never ingested again by mistake.
+    """
     try:
         seen = spark.read.parquet(path)
-    except Exception:  # no batch written yet
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     prior = seen.filter(F.col("batch_id") < before_batch)
     return prior.select(F.struct(F.col("batch_id").cast("long").alias("batch"), F.col("ord")).alias("pos"),
                         "url", "url_hash", "content_hash", "title", "fetched_at", "stored_path", "source")
 
 
-def make_batch_writer(feeds: DataFrame, pages: DataFrame, out_dir: str, fetched_at: str):
-    """foreachBatch body: ingest one batch of source lines and write its sinks."""
+def make_batch_writer(feeds: Callable[[], DataFrame], pages: Callable[[], DataFrame], out_dir: str, fetched_at: str):
+    """foreachBatch body: ingest one batch of source lines and write its sinks.
+
+    ``feeds`` and ``pages`` are called per batch, so files that arrived since
+    the last one are listed.
+    """
     outcomes_p, library_p, seen_p = (os.path.join(out_dir, n) for n in ("outcomes", "library", "seen"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         history = _read_seen(spark, seen_p, batch_id)
-        expanded = expand_sources(source_lines(batch), feeds)
-        res = ingest_batch(expanded, pages, None, fetched_at, batch_id=batch_id, seen_log=history)
+        expanded = expand_sources(source_lines(batch.withColumn("pos", F.struct("file", "pos"))), feeds())
+        res = ingest_batch(expanded, pages(), None, fetched_at, batch_id=batch_id, seen_log=history)
+        # the accepted rows feed two sinks: materialised once
+        res.articles, res.seen = cut_lineage(res.articles), cut_lineage(res.seen)
         _overwrite_batch(res.outcomes.withColumn("batch_id", F.lit(batch_id)), outcomes_p, ["batch_id"])
         _overwrite_batch(res.articles.withColumn("batch_id", F.lit(batch_id)), library_p,
                          ["year", "month", "batch_id"])
@@ -61,16 +76,17 @@ def make_batch_writer(feeds: DataFrame, pages: DataFrame, out_dir: str, fetched_
     return run
 
 
-def start_incremental_ingest(spark: SparkSession, sources_glob: str, feeds: DataFrame, pages: DataFrame,
-                             out_dir: str, checkpoint: str, fetched_at: str, available_now: bool = False,
+def start_incremental_ingest(spark: SparkSession, sources_glob: str, feeds: Callable[[], DataFrame],
+                             pages: Callable[[], DataFrame], out_dir: str, checkpoint: str, fetched_at: str, available_now: bool = False,
                              interval: str = "10 seconds"):
     """Start J1: stream parquet drops of ``(pos, value)`` source lines.
 
     Each drop (a folder of part files matched by ``sources_glob``) that has
     arrived by a trigger forms the next micro-batch; ``available_now`` processes
-    what is there and stops (a scheduled incremental run).
+    what is there and stops (a scheduled incremental run).  Lines are ordered
+    by file, then by ``pos``; several files may share a micro-batch.
     """
-    stream = spark.readStream.schema(LINE_SCHEMA).parquet(sources_glob)
+    stream = spark.readStream.schema(LINE_SCHEMA).parquet(sources_glob).withColumn("file", F.col("_metadata.file_path"))
     w = (stream.writeStream.foreachBatch(make_batch_writer(feeds, pages, out_dir, fetched_at))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)

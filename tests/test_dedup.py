@@ -18,25 +18,24 @@ def py_sequential(rows, forced=frozenset()):
     return keep
 
 
-def run(spark, rows, forced=frozenset(), **kw):
+def run(spark, rows, forced=frozenset()):
     df = spark.createDataFrame([(o, u, cc, rc, o in forced) for o, u, cc, rc in rows],
                                "ord long, u string, cc string, rc string, f boolean")
-    out = DD.greedy_dedup(df, force_col="f" if forced else None, **kw)
+    out = DD.greedy_dedup(df, force_col="f" if forced else None)
     return {r.ord: r.keep for r in out.collect()}
 
 
 def test_reference_example(spark):
     rows = [(1, "u1", "c1", "c1"), (2, "u2", "c1", "c1"), (3, "u2", "c2", "c2")]
-    assert run(spark, rows, residue_limit=0) == {1: True, 2: False, 3: True}
+    assert run(spark, rows) == {1: True, 2: False, 3: True}
 
 
-def test_alternating_chain_rounds_and_residue(spark):
+def test_alternating_chain(spark):
     rows = []
-    for i in range(50):
+    for i in range(24):
         rows.append((i, f"u{(i + 1) // 2}", f"c{i // 2}", f"c{i // 2}"))
     want = py_sequential(rows)
-    assert run(spark, rows, residue_limit=0) == want
-    assert run(spark, rows, residue_limit=10, min_rounds=2) == want
+    assert run(spark, rows) == want
 
 
 def test_random_batches_match_sequential(spark):
@@ -46,8 +45,8 @@ def test_random_batches_match_sequential(spark):
         c = f"c{rnd.randrange(60)}"
         rows.append((i, f"u{rnd.randrange(80)}", None if rnd.random() < 0.05 else c, c))
     forced = frozenset(o for o, *_ in rows if rnd.random() < 0.05)
-    assert run(spark, rows, residue_limit=0) == py_sequential(rows)
-    assert run(spark, rows, forced, residue_limit=0) == py_sequential(rows, forced)
+    assert run(spark, rows) == py_sequential(rows)
+    assert run(spark, rows, forced) == py_sequential(rows, forced)
 
 
 def _seen_lines(spark, lines):
@@ -113,7 +112,7 @@ def test_hot_key_split_matches(spark):
     rows = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
         (F.col("id") % 97).cast("string")).alias("k"), "id")
     stats = rows.groupBy("k").agg(F.min("id").alias("m"), F.count(F.lit(1)).alias("n"))
-    split = lookup_join(rows, stats, "k", "n", "inner", max_hot_keys=10, min_hot=100)
+    split = lookup_join(rows, stats, "k", "n", "inner")
     plain = rows.join(stats.drop("n"), "k")
     assert sorted(map(tuple, split.select("k", "id", "m").collect())) == sorted(map(tuple, plain.select("k", "id", "m").collect()))
     assert "BroadcastHashJoin" in split._jdf.queryExecution().executedPlan().toString()
@@ -121,10 +120,30 @@ def test_hot_key_split_matches(spark):
 
 def test_dedup_with_hot_keys(spark, monkeypatch):
     import broadsheet.operators.skew as SK
-    monkeypatch.setattr(SK, "MIN_HOT_ROWS", 20)
     monkeypatch.setattr(SK, "MAX_HOT_KEYS", 4)
     rnd = random.Random(11)
     rows = [(i, "uhot" if i % 3 == 0 else f"u{rnd.randrange(50)}", "chot" if i % 4 == 0 else f"c{rnd.randrange(40)}",
              "chot" if i % 4 == 0 else f"c{rnd.randrange(40)}") for i in range(300)]
     rows = [(o, u, cc, cc) for o, u, cc, _ in rows]
-    assert run(spark, rows, residue_limit=0) == py_sequential(rows)
+    assert run(spark, rows) == py_sequential(rows)
+
+
+def test_hot_content_in_the_batch(spark):
+    """One content and one URL fill the batch: matches and misses, rows without keys, no row lost."""
+    lines = [REC.format(u="a", h="h1", c="c1", t="A"), REC.format(u="b", h="h2", c="c2", t="B")]
+    latest = DD.seen_latest(DD.parse_seen_lines(_seen_lines(spark, lines)))
+    rows = [(i, "h2" if i % 3 == 0 else f"n{i}", "c1" if i % 2 else f"x{i}", i % 5 > 0) for i in range(300)] + [(300, None, None, False)]
+    batch = spark.createDataFrame(rows, "ord long, url_hash string, content_hash string, content boolean")
+    got = {r.ord: r.reason for r in DD.duplicate_lookup(batch, latest).collect()}
+    want = {o: "URL already seen: B" if u == "h2" else "Content matches existing: A" if c == "c1" and has else None for o, u, c, has in rows}
+    assert got == want
+    assert {r.ord for r in DD.drop_seen(batch, latest).collect()} == {o for o, why in want.items() if why is None}
+
+
+def test_struct_order_and_repeated_order(spark):
+    import pytest
+    rows = [((0, 2_000_000), "u1", "c1"), ((1, 0), "u1", "c2"), ((1, 1), "u2", "c1"), ((1, 1 << 21), "u3", "c2")]
+    df = spark.createDataFrame([(o, u, c, c) for o, u, c in rows], "ord struct<source_ord:long,pos:long>, u string, cc string, rc string")
+    assert {tuple(r.ord): r.keep for r in DD.greedy_dedup(df).collect()} == {(0, 2_000_000): True, (1, 0): False, (1, 1): False, (1, 1 << 21): True}
+    with pytest.raises(ValueError):
+        DD.greedy_dedup(df.unionByName(df.limit(1)))

@@ -47,6 +47,11 @@ META = [
     ('<meta name="date" content="2024-01-02">', None, None, "2024-01-02"),
     ('<meta property="article:published_time" content="  "><meta name="date" content="d2">', None, None, "d2"),
     ('<meta property="OG:TITLE" content="case"><title>T3</title>', "T3", None, None),
+    ("<title>It&#8217;s &mdash; ok &#x1F600; &amp;lt; &lt;</title>", "It\u2019s \u2014 ok \U0001f600 &lt; <", None, None),
+    ("<!-- <title>hidden</title> --><title>shown</title>", "shown", None, None),
+    ("<script>var t = '<title>no</title>';</script><title>yes</title>", "yes", None, None),
+    ("<title-bar>no</title-bar><title>T&bogus;&#xD800;</title>", "T&bogus;&#xD800;", None, None),
+    ('<meta name="author" content="J&eacute;r&ocirc;me"><title>x</title>', "x", "J\u00e9r\u00f4me", None),
 ]
 
 
@@ -70,6 +75,11 @@ CONTAINERS = [
     ("<body><article><nav>skip</nav><p>kept &amp; shown &copy;</p></article></body>", "kept & shown ©"),
     ("<body><article><p>a &eacute; b</p></article></body>", "a é b"),
     ("<body><!-- <article>no</article> --><p>x</p></body>", "x"),
+    ("<body><main-content><p>custom element</p></main-content></body>", "custom element"),
+    ("<body><article-card>card</article-card><header-bar>bar</header-bar></body>", "card bar"),
+    ('<body><a title="a > b">link</a></body>', "link"),
+    ("<body><aside><article>side</article></aside><div class='content'>kept</div><p>out</p></body>", "kept"),
+    ("<body>" + "<p>" * 3000 + "deep", "deep"),
 ]
 
 
@@ -86,5 +96,15 @@ def test_regex_path_equals_parser_path(spark):
     rows = fast.collect()
     assert sum(r.safe for r in rows) > 0.9 * len(rows)
     txt = {r.ord: r.text for r in P.with_main_text(pages, "html", "text").collect()}
-    for r in rows[:120]:
+    for r in rows:
         assert P.parse_main_text(r.html) == txt[r.ord]
+
+
+def test_both_paths_are_taken_and_agree(spark):
+    """The cases above split over both paths; the fast ones equal the parser's text."""
+    pages = [c[0] for c in CONTAINERS]
+    df = spark.createDataFrame(list(enumerate(pages)), "ord long, html string")
+    safe = {r.ord: r.safe for r in df.select("ord", H.regex_safe(F.col("html")).alias("safe")).collect()}
+    assert set(safe.values()) == {True, False}
+    out = {r.ord: r.text for r in P.with_main_text(df, "html", "text").collect()}
+    assert all(P.parse_main_text(pages[i]) == t for i, t in out.items())

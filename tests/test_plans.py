@@ -44,7 +44,7 @@ def test_library_partition_pruning(spark):
             .withColumn("url_hash", F.sha2("url", 256)).withColumn("content_hash", F.sha2("content", 256))
             .withColumn("word_count", TX.word_count("content")).withColumn("summary", F.lit(""))
             .withColumn("stored_path", F.lit("p"))
-            .withColumn("fetched_at", F.col("fetched_at") + F.expr("make_dt_interval(0, ord * 3, 0, 0)")))
+            .withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(0, ord * 3, 0, 0)")))
     LB.write_library(LB.library_rows(rows), base)
     lib = spark.read.parquet(base)
     day = LB.library_for_date(lib, "2024-01-03")
@@ -57,10 +57,68 @@ def test_stream_batch_replay_is_idempotent(spark):
     from broadsheet.plans.queries import RUN_TS, _raw_feeds, _source_file
     from broadsheet.streaming.incremental import make_batch_writer
     base = ensure_checkpoint_dir(spark) + f"/replay-{uuid.uuid4().hex}"
-    run = make_batch_writer(_raw_feeds(spark, SF), S.pages(spark, SF), base, RUN_TS)
-    batch = _source_file(spark, SF)
+    run = make_batch_writer(lambda: _raw_feeds(spark, SF), lambda: S.pages(spark, SF), base, RUN_TS)
+    batch = _source_file(spark, SF).withColumn("file", F.lit("f0"))
     run(batch, 0)
     first = spark.read.parquet(base + "/outcomes").count()
     run(batch, 0)   # replay of the same batch id
     assert spark.read.parquet(base + "/outcomes").count() == first
     assert spark.read.parquet(base + "/seen").count() == spark.read.parquet(base + "/seen").select("url_hash").distinct().count()
+
+
+def test_micro_batch_of_two_files(spark):
+    """Lines of two files share positions; their order is (file, position) and every line has one outcome."""
+    from broadsheet.streaming.incremental import make_batch_writer
+    base = ensure_checkpoint_dir(spark) + f"/files-{uuid.uuid4().hex}"
+    page = "<article>" + "word " * 60 + "{}</article>"
+    pages = spark.createDataFrame([(i, f"https://p/{i}", page.format(i % 2)) for i in range(4)], "ord long, url string, html string")
+    feeds = spark.createDataFrame([], "feed_url string, xml string")
+    lines = [("f1", 0, "https://p/2"), ("f0", 0, "https://p/0"), ("f0", 1, "https://p/1"), ("f1", 1, "https://p/9")]
+    run = make_batch_writer(lambda: feeds, lambda: pages, base, "2024-02-01 08:00:00")
+    run(spark.createDataFrame(lines, "file string, pos long, value string"), 0)
+    got = {r.url: (r.success, r.skipped) for r in spark.read.parquet(base + "/outcomes").collect()}
+    assert got == {"https://p/0": (True, False), "https://p/1": (True, False), "https://p/2": (False, True), "https://p/9": (False, False)}
+
+
+def test_unreadable_history_stops_the_batch(spark):
+    import os
+
+    import pytest
+
+    from broadsheet.streaming.incremental import _read_seen
+    base = ensure_checkpoint_dir(spark).removeprefix("file:") + f"/broken-{uuid.uuid4().hex}"
+    assert _read_seen(spark, base, 1) is None
+    os.makedirs(base)
+    with open(base + "/part-0.parquet", "w") as f:
+        f.write("no parquet")
+    with pytest.raises(Exception):
+        _read_seen(spark, base, 1).collect()
+
+
+def test_ingest_reads_html_of_wanted_pages_only(spark):
+    from broadsheet.plans.ingest import wanted_pages
+    pages = S.pages(spark, SF)
+    urls = pages.filter("ord < 3").select("url")
+    df = wanted_pages(pages, urls)
+    p = plan(df)
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning" not in p   # HTML is not shuffled
+    assert df.count() == 3
+
+
+def test_a_month_is_written_by_many_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = S.articles(spark, SF).withColumn("url_hash", F.sha2("url", 256))
+    lane = F.pmod(F.xxhash64("url_hash"), F.lit(n))
+    assert rows.select(lane.alias("l")).distinct().count() > 1
+
+
+def test_long_term_lists_lose_no_term(spark):
+    from broadsheet.operators import search as SE
+    cards = spark.createDataFrame([(1, 1, "a", "needle 1500", "", ["t"], "", "")],
+                                  "day int, rank int, id string, title string, one_liner string, tags array<string>, subtitle string, source string")
+    got = SE.story_search(cards, [f"needle {i}" for i in range(2000)], "day").collect()
+    assert {r.term for r in got} == {"needle 1", "needle 15", "needle 150", "needle 1500"}
+    index = spark.createDataFrame([(1, "t", "a")], "day int, tag string, id string")
+    items = spark.createDataFrame([(1, "Other", "a")], "day int, name string, id string")
+    kinds = SE.tag_filter(cards, index, ["t"] + [f"x{i}" for i in range(1500)], "day", items).collect()
+    assert sorted((r.kind, r.place, r.tag) for r in kinds) == [("section", "Other", "t"), ("story", "1", "t")]
