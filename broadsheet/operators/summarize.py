@@ -6,7 +6,7 @@ pattern yields already-stripped, non-empty sentences, so no per-row Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import WS_CLASS, thousands, word_count, ws_strip
@@ -139,6 +139,22 @@ def with_title_heading(reply, title) -> Column:
     return F.when(need, F.concat(F.lit("# Summary: "), t, F.lit("\n\n"), r)).otherwise(r)
 
 
+def apply_replies(articles: DataFrame, replies: DataFrame, key: str = "url_hash") -> DataFrame:
+    """``articles`` plus ``summary`` from a reply table ``(key, reply, error)``.
+
+    Replies come from a service run outside the engine.  A row with an
+    ``error`` failed: the article has no summary and carries ``summary_error``;
+    an article without a reply row is still ``pending``.  Of several rows of a
+    key one without error is preferred, then the smallest reply text.
+    """
+    best = replies.groupBy(key).agg(F.min(F.struct(F.col("error").isNotNull().alias("failed"), "reply", "error")).alias("_r"))
+    j = articles.join(best, key, "left")
+    ok = F.col("_r").isNotNull() & ~F.col("_r.failed")
+    return (j.withColumn("summary", F.when(ok, with_title_heading(F.col("_r.reply"), F.col("title"))))
+            .withColumn("summary_error", F.when(F.col("_r.failed"), F.concat(F.lit("Failed to generate summary: "), F.col("_r.error"))))
+            .withColumn("pending", F.col("_r").isNull()).drop("_r"))
+
+
 def tldr_section(summary_md) -> Column:
     """the TL;DR section's text, or ``Summary not available.``."""
     s = _c(summary_md)

@@ -154,6 +154,12 @@ SELECT ord, {Q.q(_PROMPT_HEAD)} || CASE WHEN length(content) > 15000
          THEN substr(content, 1, 15000) || {Q.q(chr(10) * 2 + '[Content truncated...]')} ELSE content END
        || {Q.q(_PROMPT_TAIL)} AS request,
        length(content) > 15000 AS truncated FROM art""")
+oracle("llm_replies", _with(Q.ART) + """,
+r AS (SELECT ord, title, ord % 7 AS kind, CASE WHEN ord % 7 = 1 THEN '# ' || title || chr(10) ELSE '' END || split_part(content, chr(10), 1) AS reply FROM art)
+SELECT ord, CASE WHEN kind IN (5, 6) THEN NULL
+                 WHEN title <> '' AND NOT starts_with(reply, '# ' || title) THEN '# Summary: ' || title || chr(10) || chr(10) || reply
+                 ELSE reply END AS summary,
+       CASE WHEN kind = 5 THEN 'Failed to generate summary: timeout' END AS summary_error, kind = 6 AS pending FROM r""".replace("\n,\nr AS", ",\nr AS"))
 oracle("tldr", _with(Q.ART, SUMS) + f"SELECT ord, {Q.tldr('sm_md')} AS tldr FROM sums")
 oracle("daily_totals", _with(Q.ART, KEYED, LIB) + """
 SELECT CAST(fetched_at AS DATE) AS day, count(*) AS articles, CAST(sum(word_count) AS BIGINT) AS total_words

@@ -243,7 +243,7 @@ def q_storage_path(spark, sf_dir):
 
 @query("slug")
 def q_slug(spark, sf_dir):
-    """B7 library slug of every article title and page URL path."""
+    """B7 library slug of every article title."""
     a = S.articles(spark, sf_dir).select(F.lit("art").alias("tbl"), "ord", "title")
     return a.select("tbl", "ord", TX.library_slug(F.col("title")).alias("slug"))
 
@@ -354,6 +354,20 @@ def q_llm_requests(spark, sf_dir):
                     (F.length("content") > SM.MAX_INPUT_CHARS).alias("truncated"))
 
 
+@query("llm_replies")
+def q_llm_replies(spark, sf_dir):
+    """summaries of all articles from a reply table (stand-in: first line as the reply, some with
+    a heading of their own, some failed, some missing)."""
+    a = _keyed(spark, sf_dir).select("ord", "title", "content").withColumn("key", F.col("ord"))
+    kind = F.pmod("key", F.lit(7))
+    first = F.substring_index(F.col("content"), "\n", 1)
+    replies = a.filter(kind != 6).select(
+        "key", F.when(kind == 1, F.concat(F.lit("# "), F.col("title"), F.lit("\n"), first)).when(kind != 5, first).alias("reply"),
+        F.when(kind == 5, "timeout").alias("error"))
+    out = SM.apply_replies(a.select("key", "ord", "title"), replies, "key")
+    return out.select("ord", "summary", "summary_error", "pending")
+
+
 @query("tldr")
 def q_tldr(spark, sf_dir):
     """TL;DR section extracted from each article's stored summary."""

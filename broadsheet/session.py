@@ -18,6 +18,8 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints of the rounds go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -33,7 +35,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
-        if master.startswith("local"):
+        if master == "local" or master.startswith("local["):
             # local mode: the driver JVM is the only executor
             b = b.config("spark.driver.memory", os.environ.get("BROADSHEET_DRIVER_MEMORY", "16g"))
     for k, v in BASE_CONF.items():
@@ -61,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     base = os.environ.get("TMPDIR", "/tmp")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-ckpt-", dir=base))
