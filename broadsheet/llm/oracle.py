@@ -1,7 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express.
 
 op7 follows the contract directly.  op5 repeats the rules of policy v2; windows
-are spelled out and counted.  The other queries train models, iterate, write
+are spelled out and counted.  op9 computes crc32 and the jump hash.  The other queries train models, iterate, write
 files or use hashes DuckDB lacks; they are tested against plain Python.
 """
 
@@ -32,7 +32,7 @@ m AS (
   FROM d LEFT JOIN covered USING (doc_id)),
 b AS (
   SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
-    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+    + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END) + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END)
     + (CASE WHEN word_chars < 2 * n_words OR word_chars > 15 * n_words THEN 16 ELSE 0 END)
     + (CASE WHEN 2 * n_upper > n_letters THEN 32 ELSE 0 END)
     + (CASE WHEN 2 * n_letters < word_chars THEN 64 ELSE 0 END) AS BIGINT) AS fail_bits
@@ -50,4 +50,37 @@ SELECT d.doc_id, keep_id, group_size, d.doc_id = keep_id AS kept, sha256(d.norm)
 FROM d JOIN g ON d.norm = g.norm
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7}
+# crc32 byte by byte with the table of its polynomial; the walk of the jump hash as a recursion
+OP9 = """
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab
+  FROM (SELECT unnest(range(256)) AS n)),
+d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+         list_transform(string_split(trim(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g')), ' '),
+                        lambda x: CASE WHEN x = '' THEN NULL ELSE CAST('0x' || x AS BIGINT) END) AS bytes
+  FROM documents),
+c AS (
+  SELECT doc_id, CAST(size AS BIGINT) AS size,
+         xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_filter(bytes, lambda x: x IS NOT NULL)),
+                                             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))) AS text_crc32
+  FROM d, t),
+ids AS (SELECT DISTINCT doc_id FROM documents),
+walk AS (
+  SELECT doc_id, n, -1::BIGINT AS b, 0::BIGINT AS j,
+         CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS k
+  FROM ids, (SELECT unnest([16, 17]) AS n)
+  UNION ALL
+  SELECT doc_id, n, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(s // 8589934592 + 1 AS DOUBLE))) AS BIGINT), s
+  FROM (SELECT *, (k * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM walk WHERE j < n)),
+shards AS (
+  SELECT doc_id, CAST(max(b) FILTER (WHERE n = 16) AS INTEGER) AS shard, CAST(max(b) FILTER (WHERE n = 17) AS INTEGER) AS grown_shard
+  FROM walk GROUP BY doc_id)
+SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, s.shard, s.grown_shard,
+       row_number() OVER (PARTITION BY s.shard ORDER BY (text_crc32 + ((coalesce(c.doc_id, 0) % 256) + 256) % 256) % 256,
+                          c.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot
+FROM c JOIN shards s ON s.doc_id IS NOT DISTINCT FROM c.doc_id
+"""
+
+ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7, "op9_sharding": OP9}

@@ -100,7 +100,7 @@ def ledger(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
         "few_words": n < 20,
         "repeated_windows": 100 * F.col("n_repeat_words") > 30 * n,
         "symbols": 10 * F.col("n_symbols") > n,
-        "dup_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
+        "dup_lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
         "word_length": (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n),
         "shouting": 2 * F.col("n_upper") > letters,
         "few_letters": 2 * letters < F.col("word_chars"),

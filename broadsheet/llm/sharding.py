@@ -64,5 +64,6 @@ def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"),
                        F.lit("key").alias("law"), jump(F.col("doc_id"), shards).alias("shard"),
                        jump(F.col("doc_id"), shards + 1).alias("grown_shard"))
-    out = numbered(rows, "shard", F.xxhash64("doc_id", "text_crc32", "size"), [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    spread = F.col("text_crc32") + F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(BUCKETS))
+    out = numbered(rows, "shard", spread, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -19,7 +19,7 @@ def test_stages_against_brute_force(spark):
     def rejected(t):
         n, chars, symbols, dups, repeated = slow_rules(t)
         letters, lines = [c for c in t if c.isalpha()], [x for x in t.split("\n") if WORD.search(x)]
-        return (n < 20 or 100 * repeated > 30 * n or 10 * symbols > n or 100 * dups > 30 * len(lines) or chars < 2 * n or chars > 15 * n
+        return (n < 20 or 100 * repeated > 30 * n or 10 * symbols > n or 2 * dups > len(lines) or chars < 2 * n or chars > 15 * n
                 or 2 * sum(c.isupper() for c in letters) > len(letters) or 2 * len(letters) < chars)
 
     want = [i for i, r in texts.items() if not rejected(r["text"])]
