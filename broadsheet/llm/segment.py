@@ -33,15 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from broadsheet.llm.blocks import C1, IntTable, mix, slices
+from broadsheet.llm.blocks import C1, IntTable, mix, slices, string_array, take_ranges
 
 PRE_TOKEN = re.compile(r" ?[^\s]+|\s")
 BLANK = "▁"
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
-MAX_NODES = 3_000_000  # lattice nodes a worker keeps before it starts anew
+MAX_NODES = 1_500_000  # lattice nodes a worker keeps before it starts anew
 
 
 def model_path() -> str:
@@ -81,6 +83,21 @@ class Vocabulary:
         self.piece_at[list(ends)] = list(ends.values())
         self.steps = IntTable(np.fromiter(step, np.int64, len(step)))  # node k + 1 is behind the k-th edge
 
+        self.spelled = np.frombuffer(b"".join(self.bytes_of) + b"\0", np.uint8)
+        self.lengths = np.array([len(b) for b in self.bytes_of])
+        self.spelled_to = np.cumsum(self.lengths)
+
+    def decode(self, ids: np.ndarray, offs: np.ndarray) -> pa.Array:
+        """The texts of piece lists ids[offs[i]:offs[i + 1]]; bytes that are no UTF-8 become U+FFFD."""
+        to = self.spelled_to[ids]
+        raw, at = take_ranges(self.spelled, to - self.lengths[ids], to)
+        out = string_array(raw, at[offs])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            out = pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[offs], at[offs][1:])], pa.string())
+        return out
+
     def follow(self, nodes: np.ndarray, chars: np.ndarray) -> np.ndarray:
         """Next trie node per (node, character), 0 where there is none."""
         return self.steps.find((nodes.astype(np.int64) << 21) + chars) + 1
@@ -103,7 +120,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.nodes, self.edges, self.end = 0, 0, {}
-        self.upto, self.back, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.upto, self.back, self.piece = np.zeros(1 << 16, np.float32), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.edge = np.zeros(1 << 15, np.int32)
 
     def _chain(self, char: int) -> int:
@@ -142,7 +159,7 @@ class Lattices:
         pos = np.arange(len(chars)) - np.repeat(last - size, size)
         start, length, piece, weight = self._spans(chars, np.repeat(size, size) - pos)
         node = start + length - 1
-        order = np.lexsort((start, node, pos[node]))  # by character within the pre-token, then node
+        order = np.argsort(pos[node] * len(chars) + node)  # by character within the pre-token, then node
         start, piece, weight, node = start[order], piece[order], weight[order], node[order]
         share, total = np.zeros(len(node)), np.zeros(len(chars))
         heads = np.flatnonzero(np.diff(node, prepend=-1))
@@ -156,13 +173,13 @@ class Lattices:
             sums = np.add.reduceat(e, at)
             total[node[a:z][at]] = top + np.log(sums)
             share[a:z] = e / np.repeat(sums, n)
-        order = np.lexsort((-share, node))
+        order = np.argsort(node - 0.999 * share)  # shares of a node descending
         start, piece, share, node = start[order], piece[order], share[order], node[order]
         heads = np.flatnonzero(np.diff(node, prepend=-1))
         tails = np.append(heads[1:], len(node)) - 1
         cum = np.cumsum(share)
         cum -= np.repeat(cum[heads] - share[heads], tails - heads + 1)
-        cum = np.minimum(cum, 1.0)
+        cum = np.minimum(cum, 1.0).astype(np.float32)
         cum[tails] = 1.0
         need = self.edges + len(node)
         if need > len(self.upto):
@@ -196,7 +213,7 @@ class Lattices:
         steps = np.zeros(len(node), np.int64)
         drawn, live, k = [], np.arange(len(node)), 0
         while live.size:
-            u = (mix(stream[live] + np.uint64(k * int(C1) % 2**64)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            u = (mix(stream[live] + np.uint64(k * int(C1) % 2**64)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
             e = self.edge[node]
             miss = np.flatnonzero(self.upto[e] <= u)
             while miss.size:
@@ -252,47 +269,55 @@ def load_model(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model=None, key: Column | None = None, seed: int = 0, alpha: float = 1.0, shift: float = 10.0) -> DataFrame:
+def encode(docs: DataFrame, model=None, key: Column | None = None, seed: int = 0, alpha: float = 1.0, shift: float = 10.0,
+           decoded: bool = False) -> DataFrame:
     """``docs`` plus ``pieces`` (array of int): one sampled segmentation of ``text`` per row.
 
-    ``key`` (default the column doc_id) and ``seed`` choose the sample.
+    ``key`` (default the column doc_id) and ``seed`` choose the sample.  With
+    ``decoded`` the pieces are decoded again in the same task, as a check or to
+    save a second pass, into a column ``decoded``.
     """
     model = model or load_model(docs.sparkSession)
     key = F.col("doc_id") if key is None else key
+    made = ["pieces", "decoded"] if decoded else ["pieces"]
     rows = docs.select(F.col("text").alias("__t"), F.xxhash64(F.coalesce(key.cast("long"), F.lit(0)), F.lit(seed)).alias("__k"),
-                       F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("pieces", "text")]).alias("__doc"))
+                       F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in docs.columns if c not in (*made, "text")]).alias("__doc"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model.value, alpha, shift)
         for b in slices(batches, "__t", 1 << 20):
             texts = [t or "" for t in b.column("__t").to_pylist()]
             ids, offs = lattices.sample(texts, b.column("__k").to_numpy().astype(np.int64).view(np.uint64))
-            pieces = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pieces], [*b.schema.names, "pieces"])
-
-    from pyspark.sql import types as T
+            cols = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                cols.append(lattices.v.decode(ids, offs))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *made])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    out = rows.mapInArrow(task, schema)
-    return out.select(*[F.col("__t").alias("text") if c == "text" else F.col("__doc").getField(c).alias(c) for c in docs.columns if c != "pieces"], "pieces")
+    kinds = {"pieces": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
+    out = rows.mapInArrow(task, T.StructType([*rows.schema.fields, *[T.StructField(c, kinds[c]) for c in made]]))
+    return out.select(*[F.col("__t").alias("text") if c == "text" else F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in made], *made)
 
 
 def decode(rows: DataFrame, model=None) -> DataFrame:
     """``rows`` plus ``decoded``: the text of ``pieces`` (null for null)."""
     model = model or load_model(rows.sparkSession)
+    packed = rows.select("pieces", F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "decoded"]).alias("__doc"))
 
-    @F.pandas_udf("string")
-    def text_of(pieces):
-        table = _lattices(model.value, 1.0, 10.0).v.bytes_of if not _state else next(iter(_state.values())).v.bytes_of
-        join = b"".join
-        return pieces.map(lambda p: None if p is None else join([table[i] for i in p]).decode("utf-8", "surrogatepass"))
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = _lattices(model.value, 1.0, 10.0).v
+        for b in batches:
+            pieces = b.column("pieces")
+            size = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False)
+            texts = v.decode(pieces.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+            texts = pc.if_else(pieces.is_valid(), texts, pa.scalar(None, pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column("__doc"), texts], ["__doc", "decoded"])
 
-    return rows.withColumn("decoded", text_of("pieces"))
+    out = packed.mapInArrow(task, T.StructType([packed.schema["__doc"], T.StructField("decoded", T.StringType())]))
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in rows.columns if c != "decoded"], "decoded")
 
 
 def round_trip(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, n_pieces, pieces, decoded_sha256, lossless) per row: encoded, decoded and compared."""
-    model = load_model(docs.sparkSession)
-    out = decode(encode(docs.select("doc_id", "text"), model, seed=seed), model)
+    out = encode(docs.select("doc_id", "text"), seed=seed, decoded=True)
     return out.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", F.sha2("decoded", 256).alias("decoded_sha256"),
                       (F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))).alias("lossless"))

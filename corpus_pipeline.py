@@ -40,8 +40,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def segment_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with one sampled segmentation (``pieces``) and the text decoded from it."""
-    model = segment.load_model(spark)
-    out = segment.decode(segment.encode(docs, model), model)
+    out = segment.encode(docs, decoded=True)
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     return out.withColumn("n_pieces", F.size("pieces")).withColumn("lossless", same)
 

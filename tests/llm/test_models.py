@@ -81,7 +81,7 @@ def vocabulary():
     return segment.Vocabulary(open(segment.model_path(), "rb").read())
 
 
-def test_segmentation_round_trips(edge, small, empty):
+def test_segmentation_round_trips(spark, edge, small, empty):
     odd = edge.unionByName(edge.limit(1).withColumn("text", F.lit("a▁b  c\n\té漢字🙂\x00 " + "▁" * 3)))
     for docs in (odd, small):
         assert all(r["lossless"] for r in segment.round_trip(docs).collect())
@@ -90,6 +90,11 @@ def test_segmentation_round_trips(edge, small, empty):
     out = segment.decode(segment.encode(clash))
     assert out.columns == [*small.columns, "pieces", "decoded"]
     assert out.filter(~F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).count() == 0
+    assert segment.encode(out, decoded=True).columns == [*small.columns, "pieces", "decoded"]
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [3 + 0x41, 13])], "k long, pieces array<int>")
+    got = {r["k"]: r["decoded"] for r in segment.decode(lists).collect()}
+    assert got[1] is None and got[2] == "" and got[3] is not None
+    assert {r["k"]: r["decoded"] for r in segment.decode(lists.filter("k = 3").withColumn("pieces", F.array(F.lit(3 + 0xE9)))).collect()} == {3: "\ufffd"}
 
 
 def test_segmentation_is_seeded_by_key(small):
