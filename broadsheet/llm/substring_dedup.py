@@ -75,8 +75,10 @@ def _anchors(window: int, gram: int):
             order = np.lexsort((bucket, a))
             a, bucket, doc = a[order], bucket[order], doc[order]
             head = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (bucket[1:] != bucket[:-1])) + 1])
-            yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(bucket[head]), pa.array(np.minimum.reduceat(doc, head)),
-                                              pa.array(np.maximum.reduceat(doc, head))], ["a", "bucket", "lo", "hi"])
+            lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
+            # hi is mostly lo again: null then, which takes no room in the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(bucket[head]), pa.array(lo), pa.array(hi, mask=hi == lo)],
+                                             ["a", "bucket", "lo", "hi"])
     return task
 
 
@@ -98,7 +100,7 @@ def _shared(batches):
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [c.to_numpy() for c in b.columns]
+        cols = [c.to_numpy() for c in b.columns[:3]] + [pc.coalesce(b.column("hi"), b.column("lo")).to_numpy()]
         held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
         last = int(np.searchsorted(held[0], held[0][-1]))
         if last:
@@ -113,13 +115,31 @@ def _parts(table: pa.Table):
     return slices(iter(table.combine_chunks().to_batches()), "text")
 
 
+def _versions(docs: pa.Table) -> np.ndarray:
+    """Per row, the rank of its text's hash among the texts of its id (0 unless an id is repeated)."""
+    doc = docs.column("doc_id").combine_chunks().fill_null(0).to_numpy()
+    th = docs.column("th").to_numpy()
+    order = np.lexsort((th, doc))
+    doc, th = doc[order], th[order]
+    step = np.zeros(len(doc), np.int64)
+    step[1:] = (doc[1:] == doc[:-1]) & (th[1:] != th[:-1])
+    total = np.cumsum(step)
+    head = np.ones(len(doc), bool)
+    head[1:] = doc[1:] != doc[:-1]
+    out = np.empty(len(doc), np.int64)
+    out[order] = total - total[np.flatnonzero(head)][np.cumsum(head) - 1] if len(doc) else total
+    return out
+
+
 def _segments(window: int, gram: int, shards: int):
-    names = ["shard", "bucket", "segment", "docs", "ths", "starts"]
+    """Rows (shard, bucket, segment, places): places are triples (doc_id, version, first word), smallest id first."""
+    names = ["shard", "bucket", "segment", "places"]
 
     def cut(key, shared: pa.Table, docs: pa.Table) -> pa.Table:
         wanted = np.sort(shared.column("a").to_numpy())
         bucket = key[0].as_py()
-        text, anchor, doc, th, start = [], [], [], [], []
+        text, anchor, doc, version, start = [], [], [], [], []
+        docs = docs.append_column("version", pa.array(_versions(docs)))
         for b in _parts(docs) if len(wanted) else ():
             b = b.filter(pc.is_valid(b.column("doc_id")))
             data, offs = text_bytes(b.column("text"))
@@ -143,19 +163,19 @@ def _segments(window: int, gram: int, shards: int):
             text.append(pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ro.astype(np.int32)), pa.py_buffer(raw)]))
             anchor.append(a[head])
             doc.append(b.column("doc_id").to_numpy()[of[head]])
-            th.append(b.column("th").to_numpy()[of[head]])
+            version.append(b.column("version").to_numpy()[of[head]])
             start.append(w0 - first[of[head]])
         if not text:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())])})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])})
         spelled = pa.concat_arrays(text).dictionary_encode()
-        anchor, doc, th, start = (np.concatenate(x) for x in (anchor, doc, th, start))
+        anchor, doc, version, start = (np.concatenate(x) for x in (anchor, doc, version, start))
         kind = spelled.indices.to_numpy()
-        order = np.lexsort((start, th, doc, kind))
+        order = np.lexsort((start, version, doc, kind))
         head = np.concatenate([[0], np.flatnonzero(np.diff(kind[order])) + 1])
-        offs = pa.array(np.append(head, len(order)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offs, pa.array(x[order], t)) for x, t in ((doc, pa.int64()), (th, pa.int64()), (start, pa.int32()))]
+        offs = pa.array(3 * np.append(head, len(order)), pa.int32())
+        places = pa.ListArray.from_arrays(offs, pa.array(np.stack([doc, version, start], axis=1)[order].ravel()))
         shard = (mix(anchor[order[head]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-        return pa.table([pa.array(shard), pa.array(np.full(len(head), bucket, np.int32)), spelled.dictionary.take(pa.array(kind[order[head]])), *lists], names)
+        return pa.table([pa.array(shard), pa.array(np.full(len(head), bucket, np.int32)), spelled.dictionary.take(pa.array(kind[order[head]])), places], names)
 
     return cut
 
@@ -171,12 +191,13 @@ def word_numbers(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return np.array([seen.setdefault(raw[a:b], len(seen) + 1) for a, b in zip(mo, mo[1:])], np.int64)
 
 
-def duplicate_ranges(segments: pa.Array, docs: pa.ListArray, starts: pa.ListArray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, from, to): word ranges to remove, by the place (index into the flat lists) they are in."""
+def duplicate_ranges(segments: pa.Array, lists: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, from, to): word ranges to remove, by the place they are in.
+
+    The places lists[i]:lists[i + 1], with their documents and first words, hold segment i.
+    """
     coded = segments.dictionary_encode()
     kind = coded.indices.to_numpy()
-    lists = docs.offsets.to_numpy().astype(np.int64)
-    doc, start = docs.flatten().to_numpy(), starts.flatten().to_numpy().astype(np.int64)
     leader = doc[lists[:-1]]
     least = np.full(len(coded.dictionary), np.iinfo(np.int64).max)
     np.minimum.at(least, kind, leader)
@@ -233,25 +254,29 @@ def _search(window: int):
     def shard(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         col = lambda n: table.column(n).combine_chunks()
-        where, a, z = duplicate_ranges(col("segment").cast(pa.binary()), col("docs"), col("starts"), window)
-        row = np.repeat(np.arange(table.num_rows), np.diff(col("docs").offsets.to_numpy()))
-        return pa.table({"bucket": pa.array(table.column("bucket").to_numpy()[row[where]], pa.int32()), "doc_id": col("docs").flatten().to_numpy()[where],
-                         "th": col("ths").flatten().to_numpy()[where], "begin": pa.array(a, pa.int64()), "end": pa.array(z, pa.int64())})
+        places = col("places")
+        lists = np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy())]).astype(np.int64) // 3
+        doc, version, start = places.flatten().to_numpy().reshape(-1, 3).T
+        where, a, z = duplicate_ranges(col("segment").cast(pa.binary()), lists, doc, start, window)
+        row = np.repeat(np.arange(table.num_rows), np.diff(lists))
+        return pa.table({"bucket": pa.array(table.column("bucket").to_numpy()[row[where]], pa.int32()), "doc_id": pa.array(doc[where]),
+                         "version": pa.array(version[where]), "begin": pa.array(a, pa.int64()), "end": pa.array(z, pa.int64())})
     return shard
 
 
 def _finish(texts: bool):
     def cut(ranges: pa.Table, docs: pa.Table) -> pa.Table:
         by: dict[tuple, list] = {}
-        for key in zip(*(ranges.column(c).to_pylist() for c in ("doc_id", "th", "begin", "end"))):
+        for key in zip(*(ranges.column(c).to_pylist() for c in ("doc_id", "version", "begin", "end"))):
             by.setdefault(key[:2], []).append(key[2:])
         out = []
+        docs = docs.append_column("version", pa.array(_versions(docs)))
         for b in _parts(docs):
             data, offs = text_bytes(b.column("text"))
             s, e, first = words(data, offs)
             step = np.zeros(len(s) + 1, np.int64)
             ids = b.column("doc_id").to_pylist()
-            for i, key in enumerate(zip(ids, b.column("th").to_pylist())):
+            for i, key in enumerate(zip(ids, b.column("version").to_pylist())):
                 for a, z in by.get(key, ()):
                     step[first[i] + a] += 1
                     step[first[i] + z] -= 1
@@ -280,7 +305,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text
     seen = dealt.mapInArrow(_anchors(window, gram), "a long, bucket int, lo long, hi long")
     shared = seen.repartition(buckets, "a").sortWithinPartitions("a").mapInArrow(_shared, "a long, bucket int")
     segments = shared.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
-        _segments(window, gram, buckets), "shard int, bucket int, segment binary, docs array<long>, ths array<long>, starts array<int>")
-    ranges = segments.groupBy("shard").applyInArrow(_search(window), "bucket int, doc_id long, th long, begin long, end long")
+        _segments(window, gram, buckets), "shard int, bucket int, segment binary, places array<long>")
+    ranges = segments.groupBy("shard").applyInArrow(_search(window), "bucket int, doc_id long, version long, begin long, end long")
     schema = "doc_id long, n_words long, n_removed long, " + "kept string, " * texts + "kept_sha256 string"
     return ranges.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_finish(texts), schema)
