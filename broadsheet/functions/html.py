@@ -140,31 +140,32 @@ def _truthy_strip(raw: Column) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) != "", ws_strip(raw))
 
 
-def page_title(html) -> Column:
+def page_title(html, cleaned: bool = False) -> Column:
     """B1 title: ``og:title`` when its content is non-empty, else the ``<title>`` text.
 
     Stripped; NULL when neither exists (callers default to ``Untitled``, and
-    treat an empty result the same way).
+    treat an empty result the same way).  ``cleaned``: the column already is
+    :func:`metadata_source` of the page (computed once for all three).
     """
-    h, pattern = metadata_source(html), rf"(?is)<title{END}[^>]*>(.*?)</title\s*>"
+    h, pattern = _c(html) if cleaned else metadata_source(html), rf"(?is)<title{END}[^>]*>(.*?)</title\s*>"
     t = F.when(h.rlike(pattern), ws_strip(decode_references(F.regexp_extract(h, pattern, 1))))
     og = _truthy_strip(_meta_content(h, "property", "og:title"))
     return F.coalesce(og, t)
 
 
-def page_author(html) -> Column:
+def page_author(html, cleaned: bool = False) -> Column:
     """B1 author: ``article:author`` over ``name=author`` (each only when non-empty)."""
-    h = metadata_source(html)
+    h = _c(html) if cleaned else metadata_source(html)
     return F.coalesce(_truthy_strip(_meta_content(h, "property", "article:author")),
                       _truthy_strip(_meta_content(h, "name", "author")))
 
 
-def page_date(html) -> Column:
+def page_date(html, cleaned: bool = False) -> Column:
     """B1 date: ``article:published_time``; if that is missing or blank, ``name=date``.
 
     A blank published_time with no ``name=date`` tag gives ''.
     """
-    h = metadata_source(html)
+    h = _c(html) if cleaned else metadata_source(html)
     pub = _truthy_strip(_meta_content(h, "property", "article:published_time"))
     alt = _truthy_strip(_meta_content(h, "name", "date"))
     return F.when(F.coalesce(pub, F.lit("")) != "", pub).otherwise(F.coalesce(alt, pub))

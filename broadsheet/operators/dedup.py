@@ -122,14 +122,18 @@ def _with_matches(batch: DataFrame, latest: DataFrame, content_col: str) -> Data
     """``batch`` plus ``url_title`` and ``content_title``: titles of the history records it collides with.
 
     Both joins split hot keys: a content hash or URL repeated in the batch is
-    looked up from broadcast statistics (see ``skew.lookup_join``).
+    looked up from broadcast statistics (see ``skew.lookup_join``).  The
+    matches are narrow (the batch's own keys) and materialised, since each is
+    read for its hot and its other keys.
     """
     has_content = _has_content(batch, content_col)
     urls = batch.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n"))
-    by_url = latest.select("url_hash", F.struct("title").alias("url_seen")).join(urls, "url_hash")
-    by_content = _content_matches(batch, latest, has_content).select("content_hash", F.struct("content_title").alias("content_seen"), "n")
-    j = lookup_join(batch, by_url, "url_hash", "n", "left")
-    j = lookup_join(j, by_content, "content_hash", "n", "left")
+    by_url = cut_lineage(latest.select("url_hash", F.struct("title").alias("url_seen")).join(urls, "url_hash"))
+    by_content = cut_lineage(_content_matches(batch, latest, has_content)
+                             .select("content_hash", F.struct("content_title").alias("content_seen"), "n"))
+    total = batch.count()
+    j = lookup_join(batch, by_url, "url_hash", "n", "left", total=total)
+    j = lookup_join(j, by_content, "content_hash", "n", "left", total=total)
     return j.withColumn("content_seen", F.when(has_content, F.col("content_seen")))
 
 
