@@ -7,6 +7,8 @@ its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of ``batches`` in pieces of about ``limit`` bytes of ``column``."""
     for b in batches:
@@ -36,6 +45,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
         cuts = np.flatnonzero(np.diff(piece)) + 1
         for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
             yield b.slice(a, z - a)
+        del b
+    release()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

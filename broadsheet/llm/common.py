@@ -76,6 +76,15 @@ def lookup(rows: DataFrame, stats: DataFrame, key: str, size: str, spread: Colum
     return out.select(*keep, *[F.col("__s").getField(c).alias(c) for c in others])
 
 
+# Id tables up to this many rows may be broadcast (a few dozen megabytes).
+BROADCAST_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame | None:
+    """``ids`` (a checkpointed table of one id column) marked for broadcast if it has few rows, else None."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else None
+
+
 def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     """Global 0-based rank by ``order`` without a one-task window.
 

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.blocks import C1, gram_hashes, mix, power, slices, text_bytes, word_hashes, words
-from broadsheet.llm.common import connected, lookup, partitions
+from broadsheet.llm.common import connected, lookup, partitions, small
 from broadsheet.session import cut_lineage
 
 SUB = 2  # parts of a group
@@ -263,12 +263,17 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
 
 def links(docs: DataFrame, tasks: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v): links that connect whatever is linked within a task; several tasks share a bin."""
-    bins = max(partitions(docs.sparkSession), int(tasks.count() // (2 * BLOCK)) + 1)
+    bins = max(partitions(docs.sparkSession), int(tasks.count() // BLOCK) + 1)
+    # where few documents are compared, the others leave before their texts are shuffled
+    wanted = small(cut_lineage(tasks.select(F.col("doc").alias("doc_id")).distinct()))
+    docs = docs if wanted is None else docs.join(wanted, "doc_id", "left_semi")
     rows = docs.join(tasks, docs["doc_id"] == tasks["doc"]).select(F.pmod("task", F.lit(bins)).alias("bin"), "task", "doc_id", "text")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        value, offs = shingles(table.column("text").combine_chunks(), n)
+        # sets slice by slice, so only the hashes of the bin are held beside its texts
+        parts = [shingles(b.column("text"), n) for b in slices(iter(table.to_batches()), "text", 1 << 20)]
+        value = np.concatenate([v for v, _ in parts])
+        offs = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))])
         ids, task = table.column("doc_id").to_numpy(), table.column("task").to_numpy()
         order = np.argsort(task, kind="stable")
         cuts = np.flatnonzero(np.diff(task[order])) + 1
@@ -306,5 +311,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUN
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows that are not the smallest id of their component; rows without an id stay."""
     slim = docs.select("doc_id", "text")
-    gone = components(slim, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = cut_lineage(components(slim, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    few = small(gone)
+    gone = gone if few is None else few
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")

@@ -38,12 +38,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from broadsheet.llm.blocks import C1, IntTable, mix, slices, string_array, take_ranges
+from broadsheet.llm.blocks import C1, IntTable, mix, release, slices, string_array, take_ranges
 
 PRE_TOKEN = re.compile(r" ?[^\s]+|\s")
 BLANK = "▁"
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
-MAX_NODES = 1_500_000  # lattice nodes a worker keeps before it starts anew
+MAX_NODES = 1_200_000  # lattice nodes a worker keeps before it starts anew
 
 
 def model_path() -> str:
@@ -183,9 +183,9 @@ class Lattices:
         cum[tails] = 1.0
         need = self.edges + len(node)
         if need > len(self.upto):
-            self.upto, self.back, self.piece = (np.concatenate([x, np.zeros(2 * need - len(x), x.dtype)]) for x in (self.upto, self.back, self.piece))
+            self.upto, self.back, self.piece = (np.concatenate([x, np.zeros(need * 5 // 4 - len(x), x.dtype)]) for x in (self.upto, self.back, self.piece))
         if self.nodes + len(chars) > len(self.edge):
-            self.edge = np.concatenate([self.edge, np.zeros(2 * (self.nodes + len(chars)) - len(self.edge), np.int32)])
+            self.edge = np.concatenate([self.edge, np.zeros((self.nodes + len(chars)) * 5 // 4 - len(self.edge), np.int32)])
         self.edge[self.nodes:self.nodes + len(chars)] = self.edges + heads
         here = slice(self.edges, need)
         self.upto[here] = cum
@@ -285,13 +285,15 @@ def encode(docs: DataFrame, model=None, key: Column | None = None, seed: int = 0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(model.value, alpha, shift)
-        for b in slices(batches, "__t", 1 << 20):
+        for b in slices(batches, "__t", 1 << 19):
             texts = [t or "" for t in b.column("__t").to_pylist()]
             ids, offs = lattices.sample(texts, b.column("__k").to_numpy().astype(np.int64).view(np.uint64))
             cols = [pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(ids, pa.int32()))]
             if decoded:
                 cols.append(lattices.v.decode(ids, offs))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *made])
+        lattices.clear()  # the worker may live on for other work
+        release()
 
     kinds = {"pieces": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
     out = rows.mapInArrow(task, T.StructType([*rows.schema.fields, *[T.StructField(c, kinds[c]) for c in made]]))
