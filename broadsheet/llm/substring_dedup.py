@@ -14,6 +14,10 @@ Equal windows must meet without shuffling every window:
    shards by anchor; equal windows have equal anchors, so they meet there.
    Within a bucket of documents equal segments travel once, with the places
    that have them: all but those of the smallest id are known duplicates.
+   An anchor that is in more than ``HOT`` segments is not routed as one: each
+   of its windows is dealt by the hash of all its words, with the places of the
+   bucket's smallest id only (the others are duplicates already), so what a
+   window sends is one row a bucket however many documents have it.
 3. Each shard builds a compressed FM-index of its different segments and
    streams them against it: backward search gives, per window, the interval of
    all its occurrences, and the smallest id in it decides.
@@ -46,6 +50,7 @@ WINDOW = 13
 GRAM = 6
 BUCKET_BYTES = 8 << 20
 LONGEST = 64  # windows of a segment
+HOT = 512  # segments; windows of an anchor in more are routed one by one
 
 
 def window_anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,51 +68,63 @@ def window_anchors(h: np.ndarray, first: np.ndarray, window: int, gram: int) ->
     return begin, of[begin], low.view(np.int64)
 
 
+def _run_heads(begin: np.ndarray, of: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Whether a window is not the next one of its text with the same anchor."""
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (of[1:] != of[:-1]) | (begin[1:] != begin[:-1] + 1)
+    return new
+
+
 def _anchors(window: int, gram: int):
     def task(batches):
         for b in slices(batches, "text"):
             b = b.filter(pc.is_valid(b.column("doc_id")))
             s, e, first = words(*(x := text_bytes(b.column("text"))))
-            _, of, a = window_anchors(word_hashes(x[0], s, e), first, window, gram)
+            begin, of, a = window_anchors(word_hashes(x[0], s, e), first, window, gram)
             if not len(a):
                 continue
             doc, bucket = b.column("doc_id").to_numpy()[of], b.column("bucket").to_numpy()[of]
+            new = _run_heads(begin, of, a)
             order = np.lexsort((bucket, a))
             a, bucket, doc = a[order], bucket[order], doc[order]
             head = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (bucket[1:] != bucket[:-1])) + 1])
             lo, hi = np.minimum.reduceat(doc, head), np.maximum.reduceat(doc, head)
-            # hi is mostly lo again: null then, which takes no room in the shuffle
-            yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(bucket[head]), pa.array(lo), pa.array(hi, mask=hi == lo)],
-                                             ["a", "bucket", "lo", "hi"])
+            n = np.add.reduceat(new[order], head, dtype=np.int32)
+            # hi is mostly lo again and n mostly 1: null then, which takes no room in the shuffle
+            yield pa.RecordBatch.from_arrays([pa.array(a[head]), pa.array(bucket[head]), pa.array(lo), pa.array(hi, mask=hi == lo), pa.array(n, mask=n == 1)],
+                                             ["a", "bucket", "lo", "hi", "n"])
     return task
 
 
-def _shared(batches):
-    """(a, bucket) of the anchors that two documents have; rows come sorted by anchor."""
+def _shared(most: int):
+    """(a, bucket, hot) of the anchors that two documents have; hot: in more than ``most`` segments.  Rows come sorted by anchor."""
     def found(c):
         head = np.concatenate([[0], np.flatnonzero(c[0][1:] != c[0][:-1]) + 1])
         size = np.diff(np.append(head, len(c[0])))
         several = np.minimum.reduceat(c[2], head) < np.maximum.reduceat(c[3], head)
+        hot = np.add.reduceat(c[4].astype(np.int64), head) > most
         keep = np.repeat(several, size)
-        pairs = np.stack([c[0][keep], c[1][keep].astype(np.int64)])
-        order = np.lexsort(pairs[::-1])
-        pairs = pairs[:, order]
-        new = np.ones(pairs.shape[1], bool)
-        new[1:] = (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0][new]), pa.array(pairs[1][new].astype(np.int32))], ["a", "bucket"])
-
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [c.to_numpy() for c in b.columns[:3]] + [pc.coalesce(b.column("hi"), b.column("lo")).to_numpy()]
-        held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
-        last = int(np.searchsorted(held[0], held[0][-1]))
-        if last:
-            yield found([c[:last] for c in held])
-            held = [c[last:] for c in held]
-    if held is not None:
-        yield found(held)
+        rows = np.stack([c[0], c[1].astype(np.int64), np.repeat(hot, size)])[:, keep]
+        rows = rows[:, np.lexsort(rows[1::-1])]
+        new = np.ones(rows.shape[1], bool)
+        new[1:] = (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)
+        a, bucket, hot = rows[:, new]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(bucket.astype(np.int32)), pa.array(hot.astype(bool))], ["a", "bucket", "hot"])
+
+    def task(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy() for c in b.columns[:3]] + [pc.coalesce(b.column("hi"), b.column("lo")).to_numpy(), pc.fill_null(b.column("n"), 1).to_numpy()]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            if last:
+                yield found([c[:last] for c in held])
+                held = [c[last:] for c in held]
+        if held is not None:
+            yield found(held)
+    return task
 
 
 def _parts(table: pa.Table):
@@ -132,26 +149,31 @@ def _versions(docs: pa.Table) -> np.ndarray:
 
 
 def _segments(window: int, gram: int, shards: int):
-    """Rows (shard, bucket, segment, places): places are triples (doc_id, version, first word), smallest id first."""
+    """Rows (shard, bucket, segment, places): places are triples (doc_id, version, first word), smallest id first.
+
+    A row without a segment has known duplicates: (doc_id, version, first word, word behind the last) each.
+    """
     names = ["shard", "bucket", "segment", "places"]
 
     def cut(key, shared: pa.Table, docs: pa.Table) -> pa.Table:
-        wanted = np.sort(shared.column("a").to_numpy())
+        wanted, busy = shared.column("a").to_numpy(), shared.column("hot").to_numpy()
+        order = np.argsort(wanted)
+        wanted, busy = wanted[order], busy[order]
         bucket = key[0].as_py()
-        text, anchor, doc, version, start = [], [], [], [], []
+        text, route, hot, doc, version, start = [], [], [], [], [], []
         docs = docs.append_column("version", pa.array(_versions(docs)))
         for b in _parts(docs) if len(wanted) else ():
             b = b.filter(pc.is_valid(b.column("doc_id")))
             data, offs = text_bytes(b.column("text"))
             s, e, first = words(data, offs)
-            begin, of, a = window_anchors(word_hashes(data, s, e), first, window, gram)
+            h = word_hashes(data, s, e)
+            begin, of, a = window_anchors(h, first, window, gram)
             at = np.minimum(np.searchsorted(wanted, a), len(wanted) - 1)
             hit = wanted[at] == a
-            begin, of, a = begin[hit], of[hit], a[hit]
+            begin, of, a, alone = begin[hit], of[hit], a[hit], busy[at[hit]]
             if not len(a):
                 continue
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (of[1:] != of[:-1]) | (begin[1:] != begin[:-1] + 1)
+            new = _run_heads(begin, of, a) | alone
             run = np.flatnonzero(new)[np.cumsum(new) - 1]
             head = np.flatnonzero((np.arange(len(a)) - run) % LONGEST == 0)
             tail = np.append(head[1:], len(a)) - 1
@@ -161,21 +183,38 @@ def _segments(window: int, gram: int, shards: int):
             w0, w1 = begin[head], begin[tail] + window
             raw, ro = take_ranges(plain, po[w0], po[w1] - 1)
             text.append(pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ro.astype(np.int32)), pa.py_buffer(raw)]))
-            anchor.append(a[head])
+            by = a[head].view(np.uint64)
+            if alone.any():
+                by = np.where(alone[head], gram_hashes(h, window)[w0], by)
+            route.append(by)
+            hot.append(alone[head])
             doc.append(b.column("doc_id").to_numpy()[of[head]])
             version.append(b.column("version").to_numpy()[of[head]])
             start.append(w0 - first[of[head]])
         if not text:
             return pa.table({n: pa.array([], t) for n, t in zip(names, [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())])})
         spelled = pa.concat_arrays(text).dictionary_encode()
-        anchor, doc, version, start = (np.concatenate(x) for x in (anchor, doc, version, start))
+        route, hot, doc, version, start = (np.concatenate(x) for x in (route, hot, doc, version, start))
         kind = spelled.indices.to_numpy()
         order = np.lexsort((start, version, doc, kind))
         head = np.concatenate([[0], np.flatnonzero(np.diff(kind[order])) + 1])
+        least = np.repeat(doc[order[head]], np.diff(np.append(head, len(order))))
+        known = hot[order] & (doc[order] > least)
+        late, order = order[known], order[~known]
+        head = np.concatenate([[0], np.flatnonzero(np.diff(kind[order])) + 1])
         offs = pa.array(3 * np.append(head, len(order)), pa.int32())
         places = pa.ListArray.from_arrays(offs, pa.array(np.stack([doc, version, start], axis=1)[order].ravel()))
-        shard = (mix(anchor[order[head]].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-        return pa.table([pa.array(shard), pa.array(np.full(len(head), bucket, np.int32)), spelled.dictionary.take(pa.array(kind[order[head]])), places], names)
+        shard = (mix(route[order[head]]) % np.uint64(shards)).astype(np.int32)
+        out = pa.table([pa.array(shard), pa.array(np.full(len(head), bucket, np.int32)), spelled.dictionary.take(pa.array(kind[order[head]])), places], names)
+        if not late.size:
+            return out
+        late = late[np.lexsort((start[late], version[late], doc[late]))]
+        d, v, w = doc[late], version[late], start[late]
+        head = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (w[1:] > w[:-1] + window)) + 1])
+        tail = np.append(head[1:], len(late)) - 1
+        ranges = np.stack([d[head], v[head], w[head], w[tail] + window], axis=1).ravel()
+        ready = [pa.array([x], f.type) for x, f in zip((bucket % shards, bucket, None, ranges), out.schema)]
+        return pa.concat_tables([out, pa.table(ready, out.schema)])
 
     return cut
 
@@ -251,16 +290,28 @@ def text_bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _search(window: int):
+    def rows(bucket, doc, version, a, z) -> pa.Table:
+        return pa.table({"bucket": pa.array(bucket, pa.int32()), "doc_id": pa.array(doc, pa.int64()), "version": pa.array(version, pa.int64()),
+                         "begin": pa.array(a, pa.int64()), "end": pa.array(z, pa.int64())})
+
+    def unpacked(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+        places = table.column("places").combine_chunks()
+        size = pc.list_value_length(places).to_numpy(zero_copy_only=False) // width
+        return np.concatenate([[0], np.cumsum(size)]).astype(np.int64), places.flatten().to_numpy().reshape(-1, width).T
+
     def shard(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        col = lambda n: table.column(n).combine_chunks()
-        places = col("places")
-        lists = np.concatenate([[0], np.cumsum(pc.list_value_length(places).to_numpy())]).astype(np.int64) // 3
-        doc, version, start = places.flatten().to_numpy().reshape(-1, 3).T
-        where, a, z = duplicate_ranges(col("segment").cast(pa.binary()), lists, doc, start, window)
-        row = np.repeat(np.arange(table.num_rows), np.diff(lists))
-        return pa.table({"bucket": pa.array(table.column("bucket").to_numpy()[row[where]], pa.int32()), "doc_id": pa.array(doc[where]),
-                         "version": pa.array(version[where]), "begin": pa.array(a, pa.int64()), "end": pa.array(z, pa.int64())})
+        ready = pc.is_null(table.column("segment"))
+        known, table = table.filter(ready).combine_chunks(), table.filter(pc.invert(ready)).combine_chunks()
+        out = []
+        if known.num_rows:
+            lists, ranges = unpacked(known, 4)
+            out.append(rows(np.repeat(known.column("bucket").to_numpy(), np.diff(lists)), *ranges))
+        if table.num_rows:
+            lists, (doc, version, start) = unpacked(table, 3)
+            where, a, z = duplicate_ranges(table.column("segment").combine_chunks().cast(pa.binary()), lists, doc, start, window)
+            row = np.repeat(np.arange(table.num_rows), np.diff(lists))
+            out.append(rows(table.column("bucket").to_numpy()[row[where]], doc[where], version[where], a, z))
+        return pa.concat_tables(out)
     return shard
 
 
@@ -295,17 +346,27 @@ def _finish(texts: bool):
     return cut
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs``; with ``texts`` also ``kept``, the words left."""
+def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, th, bucket) in the partition of its bucket, and the number of buckets."""
     th = F.xxhash64(F.coalesce("text", F.lit("")))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(docs.sparkSession), total // BUCKET_BYTES + 1)
     dealt = docs.select("doc_id", "text", th.alias("th"), F.pmod(F.xxhash64("doc_id", th), F.lit(buckets)).cast("int").alias("bucket"))
-    dealt = dealt.repartition(buckets, "bucket")
-    seen = dealt.mapInArrow(_anchors(window, gram), "a long, bucket int, lo long, hi long")
-    shared = seen.repartition(buckets, "a").sortWithinPartitions("a").mapInArrow(_shared, "a long, bucket int")
-    segments = shared.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
+    return dealt.repartition(buckets, "bucket"), buckets
+
+
+def routed(dealt: DataFrame, buckets: int, window: int, gram: int, hot: int) -> DataFrame:
+    """Rows (shard, bucket, segment, places) of what two documents may share."""
+    seen = dealt.mapInArrow(_anchors(window, gram), "a long, bucket int, lo long, hi long, n int")
+    shared = seen.repartition(buckets, "a").sortWithinPartitions("a").mapInArrow(_shared(hot), "a long, bucket int, hot boolean")
+    return shared.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(
         _segments(window, gram, buckets), "shard int, bucket int, segment binary, places array<long>")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False, hot: int = HOT) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs``; with ``texts`` also ``kept``, the words left."""
+    dealt, buckets = _dealt(docs)
+    segments = routed(dealt, buckets, window, gram, hot)
     ranges = segments.groupBy("shard").applyInArrow(_search(window), "bucket int, doc_id long, version long, begin long, end long")
     schema = "doc_id long, n_words long, n_removed long, " + "kept string, " * texts + "kept_sha256 string"
     return ranges.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_finish(texts), schema)

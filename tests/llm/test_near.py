@@ -130,6 +130,31 @@ def test_remove_repeats(spark, window, gram):
     assert got == slow_repeats(rows, window)
 
 
+@pytest.mark.parametrize("window,gram", [(13, 6), (8, 3)])
+def test_remove_repeats_of_hot_anchors(spark, window, gram):
+    rows = repeat_rows(window)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for hot in (0, 8):
+        got = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept"], r["kept_sha256"])
+                      for r in substring_dedup.remove_repeats(docs, window, gram, texts=True, hot=hot).collect())
+        assert got == slow_repeats(rows, window)
+
+
+def test_no_shard_holds_all_of_a_common_passage(spark):
+    """A passage shorter than the window, in other words each time, and one longer than the window."""
+    r = random.Random(9)
+    around = lambda: " ".join(f"x{r.randrange(10**9)}" for _ in range(20))
+    for passage in (9, 20):
+        common = " ".join(f"p{k}" for k in range(passage))
+        docs = spark.createDataFrame([(i, f"{around()} {common} {around()}") for i in range(1200)], "doc_id long, text string")
+        dealt, buckets = substring_dedup._dealt(docs)
+        shards = [(x["n"], x["p"]) for x in substring_dedup.routed(dealt, buckets, 13, 6, substring_dedup.HOT).groupBy("shard").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("segment").isNotNull(), F.size("places") / 3)).alias("p")).collect()]
+        for held in zip(*shards):  # rows, places
+            assert max(held) < 0.3 * sum(held)
+    assert substring_dedup.remove_repeats(docs).agg(F.sum("n_removed")).first()[0] == 1199 * 20
+
+
 def test_remove_repeats_of_odd_rows(edge, small, empty):
     for docs in (edge, small):
         rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
