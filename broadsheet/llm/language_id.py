@@ -9,10 +9,13 @@ training, so a text's code length in a language is exact and the same in any
 order; the language with the shortest code wins.
 
 Counts cover all training texts.  Tasks count (language, 4 bytes) and Spark
-sums; lower orders are marginals.  The model keeps a language's entries seen at
-least t times, t being the smallest count that leaves at most ``max_entries``
-of them (1 as long as all fit), which bounds what is broadcast by the number of
-languages.
+sums; lower orders are marginals.  ``identify`` uses all counts at any size.  A
+model of up to ``max_entries`` entries in each language is broadcast.  A larger
+one stays a table dealt by the two middle bytes, where all counts of a context
+of two or three bytes meet; only contexts of up to one byte are broadcast, and
+the code lengths of the most frequent grams (``max_entries`` numbers in all).
+Tasks add those up and hand on the other grams of each text, which are coded
+in the shards and joined back.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language or text do not train; without any training row all
@@ -28,13 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from broadsheet.llm.blocks import IntTable, slices, sums, text_bytes
+from broadsheet.llm.common import lookup, partitions
 from broadsheet.session import cut_lineage
 
 ORDER = 3
 MAX_ENTRIES = 1_000_000
 FLUSH = 1_000_000
+SHARD_COSTS = 4_000_000  # code lengths a shard of a large model has, about
 
 
 def grams(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -83,13 +89,15 @@ def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """Code lengths of all languages: per order a table of known grams and one of known contexts."""
+    """Code lengths of all languages: per order a table of known grams and one of known contexts.
 
-    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
+    Orders that ``low`` has are taken from there; ``top`` is the last one.
+    """
+
+    def __init__(self, langs: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, top: int = ORDER, low: Model | None = None):
         self.langs, width = langs, len(langs)
-        self.cost, self.escape, self.grams, self.contexts = [], [], [], []
-        shorter = None
-        for order in range(ORDER + 1):
+        self.cost, self.escape, self.grams, self.contexts = (list(x) for x in (low.cost, low.escape, low.grams, low.contexts)) if low else ([], [], [], [])
+        for order in range(len(self.cost), top + 1):
             part = gram & ((1 << 8 * (order + 1)) - 1)
             (pair, at) = np.unique(lang.astype(np.int64) << 40 | part, return_inverse=True)
             count = np.bincount(at, n, len(pair))
@@ -104,11 +112,10 @@ class Model:
                 known, row = np.arange(256), what
                 cost = np.repeat(escape, 256, axis=0) + 8.0 if len(seen) else np.full((256, width), 8.0)
             else:
-                suffix = shorter.find(known & ((1 << 8 * order) - 1))
+                suffix = self.grams[-1].find(known & ((1 << 8 * order) - 1))
                 cost = escape[np.searchsorted(seen, known >> 8)] + self.cost[-1][suffix]
             cost[row, who] = -np.log2(count / (total + kinds)[at])
-            shorter = IntTable(known)
-            self.grams.append(shorter)
+            self.grams.append(IntTable(known))
             self.contexts.append(IntTable(seen))
             self.cost.append(cost.astype(np.float32))
             self.escape.append(escape.astype(np.float32))
@@ -137,56 +144,164 @@ class Model:
         return np.stack([sums(bits[:, k].astype(np.float64), offs) for k in range(len(self.langs))], axis=1)
 
 
-def train(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | None:
-    """The model of rows (lang, text); None without training rows."""
-    counts = cut_lineage(count_grams(rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")))
-    # per language, entries by descending count; one row for each different count
-    steps = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
-    upto = F.sum("entries").over(W.partitionBy("lang").orderBy(F.desc("n")))
-    least = steps.withColumn("upto", upto).filter(F.col("upto") <= max_entries).groupBy("lang").agg(F.min("n").alias("least"))
-    table = counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")).select("lang", "gram", "n").toArrow()
+def training_counts(rows: DataFrame) -> DataFrame:
+    """The checkpointed count_grams of the rows (lang, text) that train."""
+    return cut_lineage(count_grams(rows.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")))
+
+
+def _collected(counts: DataFrame, **orders) -> Model | None:
+    table = counts.select("lang", "gram", "n").toArrow()
     if not table.num_rows:
         return None
     names = table.column("lang").to_pylist()
     langs = sorted(set(names), key=str.encode)
     place = {x: i for i, x in enumerate(langs)}
     order = np.argsort(table.column("gram").to_numpy(), kind="stable")
-    return Model(langs, np.array([place[x] for x in names])[order], table.column("gram").to_numpy()[order], table.column("n").to_numpy()[order])
+    return Model(langs, np.array([place[x] for x in names])[order], table.column("gram").to_numpy()[order], table.column("n").to_numpy()[order], **orders)
+
+
+def train(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | None:
+    """A model of rows (lang, text) to keep on the driver; None without training rows.
+
+    It has the entries of a language seen at least t times, t being the smallest
+    count that leaves at most ``max_entries`` of them; ``identify`` has them all.
+    """
+    counts = training_counts(rows)
+    # per language, entries by descending count; one row for each different count
+    steps = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
+    upto = F.sum("entries").over(W.partitionBy("lang").orderBy(F.desc("n")))
+    least = steps.withColumn("upto", upto).filter(F.col("upto") <= max_entries).groupBy("lang").agg(F.min("n").alias("least"))
+    return _collected(counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")))
+
+
+def _judged(cost: np.ndarray, letter: np.ndarray, size: np.ndarray, langs: list[str]) -> list[pa.Array]:
+    """lang_pred, score and bits_per_byte of texts of ``size`` bytes and code lengths ``cost``."""
+    best = cost.argmin(axis=1)
+    least = cost.min(axis=1)
+    pred = np.where(letter, np.array(langs, object)[best], "und")
+    score = np.where(letter, 1 / np.exp2(-np.minimum(cost - least[:, None], 1000)).sum(axis=1), 0.0)
+    rate = np.where(letter, least / np.maximum(size, 1), 0.0)
+    return [pa.array(pred, pa.string()), pa.array(score), pa.array(rate)]
+
+
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__t"),
+                       F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+
+
+JUDGED = ["lang_pred", "score", "bits_per_byte"]
+
+
+def _schema(doc: T.StructField) -> T.StructType:
+    return T.StructType([doc, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+
+
+def _unpacked(out: DataFrame, docs: DataFrame) -> DataFrame:
+    return out.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in JUDGED], *sorted(JUDGED))
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """``docs`` plus lang_pred, score (posterior of the winner under a flat prior) and bits_per_byte."""
     share = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(text).alias("__t"),
-                       F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    rows = _texts(docs, text)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = share.value
         for b in slices(batches, "__t", 1 << 21):
-            n, letter = b.num_rows, b.column("__letter").to_numpy(zero_copy_only=False)
-            pred, score, rate = np.full(n, "und", object), np.zeros(n), np.zeros(n)
-            if m is not None:
+            n = b.num_rows
+            if m is None:
+                judged = [pa.array(["und"] * n), pa.array(np.zeros(n)), pa.array(np.zeros(n))]
+            else:
                 data, offs = text_bytes(b.column("__t"))
-                cost = m.code_lengths(data, offs)
-                best = cost.argmin(axis=1)
-                least = cost.min(axis=1)
-                pred = np.where(letter, np.array(m.langs, object)[best], "und")
-                score = np.where(letter, 1 / np.exp2(-np.minimum(cost - least[:, None], 1000)).sum(axis=1), 0.0)
-                rate = np.where(letter, least / np.maximum(np.diff(offs), 1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("__doc"), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)],
-                                             ["__doc", "lang_pred", "score", "bits_per_byte"])
-
-    from pyspark.sql import types as T
-
-    schema = T.StructType([rows.schema["__doc"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-                           T.StructField("bits_per_byte", T.DoubleType())])
-    out = rows.select("__doc", "__t", "__letter").mapInArrow(task, schema)
-    clash = {"lang_pred", "score", "bits_per_byte"}
-    return out.select(*[F.col("__doc").getField(c).alias(c) for c in docs.columns if c not in clash], *sorted(clash))
+                judged = _judged(m.code_lengths(data, offs), b.column("__letter").to_numpy(zero_copy_only=False), np.diff(offs), m.langs)
+            yield pa.RecordBatch.from_arrays([b.column("__doc"), *judged], ["__doc", *JUDGED])
+
+    return _unpacked(rows.mapInArrow(task, _schema(rows.schema["__doc"])), docs)
+
+
+def predict_sharded(docs: DataFrame, counts: DataFrame, max_entries: int = MAX_ENTRIES, text: str = "text") -> DataFrame:
+    """``predict`` by the model of all ``counts`` (not empty, checkpointed), which is never in one place."""
+    spark = docs.sparkSession
+    low = _collected(counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")), top=1)
+    langs, width = low.langs, len(low.langs)
+    shorter = spark.sparkContext.broadcast(low)
+    number = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1
+    shards = max(partitions(spark), counts.count() * width // SHARD_COSTS + 1)
+    shard = F.pmod(F.xxhash64(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF))), F.lit(shards)).cast("int").alias("shard")
+    held = counts.select(shard, number.cast("int").alias("k"), "gram", "n").groupBy("shard")
+
+    def code(wanted: pa.Table, known: pa.Table) -> pa.Table:
+        cost = np.zeros((0, width), np.float32)
+        if wanted.num_rows:
+            model = Model(langs, *(known.column(c).to_numpy() for c in ("k", "gram", "n")), low=shorter.value)
+            cost = model.bits(wanted.column("gram").to_numpy())
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(cost) + 1) * width, pa.int32()), pa.array(cost.ravel()))
+        return pa.table({"gram": wanted.column("gram"), "uses": wanted.column("uses"), "costs": lists})
+
+    def coded(wanted: DataFrame) -> DataFrame:
+        return wanted.select(shard, "gram", "uses").groupBy("shard").cogroup(held).applyInArrow(code, "gram long, uses long, costs array<float>")
+
+    # the most frequent grams: classes of counts from the top, as many as fit
+    totals = counts.groupBy("gram").agg(F.sum("n").alias("uses")).withColumn("class", F.floor(8 * F.log2("uses")))
+    room, least = max_entries // width, None
+    for c, n in sorted(totals.groupBy("class").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = c
+    top = coded(totals.filter(F.col("class") >= F.lit(least))).toArrow() if least is not None else None
+    if top is None:
+        frequent = IntTable(np.zeros(0, np.int64)), np.zeros((0, width), np.float32)
+    else:
+        costs = top.column("costs").combine_chunks().flatten().to_numpy()
+        frequent = IntTable(top.column("gram").to_numpy()), costs.reshape(-1, width)
+    share = spark.sparkContext.broadcast(frequent)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, cost = share.value
+        for b in slices(batches, "__t", 1 << 21):
+            data, offs = text_bytes(b.column("__t"))
+            g = grams(data, offs)
+            at = table.find(g)
+            hit = at >= 0
+            bits = np.zeros((len(g), width), np.float32)
+            bits[hit] = cost[at[hit]]
+            part = np.stack([sums(bits[:, k].astype(np.float64), offs) for k in range(width)], axis=1)
+            of = np.repeat(np.arange(b.num_rows), np.diff(offs))[~hit]
+            pair, n = np.unique(of << 32 | g[~hit].astype(np.int64), return_counts=True)
+            to = pa.array(np.searchsorted(pair >> 32, np.arange(b.num_rows + 1)), pa.int32())
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * width, pa.int32()), pa.array(part.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__row"), b.column("__doc"), b.column("__letter"), pa.array(np.diff(offs)), parts,
+                 pa.ListArray.from_arrays(to, pa.array(pair & 0xFFFFFFFF)), pa.ListArray.from_arrays(to, pa.array(n))],
+                ["__row", "__doc", "__letter", "__size", "__part", "__gram", "__n"])
+
+    rows = _texts(docs, text).withColumn("__row", F.monotonically_increasing_id())
+    fields = [rows.schema[c] for c in ("__row", "__doc", "__letter")] + [
+        T.StructField("__size", T.LongType()), T.StructField("__part", T.ArrayType(T.DoubleType())),
+        T.StructField("__gram", T.ArrayType(T.LongType())), T.StructField("__n", T.ArrayType(T.LongType()))]
+    begun = cut_lineage(rows.select("__row", "__doc", "__t", "__letter").mapInArrow(split, T.StructType(fields)))
+    rest = begun.select("__row", F.explode(F.arrays_zip("__gram", "__n")).alias("x")).select("__row", F.col("x.__gram").alias("gram"), F.col("x.__n").alias("n"))
+    costs = cut_lineage(coded(rest.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))))
+    met = lookup(rest, costs, "gram", "uses", F.col("__row"))
+    more = met.groupBy("__row").agg(F.array(*[F.sum(F.col("costs")[k].cast("double") * F.col("n")) for k in range(width)]).alias("__more"))
+    total = F.when(F.col("__more").isNull(), F.col("__part")).otherwise(F.zip_with("__part", "__more", lambda a, b: a + b))
+    ready = begun.drop("__gram", "__n").join(more, "__row", "left").select("__doc", "__letter", "__size", total.alias("__cost"))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cost = b.column("__cost").flatten().to_numpy().reshape(-1, width)
+                judged = _judged(cost, b.column("__letter").to_numpy(zero_copy_only=False), b.column("__size").to_numpy(), langs)
+                yield pa.RecordBatch.from_arrays([b.column("__doc"), *judged], ["__doc", *JUDGED])
+
+    return _unpacked(ready.mapInArrow(judge, _schema(rows.schema["__doc"])), docs)
 
 
 def identify(docs: DataFrame, learn: Column, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Train on the rows of ``docs`` where ``learn`` holds and predict all: doc_id, text-free."""
-    model = train(docs.filter(learn).select("lang", "text"), max_entries)
+    counts = training_counts(docs.filter(learn).select("lang", "text"))
     slim = docs.select("doc_id", F.col("text").alias("__text"))
-    return predict(slim, model, "__text").drop("__text")
+    most = counts.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    found = predict(slim, _collected(counts), "__text") if most <= max_entries else predict_sharded(slim, counts, max_entries, "__text")
+    return found.drop("__text")

@@ -175,6 +175,20 @@ def test_language_of_documents(edge, empty, spark):
     assert clash.columns == [*edge.columns, "bits_per_byte", "lang_pred", "score"]
 
 
+def test_large_models_keep_all_counts(spark, edge, small):
+    """A language over max_entries loses no count, and none is lost."""
+    odd = spark.createDataFrame([(10**6, "xx", "zzzz"), (10**6 + 1, "yy", "q\0 漢字 é"), (10**6 + 2, None, "Это не учили, это не учили")], "doc_id long, lang string, text string")
+    for docs, limits in ((edge, (4, 300)), (small.select("doc_id", "lang", "text").unionByName(odd), (40, 4000))):
+        learn = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+        by = lambda r: (r["doc_id"] is None, r["doc_id"], r["bits_per_byte"])
+        want = sorted(language_id.identify(docs, learn).collect(), key=by)
+        for limit in limits:
+            got = sorted(language_id.identify(docs, learn, max_entries=limit).collect(), key=by)
+            assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(r["doc_id"], r["lang_pred"]) for r in want]
+            for a, b in zip(got, want):
+                assert a["bits_per_byte"] == pytest.approx(b["bits_per_byte"], rel=1e-9) and a["score"] == pytest.approx(b["score"], rel=1e-6)
+
+
 def test_crc_of_ids(spark):
     assert [r[0] for r in spark.range(20).select(crc32_of_id(F.col("id"))).collect()] == [zlib.crc32(str(i).encode()) for i in range(20)]
 
