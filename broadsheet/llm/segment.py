@@ -2,10 +2,12 @@
 
 The lattice of a text has a node between any two characters and an edge for
 every vocabulary piece that spans two nodes; a character no piece covers gets a
-chain of byte pieces.  Pieces never cross the border of a pre-token (an
-optional blank and the run behind it, or one blank character), so the lattice
-of a text is a chain of small ones and each distinct pre-token is filtered
-once.
+chain of byte pieces.  Texts are cut into pre-tokens (an optional blank and the
+run behind it, or one blank character) wherever no piece of the vocabulary has
+the two characters at the border side by side; where one has, the pre-tokens
+stay together (runs of blanks and the word behind, a carriage return and what
+precedes it).  So no piece crosses a cut, the lattice of a text is a chain of
+small ones and each distinct pre-token is filtered once.
 
 Forward filtering sums the weight of all segmentations up to each node.
 Backward sampling walks from the end and draws each edge with its posterior
@@ -40,12 +42,27 @@ from pyspark.sql import types as T
 
 from broadsheet.llm.blocks import C1, IntTable, mix, release, slices, string_array, take_ranges
 
-PRE_TOKEN = re.compile(r" ?[^\s]+|\s")
+PRE_TOKEN = r"(?: ?[^\s]+|\s)"
 BLANK = "▁"
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
 MAX_NODES = 1_200_000  # lattice nodes a worker keeps before it starts anew
 
 
+def pre_tokens(pieces: list[str]) -> re.Pattern:
+    """Pattern of the pre-tokens of a text that no piece crosses the border of."""
+    before: dict[str, set[str]] = {}
+    for piece in pieces:
+        ends = [m.end() for m in re.finditer(PRE_TOKEN, piece)]
+        for k in ends[:-1]:
+            before.setdefault(piece[k - 1], set()).add(piece[k])
+    alike: dict[str, list[str]] = {}
+    for a, follow in sorted(before.items()):
+        alike.setdefault("".join(sorted(follow)), []).append(a)
+    some = lambda chars: "[" + "".join(map(re.escape, chars)) + "]"
+    joints = "|".join(f"(?={some(follow)})(?<={some(chars)})" for follow, chars in alike.items())
+    return re.compile(f"{PRE_TOKEN}(?:(?:{joints}){PRE_TOKEN})*" if joints else PRE_TOKEN)
+
+
 def model_path() -> str:
     """The 32k BPE model with byte fallback of the installed tokenizer files."""
     import public_tokenizers
@@ -83,6 +100,7 @@ class Vocabulary:
         self.piece_at[list(ends)] = list(ends.values())
         self.steps = IntTable(np.fromiter(step, np.int64, len(step)))  # node k + 1 is behind the k-th edge
 
+        self.pre_token = pre_tokens([sp.id_to_piece(i).replace(BLANK, " ") for i in plain])
         self.spelled = np.frombuffer(b"".join(self.bytes_of) + b"\0", np.uint8)
         self.lengths = np.array([len(b) for b in self.bytes_of])
         self.spelled_to = np.cumsum(self.lengths)
@@ -201,7 +219,7 @@ class Lattices:
         found, counts = [], []
         for t in texts:
             n = len(found)
-            found += PRE_TOKEN.findall(t)
+            found += self.v.pre_token.findall(t)
             counts.append(len(found) - n)
         new = [t for t in dict.fromkeys(found) if t not in self.end]
         if new:

@@ -125,6 +125,39 @@ def test_samples_follow_the_lattice_weights(vocabulary):
         assert abs(seen[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+@pytest.mark.parametrize("text", ["    if", "a   b", " {\r\n  x", "();\r\n\r\n", " \r\r", "\t  \n"])
+def test_samples_follow_the_whole_lattice_of_blanks(vocabulary, text):
+    """Indentation, tables and CRLF: pieces of several blanks and with a carriage return, over the whole text."""
+    n = 40_000
+    spell = {b.decode(): (i,) for i, b in enumerate(vocabulary.bytes_of) if i > 258 and b}
+    cost = {(i,): vocabulary.weight[i] for (i,) in spell.values()}
+    for c in set(text) - set(spell):
+        spell[c] = tuple(vocabulary.byte[b] for b in c.encode())
+        cost[spell[c]] = len(spell[c]) * vocabulary.byte_weight
+
+    def every(t):
+        if not t:
+            yield (), 0.0
+        for j in range(1, len(t) + 1):
+            if t[:j] in spell:
+                yield from ((spell[t[:j]] + r, cost[spell[t[:j]]] + w) for r, w in every(t[j:]))
+
+    weight = {s: math.exp(w) for s, w in every(text)}
+    total = sum(weight.values())
+    ids, offs = segment.Lattices(vocabulary).sample([text] * n, blocks.mix(np.arange(n).astype(np.uint64)))
+    seen = Counter(tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(offs))
+    assert set(seen) <= set(weight) and len(weight) > 1
+    for s, w in weight.items():
+        p = w / total
+        assert abs(seen[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_no_piece_crosses_a_cut(vocabulary):
+    spelled = [b.decode() for i, b in enumerate(vocabulary.bytes_of) if i > 258 and b]
+    assert all(vocabulary.pre_token.findall(p) == [p] for p in spelled)
+    assert segment.pre_tokens(["a", " b"]).findall("a  b\r\n") == ["a", " ", " b", "\r", "\n"]
+
+
 def slow_bits(train, text):
     """Code length by the definition, one byte at a time."""
     counts = [defaultdict(Counter) for _ in range(4)]
