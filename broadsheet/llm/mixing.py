@@ -32,10 +32,14 @@ STEPS = 60
 TOLERANCE = 1e-9
 
 
+def _u() -> Column:
+    """A number in [0, 1) of a row's id and text."""
+    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, u) per row; u in [0, 1) depends on id and text only."""
-    u = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 52) - 1)) / F.lit(float(1 << 52))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), u.alias("u"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _u().alias("u"))
 
 
 def source_targets(rows: DataFrame, weights: list[float], share: float, cap: float) -> DataFrame:
@@ -111,7 +115,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     out = lookup(every, cut_lineage(cut), "skey", "n_rows", F.xxhash64("doc_id", "u"))
     copies = F.least(F.lit(cap), F.col("whole") + F.when(F.col("open") & (F.col("at") < F.col("cut")), 1).otherwise(0)).cast("long")
     return out.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source", "u")
 
 
 def _cut(rows: DataFrame, owed: DataFrame) -> DataFrame:
@@ -142,8 +146,8 @@ def _cut(rows: DataFrame, owed: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it (0 to cap times)."""
-    decided = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__n"), "copies").filter("copies > 0").distinct()
-    packed = docs.select(F.col("doc_id").alias("__d"), F.col("source").cast("string").alias("__s"), n_words(F.col("text")).alias("__m"),
+    decided = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__n"), F.col("u").alias("__u"), "copies").filter("copies > 0").distinct()
+    packed = docs.select(F.col("doc_id").alias("__d"), F.col("source").cast("string").alias("__s"), n_words(F.col("text")).alias("__m"), _u().alias("__v"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    same = packed["__d"].eqNullSafe(decided["__id"]) & packed["__s"].eqNullSafe(decided["__src"]) & (packed["__m"] == decided["__n"])
+    same = packed["__d"].eqNullSafe(decided["__id"]) & packed["__s"].eqNullSafe(decided["__src"]) & (packed["__m"] == decided["__n"]) & (packed["__v"] == decided["__u"])
     return packed.join(decided, same).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__i")).select("__doc.*")

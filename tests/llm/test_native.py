@@ -90,6 +90,15 @@ def test_tilt_solves_the_dual(small):
         assert not lams or max(lams) - min(lams) < 1e-6
 
 
+def test_mixed_documents_tell_rows_of_one_id_apart(spark):
+    """Rows that share id, source and word count but not the text keep their own copies."""
+    docs = spark.createDataFrame([(k % 3 or None, f"text number w{k} of many", "a") for k in range(60)], "doc_id long, text string, source string")
+    want = Counter(r["copies"] for r in mixing.mix(docs).collect())
+    assert want[1] and want[2]
+    got = Counter(r["text"] for r in mixing.mixed_documents(docs).collect())
+    assert Counter(got.values()) == Counter({k: n for k, n in want.items() if k})
+
+
 def test_mixed_documents_follow_copies(edge, empty):
     d = edge.filter("doc_id is not null and doc_id <> 5").withColumn("copies", F.lit(7))
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(d).collect()}
