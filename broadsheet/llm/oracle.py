@@ -2,7 +2,8 @@
 
 op7 follows the contract directly.  op5 repeats the rules of policy v2; windows
 are spelled out and counted.  op9 computes crc32 and the jump hash.  The other queries train models, iterate, write
-files or use hashes DuckDB lacks; they are tested against plain Python.
+files or use hashes DuckDB lacks; they are tested against plain Python.  op11
+builds its trees level by level and walks every leaf up.
 """
 
 from __future__ import annotations
@@ -83,4 +84,62 @@ SELECT c.doc_id, c.size, c.text_crc32, 'key' AS law, s.shard, s.grown_shard,
 FROM c JOIN shards s ON s.doc_id IS NOT DISTINCT FROM c.doc_id
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7, "op9_sharding": OP9}
+def _field(value: str) -> str:
+    return f"(CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR) END)"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+def _tree(name: str, start: str) -> str:
+    """Nodes (tree, level, idx, h, n on the level) over the leaves of ``start``, and what stands left and right of each in its run."""
+    return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+{name}_side AS (
+  SELECT a.tree, a.level, a.idx, coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS lft,
+         coalesce(string_agg(b.h, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS rgt
+  FROM {name} a JOIN {name} b ON a.tree = b.tree AND a.level = b.level AND a.idx // 3 = b.idx // 3
+  WHERE a.n > 1 GROUP BY a.tree, a.level, a.idx)"""
+
+
+def _walk(name: str, start: str, side: str) -> str:
+    """The rows of ``start`` walked up by the neighbours in ``side``."""
+    return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT doc_id, leaf, tree, own, level + 1, idx // 3, sha256(lft || h || rgt), proof || lft || rgt
+  FROM {name} JOIN {side} USING (tree, level, idx))"""
+
+
+OP11 = f"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) ORDER BY n) AS tab
+  FROM (SELECT unnest(range(256)) AS n)),
+c AS (
+  SELECT *, coalesce(xor(4294967295::BIGINT, list_reduce(
+              list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+              lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]))), 0) AS crc
+  FROM documents, t),
+d AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN crc % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS found
+  FROM c),
+g AS (
+  SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, n
+  FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)),
+l AS (
+  SELECT d.*, tree, n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+{_tree("low", "SELECT tree, 0 AS level, idx, leaf AS h, n FROM l")},
+{_tree("high", "SELECT 0 AS tree, 0 AS level, tree AS idx, h, (SELECT count(*) FROM g) AS n FROM low WHERE n = 1")},
+{_walk("up", "SELECT doc_id, leaf, tree, tree AS own, 0 AS level, idx, found AS h, '' AS proof FROM l", "low_side")},
+{_walk("top", '''SELECT doc_id, leaf, 0 AS tree, own, 0 AS level, own AS idx, up.h, proof
+  FROM up JOIN low ON low.tree = up.own AND low.level = up.level AND low.n = 1''', "high_side")}
+SELECT doc_id, leaf, low.h AS subroot, high.h AS root, sha256(proof) AS proof_sha256, top.h AS folded_root, top.h = high.h AS verified
+FROM top JOIN high ON high.n = 1 AND high.level = top.level JOIN low ON low.tree = top.own AND low.n = 1
+"""
+
+ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7, "op9_sharding": OP9, "op11_merkle_manifest": OP11}

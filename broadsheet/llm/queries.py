@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, language_id, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
+from broadsheet.llm import exact_dedup, language_id, merkle, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
 from broadsheet.llm.common import crc32_of_id
 
 
@@ -74,5 +74,10 @@ def op10_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents and every row's proof, held against texts that lost their newlines."""
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
-                                   op9_sharding, op10_segmentation)}
+                                   op9_sharding, op10_segmentation, op11_merkle_manifest)}
