@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, language_id, merkle, mixing, ngram_join, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
+from broadsheet.llm import exact_dedup, language_id, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
 from broadsheet.llm.common import crc32_of_id
 
 
@@ -79,5 +79,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(_table(spark, sf_dir, "documents"))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens, every round with the sources' shares."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
-                                   op9_sharding, op10_segmentation, op11_merkle_manifest)}
+                                   op9_sharding, op10_segmentation, op11_merkle_manifest, op12_packing)}
