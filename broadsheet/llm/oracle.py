@@ -142,4 +142,25 @@ SELECT doc_id, leaf, low.h AS subroot, high.h AS root, sha256(proof) AS proof_sh
 FROM top JOIN high ON high.n = 1 AND high.level = top.level JOIN low ON low.tree = top.own AND low.n = 1
 """
 
-ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7, "op9_sharding": OP9, "op11_merkle_manifest": OP11}
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+  FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE label <> own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLE = {"op5_quality_rules": OP5, "op7_exact_dedup": OP7, "op9_sharding": OP9, "op11_merkle_manifest": OP11,
+          "op13_hard_negatives": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm import exact_dedup, language_id, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
+from broadsheet.llm import exact_dedup, hard_negatives, language_id, merkle, mixing, ngram_join, packing, quality_classifier, quality_rules, segment, sharding, substring_dedup, warc
 from broadsheet.llm.common import crc32_of_id
 
 
@@ -84,5 +84,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and its 5 positives, 10 negatives each from the score window; every seventh id's label is one further."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_quality_classifier, op3_language_id, op4_ngram_join, op5_quality_rules, op6_mixing, op7_exact_dedup, op8_warc,
-                                   op9_sharding, op10_segmentation, op11_merkle_manifest, op12_packing)}
+                                   op9_sharding, op10_segmentation, op11_merkle_manifest, op12_packing,
+                                   op13_hard_negatives)}

@@ -60,5 +60,5 @@ def test_pipeline_on_odd_and_empty_tables(spark, edge, empty):
 
 def test_queries_are_registered():
     found = __spark_entry__.queries()
-    assert [sum(k.startswith(f"op{n}_") for k in found) for n in range(1, 11)] == [1] * 10
-    assert "pipeline" in found and {"op5_quality_rules", "op7_exact_dedup"} <= set(__spark_entry__.oracle_sql())
+    assert [sum(k.startswith(f"op{n}_") for k in found) for n in range(1, 14)] == [1] * 13
+    assert "pipeline" in found and {"op5_quality_rules", "op7_exact_dedup", "op11_merkle_manifest", "op13_hard_negatives"} <= set(__spark_entry__.oracle_sql())
