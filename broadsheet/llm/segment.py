@@ -11,9 +11,10 @@ small ones and each distinct pre-token is filtered once.
 
 Forward filtering sums the weight of all segmentations up to each node.
 Backward sampling walks from the end and draws each edge with its posterior
-probability, so a segmentation comes up exactly as often as its share of the
-total weight.  Draws come from a counter hash of (seed, row key, pre-token
-number, step): they do not depend on partitions or order, and reruns agree.
+probability, so a segmentation comes up as often as its share of the total
+weight, to the 24 bits of a draw.  Draws come from a counter hash of (seed, row
+key, pre-token number, step): they do not depend on partitions or order, and
+reruns agree.
 
 Weights: the vocabulary is ranked, piece k (0 first) has weight
 (k + ``shift``) ** -``alpha``; a larger alpha prefers frequent pieces more.
@@ -22,8 +23,12 @@ Decoding is lossless for every text: blanks are the pieces' U+2581, a literal
 U+2581 and all uncovered characters go through byte pieces, nothing is
 normalised and no blank is added.
 
+Pre-tokens longer than ``LONG`` (runs of blanks, unbroken text) are filtered in
+stretches of ``STRETCH`` characters, with the same draws, so memory stays that of the text.
+
 Defined cases: null and empty texts have no pieces (null stays null when
-decoded); a null key counts as the key 0; rows that repeat key and text get
+decoded); texts of any length are one row, whatever they hold; columns named
+like those added (pieces, decoded) are replaced, all others kept; a null key counts as the key 0; rows that repeat key and text get
 the same pieces; an empty table gives an empty result.
 """
 
@@ -32,6 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +52,10 @@ PRE_TOKEN = r"(?: ?[^\s]+|\s)"
 BLANK = "▁"
 LITERAL = 0x110000  # stands for a U+2581 of the text itself
 MAX_NODES = 1_200_000  # lattice nodes a worker keeps before it starts anew
+BATCH = 1 << 15  # characters of pre-tokens filtered at once
+LONG = 200  # pre-tokens of more characters are not kept
+STRETCH = 4096  # characters of a long pre-token filtered at once
+LEAST, MOST = 1e-290, 1e290  # bounds of weights and of their ratios
 
 
 def pre_tokens(pieces: list[str]) -> re.Pattern:
@@ -60,7 +70,7 @@ def pre_tokens(pieces: list[str]) -> re.Pattern:
         alike.setdefault("".join(sorted(follow)), []).append(a)
     some = lambda chars: "[" + "".join(map(re.escape, chars)) + "]"
     joints = "|".join(f"(?={some(follow)})(?<={some(chars)})" for follow, chars in alike.items())
-    return re.compile(f"{PRE_TOKEN}(?:(?:{joints}){PRE_TOKEN})*" if joints else PRE_TOKEN)
+    return re.compile(f"{PRE_TOKEN}(?:(?:{joints}){PRE_TOKEN})*+" if joints else PRE_TOKEN)
 
 
 def model_path() -> str:
@@ -98,6 +108,8 @@ class Vocabulary:
             ends[at] = i
         self.piece_at = np.full(len(step) + 1, -1, np.int32)
         self.piece_at[list(ends)] = list(ends.values())
+        self.linear = np.maximum(np.exp(self.weight), LEAST)
+        self.longest = max([1, *[len(sp.id_to_piece(i)) for i in plain]])
         self.steps = IntTable(np.fromiter(step, np.int64, len(step)))  # node k + 1 is behind the k-th edge
 
         self.pre_token = pre_tokens([sp.id_to_piece(i).replace(BLANK, " ") for i in plain])
@@ -124,10 +136,11 @@ class Vocabulary:
 class Lattices:
     """Backward sampling tables of the pre-tokens seen so far.
 
-    Node n stands behind one character; its edges begin at ``edge[n]``, likeliest
-    first, with ``upto`` their cumulated posterior (1 at the last).  ``back`` is
-    the node an edge comes from, -1 at the start of a pre-token.  Pieces from
-    ``v.size`` on stand for the byte chain of a character.
+    Node n stands behind one character; its edges begin at ``edge[n]``, longest
+    piece first, with ``upto`` their cumulated posterior (1 at the last).  ``back``
+    is the node an edge comes from, -1 at the start of a pre-token.  Pieces from
+    ``v.size`` on stand for the byte chain of a character.  Pre-tokens of more
+    than ``LONG`` characters are not kept here (``_drawn_long``).
     """
 
     def __init__(self, vocabulary: Vocabulary):
@@ -149,68 +162,135 @@ class Lattices:
             self.chain_ids.append([self.v.byte[b] for b in raw])
         return self.chains[char]
 
-    def _spans(self, chars: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(start, length, piece, weight) of all lattice edges; ``left``: characters from each to its pre-token's end."""
-        v, live, found = self.v, np.arange(len(chars)), []
-        state, k = np.zeros(len(chars), np.int32), 0
+    def _spans(self, chars: np.ndarray, left: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, pieces, weights) of all lattice edges, by length from 1 on; ``left``: characters from each to its pre-token's end."""
+        v, found = self.v, []
+        live, state, k = np.arange(len(chars)), np.zeros(len(chars), np.int32), 0
         while live.size:
-            state = v.follow(state, chars[live + k].astype(np.int64))
-            p = v.piece_at[state]
-            hit = (state > 0) & (p >= 0)
-            found.append((live[hit], np.full(hit.sum(), k + 1), p[hit], v.weight[p[hit]]))
-            if k == 0:
+            state = v.follow(state, chars[live + k])
+            p = np.where(state > 0, v.piece_at[state], -1)
+            hit = p >= 0
+            start, piece = live[hit], p[hit]
+            weight = v.linear[piece]
+            if k == 0 and len(start) < len(live):
                 bare = live[~hit]
                 p = np.array([self._chain(int(c)) for c in chars[bare]], np.int32)
                 size = np.array([len(self.chain_ids[x - v.size]) for x in p], float)
-                found.append((bare, np.ones(len(bare), np.int64), p, size * v.byte_weight))
+                start, piece = np.concatenate([start, bare]), np.concatenate([piece, p])
+                weight = np.concatenate([weight, np.maximum(np.exp(size * v.byte_weight), LEAST)])
+            found.append((start, piece, weight))
             on = (state > 0) & (left[live] > k + 1)
             live, state, k = live[on], state[on], k + 1
-        return tuple(map(np.concatenate, zip(*found)))
+        while not len(found[-1][0]):
+            found.pop()
+        return found
+
+    def _codes(self, text: str) -> np.ndarray:
+        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        return np.where(chars == ord(BLANK), LITERAL, np.where(chars == 0x20, ord(BLANK), chars))
 
     def add(self, tokens: list[str]) -> None:
-        """Filter the lattices of new pre-tokens forward, all of them character by character."""
+        """Filter the lattices of new pre-tokens forward, about ``BATCH`` characters at a time."""
+        tokens.sort(key=len, reverse=True)
+        first, held = 0, 0
+        for k, t in enumerate(tokens):
+            held += len(t)
+            if held >= BATCH:
+                self._add(tokens[first:k + 1])
+                first, held = k + 1, 0
+        if first < len(tokens):
+            self._add(tokens[first:])
+
+    def _add(self, tokens: list[str]) -> None:
+        """Filter pre-tokens, longest first.  Nodes are laid out by character: those of one position are neighbours, in the order of the tokens."""
         size = np.array([len(t) for t in tokens])
-        joined = "".join(tokens)
-        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        chars = np.where(chars == ord(BLANK), LITERAL, np.where(chars == 0x20, ord(BLANK), chars))
-        last = np.cumsum(size)
-        pos = np.arange(len(chars)) - np.repeat(last - size, size)
-        start, length, piece, weight = self._spans(chars, np.repeat(size, size) - pos)
-        node = start + length - 1
-        order = np.argsort(pos[node] * len(chars) + node)  # by character within the pre-token, then node
-        start, piece, weight, node = start[order], piece[order], weight[order], node[order]
-        share, total = np.zeros(len(node)), np.zeros(len(chars))
-        heads = np.flatnonzero(np.diff(node, prepend=-1))
-        for a, z in _runs(pos[node]):
-            s = start[a:z]
-            w = weight[a:z] + np.where(pos[s] > 0, total[s - 1], 0.0)
-            at = heads[np.searchsorted(heads, a):np.searchsorted(heads, z)] - a
-            n = np.diff(np.append(at, z - a))
-            top = np.maximum.reduceat(w, at)
-            e = np.exp(w - np.repeat(top, n))
-            sums = np.add.reduceat(e, at)
-            total[node[a:z][at]] = top + np.log(sums)
-            share[a:z] = e / np.repeat(sums, n)
-        order = np.argsort(node - 0.999 * share)  # shares of a node descending
-        start, piece, share, node = start[order], piece[order], share[order], node[order]
-        heads = np.flatnonzero(np.diff(node, prepend=-1))
-        tails = np.append(heads[1:], len(node)) - 1
-        cum = np.cumsum(share)
-        cum -= np.repeat(cum[heads] - share[heads], tails - heads + 1)
-        cum = np.minimum(cum, 1.0).astype(np.float32)
-        cum[tails] = 1.0
-        need = self.edges + len(node)
+        codes, begin = self._codes("".join(tokens)), np.cumsum(size) - size
+        width = np.searchsorted(-size, -np.arange(size[0]))  # tokens with a character at each position
+        off = np.concatenate([[0], np.cumsum(width)])
+        pos = np.repeat(np.arange(len(width)), width)
+        word = np.arange(len(codes)) - off[pos]
+        node_of = np.zeros(len(codes), np.int64)  # by place in the joined text
+        node_of[begin[word] + pos] = np.arange(len(codes))
+        spans = [(start, node_of[start + k], piece, weight) for k, (start, piece, weight)
+                 in enumerate(self._spans(codes, np.repeat(begin + size, size) - np.arange(len(codes))))]
+        share = np.zeros((len(spans), len(codes)))
+        for k, (_, node, _, weight) in enumerate(spans):
+            share[k, node] = weight
+        recent = np.zeros((len(spans), len(tokens)))  # forward weights of the nodes before, as multiples of the last
+        recent[0] = 1.0
+        for a, z in zip(off, off[1:]):
+            s = share[:, a:z]
+            s *= recent[:, :z - a]
+            total = s.sum(axis=0)
+            s /= total
+            recent[1:, :z - a] = np.minimum(recent[:-1, :z - a] / total, MOST)
+            recent[0] = 1.0
+        count = sum(np.bincount(node, minlength=len(codes)) for _, node, _, _ in spans)
+        need = self.edges + int(count.sum())
         if need > len(self.upto):
             self.upto, self.back, self.piece = (np.concatenate([x, np.zeros(need * 5 // 4 - len(x), x.dtype)]) for x in (self.upto, self.back, self.piece))
-        if self.nodes + len(chars) > len(self.edge):
-            self.edge = np.concatenate([self.edge, np.zeros((self.nodes + len(chars)) * 5 // 4 - len(self.edge), np.int32)])
-        self.edge[self.nodes:self.nodes + len(chars)] = self.edges + heads
-        here = slice(self.edges, need)
-        self.upto[here] = cum
-        self.back[here] = np.where(pos[start] > 0, self.nodes + start - 1, -1)
-        self.piece[here] = piece
-        self.end.update(zip(tokens, (self.nodes + last - 1).tolist()))
-        self.nodes, self.edges = self.nodes + len(chars), need
+        if self.nodes + len(codes) > len(self.edge):
+            self.edge = np.concatenate([self.edge, np.zeros((self.nodes + len(codes)) * 5 // 4 - len(self.edge), np.int32)])
+        at = np.cumsum(count) - count + self.edges  # next free place of each node
+        self.edge[self.nodes:self.nodes + len(codes)] = at
+        upto = np.zeros(len(codes))
+        for k in reversed(range(len(spans))):
+            start, node, piece, _ = spans[k]
+            here = at[node]
+            at[node] += 1
+            upto[node] += share[k, node]
+            self.upto[here] = upto[node] if k else 1.0
+            before = pos[node] > k
+            self.back[here] = np.where(before, self.nodes + node_of[start - before], -1)
+            self.piece[here] = piece
+        self.end.update(zip(tokens, (self.nodes + off[size - 1] + np.arange(len(tokens))).tolist()))
+        self.nodes, self.edges = self.nodes + len(codes), need
+
+    def _drawn_long(self, token: str, stream: np.uint64) -> np.ndarray:
+        """Pieces of one sampled segmentation of a long pre-token, last first.
+
+        It is filtered in stretches; of each only the forward weights at its
+        start are kept, and backward sampling filters a stretch once more.
+        """
+        starts = range(0, len(token), STRETCH)
+        recent = [[1.0]]
+        for a in starts:
+            *_, behind = self._stretch(token, a, recent[-1])
+            recent.append(behind)
+        drawn, end, u = [], len(token), []
+        for a, before in zip(reversed(starts), reversed(recent[:-1])):
+            weights, pieces, states, _ = self._stretch(token, a, before)
+            while end > a:
+                if not u:
+                    u = _uniform(np.repeat(stream, STRETCH), np.arange(len(drawn), len(drawn) + STRETCH)).tolist()[::-1]
+                parts = [*map(mul, weights[end - 1 - a], states[end - 1 - a])]
+                x, total, upto = u.pop(), sum(parts), 0.0
+                for k in range(len(parts) - 1, -1, -1):
+                    if parts[k]:
+                        upto += parts[k] / total
+                        if np.float32(upto) > x:
+                            break
+                drawn.append(pieces[end - 1 - a, k])
+                end -= k + 1
+        return np.array(drawn, np.int32)
+
+    def _stretch(self, token: str, a: int, recent: list[float]) -> tuple[list[list[float]], np.ndarray, list[list[float]], list[float]]:
+        """Of the nodes of token[a:a + STRETCH]: weights and pieces of their edges by length, forward weights before each as multiples of the last; those behind."""
+        reach, end = self.v.longest, min(a + STRETCH, len(token))
+        low = max(a - reach + 1, 0)
+        weights, pieces = np.zeros((end - a, reach)), np.zeros((end - a, reach), np.int32)
+        for k, (start, piece, weight) in enumerate(self._spans(self._codes(token[low:end]), np.arange(end - low, 0, -1))):
+            node = start + low + k - a
+            mine = node >= 0
+            weights[node[mine], k], pieces[node[mine], k] = weight[mine], piece[mine]
+        rows, states = weights.tolist(), []
+        for row in rows:
+            states.append(recent)
+            total = sum(map(mul, row, recent))
+            recent = [1.0, *[x / total for x in recent[:reach - 1]]]
+            if total < 1e-20:
+                recent = [min(x, MOST) for x in recent]
+        return rows, pieces, states, recent
 
     def sample(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece ids, offsets per text) of one sampled segmentation per text."""
@@ -221,17 +301,22 @@ class Lattices:
             n = len(found)
             found += self.v.pre_token.findall(t)
             counts.append(len(found) - n)
-        new = [t for t in dict.fromkeys(found) if t not in self.end]
-        if new:
-            self.add(new)
-        node = np.fromiter(map(self.end.__getitem__, found), np.int32, len(found))
+        fresh = set(found).difference(self.end)
+        long = [i for i, t in enumerate(found) if len(t) > LONG] if max(map(len, fresh), default=0) > LONG else []
+        if fresh:
+            self.add([t for t in fresh if len(t) <= LONG])
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        number = np.arange(len(node)) - np.repeat(first[:-1], counts)
+        number = np.arange(len(found)) - np.repeat(first[:-1], counts)
         stream = mix(np.repeat(keys, counts) + (number.astype(np.uint64) + np.uint64(1)) * C1)
-        steps = np.zeros(len(node), np.int64)
-        drawn, live, k = [], np.arange(len(node)), 0
+        steps = np.zeros(len(found), np.int64)
+        apart = {i: self._drawn_long(found[i], stream[i]) for i in long}
+        for i, pieces in apart.items():
+            steps[i] = len(pieces)
+        live = np.delete(np.arange(len(found)), list(apart)) if apart else np.arange(len(found))
+        node = np.fromiter((self.end[found[i]] for i in live) if apart else map(self.end.__getitem__, found), np.int32, len(live))
+        drawn, k = [], 0
         while live.size:
-            u = (mix(stream[live] + np.uint64(k * int(C1) % 2**64)) >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
+            u = _uniform(stream[live], k)
             e = self.edge[node]
             miss = np.flatnonzero(self.upto[e] <= u)
             while miss.size:
@@ -246,6 +331,8 @@ class Lattices:
         ids = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
         for k, (at, p) in enumerate(drawn):
             ids[end[at] - 1 - k] = p
+        for i, pieces in apart.items():
+            ids[end[i] - len(pieces):end[i]] = pieces[::-1]
         offs = np.concatenate([[0], end])[first]
         return self._spelled(ids, offs)
 
@@ -263,10 +350,10 @@ class Lattices:
         return out, end[offs]
 
 
-def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
-    """[start, end) of the runs of equal values."""
-    cuts = np.flatnonzero(np.diff(values)) + 1
-    yield from zip([0, *cuts], [*cuts, len(values)])
+def _uniform(stream: np.ndarray, step) -> np.ndarray:
+    """The draws (24 bits, below 1) of some streams at a step, or step by step."""
+    x = mix(stream + np.asarray(step).astype(np.uint64) * C1)
+    return (x >> np.uint64(40)).astype(np.float32) / np.float32(1 << 24)
 
 
 _state: dict = {}

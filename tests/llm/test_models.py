@@ -152,6 +152,32 @@ def test_samples_follow_the_whole_lattice_of_blanks(vocabulary, text):
         assert abs(seen[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+@pytest.mark.parametrize("token", [" " * 300, "x" * 150 + "é漢▁" * 20, "therein" * 28, "\t" * 120 + "y", " " * 37 + "word"])
+def test_long_pre_tokens_are_drawn_like_short_ones(vocabulary, monkeypatch, token):
+    """The same lattice and draws, filtered in stretches of any length or in one table."""
+    keys = blocks.mix(np.arange(50).astype(np.uint64))
+    monkeypatch.setattr(segment, "LONG", 10**6)
+    want, offs = segment.Lattices(vocabulary).sample([token] * 50, keys)
+    for stretch in (16, 50, 4096):
+        monkeypatch.setattr(segment, "LONG", 5)
+        monkeypatch.setattr(segment, "STRETCH", stretch)
+        got, at = segment.Lattices(vocabulary).sample([token] * 50, keys)
+        assert got.tolist() == want.tolist() and at.tolist() == offs.tolist()
+
+
+def test_unbroken_texts_of_millions_of_characters(spark):
+    """Runs of blanks and texts without one: memory of the worker stays near that of the text."""
+    import resource
+    lattices = segment.Lattices(segment.Vocabulary(open(segment.model_path(), "rb").read()))
+    for text in (" " * 5_000_000, "therein漢" * 150_000):
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        ids, offs = lattices.sample([text], np.array([3], np.uint64))
+        assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # KB
+        assert lattices.v.decode(ids, offs).to_pylist() == [text]
+    docs = spark.createDataFrame([(1, "a" + " " * 300_000 + "b"), (2, "c" * 100_000 + " ")], "doc_id long, text string")
+    assert all(r["lossless"] for r in segment.round_trip(docs).collect())
+
+
 def test_no_piece_crosses_a_cut(vocabulary):
     spelled = [b.decode() for i, b in enumerate(vocabulary.bytes_of) if i > 258 and b]
     assert all(vocabulary.pre_token.findall(p) == [p] for p in spelled)
