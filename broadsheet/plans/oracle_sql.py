@@ -287,7 +287,7 @@ FEEDS = f"""pgt AS (
                               {Q.q(Q.SPLIT_RE)}, 2)) AS host FROM pg),
 fe AS (
   SELECT 'https://' || host || '/feed.xml?page=' || CAST(CAST(floor(ord / 20) AS BIGINT) AS VARCHAR) AS feed_url,
-         ord, url, t FROM pgt),
+         ord, url, CASE WHEN floor(ord / 20) % 6 = 2 THEN trim(t || ' R&D' || chr(160) || 'x') ELSE t END AS t FROM pgt),
 fitems AS (
   SELECT feed_url, CAST(row_number() OVER (PARTITION BY feed_url ORDER BY ord) - 1 AS INTEGER) AS pos,
          coalesce(nullif(t, ''), 'Untitled') AS title, url AS link, NULL::VARCHAR AS published,

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.functions import dates as D
@@ -678,21 +678,36 @@ def _xml_text(c):
 
 
 def _raw_feeds(spark, sf_dir) -> DataFrame:
-    """Raw-feed table built from the pages: per host, RSS documents of up to 20 entries."""
+    """Raw-feed table built from the pages: per host, feed documents of up to 20 entries.
+
+    By page number they are plain RSS, RSS behind a byte order mark, declarations
+    and a document type, RSS with bare ampersands and HTML references, prefixed
+    Atom, RSS of CDATA titles with links only as permanent guids, and RSS that
+    holds a broken entry, an unclosed one and no end.
+    """
     p = S.pages(spark, sf_dir)
-    p = p.select("ord", "url", url_host("url").alias("host"),
+    p = p.select("ord", "url", url_host("url").alias("host"), F.floor(F.col("ord") / FEED_PAGE).alias("page"),
                  F.coalesce(H.page_title(F.col("html")), F.lit("")).alias("t"))
-    p = p.withColumn("feed_url", F.concat(F.lit("https://"), F.col("host"), F.lit("/feed.xml?page="),
-                                          F.floor(F.col("ord") / FEED_PAGE).cast("string")))
-    item = F.concat(F.lit("<item><title>"), _xml_text(F.col("t")), F.lit("</title><link>"),
-                    _xml_text(F.col("url")), F.lit("</link></item>"))
-    return (p.groupBy("feed_url")
-            .agg(F.min("ord").alias("first_ord"),
-                 F.sort_array(F.collect_list(F.struct("ord", item.alias("x")))).alias("xs"))
-            .select("feed_url", "first_ord",
-                    F.concat(F.lit("<rss version=\"2.0\"><channel><title>feed</title>"),
-                             F.array_join(F.transform("xs", lambda s: s["x"]), ""),
-                             F.lit("</channel></rss>")).alias("xml")))
+    p = p.withColumn("feed_url", F.concat(F.lit("https://"), F.col("host"), F.lit("/feed.xml?page="), F.col("page").cast("string")))
+    kind, t, url = F.pmod("page", F.lit(6)), F.col("t"), _xml_text(F.col("url"))
+
+    def entry(*parts) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    item = (F.when(kind == 2, entry("<item><title>", _xml_text(t), " R&D&nbsp;x</title><link>", url, "</link></item>"))
+            .when(kind == 3, entry("<a:entry><a:source><a:title>no</a:title></a:source><a:title>", _xml_text(t), "</a:title><a:link rel='self' href='https://no'/><a:link href=\"",
+                                   F.replace(url, F.lit('"'), F.lit("&quot;")), "\"/></a:entry>"))
+            .when(kind == 4, entry("<item><title><![CDATA[", t, "]]></title><guid>", url, "</guid></item>"))
+            .otherwise(entry("<item><title>", _xml_text(t), "</title><link>", url, "</link></item>")))
+    rss = "<rss version=\"2.0\"><channel><title>feed</title>"
+    head = (F.when(kind == 1, "\ufeff<?xml version='1.0'?>\n<?xml-stylesheet href='x.xsl'?><!DOCTYPE rss [<!ENTITY x 'y'>]><!-- <item> -->" + rss)
+            .when(kind == 3, "<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:title>feed</a:title>")
+            .when(kind == 5, rss + "<item><title>x<y</title><link>https://no</link></item><item><title>z</title>").otherwise(rss))
+    tail = F.when(kind == 3, "</a:feed>").when(kind == 5, "<item><title>cut").otherwise("</channel></rss>")
+    return (p.withColumn("item", item).withColumn("head", head).withColumn("tail", tail).groupBy("feed_url")
+            .agg(F.min("ord").alias("first_ord"), F.first("head").alias("head"), F.first("tail").alias("tail"),
+                 F.sort_array(F.collect_list(F.struct("ord", F.col("item").alias("x")))).alias("xs"))
+            .select("feed_url", "first_ord", F.concat("head", F.array_join(F.transform("xs", lambda s: s["x"]), ""), "tail").alias("xml")))
 
 
 def _source_file(spark, sf_dir) -> DataFrame:
@@ -715,7 +730,7 @@ def q_src_list(spark, sf_dir):
 
 @query("feed_items")
 def q_feed_items(spark, sf_dir):
-    """A3: entries of every generated RSS feed, parsed with from_xml."""
+    """A3: entries of every generated feed, each parsed with from_xml."""
     return FD.feed_items(FD.parse_feeds(_raw_feeds(spark, sf_dir)))
 
 

@@ -115,3 +115,63 @@ def test_items_file_needs_an_array(spark):
     assert FD.read_items_json(spark, f"{base}/good").count() == 1
     with pytest.raises(ValueError):
         FD.read_items_json(spark, f"{base}/bad")
+
+
+def one_feed(spark, xml):
+    p = FD.parse_feeds(spark.createDataFrame([("https://z/feed", xml)], "feed_url string, xml string"))
+    return p.collect()[0].ok, [(r.pos, r.title, r.link, r.published) for r in FD.feed_items(p).orderBy("pos").collect()]
+
+
+ITEM_A, ITEM_B = "<item><title>A</title><link>https://z/a</link></item>", "<item><title>B</title><link>https://z/b</link></item>"
+GOOD = [(0, "A", "https://z/a", None), (1, "B", "https://z/b", None)]
+
+
+@pytest.mark.parametrize("head", ["﻿", "<?xml version='1.0'?>\n<?xml-stylesheet href='x.xsl'?>", "<!DOCTYPE rss [<!ENTITY x 'y'>]>", "\n\n<!-- <item> -->",
+                                  "<?xml version='1.0'?><!DOCTYPE rss PUBLIC '-//x//y' 'http://z/rss.dtd'>"])
+def test_prologs(spark, head):
+    assert one_feed(spark, f"{head}<rss version='2.0'><channel>{ITEM_A}{ITEM_B}</channel></rss>") == (True, GOOD)
+
+
+@pytest.mark.parametrize("broken", ["<item><title>x<y</title><link>https://z/x</link></item>", "<item><title>x</title><link>https://z/x</item>",
+                                    "<item><title>x</title><link>https://z/x</link>", "<item a=1><title>x</title></item>"])
+def test_a_broken_entry_is_lost_alone(spark, broken):
+    assert one_feed(spark, f"<rss><channel>{ITEM_A}{broken}{ITEM_B}</channel></rss>") == (True, GOOD)
+    assert one_feed(spark, f"<rss><channel>{broken}</channel></rss>") == (False, [])
+
+
+def test_references_in_entries(spark):
+    xml = ("<rss><channel><item><title>R&D &amp; a&nbsp;b &eacute; &#233; &#xe9; &unknown; &lt;i&gt;</title><link>https://z/?a=1&b=2&copy=3</link></item>"
+           "<item><title><![CDATA[<b>x</b> & </item> &amp;]]></title><link><![CDATA[https://z/c]]></link></item></channel></rss>")
+    assert one_feed(spark, xml) == (True, [(0, "R&D & a b é é é &unknown; <i>", "https://z/?a=1&b=2&copy=3", None),
+                                           (1, "<b>x</b> & </item> &amp;", "https://z/c", None)])
+
+
+def test_prefixes_guids_and_nested_titles(spark):
+    atom = ("<a:feed xmlns:a='http://www.w3.org/2005/Atom'><a:entry><a:source><a:title>no</a:title></a:source><a:title type='html'>T</a:title>"
+            "<a:link rel='self' href='https://z/s'/><a:link href='https://z/t'/><a:updated>2024-01-02</a:updated></a:entry></a:feed>")
+    assert one_feed(spark, atom) == (True, [(0, "T", "https://z/t", "2024-01-02")])
+    rss = ("<rss xmlns:m='http://m'><channel><item><m:title>no</m:title><title>G</title><image><title>no</title><link>https://no</link></image>"
+           "<guid>https://z/g</guid></item><item><guid isPermaLink='false'>id-7</guid></item>"
+           "<item><guid isPermaLink='true'>https://z/h</guid><link>https://z/i</link></item></channel></rss>")
+    assert one_feed(spark, rss) == (True, [(0, "G", "https://z/g", None), (2, "Untitled", "https://z/i", None)])
+
+
+def test_malformed_and_empty_falls_back(spark):
+    src = FD.source_lines(spark.createDataFrame([(0, "https://z/feed"), (1, "https://y/feed"), (2, "https://x/page"), (3, "https://w/feed")], "pos long, value string"))
+    docs = spark.createDataFrame([("https://z/feed", "<rss><channel><title>a</channel></rss>"), ("https://y/feed", "<rss><channel></channel></rss>"),
+                                  ("https://x/page", "<html><body><p>no feed</body></html>"), ("https://w/feed", None)], "feed_url string, xml string")
+    assert [(r.source_ord, r.url) for r in FD.expand_sources(src, docs).orderBy("ord").collect()] == [
+        (0, "https://z/feed"), (2, "https://x/page"), (3, "https://w/feed")]
+
+
+def test_readable_copies_come_first(spark):
+    docs = spark.createDataFrame([("https://z/feed", "<rss><channel><item>"), ("https://z/feed", f"<rss><channel>{ITEM_A}{ITEM_B}</channel></rss>"),
+                                  ("https://z/feed", None)], "feed_url string, xml string")
+    assert [(r.pos, r.title, r.link, r.published) for r in FD.feed_items(FD.parse_feeds(docs)).orderBy("pos").collect()] == GOOD
+
+
+def test_feeds_are_parsed_once(spark, feeds):
+    """One scan of the feeds, one parse of the entries (and one of documents without entries)."""
+    plan = FD.expand_sources(FD.source_lines(spark.createDataFrame([(0, "https://a/feed")], "pos long, value string")), feeds)
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_xml") + text.count("XmlToStructs") <= 2
