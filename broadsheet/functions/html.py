@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from html.entities import name2codepoint
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.text import normalize_whitespace, ws_strip
@@ -42,9 +42,15 @@ def decode_entities(x) -> Column:
     return c
 
 
+def reference_names(without: tuple[str, ...] = ()) -> Column:
+    """Map from the reference names of HTML 4 and ``apos`` to their characters, written as one literal."""
+    pairs = [f"{k}\x02{chr(c)}" for k, c in {**name2codepoint, "apos": 39}.items() if k not in without]
+    return F.str_to_map(F.lit("\x01".join(pairs)), F.lit("\x01"), F.lit("\x02"))
+
+
 def decode_references(x) -> Column:
     """Decode the named references of HTML 4, ``&apos;`` and all numeric ones (``&amp;`` last)."""
-    names = F.create_map(*[F.lit(v) for k, c in {**name2codepoint, "apos": 39}.items() for v in (k, chr(c))])
+    names = reference_names()
 
     def char(ref: Column) -> Column:
         body = F.substring(ref, 2, 32).substr(F.lit(1), F.length(ref) - 2)
@@ -119,20 +125,25 @@ def container_text(stripped) -> Column:
     return normalize_whitespace(decode_entities(F.regexp_replace(F.coalesce(span, s), TAG_RE, " ")))
 
 
-def _meta_content(html: Column, attr: str, value: str) -> Column:
-    """Decoded ``content`` of the first ``<meta>`` whose ``attr`` is exactly ``value``.
+# The meta tags read, and the columns they end in.
+META_TAGS = {"og_title": ("property", "og:title"), "article_author": ("property", "article:author"), "author": ("name", "author"),
+             "published": ("property", "article:published_time"), "date": ("name", "date")}
+
 
-    NULL when there is no such tag or it has no content attribute; attribute
-    order and quoting style are free, the value match is case-sensitive.
+def _meta_tag(html: Column, attr: str, value: str) -> Column:
+    """The first ``<meta>`` whose ``attr`` is exactly ``value``, empty if there is none.
+
+    Attribute order and quoting style are free, the value match is case-sensitive.
     """
     v = rf"(?-i:{value})"
-    tag = F.regexp_extract(
-        html, rf"(?is)<meta{END}[^>]*\b{attr}\s*=\s*(?:\"{v}\"|'{v}'|{v}(?=[\s/>]))[^>]*>", 0)
+    return F.regexp_extract(html, rf"(?is)<meta{END}[^>]*\b{attr}\s*=\s*(?:\"{v}\"|'{v}'|{v}(?=[\s/>]))[^>]*>", 0)
+
+
+def _content(tag: Column) -> Column:
+    """The content attribute of a tag, NULL if it has none."""
     dq = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*\"([^\"]*)\"", 1)
     sq = F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*'([^']*)'", 1)
-    raw = (F.when(tag.rlike(r"(?is)\bcontent\s*=\s*\""), dq)
-           .when(tag.rlike(r"(?is)\bcontent\s*=\s*'"), sq))
-    return F.when(tag != "", decode_references(raw))
+    return F.when(tag.rlike(r"(?is)\bcontent\s*=\s*\""), dq).when(tag.rlike(r"(?is)\bcontent\s*=\s*'"), sq)
 
 
 def _truthy_strip(raw: Column) -> Column:
@@ -140,32 +151,28 @@ def _truthy_strip(raw: Column) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) != "", ws_strip(raw))
 
 
-def page_title(html, cleaned: bool = False) -> Column:
-    """B1 title: ``og:title`` when its content is non-empty, else the ``<title>`` text.
-
-    Stripped; NULL when neither exists (callers default to ``Untitled``, and
-    treat an empty result the same way).  ``cleaned``: the column already is
-    :func:`metadata_source` of the page (computed once for all three).
-    """
-    h, pattern = _c(html) if cleaned else metadata_source(html), rf"(?is)<title{END}[^>]*>(.*?)</title\s*>"
-    t = F.when(h.rlike(pattern), ws_strip(decode_references(F.regexp_extract(h, pattern, 1))))
-    og = _truthy_strip(_meta_content(h, "property", "og:title"))
-    return F.coalesce(og, t)
-
-
-def page_author(html, cleaned: bool = False) -> Column:
-    """B1 author: ``article:author`` over ``name=author`` (each only when non-empty)."""
-    h = _c(html) if cleaned else metadata_source(html)
-    return F.coalesce(_truthy_strip(_meta_content(h, "property", "article:author")),
-                      _truthy_strip(_meta_content(h, "name", "author")))
-
+def with_page_meta(df: DataFrame, html_col: str, title: str = "title", author: str = "author", date: str = "published_date") -> DataFrame:
+    """B1: ``df`` plus title, author and date of its pages.
 
-def page_date(html, cleaned: bool = False) -> Column:
-    """B1 date: ``article:published_time``; if that is missing or blank, ``name=date``.
+    Title: ``og:title`` when its content is non-empty, else the ``<title>``
+    text; NULL when neither exists (callers default to ``Untitled``, and treat
+    an empty result the same way).  Author: ``article:author`` over
+    ``name=author`` (each only when non-empty).  Date: ``article:published_time``;
+    if that is missing or blank, ``name=date``; a blank published_time with no
+    ``name=date`` tag gives ''.  All stripped.
 
-    A blank published_time with no ``name=date`` tag gives ''.
+    Tags, raw values, decoded and stripped ones are named columns of their
+    own, so each pass is one expression of the plan.
     """
-    h = _c(html) if cleaned else metadata_source(html)
-    pub = _truthy_strip(_meta_content(h, "property", "article:published_time"))
-    alt = _truthy_strip(_meta_content(h, "name", "date"))
-    return F.when(F.coalesce(pub, F.lit("")) != "", pub).otherwise(F.coalesce(alt, pub))
+    title_re = rf"(?is)<title{END}[^>]*>(.*?)</title\s*>"
+    keep = [c for c in df.columns if c not in (title, author, date)]
+    m = {k: F.col(f"__{k}") for k in (*META_TAGS, "title")}
+    df = df.withColumn("__page", metadata_source(F.col(html_col)))
+    page = F.col("__page")
+    df = df.select(*keep, *[_meta_tag(page, *v).alias(f"__{k}") for k, v in META_TAGS.items()],
+                   F.when(page.rlike(title_re), F.regexp_extract(page, title_re, 1)).alias("__title"))
+    df = df.select(*keep, *[_content(m[k]).alias(f"__{k}") for k in META_TAGS], "__title")
+    df = df.select(*keep, *[decode_references(c).alias(f"__{k}") for k, c in m.items()])
+    df = df.select(*keep, *[_truthy_strip(m[k]).alias(f"__{k}") for k in META_TAGS], ws_strip(m["title"]).alias("__title"))
+    return df.select(*keep, F.coalesce(m["og_title"], m["title"]).alias(title), F.coalesce(m["article_author"], m["author"]).alias(author),
+                     F.when(F.coalesce(m["published"], F.lit("")) != "", m["published"]).otherwise(F.coalesce(m["date"], m["published"])).alias(date))

@@ -151,11 +151,8 @@ def extract_pages(pages: DataFrame, html_col: str = "html",
         chosen = F.when(prim.isNull() | (F.length(F.trim(prim)) < 100), F.col("_fallback")).otherwise(prim)
     else:
         chosen = F.col("_fallback")
-    df = df.withColumn("_meta", H.metadata_source(F.col(html_col)))
-    h = F.col("_meta")
-    return (df.withColumn("text", F.coalesce(normalize_whitespace(chosen), F.lit("")))
-            .withColumn("title", F.coalesce(F.nullif(H.page_title(h, cleaned=True), F.lit("")), F.lit("Untitled")))
-            .withColumn("author", H.page_author(h, cleaned=True))
-            .withColumn("published_date", H.page_date(h, cleaned=True))
+    df = H.with_page_meta(df.withColumn("_chosen", chosen), html_col)
+    return (df.withColumn("text", F.coalesce(normalize_whitespace(F.col("_chosen")), F.lit("")))
+            .withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.lit("Untitled")))
             .withColumn("word_count", word_count(F.col("text")))
-            .drop("_fallback", "_meta"))
+            .drop("_fallback", "_chosen"))

@@ -281,10 +281,7 @@ from broadsheet.operators import pages as P  # noqa: E402
 @query("page_meta")
 def q_page_meta(spark, sf_dir):
     """B1: title / author / published date of every page."""
-    h = F.col("html")
-    return S.pages(spark, sf_dir).select("ord", H.page_title(h).alias("title"),
-                                         H.page_author(h).alias("author"),
-                                         H.page_date(h).alias("published_date"))
+    return H.with_page_meta(S.pages(spark, sf_dir), "html").select("ord", "title", "author", "published_date")
 
 
 @query("page_text")
@@ -685,9 +682,9 @@ def _raw_feeds(spark, sf_dir) -> DataFrame:
     Atom, RSS of CDATA titles with links only as permanent guids, and RSS that
     holds a broken entry, an unclosed one and no end.
     """
-    p = S.pages(spark, sf_dir)
+    p = H.with_page_meta(S.pages(spark, sf_dir), "html")
     p = p.select("ord", "url", url_host("url").alias("host"), F.floor(F.col("ord") / FEED_PAGE).alias("page"),
-                 F.coalesce(H.page_title(F.col("html")), F.lit("")).alias("t"))
+                 F.coalesce("title", F.lit("")).alias("t"))
     p = p.withColumn("feed_url", F.concat(F.lit("https://"), F.col("host"), F.lit("/feed.xml?page="), F.col("page").cast("string")))
     kind, t, url = F.pmod("page", F.lit(6)), F.col("t"), _xml_text(F.col("url"))
 

@@ -8,12 +8,11 @@ exploded with their position, so no feed is expanded on the driver.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.functions.html import reference_names
 from broadsheet.functions.text import ws_strip
 from broadsheet.functions.urls import is_feed_url
 from broadsheet.schemas import ITEM
@@ -72,7 +71,7 @@ def _without_cdata(x: Column) -> Column:
 
 def _without_html_names(x: Column) -> Column:
     """The named references of HTML 4 as characters, all but the five of XML."""
-    chars = F.create_map(*[F.lit(v) for k, c in name2codepoint.items() if k not in XML_NAMES for v in (k, chr(c))])
+    chars = reference_names(XML_NAMES)
     names = F.array_distinct(F.regexp_extract_all(x, F.lit("&([A-Za-z][A-Za-z0-9]*);"), 1))
     known = F.filter(names, lambda n: F.try_element_at(chars, n).isNotNull())
     decoded = F.reduce(known, x, lambda t, n: F.replace(t, F.concat(F.lit("&"), n, F.lit(";")), F.element_at(chars, n)))

@@ -57,8 +57,7 @@ META = [
 
 def test_meta_cases(spark):
     df = spark.createDataFrame([(i, m[0]) for i, m in enumerate(META)], "i int, html string")
-    out = df.select("i", H.page_title(F.col("html")).alias("t"), H.page_author(F.col("html")).alias("a"),
-                    H.page_date(F.col("html")).alias("d")).collect()
+    out = H.with_page_meta(df, "html", "t", "a", "d").collect()
     for r in out:
         _, t, a, d = META[r.i]
         assert (r.t, r.a, r.d) == (t, a, d), META[r.i][0]
@@ -108,3 +107,11 @@ def test_both_paths_are_taken_and_agree(spark):
     assert set(safe.values()) == {True, False}
     out = {r.ord: r.text for r in P.with_main_text(df, "html", "text").collect()}
     assert all(P.parse_main_text(pages[i]) == t for i, t in out.items())
+
+
+def test_metadata_expressions_stand_once(spark):
+    """Each tag's pattern is one expression of the executed plan."""
+    pages = spark.createDataFrame([(1, "<title>x</title>")], "ord long, html string")
+    plan = P.extract_pages(pages).select("ord", "title", "author", "published_date", "text", "word_count")
+    physical = plan._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("og:title") == physical.count("article:published_time") == 3  # one pattern names it in three quotings
