@@ -18,6 +18,7 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,12 +51,14 @@ def parse_seen_lines(lines: DataFrame, line_col: str = "value", pos_col: str = "
 def read_seen_jsonl(spark, path: str) -> DataFrame:
     """A6 (scan): read a JSONL seen log with each line's position.
 
-    Log files sort by name in append order.  A missing path yields an empty log.
+    Log files sort by name in append order.  A missing path yields an empty
+    log; any other read error is raised.
     """
-    from pyspark.sql.utils import AnalysisException
     try:
         raw = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], T.StructType([T.StructField("pos", T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.LongType())]))] + SEEN.fields))
     # position = (file, id assigned at the scan): orderable, no global sort,
     # and splits of one file keep their offset order

@@ -3,8 +3,7 @@
 The digest of a day is emitted as ordered *lines* ``(day, part, k1, k2,
 line_no, text)`` rather than one string: a day holding a third of all
 articles is then still spread over many tasks, and the text sink writes
-each day's lines range-partitioned in order.  ``collect_day_text`` joins one
-day's lines when a single string is wanted for a small day.
+each day's lines range-partitioned in order.
 """
 
 from __future__ import annotations

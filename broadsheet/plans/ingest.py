@@ -20,6 +20,7 @@ from broadsheet.functions.text import content_hash
 from broadsheet.functions.urls import with_url_hash
 from broadsheet.operators import dedup as DD
 from broadsheet.operators import extract as X
+from broadsheet.operators.bloom import buckets_for, key_bitmaps, may_hold
 from broadsheet.operators.pages import extract_pages
 from broadsheet.operators.skew import lookup_join
 from broadsheet.operators.summarize import mock_summary
@@ -44,13 +45,19 @@ def wanted_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
     The first row per URL is found on ``(url, ord)`` alone, for wanted URLs
     only.  Those keys are materialised and measured: up to ``BROADCAST_BYTES``
-    they are broadcast to the page scan, so the HTML of other pages is never
-    shuffled; beyond, pages and keys meet in a shuffle join.
+    they are broadcast to the page scan.  Beyond, bitmaps of the keys' hashes
+    are (``operators.bloom``, of bounded size): pages that are not wanted leave
+    at the scan, and only the rest meets the keys in a shuffle join.
     """
     keys = cut_lineage(pages.select("url", "ord").join(urls.select("url").distinct(), "url", "left_semi")
                        .groupBy("url").agg(F.min("ord").alias("ord")))
-    size = keys.agg(F.sum(F.octet_length("url") + 32)).first()[0] or 0
-    return pages.select("url", "ord", "html").join(F.broadcast(keys) if size <= BROADCAST_BYTES else keys, ["url", "ord"]).select("url", "html")
+    n, size = keys.agg(F.count(F.lit(1)), F.sum(F.octet_length("url") + 32)).first()
+    rows = pages.select("url", "ord", "html")
+    if (size or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keys), ["url", "ord"]).select("url", "html")
+    buckets = buckets_for(n)
+    rows = may_hold(rows, cut_lineage(key_bitmaps(keys, ["url", "ord"], buckets)), ["url", "ord"], buckets)
+    return rows.join(keys.hint("shuffle_hash"), ["url", "ord"]).select("url", "html")
 
 
 def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame | None,

@@ -809,7 +809,9 @@ def q_incremental_ingest(spark, sf_dir):
 
     base = ensure_checkpoint_dir(spark).rstrip("/") + f"/incremental-{uuid.uuid4().hex}"
     lines = _source_file(spark, sf_dir)
-    drops = [lines.filter(F.col("pos") < 1_000_000_000), lines.filter(F.col("pos") >= 1_000_000_000)]
+    # part files hold ranges of positions, so the order of files and lines is that of the positions
+    drops = [lines.filter(part).repartitionByRange("pos").sortWithinPartitions("pos")
+             for part in (F.col("pos") < 1_000_000_000, F.col("pos") >= 1_000_000_000)]
     drops[0].write.parquet(f"{base}/sources/drop=0")
     q = INC.start_incremental_ingest(spark, f"{base}/sources/*", lambda: _raw_feeds(spark, sf_dir), lambda: S.pages(spark, sf_dir),
                                      f"{base}/out", f"{base}/checkpoint", RUN_TS, interval="1 second")

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import dedup as DD
@@ -147,3 +148,13 @@ def test_struct_order_and_repeated_order(spark):
     assert {tuple(r.ord): r.keep for r in DD.greedy_dedup(df).collect()} == {(0, 2_000_000): True, (1, 0): False, (1, 1): False, (1, 1 << 21): True}
     with pytest.raises(ValueError):
         DD.greedy_dedup(df.unionByName(df.limit(1)))
+
+
+def test_only_a_missing_log_is_empty(spark):
+    import uuid
+
+    from broadsheet.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark) + f"/log-{uuid.uuid4().hex}"
+    assert DD.read_seen_jsonl(spark, base).count() == 0
+    with pytest.raises(Exception):
+        DD.read_seen_jsonl(spark, "nosuchscheme://x/y").collect()

@@ -105,6 +105,23 @@ def test_ingest_reads_html_of_wanted_pages_only(spark):
     assert df.count() == 3
 
 
+def test_pages_not_wanted_leave_at_the_scan_beyond_the_broadcast_bound(spark, monkeypatch):
+    """With more keys than may be broadcast, bitmaps drop the other pages before any exchange."""
+    from broadsheet.operators import bloom
+    from broadsheet.plans import ingest
+    monkeypatch.setattr(ingest, "BROADCAST_BYTES", 0)
+    pages = spark.range(40_000).select(F.col("id").alias("ord"), F.concat(F.lit("https://p/"), F.col("id") % 30_000).alias("url"), F.lit("<p>x</p>").alias("html"))
+    urls = pages.filter("ord % 9 = 0").select("url").unionByName(spark.createDataFrame([("https://gone/",), (None,)], "url string"))
+    got = sorted(r.url for r in ingest.wanted_pages(pages, urls).collect())
+    assert got == sorted({r.url for r in pages.filter("ord % 9 = 0").select("url").collect()})
+    keys = pages.filter("ord < 30000 and ord % 9 = 0").select("url", "ord")
+    buckets = bloom.buckets_for(keys.count())
+    left = bloom.may_hold(pages.select("url", "ord", "html"), bloom.key_bitmaps(keys, ["url", "ord"], buckets), ["url", "ord"], buckets)
+    assert left.join(keys, ["url", "ord"]).count() == keys.count() <= left.count() < keys.count() + 0.01 * pages.count()
+    assert "BroadcastHashJoin" in plan(left) and "SortMergeJoin" not in plan(left)
+    assert (bloom.buckets_for(0), bloom.buckets_for(5000), bloom.buckets_for(10**12)) == (1, 4, bloom.MAX_BUCKETS)
+
+
 def test_a_month_is_written_by_many_tasks(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = S.articles(spark, SF).withColumn("url_hash", F.sha2("url", 256))
