@@ -11,6 +11,7 @@ text and HTML are joined back by key afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -62,14 +63,16 @@ def wanted_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
 
 def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame | None,
                  fetched_at: str, batch_id: int = 0, default_tags=X.DEFAULT_TAGS,
-                 force_col: str | None = None, seen_log: DataFrame | None = None) -> IngestResult:
+                 force_col: str | None = None, seen_log: DataFrame | None = None,
+                 seen_lookup: Callable[[DataFrame], DataFrame | None] | None = None) -> IngestResult:
     """I1 (without writing): outcome per expanded URL plus the rows to store.
 
     ``expanded``: ``(ord, source_url, url, n_entries)`` from :func:`expand_sources`;
     ``pages``: ``(ord, url, html)``; ``seen_latest``: resolved history (or
     None for a first run); alternatively ``seen_log``: raw seen records with a
     ``pos`` column, resolved only around this batch's keys
-    (:func:`seen_latest_for`).  ``fetched_at`` is the run's timestamp parameter.
+    (:func:`seen_latest_for`), or ``seen_lookup``: the resolved history around
+    some keys (``SeenStore.lookup``).  ``fetched_at`` is the run's timestamp parameter.
     """
     got = wanted_pages(pages, expanded).filter(F.col("html").isNotNull())
     ext = (extract_pages(got, "html")
@@ -90,6 +93,8 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
     keys = cand.select("ord", "url_hash", "content_hash", F.col("has_content").alias("content"), "_force")
     if seen_latest is None and seen_log is not None:
         seen_latest = DD.seen_latest_for(seen_log, keys)
+    if seen_latest is None and seen_lookup is not None:
+        seen_latest = seen_lookup(keys.select("url_hash", "content_hash"))
     if seen_latest is not None:
         unseen = DD.drop_seen(keys.filter(~F.col("_force")), seen_latest).unionByName(keys.filter("_force"))
     else:

@@ -814,7 +814,7 @@ def q_incremental_ingest(spark, sf_dir):
              for part in (F.col("pos") < 1_000_000_000, F.col("pos") >= 1_000_000_000)]
     drops[0].write.parquet(f"{base}/sources/drop=0")
     q = INC.start_incremental_ingest(spark, f"{base}/sources/*", lambda: _raw_feeds(spark, sf_dir), lambda: S.pages(spark, sf_dir),
-                                     f"{base}/out", f"{base}/checkpoint", RUN_TS, interval="1 second")
+                                     f"{base}/out", f"{base}/checkpoint", RUN_TS, interval="1 second", buckets=8)
     try:
         q.processAllAvailable()
         drops[1].write.parquet(f"{base}/sources/drop=1")

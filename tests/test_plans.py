@@ -55,15 +55,17 @@ def test_library_partition_pruning(spark):
 
 def test_stream_batch_replay_is_idempotent(spark):
     from broadsheet.plans.queries import RUN_TS, _raw_feeds, _source_file
+    from broadsheet.sinks.seen_store import SeenStore
     from broadsheet.streaming.incremental import make_batch_writer
     base = ensure_checkpoint_dir(spark) + f"/replay-{uuid.uuid4().hex}"
-    run = make_batch_writer(lambda: _raw_feeds(spark, SF), lambda: S.pages(spark, SF), base, RUN_TS)
+    run = make_batch_writer(lambda: _raw_feeds(spark, SF), lambda: S.pages(spark, SF), base, RUN_TS, buckets=4)
     batch = _source_file(spark, SF).withColumn("file", F.lit("f0"))
     run(batch, 0)
     first = spark.read.parquet(base + "/outcomes").count()
     run(batch, 0)   # replay of the same batch id
     assert spark.read.parquet(base + "/outcomes").count() == first
-    assert spark.read.parquet(base + "/seen").count() == spark.read.parquet(base + "/seen").select("url_hash").distinct().count()
+    seen = spark.read.parquet(base + "/seen/gen-0/by_url")
+    assert seen.count() == seen.select("url_hash").distinct().count() == SeenStore(spark, base + "/seen").latest().count()
 
 
 def test_micro_batch_of_two_files(spark):
@@ -85,14 +87,57 @@ def test_unreadable_history_stops_the_batch(spark):
 
     import pytest
 
-    from broadsheet.streaming.incremental import _read_seen
+    from broadsheet.sinks.seen_store import read_state
     base = ensure_checkpoint_dir(spark).removeprefix("file:") + f"/broken-{uuid.uuid4().hex}"
-    assert _read_seen(spark, base, 1) is None
-    os.makedirs(base)
-    with open(base + "/part-0.parquet", "w") as f:
+    assert read_state(spark, base).batches == ()
+    os.makedirs(base + "/commits")
+    with open(base + "/commits/part-0.parquet", "w") as f:
         f.write("no parquet")
     with pytest.raises(Exception):
-        _read_seen(spark, base, 1).collect()
+        read_state(spark, base)
+
+
+def _page_batches(spark, base, urls_of_batch, **kw):
+    """A writer over pages of 60 words, and batches of lines."""
+    from broadsheet.streaming.incremental import make_batch_writer
+    page = "<article>" + "word " * 60 + "{}</article>"
+    pages = spark.createDataFrame([(i, f"https://p/{i}", page.format(f"text{i % 7}")) for i in range(20)], "ord long, url string, html string")
+    feeds = spark.createDataFrame([], "feed_url string, xml string")
+    run = make_batch_writer(lambda: feeds, lambda: pages, base, "2024-02-01 08:00:00", buckets=4, **kw)
+    return run, [spark.createDataFrame([("f", k, f"https://p/{i}") for k, i in enumerate(ids)], "file string, pos long, value string") for ids in urls_of_batch]
+
+
+def test_a_batch_killed_between_sinks_is_invisible(spark, monkeypatch):
+    import pytest
+
+    from broadsheet.sinks.seen_store import SeenStore
+    from broadsheet.streaming.incremental import read_library, read_outcomes
+    base = ensure_checkpoint_dir(spark) + f"/atomic-{uuid.uuid4().hex}"
+    run, (first, second) = _page_batches(spark, base, [[0, 1, 7], [2, 0, 8]])
+    run(first, 0)
+    before = sorted(map(str, read_outcomes(spark, base).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(SeenStore, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("killed")))
+        with pytest.raises(RuntimeError):
+            run(second, 1)
+    assert sorted(map(str, read_outcomes(spark, base).collect())) == before
+    assert read_library(spark, base).count() == 2 and SeenStore(spark, base + "/seen").latest().count() == 2
+    run(second, 1)  # the same batch again
+    got = {(r.batch_id, r.url): r.success for r in read_outcomes(spark, base).collect()}
+    assert got == {(0, "https://p/0"): True, (0, "https://p/1"): True, (0, "https://p/7"): False,
+                   (1, "https://p/2"): True, (1, "https://p/0"): False, (1, "https://p/8"): False}
+    assert read_library(spark, base).count() == 3
+
+
+def test_compaction_between_batches_changes_no_outcome(spark):
+    from broadsheet.sinks.seen_store import SeenStore
+    from broadsheet.streaming.incremental import read_outcomes
+    base = ensure_checkpoint_dir(spark) + f"/compact-{uuid.uuid4().hex}"
+    run, batches = _page_batches(spark, base, [[0, 1], [2, 7, 3], [1, 4, 9]], compact_every=1)  # texts repeat after seven pages
+    for k, b in enumerate(batches):
+        run(b, k)
+    assert {(r.batch_id, int(r.url[10:])) for r in read_outcomes(spark, base).filter("success").collect()} == {(0, 0), (0, 1), (1, 2), (1, 3), (2, 4)}
+    assert read_outcomes(spark, base).count() == 8 and SeenStore(spark, base + "/seen").state().generation == 2
 
 
 def test_ingest_reads_html_of_wanted_pages_only(spark):

@@ -46,3 +46,59 @@ def test_ingest_write_and_digests(spark):
     d = json.loads(raw)
     assert d["schema_version"] == "v1" and d["stats"]["items_in"] == n_ok
     assert len(d["top_stories"]) == min(12, n_ok) and d["sections"][0]["name"] == "Other"
+
+
+def _records(spark, rows):
+    """(n, url, content, title) as seen records in the order n."""
+    df = spark.createDataFrame(rows, "n long, u string, c string, title string")
+    return df.select(F.struct("n").alias("pos"), F.col("u").alias("url"), F.sha2("u", 256).alias("url_hash"), F.sha2("c", 256).alias("content_hash"), "title",
+                     F.lit("2024-01-01").cast("timestamp_ntz").alias("fetched_at"), F.lit("p").alias("stored_path"), F.lit("rss").alias("source"))
+
+
+def test_seen_store_reads_the_buckets_of_its_keys(spark):
+    """A lookup resolves like the whole log, and reads at most one file per key and batch, also after compaction."""
+    import random
+    import uuid
+
+    from broadsheet.operators import dedup as DD
+    from broadsheet.session import ensure_checkpoint_dir
+    from broadsheet.sinks.seen_store import SeenStore
+    r = random.Random(3)
+    store = SeenStore(spark, ensure_checkpoint_dir(spark) + f"/seen-{uuid.uuid4().hex}", buckets=24)
+    keys = _records(spark, [(0, "u5", "c9", ""), (1, "unew", "c2", ""), (2, "u6", None, "")]).select("url_hash", "content_hash")
+    assert store.lookup(keys) is None and store.latest() is None
+    everything = None
+    for b in range(2):
+        part = _records(spark, [(b * 1000 + k, f"u{r.randrange(120)}", f"c{r.randrange(60)}", f"t{b}.{k}") for k in range(100)])
+        store.put(part, b)
+        store.commit(b)
+        everything = part if everything is None else everything.unionByName(part)
+        cols = ["url_hash", "first_pos", "content_hash", "title"]
+        want = sorted(map(str, DD.seen_latest_for(everything, keys).select(cols).collect()))
+        assert sorted(map(str, store.lookup(keys).select(cols).collect())) == want
+        assert sorted(map(str, store.lookup(keys, before=b + 1).select(cols).collect())) == want
+    store.put(_records(spark, [(9000, "u5", "c2", "uncommitted")]), 3)  # never committed
+    assert sorted(map(str, store.lookup(keys).select(cols).collect())) == want
+
+
+    def files(col):
+        """Files of one table that a lookup of the first key reads, and of the whole table."""
+        table = store._table("by_content" if col == "content_hash" else "by_url", store.state(), None)
+        near = store._in_buckets(table, keys.filter(F.col("url_hash") == F.sha2(F.lit("u5"), 256)), col)
+        scan = near._jdf.queryExecution().executedPlan().toString()
+        assert "bucket" in scan[scan.index("PartitionFilters"):]
+        return [x.select(F.input_file_name()).distinct().count() for x in (near, table)]
+
+    for col in ("content_hash", "url_hash"):
+        near, every = files(col)
+        assert near <= 2 and every > 30  # a file a batch
+    store.compact()
+    state = store.state()
+    assert (state.generation, state.through, state.batches) == (1, 1, ())
+    near = F.col("url_hash").isin([x.url_hash for x in keys.collect()]) | F.col("content_hash").isin([x.content_hash for x in keys.collect()])
+    want = sorted(map(str, DD.seen_latest_for(everything, keys).filter(near).select(cols).collect()))  # contents overwritten since are gone
+    assert sorted(map(str, store.lookup(keys).filter(near).select(cols).collect())) == want
+    assert [files(c)[0] for c in ("content_hash", "url_hash")] == [1, 1] and files("url_hash")[1] <= 24
+    store.put(_records(spark, [(9001, "u5", "c2", "later")]), 3)
+    store.commit(3)
+    assert "later" in {x.title for x in store.lookup(keys).collect()}
