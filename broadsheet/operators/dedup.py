@@ -18,6 +18,9 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,7 +191,29 @@ def _block(undecided: DataFrame, kept: DataFrame, su: DataFrame, sc: DataFrame,
     return j.filter(~blocked).drop("bu", "bc")
 
 
-def greedy_dedup(rows: DataFrame, force_col: str | None = None) -> DataFrame:
+# Undecided rows (three keys each) that one task may walk: a few dozen megabytes.
+WALK_ROWS = 100_000
+
+
+def _walked(undecided: DataFrame) -> DataFrame:
+    """``(ord, keep)`` of a bounded rest of undecided rows, walked in order by one task."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        urls, contents = set(), set()
+        for b in batches:
+            keep = []
+            for u, cc, rc in zip(*(b.column(c).to_pylist() for c in ("u", "cc", "rc"))):
+                ok = u not in urls and (cc is None or cc not in contents)
+                if ok:
+                    urls.add(u)
+                    contents.add(rc)
+                keep.append(ok)
+            yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array(keep, pa.bool_())], ["ord", "keep"])
+
+    return (undecided.coalesce(1).sortWithinPartitions("ord")
+            .mapInArrow(walk, T.StructType([undecided.schema["ord"], T.StructField("keep", T.BooleanType())])))
+
+
+def greedy_dedup(rows: DataFrame, force_col: str | None = None, walk_rows: int = WALK_ROWS) -> DataFrame:
     """D8 (+D9): sequential first-wins dedup over two keys, computed in rounds.
 
     Input columns: ``ord`` (unique order, any orderable type), ``u`` (url hash),
@@ -205,9 +230,11 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None) -> DataFrame:
     before them that could block them is decided), then drops undecided rows
     that share a key with a newly kept, earlier row.  The global first
     undecided row is always kept, so every round makes progress; typical
-    data settles in 2-5 rounds, a chain of rows that alternate in url and
-    content takes a round for every second row.  Each round's state is
-    checkpointed to the reliable checkpoint folder (lineage stays short and a
+    data settles in 2-5 rounds.  Once a round leaves no more than ``walk_rows``
+    undecided rows, one task walks this rest in order, so a chain of rows that
+    alternate in url and content, which a round shortens by two rows only, does
+    not take a round for each; beyond the bound, rounds go on.  Each round's
+    state is checkpointed to the reliable checkpoint folder (lineage stays short and a
     lost executor only re-runs the current round).
     """
     base = cut_lineage(rows.select("ord", "u", "cc", "rc",
@@ -230,6 +257,11 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None) -> DataFrame:
         kept = x.filter("k").select("ord", "u", "rc")
         decided.append(kept.select("ord", F.lit(True).alias("keep")))
         undecided = cut_lineage(_block(x.filter(~F.col("k")).select("ord", "u", "cc", "rc"), kept, su, sc, n))
+        n = undecided.count()
+        if n <= walk_rows:
+            if n:
+                decided.append(cut_lineage(_walked(undecided)))
+            break
     out = decided[0]
     for d in decided[1:]:
         out = out.unionByName(d)

@@ -158,3 +158,20 @@ def test_only_a_missing_log_is_empty(spark):
     assert DD.read_seen_jsonl(spark, base).count() == 0
     with pytest.raises(Exception):
         DD.read_seen_jsonl(spark, "nosuchscheme://x/y").collect()
+
+
+def test_a_long_chain_takes_a_handful_of_rounds(spark, monkeypatch):
+    """10,000 rows, each sharing its url with one neighbour and its content with the other; and random rows with any bound."""
+    rounds = []
+    sizes = DD._group_sizes
+    monkeypatch.setattr(DD, "_group_sizes", lambda df: rounds.append(1) or sizes(df))
+    chain = [(i, f"u{i // 2}", f"c{(i + 1) // 2}", f"c{(i + 1) // 2}") for i in range(10_000)]
+    schema = "ord long, u string, cc string, rc string"
+    got = {r.ord: r.keep for r in DD.greedy_dedup(spark.createDataFrame(chain, schema).repartition(5)).collect()}
+    assert got == py_sequential(chain) and len(rounds) <= 3
+    r = random.Random(11)
+    rows = [(i, f"u{r.randrange(60)}", f"c{r.randrange(60)}" if r.random() < 0.9 else None, f"c{r.randrange(60)}") for i in range(200)]
+    rows = [(o, u, c, c or rc) for o, u, c, rc in rows]
+    for bound in (0, 40, 1000):
+        got = {x.ord: x.keep for x in DD.greedy_dedup(spark.createDataFrame(rows, schema), walk_rows=bound).collect()}
+        assert got == py_sequential(rows)
