@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from broadsheet.functions.dates import freshness_score, parse_loose_date
+from broadsheet.session import cut_lineage
 
 # Source-authority table, in priority order (first key found in
 # the lower-cased source or URL wins; unknown sources weigh 2).
@@ -79,3 +80,21 @@ def rolling_window(items: DataFrame, day: str, days: int = 7) -> DataFrame:
     d = F.to_date(parse_loose_date(F.col("date")))
     end = F.lit(day).cast("date")
     return items.filter(d.between(F.date_sub(end, days - 1), end))
+
+
+def position_within(df: DataFrame, group: str, order: list[str], out: str = "position") -> DataFrame:
+    """1-based position of each row in its group by ``order``, without sorting a group in one task.
+
+    Rows are dealt by ranges of (group, order), so a large group lies in
+    several tasks; each ranks its own part, and the sizes of a group's earlier
+    parts (one row a task and group) are added.  The ranges are checkpointed:
+    both steps see the same ones.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut_lineage(df.repartitionByRange(n, group, *order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(F.struct(group, "_part").alias("_key"), (F.sum("_n").over(Window.partitionBy(group).orderBy("_part")) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    ranked = parts.withColumn("_local", local).withColumn("_key", F.struct(group, "_part"))
+    out_col = (F.col("_before") + F.col("_local")).cast("long").alias(out)
+    return ranked.join(before, ranked["_key"].eqNullSafe(before["_key"])).select(*df.columns, out_col)

@@ -388,11 +388,8 @@ def q_daily_digest(spark, sf_dir):
 @query("fetch_order")
 def q_fetch_order(spark, sf_dir):
     """Library articles in fetch order within their day (position in the daily digest)."""
-    from pyspark.sql.window import Window
-
-    day = F.to_date("fetched_at")
-    rows = _library(spark, sf_dir).select(day.alias("day"), "fetched_at", "url_hash")
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("day").orderBy("fetched_at", "url_hash")))
+    rows = _library(spark, sf_dir).select(F.to_date("fetched_at").alias("day"), "fetched_at", "url_hash")
+    return R.position_within(rows, "day", ["fetched_at", "url_hash"])
 
 
 @query("library_for_date")
@@ -586,9 +583,24 @@ def q_reply_fallback(spark, sf_dir):
 
 @query("digest_integrity")
 def q_digest_integrity(spark, sf_dir):
-    """F8: integrity checks of each day's document."""
+    """F8: integrity checks of each day's document, damaged by day of the month.
+
+    Every document gets a tag index.  Of four days, the first has five search
+    summaries, the second a story without URL, the third every section twice,
+    the fourth two tag ids without a story.
+    """
     items, ranked, _ = _digest_parts(spark, sf_dir)
-    return DG.integrity(DG.digest_document(items, ranked, "day", "2024-02-01"), "day")
+    doc = DG.digest_document(items, ranked, "day", "2024-02-01")
+    kinds = {f.name: f.dataType for f in doc.schema["digest"].dataType.fields}
+    kind, d = F.dayofmonth("day") % 4, F.col("digest")
+    ids = F.transform(d["top_stories"], lambda s: s["id"])
+    index = F.when(kind == 3, F.create_map(F.lit("all"), ids, F.lit("gone"), F.array(F.lit("x"), F.lit("y")))).otherwise(F.create_map(F.lit("all"), ids))
+    five = F.array_repeat(F.lit(None).cast(kinds["search_summaries"].elementType), 5)
+    damaged = (d.withField("tag_index", index.cast(kinds["tag_index"]))
+               .withField("search_summaries", F.when(kind == 0, five).otherwise(d["search_summaries"]))
+               .withField("top_stories", F.transform(d["top_stories"], lambda s, i: F.when((kind == 1) & (i == 0), s.withField("url", F.lit(""))).otherwise(s)))
+               .withField("sections", F.when(kind == 2, F.concat(d["sections"], d["sections"])).otherwise(d["sections"])))
+    return DG.integrity(doc.withColumn("digest", damaged), "day")
 
 
 @query("trending")

@@ -50,3 +50,16 @@ def test_rolling_window(spark):
     df = spark.createDataFrame([(1, "2024-01-25"), (2, "2024-01-24"), (3, "2024-01-31"), (4, None), (5, "x")],
                                "ord long, date string")
     assert sorted(r.ord for r in R.rolling_window(df, "2024-01-31").collect()) == [1, 3]
+
+
+def test_positions_of_a_large_group(spark):
+    """One group holds two thirds of the rows and lies in several ranges; nulls are a group; no window over a whole group."""
+    rows = [(None if k % 9 == 0 else "big" if k % 3 else f"g{k % 5}", (k * 7919) % 1000, k) for k in range(900)]
+    df = spark.createDataFrame(rows, "g string, t long, k long")
+    out = R.position_within(df, "g", ["t", "k"])
+    want, held = {}, {}
+    for g, _, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        held[g] = held.get(g, 0) + 1
+        want[k] = (g, held[g])
+    assert {r.k: (r.g, r.position) for r in out.collect()} == want
+    assert df.repartitionByRange(8, "g", "t", "k").withColumn("p", F.spark_partition_id()).filter("g = 'big'").select("p").distinct().count() > 1
