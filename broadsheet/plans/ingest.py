@@ -92,7 +92,8 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
     cand = cand.withColumn("_force", F.coalesce(forced, F.lit(False)))
     keys = cand.select("ord", "url_hash", "content_hash", F.col("has_content").alias("content"), "_force")
     if seen_latest is None and seen_log is not None:
-        seen_latest = DD.seen_latest_for(seen_log, keys)
+        # resolved once, for the lookup by URL and the one by content
+        seen_latest = cut_lineage(DD.seen_latest_for(seen_log, keys).select("url_hash", "first_pos", "content_hash", "title"))
     if seen_latest is None and seen_lookup is not None:
         seen_latest = seen_lookup(keys.select("url_hash", "content_hash"))
     if seen_latest is not None:
