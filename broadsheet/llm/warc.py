@@ -23,6 +23,7 @@ no records.  Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -169,11 +170,26 @@ def members(window: Window, start: int, end: int) -> Iterator[tuple[int, bytes]]
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
-    """(header fields, payload): the payload of an HTTP response is what follows its header."""
+    """(header fields, payload): the payload of an HTTP message is what follows its header, of other records the whole block."""
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
-    block = rest[:int(fields["content-length"])]
-    return fields, block.partition(b"\r\n\r\n")[2]
+    size = fields.get("content-length", "")
+    block = rest[:int(size)] if size.isdigit() else rest.removesuffix(b"\r\n\r\n")
+    if not fields.get("content-type", "").lower().startswith("application/http"):
+        return fields, block
+    http, _, payload = block.partition(b"\r\n\r\n")
+    fields["encoded"] = "yes" if re.search(rb"(?im)^transfer-encoding:", http) else ""
+    return fields, payload
+
+
+def agrees(payload: bytes, given: str) -> bool:
+    """Whether a payload has the digest of a header (``name:`` and hex or base32); True for algorithms not known here."""
+    name, _, value = given.partition(":")
+    name = name.lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.lower() == raw.hex() or value.upper().rstrip("=") == base64.b32encode(raw).decode().rstrip("=")
 
 
 def _page(value: str | None) -> int | None:
@@ -182,7 +198,15 @@ def _page(value: str | None) -> int | None:
 
 
 def read(manifest: DataFrame, split: int = SPLIT_BYTES, payloads: bool = False) -> DataFrame:
-    """Records of the files of ``manifest``; with ``payloads`` the html too.  A digest that does not match fails the job."""
+    """Records of the files of ``manifest``; with ``payloads`` the html too.
+
+    Archives of other writers are read as well: every record has one row, of
+    whatever type; page_id and refers_to are null unless they are this
+    module's, a payload digest may be missing or of another algorithm (the
+    column always is SHA-256), and length and digest of a revisit whose
+    response is not here are null.  A digest that does not match fails the
+    job, except that of a payload in a transfer encoding.
+    """
     last = F.greatest(F.col("bytes") - 1, F.lit(0))
     ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(split).cast("long"))).alias("start"))
 
@@ -194,10 +218,15 @@ def read(manifest: DataFrame, split: int = SPLIT_BYTES, payloads: bool = False)
                 with store.open_input_file(path) as handle:
                     for pos, record in members(Window(handle, size), start, min(start + split, size)):
                         f, payload = parse(record)
-                        revisit, digest = f["warc-type"] == "revisit", f["warc-payload-digest"].removeprefix("sha256:")
-                        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"{file} at {pos}: the payload does not match its digest")
-                        row = (_page(f.get("warc-record-id")), f.get("warc-target-uri"), f["warc-type"], _page(f.get("warc-refers-to")),
+                        kind, given = f.get("warc-type", "unknown"), f.get("warc-payload-digest", "")
+                        revisit = kind == "revisit"
+                        if revisit:  # its payload is elsewhere
+                            digest = given.removeprefix("sha256:") if given.startswith("sha256:") else None
+                        else:
+                            digest = hashlib.sha256(payload).hexdigest()
+                            if given and given != f"sha256:{digest}" and not f.get("encoded") and not agrees(payload, given):
+                                raise ValueError(f"{file} at {pos}: the payload does not match its digest")
+                        row = (_page(f.get("warc-record-id")), f.get("warc-target-uri"), kind, _page(f.get("warc-refers-to")),
                                None if revisit else len(payload), digest, file, pos)
                         rows.append((*row, None if revisit else payload.decode("utf-8", "replace")) if payloads else row)
                         if len(rows) >= (200 if payloads else 5000):

@@ -76,6 +76,41 @@ def test_warc_members_are_plain_gzip_and_damage_is_reported(spark, pages):
         list(warc.members(warc.Window(io.BytesIO(bytes(bad)), len(bad)), 0, len(bad)))
 
 
+def test_warc_of_other_writers(spark):
+    """Info, request, resource and metadata records, sha1 and missing digests, chunked payloads and foreign revisits."""
+    import base64
+
+    def record(kind, block, http=False, **fields):
+        head = [f"WARC-Type: {kind}", f"Content-Length: {len(block)}", f"Content-Type: {'application/http; msgtype=x' if http else 'text/plain'}"]
+        head += [f"{k.replace('_', '-')}: {v}" for k, v in fields.items()]
+        return gzip.compress(("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+
+    page = b"<html>page</html>"
+    b32 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+    raw = [record("warcinfo", b"software: x\r\n\r\nmore"), record("request", b"GET / HTTP/1.1\r\n\r\n", True),
+           record("response", b"HTTP/1.1 200 OK\r\n\r\n" + page, True, WARC_Payload_Digest=b32(page), WARC_Record_ID="<urn:uuid:1>", WARC_Target_URI="http://x/"),
+           record("response", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nabcde", True, WARC_Payload_Digest=b32(b"abcde")),
+           record("revisit", b"HTTP/1.1 304\r\n\r\n", True, WARC_Payload_Digest=b32(page), WARC_Refers_To="<urn:uuid:1>"),
+           record("resource", page, WARC_Payload_Digest="blake9:zz"), record("metadata", b"")]
+
+    def rows(parts):
+        base = warc.archive_folder(spark)
+        store, path = warc.filesystem(base)
+        store.create_dir(path)
+        with store.open_output_stream(f"{path}/a.warc.gz", compression=None) as f:
+            f.write(b"".join(parts))
+        manifest = spark.createDataFrame([(f"{base}/a.warc.gz", sum(map(len, parts)), len(parts))], warc.MANIFEST)
+        return warc.resolved(warc.read(manifest, split=100)).orderBy("offset").collect()
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    blocks_ = [b"software: x\r\n\r\nmore", b"", page, b"5\r\nabcde", None, page, b""]
+    assert [(r["record_type"], r["payload_bytes"], r["payload_digest"], r["page_id"], r["refers_to"]) for r in rows(raw)] == [
+        (k, None if x is None else len(x), None if x is None else sha(x), None, None)
+        for k, x in zip(["warcinfo", "request", "response", "response", "revisit", "resource", "metadata"], blocks_)]
+    with pytest.raises(Exception, match="does not match"):
+        rows([record("response", b"HTTP/1.1 200 OK\r\n\r\nother", True, WARC_Payload_Digest=b32(page))])
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return segment.Vocabulary(open(segment.model_path(), "rb").read())
