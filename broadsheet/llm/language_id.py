@@ -10,7 +10,7 @@ order; the language with the shortest code wins.
 
 Counts cover all training texts.  Tasks count (language, 4 bytes) and Spark
 sums; lower orders are marginals.  ``identify`` uses all counts at any size.  A
-model of up to ``max_entries`` entries in each language is broadcast.  A larger
+model of up to ``max_entries`` numbers (grams times languages) is broadcast.  A larger
 one stays a table dealt by the two middle bytes, where all counts of a context
 of two or three bytes meet; only contexts of up to one byte are broadcast, and
 the code lengths of the most frequent grams (``max_entries`` numbers in all).
@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +37,8 @@ from broadsheet.llm.common import lookup, partitions
 from broadsheet.session import cut_lineage
 
 ORDER = 3
-MAX_ENTRIES = 1_000_000
+MAX_ENTRIES = 8_000_000
+MAX_FREQUENT = 1_000_000  # numbers of the frequent grams broadcast beside a sharded model
 FLUSH = 1_000_000
 SHARD_COSTS = 4_000_000  # code lengths a shard of a large model has, about
 
@@ -160,18 +160,12 @@ def _collected(counts: DataFrame, **orders) -> Model | None:
     return Model(langs, np.array([place[x] for x in names])[order], table.column("gram").to_numpy()[order], table.column("n").to_numpy()[order], **orders)
 
 
-def train(rows: DataFrame, max_entries: int = MAX_ENTRIES) -> Model | None:
-    """A model of rows (lang, text) to keep on the driver; None without training rows.
+def train(rows: DataFrame) -> Model | None:
+    """A model of all counts of the rows (lang, text), on the driver; None without training rows.
 
-    It has the entries of a language seen at least t times, t being the smallest
-    count that leaves at most ``max_entries`` of them; ``identify`` has them all.
+    For texts whose model fits there; ``identify`` measures that.
     """
-    counts = training_counts(rows)
-    # per language, entries by descending count; one row for each different count
-    steps = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("entries"))
-    upto = F.sum("entries").over(W.partitionBy("lang").orderBy(F.desc("n")))
-    least = steps.withColumn("upto", upto).filter(F.col("upto") <= max_entries).groupBy("lang").agg(F.min("n").alias("least"))
-    return _collected(counts.join(F.broadcast(least), "lang").filter(F.col("n") >= F.col("least")))
+    return _collected(training_counts(rows))
 
 
 def _judged(cost: np.ndarray, letter: np.ndarray, size: np.ndarray, langs: list[str]) -> list[pa.Array]:
@@ -219,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     return _unpacked(rows.mapInArrow(task, _schema(rows.schema["__doc"])), docs)
 
 
-def predict_sharded(docs: DataFrame, counts: DataFrame, max_entries: int = MAX_ENTRIES, text: str = "text") -> DataFrame:
+def predict_sharded(docs: DataFrame, counts: DataFrame, max_entries: int = MAX_FREQUENT, text: str = "text") -> DataFrame:
     """``predict`` by the model of all ``counts`` (not empty, checkpointed), which is never in one place."""
     spark = docs.sparkSession
     low = _collected(counts.groupBy("lang", F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")), top=1)
@@ -302,6 +296,10 @@ def identify(docs: DataFrame, learn: Column, max_entries: int = MAX_ENTRIES) ->
     """Train on the rows of ``docs`` where ``learn`` holds and predict all: doc_id, text-free."""
     counts = training_counts(docs.filter(learn).select("lang", "text"))
     slim = docs.select("doc_id", F.col("text").alias("__text"))
-    most = counts.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    found = predict(slim, _collected(counts), "__text") if most <= max_entries else predict_sharded(slim, counts, max_entries, "__text")
+    langs = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    entries, width = langs.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if entries * width <= max_entries:  # the model has a number for every gram in every language
+        found = predict(slim, _collected(counts), "__text")
+    else:
+        found = predict_sharded(slim, counts, min(max_entries, MAX_FREQUENT), "__text")
     return found.drop("__text")

@@ -252,8 +252,14 @@ def test_ppm_code_lengths(spark):
     for i, t in enumerate(texts):
         for k, lang in enumerate(model.langs):
             assert got[i, k] == pytest.approx(slow_bits(train[lang], t), rel=1e-5, abs=1e-4)
-    bounded = language_id.train(rows, max_entries=4)  # en has 4 grams seen twice, xx 4 in all, fr none seen twice
-    assert bounded.langs == ["en", "xx"] and bounded.code_lengths(*blocks.text_bytes(pa.array(texts))).shape == (5, 2)
+
+
+def test_many_languages_are_sharded(spark):
+    """200 languages of a few grams each: the model is over its bound as a whole, and every language is told apart."""
+    docs = spark.createDataFrame([(k, f"l{k}", f"{chr(0x4E00 + 7 * k)}{chr(0x5E00 + 5 * k)} " * 6) for k in range(200)], "doc_id long, lang string, text string")
+    whole = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, F.lit(True)).collect()}
+    split = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, F.lit(True), max_entries=20_000).collect()}
+    assert whole == split == {k: f"l{k}" for k in range(200)}
 
 
 def test_language_of_documents(edge, empty, spark):
