@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from broadsheet.operators.running import running_before
 from broadsheet.operators.skew import lookup_join
 from broadsheet.schemas import SEEN
 from broadsheet.session import cut_lineage
@@ -113,18 +114,24 @@ def _has_content(df: DataFrame, content_col: str):
     return F.coalesce(F.col(content_col), F.lit("")) != ""
 
 
-def _content_matches(batch: DataFrame, latest: DataFrame, has_content) -> DataFrame:
+def _content_matches(batch: DataFrame, latest: DataFrame, has_content, forced: DataFrame | None) -> DataFrame:
     """Narrow rows (content_hash, content_title, n): the batch's contents that history has.
 
     One row per content hash of the batch, with the number of batch rows that
     carry it, so a content that fills the batch is met once by the history.
+    With ``forced`` also ``content_end``, the order at which the last record
+    that holds the content is overwritten: (true, null) if one never is.
     """
     wanted = batch.filter(has_content).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
-    return (latest.join(wanted, "content_hash")
-            .groupBy("content_hash").agg(F.min_by("title", "first_pos").alias("content_title"), F.first("n").alias("n")))
+    found = latest.join(wanted, "content_hash")
+    aggs = [F.min_by("title", "first_pos").alias("content_title"), F.first("n").alias("n")]
+    if forced is not None:
+        found = found.join(forced.groupBy("url_hash").agg(F.min("ord").alias("end")), "url_hash", "left")
+        aggs.append(F.max(F.struct(F.col("end").isNull().alias("never"), "end")).alias("content_end"))
+    return found.groupBy("content_hash").agg(*aggs)
 
 
-def _with_matches(batch: DataFrame, latest: DataFrame, content_col: str) -> DataFrame:
+def _with_matches(batch: DataFrame, latest: DataFrame, content_col: str, forced: DataFrame | None = None) -> DataFrame:
     """``batch`` plus ``url_title`` and ``content_title``: titles of the history records it collides with.
 
     Both joins split hot keys: a content hash or URL repeated in the batch is
@@ -135,8 +142,9 @@ def _with_matches(batch: DataFrame, latest: DataFrame, content_col: str) -> Data
     has_content = _has_content(batch, content_col)
     urls = batch.groupBy("url_hash").agg(F.count(F.lit(1)).alias("n"))
     by_url = cut_lineage(latest.select("url_hash", F.struct("title").alias("url_seen")).join(urls, "url_hash"))
-    by_content = cut_lineage(_content_matches(batch, latest, has_content)
-                             .select("content_hash", F.struct("content_title").alias("content_seen"), "n"))
+    matches = _content_matches(batch, latest, has_content, forced)
+    seen = [c for c in matches.columns if c not in ("content_hash", "n")]
+    by_content = cut_lineage(matches.select("content_hash", F.struct(*seen).alias("content_seen"), "n"))
     total = batch.count()
     j = lookup_join(batch, by_url, "url_hash", "n", "left", total=total)
     j = lookup_join(j, by_content, "content_hash", "n", "left", total=total)
@@ -159,10 +167,19 @@ def duplicate_lookup(batch: DataFrame, latest: DataFrame, content_col: str = "co
             .drop("url_seen", "content_seen"))
 
 
-def drop_seen(batch: DataFrame, latest: DataFrame, content_col: str = "content") -> DataFrame:
-    """Rows whose URL and (non-empty) content are both unseen (one pass, hot keys split)."""
-    j = _with_matches(batch, latest, content_col)
-    return j.filter(F.col("url_seen").isNull() & F.col("content_seen").isNull()).drop("url_seen", "content_seen")
+def drop_seen(batch: DataFrame, latest: DataFrame, content_col: str = "content", forced: DataFrame | None = None) -> DataFrame:
+    """Rows whose URL and (non-empty) content are both unseen (one pass, hot keys split).
+
+    ``forced`` (url_hash, ord): rows admitted in the same run by force.  From
+    their place on, the record of their URL is another one, and its old content
+    is forgotten unless a record of another URL holds it.
+    """
+    j = _with_matches(batch, latest, content_col, forced)
+    held = F.col("content_seen").isNotNull()
+    if forced is not None:
+        end = F.col("content_seen.content_end")
+        held = held & (end["never"] | (end["end"] > F.col("ord")))
+    return j.filter(F.col("url_seen").isNull() & ~held).drop("url_seen", "content_seen")
 
 
 # ---------------------------------------------------------------------- D8
@@ -175,37 +192,87 @@ def _group_sizes(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
     return su, sc
 
 
-def _block(undecided: DataFrame, kept: DataFrame, su: DataFrame, sc: DataFrame, n: int | None = None) -> DataFrame:
+def _with_ends(base: DataFrame) -> DataFrame:
+    """``base`` plus ``until``: the order of the next forced row of the same url, null if none follows.
+
+    There the record that the row leaves, if it is accepted, is overwritten.
+    """
+    stats = (base.groupBy("u").agg(F.max(F.when(F.col("force"), F.col("ord"))).alias("last"), F.count(F.lit(1)).alias("n"))
+             .filter(F.col("last").isNotNull()))
+    marked = lookup_join(base, cut_lineage(stats), "u", "n", "left")
+    open_ = F.coalesce(F.col("ord") <= F.col("last"), F.lit(False))  # the last one itself ends others
+    scan = marked.filter(open_).drop("last").withColumn("at", F.when(F.col("force"), F.col("ord")))
+    ended = running_before(scan, "u", F.col("ord").desc(), "at", F.min, F.least, "until").drop("at")
+    endless = marked.filter(~open_).select(*base.columns, F.lit(None).cast(base.schema["ord"].dataType).alias("until"))
+    return cut_lineage(ended.unionByName(endless))
+
+
+def _held(rows: DataFrame, records: DataFrame, sc: DataFrame, n: int | None) -> DataFrame:
+    """``rows`` plus ``held``: a record that ends (rc, ord, until) has the row's content at its place."""
+    first = records.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("start")).join(sc.select("cc", "nc"), "cc")
+    marked = cut_lineage(lookup_join(rows, first, "cc", "nc", "left", total=n))
+    after = F.coalesce(F.col("ord") > F.col("start"), F.lit(False))
+    no_end = F.lit(None).cast(rows.schema["ord"].dataType)
+    scan = (marked.filter(after).drop("start").withColumn("row", F.lit(True)).withColumn("end", no_end)
+            .unionByName(records.select(F.col("rc").alias("cc"), "ord", F.col("until").alias("end"), F.lit(False).alias("row")),
+                         allowMissingColumns=True))
+    scan = running_before(scan, "cc", F.col("ord").asc(), "end", F.max, F.greatest, "latest").filter("row")
+    return (scan.select(*rows.columns, F.coalesce(F.col("latest") > F.col("ord"), F.lit(False)).alias("held"))
+            .unionByName(marked.filter(~after).select(*rows.columns, F.lit(False).alias("held"))))
+
+
+def _block(undecided: DataFrame, kept: DataFrame, su: DataFrame, sc: DataFrame, n: int | None = None, ends: bool = False) -> DataFrame:
     """Drop undecided rows that a kept row (earlier in ord) shares a key with.
 
     The kept rows' minima are joined to the group sizes (one row per key on
     both sides), then looked up by the undecided rows with hot keys broadcast.
+    With ``ends`` a kept row holds its content only until its ``until``.
     """
     bu = kept.groupBy("u").agg(F.min("ord").alias("bu")).join(su.select("u", "nu"), "u")
-    bc = (kept.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("bc"))
+    lasting = kept.filter(F.col("until").isNull()) if ends else kept
+    bc = (lasting.groupBy(F.col("rc").alias("cc")).agg(F.min("ord").alias("bc"))
           .join(sc.select("cc", "nc"), "cc"))
     j = lookup_join(undecided, bu, "u", "nu", "left", total=n)
     j = lookup_join(j, bc, "cc", "nc", "left", total=n)
     blocked = (F.coalesce(F.col("ord") > F.col("bu"), F.lit(False))
                | F.coalesce(F.col("ord") > F.col("bc"), F.lit(False)))
-    return j.filter(~blocked).drop("bu", "bc")
+    left = j.filter(~blocked).drop("bu", "bc")
+    if ends:
+        ending = kept.filter(F.col("until").isNotNull())
+        if not ending.isEmpty():
+            left = _held(left, ending, sc, n).filter(~F.col("held")).drop("held")
+    return left
 
 
-# Undecided rows (three keys each) that one task may walk: a few dozen megabytes.
+# Undecided rows (a few keys each) that one task may walk: a few dozen megabytes.
 WALK_ROWS = 100_000
 
 
+def _comparable(v):
+    """A value of an order column such that Python compares it as Spark does (nulls first)."""
+    if isinstance(v, dict):
+        v = tuple(_comparable(x) for x in v.values())
+    return (v is not None, v)
+
+
 def _walked(undecided: DataFrame) -> DataFrame:
     """``(ord, keep)`` of a bounded rest of undecided rows, walked in order by one task."""
+    ends = "until" in undecided.columns
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        urls, contents = set(), set()
+        urls, contents = set(), {}  # content -> the end of the record that holds it longest
+        never = (True, ())  # after every (False, place)
         for b in batches:
             keep = []
-            for u, cc, rc in zip(*(b.column(c).to_pylist() for c in ("u", "cc", "rc"))):
-                ok = u not in urls and (cc is None or cc not in contents)
+            places = b.column("ord").to_pylist() if ends else [None] * b.num_rows
+            untils = b.column("until").to_pylist() if ends else places
+            for u, cc, rc, place, until in zip(*(b.column(c).to_pylist() for c in ("u", "cc", "rc")), places, untils):
+                held = cc is not None and cc in contents and contents[cc] > (False, _comparable(place))
+                ok = u not in urls and not held
                 if ok:
                     urls.add(u)
-                    contents.add(rc)
+                    end = never if until is None else (False, _comparable(until))
+                    contents[rc] = max(end, contents.get(rc, end))
                 keep.append(ok)
             yield pa.RecordBatch.from_arrays([b.column("ord"), pa.array(keep, pa.bool_())], ["ord", "keep"])
 
@@ -219,16 +286,23 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, walk_rows: int =
     Input columns: ``ord`` (unique order, any orderable type), ``u`` (url hash),
     ``cc`` (content hash to check, NULL when the row has no content) and ``rc``
     (content hash the row records when accepted); optional boolean
-    ``force_col`` rows are admitted regardless and still record their keys.
-    Output: ``ord, keep``.  A repeated ``ord`` has no defined order and is
-    refused.
+    ``force_col`` rows are admitted regardless and record their keys (null:
+    not forced).  Output: ``ord, keep``.  A repeated ``ord`` has no defined
+    order and is refused.
 
     Semantics: walking rows by ``ord``, a row is accepted unless an earlier
-    *accepted* row has its url hash or recorded its content hash; rejected
-    rows record nothing.  Each round keeps the undecided rows that are first
+    *accepted* row has its url hash, or the latest record of some url holds its
+    content hash; rejected rows record nothing.  A url gets a second record by
+    a forced row only, and then the content of the first is forgotten.  Forced
+    rows are known from the start, so every row's record, should it be
+    accepted, is held over a known interval: from its place to the next forced
+    row of its url.
+
+    Each round keeps the undecided rows that are first
     in both of their key groups (they are accepted sequentially: everything
     before them that could block them is decided), then drops undecided rows
-    that share a key with a newly kept, earlier row.  The global first
+    that share a key with a newly kept, earlier row whose record still stands.
+    The global first
     undecided row is always kept, so every round makes progress; typical
     data settles in 2-5 rounds.  Once a round leaves no more than ``walk_rows``
     undecided rows, one task walks this rest in order, so a chain of rows that
@@ -237,26 +311,30 @@ def greedy_dedup(rows: DataFrame, force_col: str | None = None, walk_rows: int =
     state is checkpointed to the reliable checkpoint folder (lineage stays short and a
     lost executor only re-runs the current round).
     """
-    base = cut_lineage(rows.select("ord", "u", "cc", "rc",
-                                   (F.col(force_col) if force_col else F.lit(False)).alias("force")))
+    force = F.coalesce(F.col(force_col), F.lit(False)) if force_col else F.lit(False)
+    base = cut_lineage(rows.select("ord", "u", "cc", "rc", force.alias("force")))
     if not base.groupBy("ord").count().filter("count > 1").isEmpty():
         raise ValueError("dedup rows repeat an ord")
-    forced = base.filter("force").select("ord", "u", "rc")
-    undecided = base.filter(~F.col("force")).select("ord", "u", "cc", "rc")
+    ends = force_col is not None and not base.filter("force").isEmpty()
+    keys = ["ord", "u", "cc", "rc"] + ["until"] * ends
+    if ends:
+        base = _with_ends(base)
+    forced = base.filter("force").select(*[c for c in keys if c != "cc"])
+    undecided = base.filter(~F.col("force")).select(*keys)
     decided = [forced.select("ord", F.lit(True).alias("keep"))]
-    if force_col:
+    if ends:
         su0, sc0 = _group_sizes(undecided.unionByName(forced.withColumn("cc", F.col("rc"))))
-        undecided = _block(undecided, forced, su0, sc0)
+        undecided = _block(undecided, forced, su0, sc0, ends=True)
     undecided = cut_lineage(undecided)
     while n := undecided.count():
         su, sc = _group_sizes(undecided)
         x = lookup_join(undecided, su, "u", "nu", "inner", total=n)
         x = lookup_join(x, sc, "cc", "nc", "left", total=n)
-        keep = (F.col("ord") == F.col("mu")) & (F.col("cc").isNull() | (F.col("ord") == F.col("mc")))
+        keep = (F.col("ord") == F.col("mu")) & (F.col("cc").isNull() | F.col("mc").isNull() | (F.col("ord") <= F.col("mc")))
         x = cut_lineage(x.withColumn("k", keep).drop("mu", "mc"))
-        kept = x.filter("k").select("ord", "u", "rc")
+        kept = x.filter("k").select(*[c for c in keys if c != "cc"])
         decided.append(kept.select("ord", F.lit(True).alias("keep")))
-        undecided = cut_lineage(_block(x.filter(~F.col("k")).select("ord", "u", "cc", "rc"), kept, su, sc, n))
+        undecided = cut_lineage(_block(x.filter(~F.col("k")).select(*keys), kept, su, sc, n, ends))
         n = undecided.count()
         if n <= walk_rows:
             if n:

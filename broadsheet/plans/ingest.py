@@ -97,10 +97,11 @@ def ingest_batch(expanded: DataFrame, pages: DataFrame, seen_latest: DataFrame |
     if seen_latest is None and seen_lookup is not None:
         seen_latest = seen_lookup(keys.select("url_hash", "content_hash"))
     if seen_latest is not None:
-        unseen = DD.drop_seen(keys.filter(~F.col("_force")), seen_latest).unionByName(keys.filter("_force"))
+        again = keys.filter("_force")
+        unseen = DD.drop_seen(keys.filter(~F.col("_force")), seen_latest, forced=again if force_col else None).unionByName(again)
     else:
         unseen = keys
-    verdict = DD.greedy_dedup(DD.dedup_keys(unseen, extra=("_force",)), force_col="_force")
+    verdict = DD.greedy_dedup(DD.dedup_keys(unseen, extra=("_force",)), force_col="_force" if force_col else None)
     ts = F.lit(fetched_at).cast("timestamp_ntz")
     out = (rows.join(verdict, "ord", "left")
            .withColumn("fetched_at", ts)

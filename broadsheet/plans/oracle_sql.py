@@ -111,7 +111,8 @@ oracle("force_ingest", "WITH RECURSIVE " + ",\n".join([
     "FROM batch b LEFT JOIN latest l ON l.url_hash = b.url_hash)",
     "keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(content, '') <> '' THEN content_hash END AS cc, "
     "content_hash AS rc, forced FROM b)",
-    Q.walk_ctes("keys", "(SELECT list(url_hash) FROM latest)", "(SELECT list(content_hash) FROM latest)")]) + """
+    Q.walk_ctes("keys", "(SELECT list(url_hash ORDER BY url_hash) FROM latest)",
+                "(SELECT list(content_hash ORDER BY url_hash) FROM latest)")]) + """
 SELECT b.ord, b.forced, w.keep FROM b JOIN walk w ON w.ord = b.ord""")
 
 oracle("event_merge", _with(Q.ART, KEYED) + f""",
@@ -315,7 +316,8 @@ def _ingest_sql(history: bool) -> str:
     log = f"""hx AS (SELECT ord, url, html FROM pg WHERE {'ord % 7 = 0' if history else 'false'}),
 {Q.extract_cte('hx', 'hex')},
 hist AS (SELECT ord, title, sha256(u_norm) AS url_hash, {Q.content_hash('text')} AS content_hash
-         FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM hex))"""
+         FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM hex)),
+latest AS (SELECT url_hash, arg_max(content_hash, ord) AS content_hash FROM hist GROUP BY url_hash)"""
     forced = "source_ord >= 1000000000 AND source_ord % 11 = 0" if history else "false"
     sql = _with(Q.PG, FEEDS, log) + f""",
 typed AS (SELECT *, row_number() OVER (ORDER BY source_ord, pos) AS ord FROM exp),
@@ -326,7 +328,8 @@ k2 AS (SELECT ord, source_ord, pos, url, title, text, word_count, sha256(u_norm)
        FROM (SELECT *, {", ".join(Q.url_steps('url', 'u'))} FROM rows)),
 keys AS (SELECT ord, url_hash AS u, CASE WHEN coalesce(text, '') <> '' THEN content_hash END AS cc,
                 content_hash AS rc, {forced} AS forced FROM k2 WHERE text IS NOT NULL AND word_count >= 50),
-{Q.walk_ctes('keys', "coalesce((SELECT list(url_hash) FROM hist), []::VARCHAR[])", "coalesce((SELECT list(content_hash) FROM hist), []::VARCHAR[])")},
+{Q.walk_ctes('keys', "coalesce((SELECT list(url_hash ORDER BY url_hash) FROM latest), []::VARCHAR[])",
+             "coalesce((SELECT list(content_hash ORDER BY url_hash) FROM latest), []::VARCHAR[])")},
 outc AS (
   SELECT r.source_ord, r.pos, r.url, coalesce(w.keep, false) AS success,
          (r.text IS NOT NULL AND r.word_count >= 50 AND NOT coalesce(w.keep, false)) AS skipped,

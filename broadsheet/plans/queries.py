@@ -208,15 +208,16 @@ def q_greedy_dedup(spark, sf_dir):
 @query("force_ingest")
 def q_force_ingest(spark, sf_dir):
     """Refresh run over new articles; rows whose URL is in history but whose
-    content changed are forced (admitted and recorded), the rest go through
-    the history check (D7) and the in-batch dedup (D8)."""
+    content changed are forced (admitted and recorded, the old content is
+    forgotten from there on), the rest go through the history check (D7) and
+    the in-batch dedup (D8)."""
     keyed = _keys(spark, sf_dir)
     _, batch = S.history_split(keyed)
     latest = _history_latest(keyed)
     b = (batch.select("ord", "url_hash", "content_hash", "content")
          .join(latest.select("url_hash", F.col("content_hash").alias("seen_content")), "url_hash", "left")
          .withColumn("forced", F.coalesce(F.col("seen_content") != F.col("content_hash"), F.lit(False))))
-    unseen = DD.drop_seen(b.filter(~F.col("forced")), latest)
+    unseen = DD.drop_seen(b.filter(~F.col("forced")), latest, forced=b.filter("forced"))
     cand = unseen.unionByName(b.filter("forced"))
     verdict = DD.greedy_dedup(DD.dedup_keys(cand, extra=("forced",)), force_col="forced")
     return (b.select("ord", "forced").join(verdict, "ord", "left")

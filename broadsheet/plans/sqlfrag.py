@@ -194,8 +194,9 @@ def latest_cte(recs: str, name: str) -> str:
 def walk_ctes(keys: str, su0: str = "[]::VARCHAR[]", sc0: str = "[]::VARCHAR[]") -> str:
     """Sequential first-wins walk over ``keys(ord, u, cc, rc, forced)`` -> ``walk(i, ord, keep)``.
 
-    One recursion step per row in ord order, carrying the accepted url and
-    content hashes: the literal statement of the rule, independent of rounds.
+    One recursion step per row in ord order, carrying the urls on record and,
+    at the same places, the content hash of each one's latest record: the
+    literal statement of the rule, independent of rounds.
     """
     ok = "(k.forced OR NOT (list_contains(w.su, k.u) OR (k.cc IS NOT NULL AND list_contains(w.sc, k.cc))))"
     return f"""kk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ord) AS i, ord, u, cc, rc, forced FROM {keys}),
@@ -203,8 +204,11 @@ walk AS (
   SELECT 0::BIGINT AS i, NULL::BIGINT AS ord, NULL::BOOLEAN AS keep, {su0} AS su, {sc0} AS sc
   UNION ALL
   SELECT k.i, k.ord, {ok},
-         CASE WHEN {ok} THEN list_append(w.su, k.u) ELSE w.su END,
-         CASE WHEN {ok} THEN list_append(w.sc, k.rc) ELSE w.sc END
+         CASE WHEN {ok} AND NOT list_contains(w.su, k.u) THEN list_append(w.su, k.u) ELSE w.su END,
+         CASE WHEN NOT {ok} THEN w.sc
+              WHEN list_contains(w.su, k.u) THEN
+                w.sc[:list_position(w.su, k.u) - 1] || [k.rc] || w.sc[list_position(w.su, k.u) + 1:]
+              ELSE list_append(w.sc, k.rc) END
   FROM walk w JOIN kk k ON k.i = w.i + 1)"""
 
 

@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from broadsheet.operators import dedup as DD
 
 
-def py_sequential(rows, forced=frozenset()):
-    su, sc, keep = set(), set(), {}
+def py_sequential(rows, forced=frozenset(), history=()):
+    record, keep = dict(history), {}                # url -> content of its latest record
     for o, u, cc, rc in sorted(rows):
-        ok = o in forced or not (u in su or (cc is not None and cc in sc))
-        keep[o] = ok
-        if ok:
-            su.add(u)
-            sc.add(rc)
+        keep[o] = o in forced or not (u in record or (cc is not None and cc in record.values()))
+        if keep[o]:
+            record[u] = rc
     return keep
 
 
@@ -175,3 +173,48 @@ def test_a_long_chain_takes_a_handful_of_rounds(spark, monkeypatch):
     for bound in (0, 40, 1000):
         got = {x.ord: x.keep for x in DD.greedy_dedup(spark.createDataFrame(rows, schema), walk_rows=bound).collect()}
         assert got == py_sequential(rows)
+
+
+def test_a_forced_row_forgets_the_old_content(spark):
+    rows = [(1, "u1", "c1", "c1"), (2, "u2", "c1", "c1"), (3, "u1", "c2", "c2"), (4, "u3", "c1", "c1"),
+            (5, "u4", "c2", "c2"), (6, "u1", "c1", "c1"), (7, "u5", "c2", "c2"), (8, "u6", "c1", "c1")]
+    want = {1: True, 2: False, 3: True, 4: True, 5: False, 6: True, 7: True, 8: False}
+    assert py_sequential(rows, {3, 6}) == want
+    assert run(spark, rows, frozenset({3, 6})) == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_forced_overwrites_with_history_match_the_walk(spark, monkeypatch, seed):
+    """A hot url and a hot content, a third of the rows forced, records of the history overwritten; by rounds only and by the walk."""
+    import broadsheet.operators.skew as SK
+    monkeypatch.setattr(SK, "MAX_HOT_KEYS", 4)
+    rnd = random.Random(seed)
+    pick = lambda kind, n: f"{kind}hot" if rnd.random() < 0.2 else f"{kind}{rnd.randrange(n)}"
+    rows = []
+    for i in range(150):
+        c = pick("c", 30)
+        rows.append(((i // 40, i % 40), pick("u", 60), None if rnd.random() < 0.05 else c, c))
+    forced = frozenset(o for o, *_ in rows if rnd.random() < 0.3)
+    history = {pick("u", 60): pick("c", 30) for _ in range(25)}
+    want = py_sequential(rows, forced, history.items())
+    assert any(want[o] for o, u, cc, _ in rows if o not in forced and cc in history.values())  # something was forgotten
+    latest = spark.createDataFrame([(u, c, n, "t") for n, (u, c) in enumerate(history.items())],
+                                   "url_hash string, content_hash string, first_pos long, title string")
+    batch = spark.createDataFrame([(o, u, rc, cc is not None, o in forced) for o, u, cc, rc in rows],
+                                  "ord struct<a:long,b:long>, url_hash string, content_hash string, content boolean, f boolean")
+    unseen = DD.drop_seen(batch.filter("not f"), latest, forced=batch.filter("f")).unionByName(batch.filter("f"))
+    keys = DD.dedup_keys(unseen, extra=("f",)).persist()
+    for bound in (10, 1000):
+        got = {tuple(r.ord): r.keep for r in DD.greedy_dedup(keys, force_col="f", walk_rows=bound).collect()}
+        assert {o: got.get(o, False) for o in want} == want
+
+
+def test_running_before(spark):
+    from broadsheet.operators.running import running_before
+    rnd = random.Random(5)
+    rows = [(None if i % 50 == 0 else "hot" if i % 3 else f"k{i % 7}", i, rnd.randrange(1000) if i % 4 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, o long, v long").repartition(4)
+    got = {r.o: r.m for r in running_before(df, "k", F.col("o").asc(), "v", F.max, F.greatest, "m").collect()}
+    for k, o, _ in rows:
+        before = [v for k2, o2, v in rows if k2 == k and o2 < o and v is not None]
+        assert got[o] == (max(before) if before else None)
