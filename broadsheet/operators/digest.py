@@ -303,3 +303,31 @@ def trending(mentions: DataFrame, entity: str = "entity", source: str = "source"
     pairs = mentions.select(entity, source).distinct()
     return (pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("n_sources"))
             .filter(F.col("n_sources") >= min_sources))
+
+
+def trending_daily(mentions: DataFrame, entity: str = "entity", source: str = "source", day: str = "day",
+                   days: int = 7, min_sources: int = 3) -> DataFrame:
+    """E7 over C8 for every day: ``(day, entity, n_sources)`` of the ``days`` days that end on it.
+
+    One pass, without repeating a mention for each window it is in.  A day on
+    which a source mentions an entity covers the windows ending on that day and
+    up to ``days - 1`` days later, cut at the source's next mention; so a
+    window counts a source once.  The count of an entity changes where such a
+    stretch starts or ends, and a running sum over these changes gives it for
+    all days, those after the last mention included.
+
+    Mentions collapse map-side to one row per (entity, source, day); no window
+    holds more rows than the calendar has days, however common an entity or a
+    source.  Undated mentions are in no window; a null source is one source.
+    """
+    d = mentions.select(F.col(entity).alias("entity"), F.col(source).alias("source"), F.col(day).cast("date").alias("day"))
+    seen = d.filter(F.col("day").isNotNull()).distinct()
+    after = F.lead("day").over(Window.partitionBy("entity", "source").orderBy("day"))
+    stretch = seen.select("entity", "day", F.least(F.date_add("day", days), after).alias("end"))
+    edges = stretch.select("entity", F.inline(F.array(F.struct(F.col("day").alias("day"), F.lit(1).alias("by")),
+                                                      F.struct(F.col("end").alias("day"), F.lit(-1).alias("by")))))
+    changes = edges.groupBy("entity", "day").agg(F.sum("by").alias("by"))
+    of = Window.partitionBy("entity").orderBy("day")
+    level = changes.select("entity", "day", F.sum("by").over(of).alias("n_sources"), F.lead("day").over(of).alias("next"))
+    return (level.filter(F.col("n_sources") >= min_sources)
+            .select(F.explode(F.sequence("day", F.date_sub("next", 1))).alias("day"), "entity", "n_sources"))

@@ -256,6 +256,12 @@ w AS (SELECT * FROM (SELECT *, {_sel(Q.date_steps('date', 'dt'))} FROM art)
       WHERE CAST(dt_ts AS DATE) BETWEEN DATE '2024-01-25' AND DATE '2024-01-31'),
 pairs AS (SELECT DISTINCT unnest(tags) AS entity, source FROM w)
 SELECT entity, count(*) AS n_sources FROM pairs GROUP BY entity HAVING count(*) >= 3""".replace("\n,\nw AS", ",\nw AS"))
+oracle("trending_daily", _with(Q.ART) + f""",
+w AS (SELECT *, CAST(dt_ts AS DATE) AS d FROM (SELECT *, {_sel(Q.date_steps('date', 'dt'))} FROM art) WHERE dt_ts IS NOT NULL),
+mentions AS (SELECT unnest(tags) AS entity, source, d FROM w),
+days AS (SELECT CAST(unnest(generate_series((SELECT min(d) FROM w), (SELECT max(d) + 6 FROM w), INTERVAL 1 DAY)) AS DATE) AS day),
+pairs AS (SELECT DISTINCT y.day, m.entity, m.source FROM days y JOIN mentions m ON m.d BETWEEN y.day - 6 AND y.day)
+SELECT day, entity, count(*) AS n_sources FROM pairs GROUP BY day, entity HAVING count(*) >= 3""".replace("\n,\nw AS", ",\nw AS"))
 oracle("window7", _with(Q.ART) + f"""
 SELECT ord, date FROM (SELECT ord, date, {_sel(Q.date_steps('date', 'dt'))} FROM art)
 WHERE CAST(dt_ts AS DATE) BETWEEN DATE '2024-01-25' AND DATE '2024-01-31'""")

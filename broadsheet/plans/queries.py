@@ -612,6 +612,14 @@ def q_trending(spark, sf_dir):
     return DG.trending(m)
 
 
+@query("trending_daily")
+def q_trending_daily(spark, sf_dir):
+    """E7 with C8 for every day: tags carried by articles of at least 3 distinct sources in the 7 days ending on it."""
+    a = S.articles(spark, sf_dir).withColumn("day", F.to_date(D.parse_loose_date(F.col("date"))))
+    m = a.select(F.explode("tags").alias("entity"), "source", "day")
+    return DG.trending_daily(m)
+
+
 @query("window7")
 def q_window7(spark, sf_dir):
     """Articles dated inside the 7 days ending on the as-of day."""

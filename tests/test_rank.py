@@ -63,3 +63,31 @@ def test_positions_of_a_large_group(spark):
         want[k] = (g, held[g])
     assert {r.k: (r.g, r.position) for r in out.collect()} == want
     assert df.repartitionByRange(8, "g", "t", "k").withColumn("p", F.spark_partition_id()).filter("g = 'big'").select("p").distinct().count() > 1
+
+
+def test_trending_daily_equals_each_window(spark):
+    """Every window against the plain definition: gaps, a hot entity, repeated mentions, null sources, undated rows."""
+    import datetime
+    import random
+
+    from broadsheet.operators.digest import trending, trending_daily
+    rnd = random.Random(2)
+    start = datetime.date(2024, 2, 20)
+    rows = [("hot" if rnd.random() < 0.4 else f"e{rnd.randrange(6)}", None if rnd.random() < 0.1 else f"s{rnd.randrange(8)}",
+             None if rnd.random() < 0.05 else start + datetime.timedelta(rnd.choice((0, 1, 2, 3, 9, 15, 16, 40)))) for _ in range(160)]
+    rows += rows[:20] + [(None, f"s{i}", start) for i in range(3)]
+    df = spark.createDataFrame(rows, "entity string, source string, day date")
+    got = sorted((str(r.day), str(r.entity), r.n_sources) for r in trending_daily(df).collect())
+    want = []
+    for k in range(-8, 60):
+        day = start + datetime.timedelta(k)
+        per = {}
+        for e, s, d in rows:
+            if d is not None and day - datetime.timedelta(6) <= d <= day:
+                per.setdefault(e, set()).add(s)
+        want += [(str(day), str(e), len(s)) for e, s in per.items() if len(s) >= 3]
+    assert got == sorted(want) and len(got) > 40
+    day = start + datetime.timedelta(9)
+    one = df.filter((df.day > day - datetime.timedelta(7)) & (df.day <= day))
+    assert sorted((str(r.entity), r.n_sources) for r in trending(one).collect()) == [(e, n) for d, e, n in got if d == str(day)]
+    assert trending_daily(df.limit(0)).count() == 0
