@@ -366,7 +366,8 @@ def routed(dealt: DataFrame, buckets: int, window: int, gram: int, hot: int) ->
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, texts: bool = False, hot: int = HOT) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) per row of ``docs``; with ``texts`` also ``kept``, the words left."""
     dealt, buckets = _dealt(docs)
-    segments = routed(dealt, buckets, window, gram, hot)
+    # as many tasks as buckets: a task holds about one shard at any size of the corpus
+    segments = routed(dealt, buckets, window, gram, hot).repartition(buckets, "shard")
     ranges = segments.groupBy("shard").applyInArrow(_search(window), "bucket int, doc_id long, version long, begin long, end long")
     schema = "doc_id long, n_words long, n_removed long, " + "kept string, " * texts + "kept_sha256 string"
     return ranges.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInArrow(_finish(texts), schema)
