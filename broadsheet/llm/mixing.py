@@ -30,6 +30,7 @@ from broadsheet.session import cut_lineage
 BINS = 4096
 STEPS = 60
 TOLERANCE = 1e-9
+FAR = 1e-4  # relative distance from a target that counts as not met
 
 
 def _u() -> Column:
@@ -73,12 +74,17 @@ def solve(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """targets plus ``lam``: Newton steps on the dual over counts (skey, size, cnt).
 
     Sources at a bound (target 0 or cap times their size) need no multiplier.
+    Targets that the steps do not come near are an error.
     """
     inner = (F.col("target") > 0) & (F.col("target") < F.col("source_size") * F.lit(float(cap)) * (1 - 1e-12))
-    state = targets.withColumn("lam", F.when(inner, F.lit(0.0)))
+    lengths = counts.groupBy("skey").agg(F.count(F.lit(1)).alias("n_sizes"))
+    state = cut_lineage(targets.join(lengths, "skey").withColumn("lam", F.when(inner, F.lit(0.0))))
+    counts, total = counts.filter("size > 0"), counts.count()
+    worst = None
     # Flat rate is cap / 2, so lambda = 0 meets a target of cap / 2 times the source.
     for _ in range(STEPS):
-        joined = counts.join(state.filter("lam is not null"), "skey").filter("size > 0")
+        # a source of a third of all sizes is met by broadcast, and its sizes stay spread
+        joined = lookup(counts, state, "skey", "n_sizes", F.xxhash64("size"), total).filter("lam is not null")
         z = F.col("size") / (F.col("source_size") / F.col("n_docs"))
         r = _rate(F.col("lam"), z, cap)
         tokens = F.col("cnt") * F.col("size")
@@ -91,30 +97,48 @@ def solve(counts: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
         state = moved.drop("g", "h", "off")
         if worst is None or worst < TOLERANCE:
             break
-    return state.withColumn("lam", F.round("lam", 9))
+    if worst is not None and worst > FAR:
+        raise ArithmeticError(f"a source is still {worst:.2%} off its target after {STEPS} Newton steps")
+    return state.withColumn("lam", F.round("lam", 9)).drop("n_sizes")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, rate, source) per row of ``docs``."""
-    rows = sizes(docs)
+def _keyed(rows: DataFrame) -> DataFrame:
     # null last in code point order: '1' + source before '2'
-    rows = rows.withColumn("skey", F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2")))
-    counts = cut_lineage(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("cnt")))
-    per_source = source_targets(rows.select("skey", "size"), list(weights), share, cap)
-    state = cut_lineage(solve(counts, per_source, cap))
-    every = lookup(rows, state, "skey", "n_docs", F.xxhash64("doc_id", "u"))
+    return rows.withColumn("skey", F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("2")))
+
+
+def _rated(rows: DataFrame, cap: int) -> DataFrame:
+    """``rows`` (size, u and their source's numbers) plus rate, whole, open and at."""
     z = F.col("size") / (F.col("source_size") / F.col("n_docs"))
     rate = F.when(F.col("lam").isNotNull(), _rate(F.col("lam"), z, cap)).otherwise(
         F.when(F.col("target") > 0, F.lit(float(cap))).otherwise(0.0))
-    every = every.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor("rate"))
+    rows = rows.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0)).withColumn("whole", F.floor("rate"))
     # order of taking one copy more: small u against a large fraction first; in [0, 1)
-    every = every.withColumn("at", (F.col("u") - (F.col("rate") - F.col("whole")) + 1) / 2)
-    every = cut_lineage(every.withColumn("open", (F.col("rate") > F.col("whole")) & (F.col("size") > 0)))
+    rows = rows.withColumn("at", (F.col("u") - (F.col("rate") - F.col("whole")) + 1) / 2)
+    return rows.withColumn("open", (F.col("rate") > F.col("whole")) & (F.col("size") > 0))
+
+
+def _copies(cap: int) -> Column:
+    return F.least(F.lit(cap), F.col("whole") + F.when(F.col("open") & (F.col("at") < F.col("cut")), 1).otherwise(0)).cast("long")
+
+
+def _balanced(docs: DataFrame, weights: tuple[float, ...], share: float, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rated rows of ``docs``, the numbers of each source, and (skey, n_rows, cut)."""
+    rows = _keyed(sizes(docs))
+    counts = cut_lineage(rows.groupBy("skey", "size").agg(F.count(F.lit(1)).alias("cnt")))
+    per_source = source_targets(rows.select("skey", "size"), list(weights), share, cap)
+    state = cut_lineage(solve(counts, per_source, cap))
+    every = cut_lineage(_rated(lookup(rows, state, "skey", "n_docs", F.xxhash64("doc_id", "u")), cap))
     owed = every.groupBy("skey").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("owed"), F.count(F.lit(1)).alias("n_rows"))
     cut = _cut(every.filter("open").select("skey", "size", "at", F.xxhash64("doc_id", "u").alias("spread")), cut_lineage(owed))
-    out = lookup(every, cut_lineage(cut), "skey", "n_rows", F.xxhash64("doc_id", "u"))
-    copies = F.least(F.lit(cap), F.col("whole") + F.when(F.col("open") & (F.col("at") < F.col("cut")), 1).otherwise(0)).cast("long")
-    return out.withColumn("copies", copies).select(
+    return every, state, cut_lineage(cut)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, copies, rate, source) per row of ``docs``."""
+    every, _, cut = _balanced(docs, weights, share, cap)
+    out = lookup(every, cut, "skey", "n_rows", F.xxhash64("doc_id", "u"))
+    return out.withColumn("copies", _copies(cap)).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source", "u")
 
 
@@ -144,10 +168,26 @@ def _cut(rows: DataFrame, owed: DataFrame) -> DataFrame:
         "skey", "n_rows", F.coalesce(cut, F.when(F.col("owed") > 0, F.lit(2.0)).otherwise(-1.0)).alias("cut"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it (0 to cap times)."""
-    decided = mix(docs).select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("size").alias("__n"), F.col("u").alias("__u"), "copies").filter("copies > 0").distinct()
-    packed = docs.select(F.col("doc_id").alias("__d"), F.col("source").cast("string").alias("__s"), n_words(F.col("text")).alias("__m"), _u().alias("__v"),
+# The numbers of all sources may be broadcast up to this size.
+BROADCAST_BYTES = 32 << 20
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
+    """``docs`` with every row repeated as often as the mix takes it (0 to cap times).
+
+    Copies follow from the row and its source's numbers alone, so these are met
+    in the scan and no text is shuffled.  Only if the sources' own table is
+    above ``BROADCAST_BYTES`` do rows of the smaller sources go through a join.
+    """
+    _, state, cut = _balanced(docs, weights, share, cap)
+    numbers = cut_lineage(state.join(cut.select("skey", "cut"), "skey"))
+    size = numbers.agg(F.sum(F.octet_length("skey") + 64)).first()[0] or 0
+    packed = docs.select(F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _u().alias("u"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    same = packed["__d"].eqNullSafe(decided["__id"]) & packed["__s"].eqNullSafe(decided["__src"]) & (packed["__m"] == decided["__n"]) & (packed["__v"] == decided["__u"])
-    return packed.join(decided, same).select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__i")).select("__doc.*")
+    packed = _keyed(packed)
+    if size <= BROADCAST_BYTES:
+        met = packed.join(F.broadcast(numbers), "skey")
+    else:
+        met = lookup(packed, numbers, "skey", "n_docs", F.xxhash64("u"))
+    taken = _rated(met, cap).withColumn("copies", _copies(cap)).filter("copies > 0")
+    return taken.select("__doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__i")).select("__doc.*")

@@ -99,6 +99,15 @@ def test_mixed_documents_tell_rows_of_one_id_apart(spark):
     assert Counter(got.values()) == Counter({k: n for k, n in want.items() if k})
 
 
+def test_mix_by_either_join_and_its_failure(edge, monkeypatch):
+    want = sorted(map(str, mixing.mixed_documents(edge).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, mixing.mixed_documents(edge).collect())) == want and want
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.mix(edge)
+
+
 def test_mixed_documents_follow_copies(edge, empty):
     d = edge.filter("doc_id is not null and doc_id <> 5").withColumn("copies", F.lit(7))
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(d).collect()}
