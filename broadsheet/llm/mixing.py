@@ -146,7 +146,8 @@ def _cut(rows: DataFrame, owed: DataFrame) -> DataFrame:
     """(skey, n_rows, cut): taking all rows with ``at`` below the cut meets the tokens owed, to the nearest bin of the second pass."""
     def crossing(binned: DataFrame, need: DataFrame) -> DataFrame:
         """The bin in which each source's cumulated tokens reach its need: (skey, bin, before, tokens, need, n_rows)."""
-        tokens = binned.groupBy("skey", "bin").agg(F.sum("size").alias("tokens"))
+        # written out, so parts of a bin meet by source and bin, and a window reads whole bins only
+        tokens = cut_lineage(binned.groupBy("skey", "bin").agg(F.sum("size").alias("tokens")))
         upto = W.partitionBy("skey").orderBy("bin")  # at most BINS rows a source
         cum = tokens.withColumn("before", F.sum("tokens").over(upto) - F.col("tokens")).join(need, "skey")
         hit = cum.filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("tokens") >= F.col("need")))
