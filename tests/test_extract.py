@@ -115,3 +115,9 @@ def test_metadata_expressions_stand_once(spark):
     plan = P.extract_pages(pages).select("ord", "title", "author", "published_date", "text", "word_count")
     physical = plan._jdf.queryExecution().executedPlan().toString()
     assert physical.count("og:title") == physical.count("article:published_time") == 3  # one pattern names it in three quotings
+
+
+def test_structural_tags_are_collected_once(spark):
+    df = spark.createDataFrame([("<body><p>x</p></body>",)], "html string")
+    plan = P.with_main_text(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
