@@ -102,3 +102,20 @@ def test_seen_store_reads_the_buckets_of_its_keys(spark):
     store.put(_records(spark, [(9001, "u5", "c2", "later")]), 3)
     store.commit(3)
     assert "later" in {x.title for x in store.lookup(keys).collect()}
+
+
+def test_ingest_reads_its_expansion_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(url):
+        seen.add(1)
+        return url
+
+    urls = [f"https://e/{k}" for k in range(3)]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "source_ord long, u string").coalesce(1)
+    rows = rows.select("source_ord", F.lit(0).alias("pos"), F.col("u").alias("source_url"), counted("u").alias("url"), F.lit(1).cast("long").alias("n_entries"))
+    pages = spark.createDataFrame([(k, u, "<body>" + f"word{k} " * 60 + "</body>") for k, u in enumerate(urls)], "ord long, url string, html string")
+    res = IG.ingest_batch(rows.withColumn("ord", F.struct("source_ord", "pos")), pages, None, RUN_TS)
+    assert sorted(r.url for r in res.outcomes.filter("success").collect()) == urls
+    assert seen.value == 3
