@@ -17,9 +17,14 @@ Steps, none of which collects a group in one place or lists its pairs:
 3. Members hang together in blocks.  A block of at most ``BLOCK`` members is
    compared by one task.  In a larger one all lists of one hub (smallest
    member) are a task, or, if they are too many, each list for itself, every
-   pair of its chunks being a task.  Tasks compute exact similarities by counting common
-   n-grams and return spanning links only.
-4. Links and class memberships give the components.
+   pair of its chunks being a task.
+4. Tasks first compare sketches, one to two bits an n-gram (``sketches``): they
+   leave out pairs that cannot link, most of those that share boilerplate only.
+   What hangs together by the others is a task, and its texts are sent once; only
+   where more than ``BLOCK`` sets do, each task of step 3 is cut by them.
+5. These tasks compute exact similarities by counting common n-grams and return
+   spanning links only.
+6. Links and class memberships give the components.
 
 Signatures of empty projections are left out where enough groups are full to
 guarantee a full one in common, and kept otherwise, so no link is lost.
@@ -42,7 +47,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.blocks import C1, gram_hashes, mix, power, slices, text_bytes, word_hashes, words
 from broadsheet.llm.common import connected, lookup, partitions, small
-from broadsheet.session import cut_lineage
+from broadsheet.session import cut_lineage, free_shuffles
 
 SUB = 2  # parts of a group
 SPARE = 1.15  # groups over the least number, so that empty parts do no harm
@@ -125,17 +130,57 @@ def signatures(value: np.ndarray, offs: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(out), np.concatenate(who), np.concatenate(own)
 
 
+def sketches(value: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of 64 bits, offsets): per set, the parities of its counts in as many cells as the next power of two.
+
+    Two sets differ in at least as many n-grams as their parities do in cells.
+    The halves of a sketch, one xor the other, are the sketch of half as many cells.
+    """
+    size = np.diff(offs)
+    words = 1 << np.ceil(np.log2(np.maximum(size, 64) / 64)).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(words)])
+    of = np.repeat(np.arange(len(size)), size)
+    cell = first[of] * 64 + (mix(value + np.uint64(3)) & (words[of] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=first[-1] * 64) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64), first
+
+
+def possible(size: np.ndarray, sketch: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of sets may link: linked sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum."""
+    order = np.argsort(size, kind="stable")
+    size = size[order].astype(np.int64)
+    length, most = np.array([len(sketch[i]) for i in order]), size * 100 // percent  # of a larger set
+    may = np.zeros((len(size), len(size)), bool)
+    for w in np.unique(length):
+        a, b = np.searchsorted(length, w), np.searchsorted(length, w, "right")
+        end = np.searchsorted(size, most[b - 1], "right")
+        cells = np.stack([np.bitwise_xor.reduce(sketch[i].reshape(-1, w), axis=0) for i in order[a:end]], axis=1)
+        for s in range(a, b, 256):
+            t = min(s + 256, b)
+            e = np.searchsorted(size, most[t - 1], "right")
+            low, high = cells[:, s - a:t - a, None], cells[:, None, s - a:e - a]
+            apart, step = np.zeros((t - s, e - s), np.int64), max(1, (1 << 18) // ((t - s) * (e - s)))
+            for k in range(0, w, step):
+                apart += np.bitwise_count(low[k:k + step] ^ high[k:k + step]).sum(axis=0, dtype=np.int64)
+            may[s:t, s:e] = (100 + percent) * apart <= (100 - percent) * (size[s:t, None] + size[None, s:e])
+    out = np.empty_like(may)
+    out[np.ix_(order, order)] = may | may.T
+    return out
+
+
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): set size and two independent fingerprints of the set."""
+    """(doc_id, n_shingles, f1, f2, sketch): set size, two independent fingerprints of the set, and its sketch."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             value, offs = shingles(b.column("text"), n)
             total = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(k)))]) for k in (1, 2)]
             f = [pa.array((t[offs[1:]] - t[offs[:-1]]).view(np.int64)) for t in total]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs)), *f], ["doc_id", "n_shingles", "f1", "f2"])
+            cells, first = sketches(value, offs)
+            sketch = pa.BinaryArray.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(cells)])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offs)), *f, sketch], ["doc_id", "n_shingles", "f1", "f2", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, f1 long, f2 long")
+    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
 def member_lists(docs: DataFrame, n: int, percent: int, most: int = CHUNK) -> DataFrame:
@@ -252,7 +297,12 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
     inter = common.astype(np.int64)
     linked = 100 * inter >= percent * (size[:, None] + size[None] - inter)
     linked &= size[:, None] > 0
-    linked |= np.eye(len(sets), dtype=bool)
+    return reached(ids, linked)
+
+
+def reached(ids: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Per row of a symmetric matrix of links, the smallest id it reaches."""
+    linked = linked | np.eye(len(ids), dtype=bool)
     root = ids.copy()
     while True:
         new = np.where(linked, root[None], np.iinfo(np.int64).max).min(axis=1)
@@ -261,6 +311,36 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> np.
         root = new
 
 
+def narrowed(sets: DataFrame, tasks: DataFrame, percent: int, most: int = BLOCK) -> DataFrame:
+    """(task, doc): ``tasks`` without the pairs that sketches tell apart; a document is in one task, if at most ``most`` hang together."""
+    bins = max(partitions(sets.sparkSession), int(tasks.count() // BLOCK) + 1)
+    rows = sets.join(tasks, sets["doc_id"] == tasks["doc"]).select(F.pmod("task", F.lit(bins)).alias("bin"), "task", "doc_id", "n_shingles", "sketch")
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, task, size = (table.column(c).to_numpy() for c in ("doc_id", "task", "n_shingles"))
+        parts = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+        order = np.argsort(task, kind="stable")
+        name, u, v = ([np.zeros(0, np.int64)] for _ in range(3))
+        for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            if len(at) > 1:
+                may = possible(size[at], [parts[i] for i in at], percent)
+                met = np.flatnonzero(may.sum(axis=1) > 1)  # others than itself
+                if not met.size:
+                    continue
+                doc, one = np.unique(ids[at[met]], return_index=True)
+                name.append(task[at[met]][one])
+                u.append(doc)
+                v.append(reached(ids[at[met]], may[np.ix_(met, met)])[one])
+        return pa.table({"task": np.concatenate(name), "u": np.concatenate(u), "v": np.concatenate(v)})
+
+    met = cut_lineage(rows.groupBy("bin").applyInArrow(compare, "task long, u long, v long"))
+    block = cut_lineage(connected(met.select("u", "v")))
+    large = block.groupBy("root").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("root")
+    once = block.join(large, "root", "left_anti").select(F.col("root").alias("task"), F.col("node").alias("doc"))
+    again = met.join(block.join(large, "root", "left_semi").select(F.col("node").alias("u")), "u", "left_semi")
+    return once.unionByName(again.select(F.xxhash64("task", "v").alias("task"), F.col("u").alias("doc")))
+
+
 def links(docs: DataFrame, tasks: DataFrame, n: int, percent: int) -> DataFrame:
     """(u, v): links that connect whatever is linked within a task; several tasks share a bin."""
     bins = max(partitions(docs.sparkSession), int(tasks.count() // BLOCK) + 1)
@@ -293,11 +373,17 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, chunk: int = CHUN
     """(doc_id, n_shingles, component_id) per row of ``docs``."""
     docs = docs.select("doc_id", "text")
     rows = cut_lineage(described(docs, n))
-    sets = rows.filter("doc_id is not null and n_shingles > 0")
+    sketched = rows.filter("doc_id is not null and n_shingles > 0")
+    rows, sets = rows.drop("sketch"), sketched.drop("sketch")
     classes = cut_lineage(sets.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")))
-    firsts = docs.join(classes.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    first = classes.select(F.col("first").alias("doc_id")).distinct()
+    # where few documents are copies, these are left out, so no text is shuffled for it
+    others = small(cut_lineage(sets.select("doc_id").distinct().join(first, "doc_id", "left_anti")))
+    firsts = docs.join(first, "doc_id", "left_semi") if others is None else docs.filter("doc_id is not null").join(others, "doc_id", "left_anti")
     lists = cut_lineage(member_lists(firsts, n, percent, chunk))
     tasks = cut_lineage(comparisons(lists, block))
+    free_shuffles(docs.sparkSession)  # of the signatures; not sooner, as Python lets go of what it held with a delay
+    tasks = cut_lineage(narrowed(sketched, tasks, percent, block))
     found = cut_lineage(links(docs, tasks, n, percent))
     shared = classes.filter("n > 1").select("f1", "f2", "n_shingles", "first", "n").withColumn("key", F.xxhash64("f1", "f2", "n_shingles"))
     keyed = sets.withColumn("key", F.xxhash64("f1", "f2", "n_shingles"))

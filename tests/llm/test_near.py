@@ -73,6 +73,53 @@ def test_linked_sets_share_a_signature():
                 assert both & set(sig[own].tolist()), (percent, size, gone)
 
 
+def test_possible_pairs_hold_all_linked_ones():
+    """Sets of all sizes and distances, of one number of cells and of several."""
+    r = random.Random(2)
+    for percent in (30, 60, 80, 95, 100):
+        sets = []
+        for size in (1, 2, 7, 60, 64, 65, 120, 130, 500, 1030):
+            base = [r.getrandbits(64) for _ in range(size)]
+            for gone in (0, 0, size // 40, size // 12, size // 6, size // 3):
+                sets.append(sorted(base[gone:] + [r.getrandbits(64) for _ in range(r.choice([0, gone]))]))
+        r.shuffle(sets)
+        offs = np.cumsum([0, *map(len, sets)])
+        cells, first = ngram_join.sketches(np.array([x for s in sets for x in s], np.uint64), offs)
+        may = ngram_join.possible(np.diff(offs), [cells[a:b] for a, b in zip(first, first[1:])], percent)
+        assert (may == may.T).all() and (percent < 80 or may.sum() < len(sets) ** 2 / 4)
+        for i, a in enumerate(map(set, sets)):
+            for j, b in enumerate(map(set, sets)):
+                assert may[i, j] or 100 * len(a & b) < percent * len(a | b), (percent, len(a), len(b))
+
+
+@pytest.mark.parametrize("block", [2000, 8])
+def test_texts_with_a_common_passage_are_not_sent_for_each_list(spark, monkeypatch, block):
+    """Unlike texts share signatures of a passage; only near copies are compared, each text in one task."""
+    r = random.Random(4)
+    passage = [f"p{k}" for k in range(12)]
+    rows = []
+    for i in range(240):
+        w = [f"x{r.randrange(10**9)}" for _ in range(40)]
+        rows += [(3 * i, " ".join(w + passage))] + [(3 * i + k, " ".join(w + passage + [f"y{k}"])) for k in (1, 2) if i % 8 == 0]
+    sent, links = [], ngram_join.links
+    monkeypatch.setattr(ngram_join, "links", lambda docs, tasks, *a: (sent.extend(tuple(x) for x in tasks.select("task", "doc").collect()), links(docs, tasks, *a))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.components(docs, 5, 80, block // 2, block).collect()
+    assert Counter(map(tuple, got)) == slow_components(rows, 5, 80)
+    assert Counter(d for _, d in sent) == Counter(i for i, _ in rows if i // 3 % 8 == 0)
+
+
+def test_many_near_copies_are_linked(spark):
+    """More of them than a task may hold."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(x if r.random() > 0.004 else f"v{r.randrange(10**6)}" for x in words)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = slow_components(rows, 5, 80)
+    assert len({c for _, _, c in want}) < 45
+    assert Counter(map(tuple, ngram_join.components(docs, 5, 80, 6, 12).collect())) == want
+
+
 def test_connected(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(1000, i) for i in range(1001, 1200)] + [(i, i + 1) for i in range(2000, 2100)]
